@@ -6,8 +6,12 @@ import importlib
 
 #: Query: module, SQL's name in it (None: no SQL).
 QUERIES = {
+    "op2_license_scan": ("license_scan", "SQL"),
     "op3_warc": ("warc", "SQL"),
+    "op4_simhash": ("simhash", None),
     "op5_topk": ("topk", "SQL"),
+    "op6_sentencepiece": ("wfst", None),
+    "op7_language_id": ("language_id", None),
     "op8_packed_ids": ("packing", None),
     "op10_url_filter": ("url_filter", "SQL"),
 }
