@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sentencepiece": ("wfst", None),
     "op7_language_id": ("language_id", None),
     "op8_packed_ids": ("packing", None),
+    "op9_suffix_dedup": ("suffix_dedup", None),
     "op10_url_filter": ("url_filter", "SQL"),
 }
 
