@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ MAGIC = b"BWP1"
 BLOCK = 4096
 #: Ids after which a shard is closed (a shard is held in memory while it is written).
 SHARD_IDS = 2 << 20
-#: Words whose ids a task remembers.
-REMEMBER = 200_000
+#: Pieces whose ids a worker remembers, twice.
+REMEMBER = 400_000
+#: Marks that are a pre-token of their own after a word (an apostrophe is not).
+MARKS = tuple(".,;:!?|")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -102,42 +106,75 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable ones as themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
     The pre-tokenizer never joins what stands before a space between two non-white characters with what follows, so a
-    text may be cut there; the pieces' ids are remembered. A text with other white space at a cut is encoded in one go.
+    text may be cut there; the pieces' ids are remembered. Pieces of letters, each with at most one mark after it, over
+    lines of one break each, are pre-tokens known beforehand, and the model takes them directly; other pieces, and
+    texts with other white space at a cut, go through the library's whole chain.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.chain = Tokenizer.from_file(path)
+        self.model, self.letters = self.chain.model, _byte_letters()
         self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.older: dict[str, bytes | None] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.chain.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _token(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
+    def _piece(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        ids: list[int] = []
+        for n, line in enumerate(piece.split("\n")):
+            word, mark = (line[:-1], line[-1]) if line[-1:] in MARKS else (line, "")
+            if not word.isalpha():
+                return self.whole(f" {piece}")
+            if n:
+                ids += self._token("\n")
+            ids += self._token(word if n else f" {word}")
+            if mark:
+                ids += self._token(mark)
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         known, pieces = self.known, text.split(" ")
         first, rest = pieces[0], pieces[1:]
         if not rest or not first or first[-1].isspace():
-            return self._ids(text)
-        new = {p for p in rest if p not in known}
-        if new:
-            safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new, safe = set(rest), [p for p in set(rest) if p and not p[0].isspace() and not p[-1].isspace()]
-            known.update(dict.fromkeys(new))
-            for p, e in zip(safe, self.model.encode_batch_fast([f" {p}" for p in safe], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        found = [known[p] for p in rest]
-        if None in found:
-            return self._ids(text)
-        return self._ids(first) + b"".join(found)
+            return self.whole(text)
+        try:
+            found = [known[p] for p in rest]
+        except KeyError:
+            for p in set(rest):
+                if p not in known:
+                    known[p] = self.older[p] if p in self.older else self._piece(p)
+            found = [known[p] for p in rest]
+            if len(known) > REMEMBER:  # what is in use comes back from the older half
+                self.known, self.older = {}, known
+        return self.whole(text) if None in found else self.whole(first) + b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for a Python worker, whatever the tasks it runs."""
+    return Encoder(path)
 
 
 def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, block: int = BLOCK) -> DataFrame:
@@ -147,8 +184,8 @@ def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: st
     ordered = rows.repartitionByRange("id").sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        bits = bits_for(max(encoder.model.get_vocab_size(), end_id + 1))
+        encoder = encoder_of(tokenizer)
+        bits = bits_for(max(encoder.chain.get_vocab_size(), end_id + 1))
         end, part, shard, held = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         parts: list[bytes] = []
@@ -177,17 +214,18 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, content in zip(batch.column("start").to_pylist(), batch.column("content"), strict=True):
+            for part, number, content in zip(*(batch.column(k).to_pylist() for k in ("part", "shard")), batch.column("content"), strict=True):
                 shard = Shard(content.as_buffer())
                 crc = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.doc_ids))]
                 n = np.diff(shard.starts.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1].astype(np.int64) + start), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), shard.bits, np.int32))], names=["doc_id", "start", "n_tokens", "ids_crc32", "bits"])
-
-    # a row for each shard of some MB: their sums fit one task, and the contents stay where they are
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "shard", "n_ids").withColumn("start", before).drop("n_ids")
-    placed = shards.join(starts, ["part", "shard"]).select("start", "content")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, bits int")
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1].astype(np.int64)), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), shard.bits, np.int32)), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), number, np.int32))], names=["doc_id", "own", "n_tokens", "ids_crc32", "bits", "part", "shard"])
+
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = shards.select("part", "shard", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("base"))  # a row for each task that wrote
+    starts = sizes.withColumn("in_part", before(Window.partitionBy("part").orderBy("shard"))).join(parts, "part").select("part", "shard", (F.col("base") + F.col("in_part")).alias("start"))
+    rows = shards.select("part", "shard", "content").mapInArrow(run, "doc_id long, own long, n_tokens long, ids_crc32 long, bits int, part int, shard int")
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "bits")
 
 
 #: The end id fixed by the query's contract.
