@@ -9,8 +9,8 @@ text, and infinity otherwise; merges are decided by neighbours alone, so one pat
 tropical shortest path is found state by state in order of place; with zero and infinite weights a depth-first walk
 meets it first.
 
-Merges never join characters that stand side by side in no piece. Texts are cut there, and a task remembers the ids of
-pieces of text it has met (REMEMBER of them).
+Merges never join characters that stand side by side in no piece. Texts are cut there, and a worker remembers the ids
+of what it has met (REMEMBER words and cuts, twice).
 
 Decoding joins the pieces, reads fallback bytes as UTF-8 and takes the first space off.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from .util import map_batches, small_batches, table, utf8
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Cuts of texts whose ids a task remembers, and neighbours whose weight it does.
-REMEMBER, REMEMBER_PAIRS = 250_000, 1 << 20
+#: Words and cuts of texts whose ids a worker remembers (twice each), and neighbours whose weight it does.
+REMEMBER, REMEMBER_PAIRS = 300_000, 1 << 20
 INFINITE = float("inf")
 
 
@@ -84,7 +85,9 @@ class Transducer:
         self.spaces_split = not any(x[1] == SPACE and x[0] != SPACE for x in self.joined)
         self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in pieces]
         self.cuts: dict[str, bytes] = {}
+        self.older_cuts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.weights: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -177,10 +180,12 @@ class Transducer:
     def _cut(self, text: str) -> bytes:
         found = self.cuts.get(text)
         if found is None:
-            ids = self._bpe_path(text) if self.kind == BPE else self._unigram_path(text)
-            if len(self.cuts) >= REMEMBER:
-                self.cuts.clear()
-            found = self.cuts[text] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.older_cuts.get(text)
+            if found is None:
+                found = array("I", self._bpe_path(text) if self.kind == BPE else self._unigram_path(text)).tobytes()
+            if len(self.cuts) >= REMEMBER:  # what is in use comes back from the older half
+                self.cuts, self.older_cuts = {}, self.cuts
+            self.cuts[text] = found
         return found
 
     def _normal(self, text: str) -> bytes:
@@ -205,13 +210,13 @@ class Transducer:
         try:
             return b"".join([words[p] for p in parts])
         except KeyError:
-            new = set(parts).difference(words)
-            if len(words) + len(new) > REMEMBER:
-                words.clear()
-                new = set(parts)
-            for p in new:
-                words[p] = self._normal(SPACE + p)
-            return b"".join([words[p] for p in parts])
+            for p in set(parts).difference(words):
+                found = self.older_words.get(p)
+                words[p] = self._normal(SPACE + p) if found is None else found
+            out = b"".join([words[p] for p in parts])
+            if len(words) > REMEMBER:
+                self.words, self.older_words = {}, words
+            return out
 
     def decode(self, ids: list[int]) -> bytes:
         plain = b"".join(map(self.plain.__getitem__, ids))
