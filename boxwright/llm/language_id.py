@@ -16,9 +16,11 @@ predicted alike, an empty table gives no rows, very long texts are read whole. O
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,19 +136,38 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _prepared(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, Hierarchy | None]:
+    small_batches(documents.sparkSession)
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held_out"))
+    return rows, fit(rows.where(~F.col("held_out")))
+
+
+def predict(model: Hierarchy | None, text: bytes | None) -> tuple[str, float]:
+    return (NONE, 0.0) if model is None or text is None or not has_letter(text) else model.predict(features(text))
+
+
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held_out"))
-    model = fit(rows.where(~F.col("held_out")))
+    rows, model = _prepared(documents, id_col, text_col, lang_col)
 
     def run(ids: list, held: list, texts: list) -> dict[str, list]:
-        found = [(NONE, 0.0) if model is None or t is None or not has_letter(t) else model.predict(features(t)) for t in texts]
+        found = [predict(model, t) for t in texts]
         return {"doc_id": ids, "held_out": held, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
     return map_batches(rows.select("id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def reject_unknown(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, all columns, with a language; the others have no letter, or no text."""
+    _, model = _prepared(documents, id_col, text_col, lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([predict(model, None if t is None else t.encode())[0] != NONE for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

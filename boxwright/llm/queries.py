@@ -6,6 +6,7 @@ import importlib
 
 #: Query: module, SQL's name in it (None: no SQL).
 QUERIES = {
+    "op1_decontamination": ("decontamination", None),
     "op2_license_scan": ("license_scan", "SQL"),
     "op3_warc": ("warc", "SQL"),
     "op4_simhash": ("simhash", None),
@@ -18,8 +19,14 @@ QUERIES = {
 }
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, (module, _) in QUERIES.items()}
+    return {"pipeline": _pipeline} | {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, (module, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

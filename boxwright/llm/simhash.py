@@ -57,11 +57,11 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp (as a signed 64-bit integer)."""
+    """doc_id, tag (the text's hash), fp (as a signed 64-bit integer)."""
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), _tag(text_col).alias("tag"), utf8(text_col).alias("text"))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return map_batches(rows, lambda ids, texts: {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]}, "doc_id long, fp long")
+    return map_batches(rows, lambda ids, tags, texts: {"doc_id": ids, "tag": tags, "fp": [signed(fingerprint(t)) for t in texts]}, "doc_id long, tag long, fp long")
 
 
 def chain_links(a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +153,37 @@ def linked(fps: DataFrame) -> DataFrame:
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_links, "u long, v long")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id."""
-    fps = stored(fingerprints(documents, id_col, text_col), "fingerprints")
+def _roots(fps: DataFrame) -> DataFrame:
+    """fp, root, least (smallest doc_id with that fingerprint) of every distinct fingerprint."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(linked(nodes))
-    known = stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    return stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    fps = stored(fingerprints(documents, id_col, text_col), "fingerprints").select("doc_id", "fp")
+    known = _roots(fps)
     ids = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = stored(known.join(ids, "root").select("fp", "component_id"), "named")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, but of each component only one: that with the smallest id (null first), then text hash."""
+    fps = stored(fingerprints(documents, id_col, text_col), "fingerprints")
+    known = _roots(fps.select("doc_id", "fp")).select("fp", "root")
+    first = fps.join(known, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    kept = stored(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.tag").alias("kept_tag")), "kept")
+    tagged = documents.withColumn("_tag", _tag(text_col))
+    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_tag") == F.col("kept_tag")), "left_semi")
+    return joined.dropDuplicates([id_col, "_tag"]).drop("_tag")
+
+
+def _tag(text_col: str) -> F.Column:
+    return F.xxhash64(utf8(text_col))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

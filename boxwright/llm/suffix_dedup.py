@@ -271,26 +271,43 @@ def covered(size: int, spans: list | None, length: int = LENGTH) -> np.ndarray:
     return np.stack([pairs[np.r_[0, new], 0], end[np.r_[new - 1, len(pairs) - 1]]], axis=1)
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept (the remaining bytes) too."""
+def _with_spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents with a column _spans: first and last starts of repeated windows."""
     small_batches(documents.sparkSession)
-    tag = F.hash(F.col(text_col).cast("string"))
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), tag.alias("tag"), utf8(text_col).alias("text"))
-    spans = repeated_ranges(rows.select("doc", "tag", "text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    keyed = documents.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_tag": F.hash(F.col(text_col).cast("string"))})
+    spans = repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), utf8(text_col).alias("text")))
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    return keyed.join(spans, ["_doc", "_tag"], "left").select(*documents.columns, "_spans")
+
+
+def kept_bytes(text: bytes, runs: list[list[int]]) -> bytes:
+    return b"".join(text[a:b] for (_, a), (b, _) in zip([(0, 0), *runs], [*runs, (len(text), 0)], strict=True))
+
+
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(ids: list, texts: list, lists: list) -> dict[str, list]:
-        out: dict[str, list] = {x.split()[0]: [] for x in schema.split(", ")}
-        for i, text, some in zip(ids, texts, lists, strict=True):
-            runs = covered(len(text), some).tolist()
-            kept = b"".join(text[a:b] for (_, a), (b, _) in zip([(0, 0), *runs], [*runs, (len(text), 0)], strict=True))
-            row = (i, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else []))
-            for column, value in zip(out.values(), row, strict=True):
-                column.append(value)
-        return out
+        runs = [covered(len(text), some).tolist() for text, some in zip(texts, lists, strict=True)]
+        kept = [kept_bytes(text, r) for text, r in zip(texts, runs, strict=True)]
+        return {"doc_id": ids, "n_bytes": [len(t) for t in texts], "n_removed": [len(t) - len(k) for t, k in zip(texts, kept, strict=True)], "n_spans": [len(r) for r in runs], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
+
+    joined = _with_spans(documents, id_col, text_col).select(F.col(id_col).cast("long"), utf8(text_col), "_spans")
+    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cleaned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without the repeated bytes; a character that is cut through goes whole."""
+    joined = _with_spans(documents, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [None if t is None else kept_bytes(b := t.encode(), covered(len(b), some).tolist()).decode("utf-8", "ignore") for t, some in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    joined = rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
-    return map_batches(joined, run, schema)
+    return joined.mapInArrow(run, documents.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
