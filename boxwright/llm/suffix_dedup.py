@@ -14,8 +14,10 @@ A byte goes if it is covered by a LENGTH-byte string that also starts anywhere e
    byte, rank) leave the queue in stable order, and their common-prefix values are one more than the least value between
    them in the round before. A window repeats if its suffix has LENGTH bytes in common with a neighbour. Tuples that can
    no longer reach LENGTH leave the queue early.
-4. A group of over GROUP different contexts is not given to one task: its windows are hashed (64 bits beside the
-   anchor's 64) and counted by a combinable aggregation.
+4. A group of over GROUP different contexts is not given to one task. Its contexts are cut into pieces of PIECE windows.
+   Pieces, and their cores (what all windows of a piece share), are hashed (64 bits beside the anchor's 64) and counted
+   by combinable aggregations: a piece that occurs twice repeats whole, one whose core occurs once not at all, and of the
+   few others the windows are hashed and counted.
 5. Ranges of window starts go back to the occurrences, then to the documents.
 
 A null text is empty. Texts shorter than LENGTH keep all bytes. Very long texts are read whole. Rows that repeat another
@@ -40,6 +42,8 @@ LENGTH = 200
 K = 32
 #: Contexts of a group that one task takes; contexts that it takes at a time.
 GROUP, BATCH = 1024, 32768
+#: Windows of a piece of a large group's context.
+PIECE = 8
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _VALUES = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
@@ -201,16 +205,50 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield solved(held)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, ch, dmin, dmax, context): pieces of windows at distances lo to hi, with their hash, their core's hash and their bytes."""
+    for batch in batches:
+        out: list[tuple] = []
+        for h, ch, dmin, dmax, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            number = np.arange(dmin // PIECE, dmax // PIECE + 1)
+            lo, hi = np.maximum(number * PIECE, dmin), np.minimum(number * PIECE + PIECE - 1, dmax)
+            hashes = Hashes(context)
+            start, end = dmax - hi, dmax - lo + LENGTH
+            core = hashes.of(dmax - number * PIECE, dmax - (number * PIECE + PIECE - 1) + LENGTH).view(np.int64)
+            whole = hashes.of(start, end).view(np.int64)
+            out += zip([h] * len(number), [ch] * len(number), number.tolist(), lo.tolist(), hi.tolist(), whole.tolist(), core.tolist(), [context[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], strict=True)
+        if out:
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "ch", "number", "lo", "hi", "piece", "core", "context"])
+
+
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, ch, dmin, dmax, context): the hash w of every window, at distance d."""
+    """Rows (h, ch, lo, hi, context, n): the hash w of every window, at distance d."""
     for batch in batches:
         out = []
-        for h, ch, dmin, dmax, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            start = np.arange(dmax - dmin + 1)
-            out.append((np.full(len(start), h), np.full(len(start), ch), dmax - start, Hashes(context).of(start, start + LENGTH).view(np.int64)))
+        for h, ch, lo, hi, context, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            start = np.arange(hi - lo + 1)
+            out.append((np.full(len(start), h), np.full(len(start), ch), hi - start, Hashes(context).of(start, start + LENGTH).view(np.int64), np.full(len(start), n)))
         if out:
-            h, ch, d, w = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ch), pa.array(d.astype(np.int32)), pa.array(w)], names=["h", "ch", "d", "w"])
+            h, ch, d, w, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ch), pa.array(d.astype(np.int32)), pa.array(w), pa.array(n.astype(np.int64))], names=["h", "ch", "d", "w", "n"])
+
+
+def _counted_ranges(contexts: DataFrame) -> DataFrame:
+    """Ranges of large groups, by counting; every table that a join reads is stored, so that Spark can split hot keys."""
+    pieces = stored(contexts.mapInArrow(_pieces, "h long, ch long, number int, lo int, hi int, piece long, core long, context binary"), "pieces")
+    cores = stored(pieces.groupBy("h", "number", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
+    key = ["h", "lo", "hi", "piece"]
+    whole = stored(pieces.groupBy(*key).agg(F.count("*").alias("n"), F.min("context").alias("context")).where("n > 1").drop("n"), "whole")
+    open_ = pieces.join(cores, ["h", "number", "core"], "left_semi").select("h", "ch", "lo", "hi", "piece", "context")
+    marked = stored(open_.join(whole.select(*key, F.lit(True).alias("whole")), key, "left"), "marked")
+    edges = marked.where("whole is null").select("h", "ch", "lo", "hi", "context", F.lit(1).alias("n"))
+    others = whole.select("h", F.lit(0).cast("long").alias("ch"), "lo", "hi", "context", F.lit(2).alias("n"))
+    windows = "h long, ch long, d int, w long, n long"
+    twice = edges.unionByName(others).mapInArrow(_window_hashes, windows).groupBy("h", "d", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    twice = stored(twice.select("h", "d", "w"), "windows")
+    hit = edges.mapInArrow(_window_hashes, windows).join(twice, ["h", "d", "w"]).select("h", "ch", F.col("d").alias("lo"), F.col("d").alias("hi"))
+    return marked.where("whole").select("h", "ch", "lo", "hi").unionByName(hit)
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
@@ -251,10 +289,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     columns = ["h", "ch", "dmin", "dmax", "context"]
     sorted_ = bytes_of.where("not large").select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_sort_suffixes, _RANGES)
 
-    windows = bytes_of.where("large").select(*columns).mapInArrow(_window_hashes, "h long, ch long, d int, w long")
-    twice = stored(windows.groupBy("h", "d", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "d", "w"), "windows")
-    hashed = windows.join(twice, ["h", "d", "w"]).select("h", "ch", F.col("d").alias("lo"), F.col("d").alias("hi"))
-
+    hashed = _counted_ranges(bytes_of.where("large").select(*columns))
     ranges = stored(certain.unionByName(sorted_).unionByName(hashed), "ranges")
     spans = occurrences.select("h", "ch", "doc", "tag", "at").join(ranges, ["h", "ch"]).select("doc", "tag", F.struct((F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo")).alias("hi")).alias("span"))
     return spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
