@@ -37,7 +37,7 @@ from .util import map_batches, small_batches, table, utf8
 DIMENSIONS = 1 << 14
 RANK, OVERSAMPLING = 128, 16
 STEP = 8
-LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.25, 0.6, 0.9, 0.5
+LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.25, 0.6, 0.75, 0.3
 MIN_WORDS = 5
 MAX_WORDS = 2_000_000
 #: Rows of the partial products that are summed together.
