@@ -4,9 +4,10 @@
    of the buckets are counted over the whole corpus, a row for each bucket and task before the exchange.
 2. The benchmark's passages, all of them, are TF-IDF rows of a distributed matrix. A randomised SVD finds its leading
    right singular vectors: partial products with a random matrix are summed over tasks, in two power iterations.
+   (Its columns are the benchmark's words, so other words of the corpus never pass for one of them.)
 3. Each document is cut into windows, every STEP words, as long as the passages they are compared with. A window's latent
-   vector is the sum of its words' projected weights; its cosine with a passage is the latent inner product over both
-   TF-IDF lengths. Windows with too little weight on the benchmark's words cannot reach the least cosine (by
+   vector is the sum of its words' projected weights; its cosine with a passage is the inner product with the
+   passage's latent direction over the window's TF-IDF length. Windows with too little weight on the benchmark's words cannot reach the least cosine (by
    Cauchy-Schwarz) and are not projected.
 4. Candidates with a cosine of LEAST_COSINE or more are checked: the longest common subsequence of the passage and the
    window (STEP words wider on both sides) must hold LEAST_SHARE of the passage's words; below SURE of them the window
@@ -35,9 +36,9 @@ from .suffix_dedup import Hashes
 from .util import map_batches, small_batches, table, utf8
 
 DIMENSIONS = 1 << 14
-RANK, OVERSAMPLING = 128, 16
+RANK, OVERSAMPLING = 64, 16
 STEP = 8
-LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.25, 0.6, 0.75, 0.3
+LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.35, 0.6, 0.75, 0.3
 MIN_WORDS = 5
 MAX_WORDS = 2_000_000
 #: Rows of the partial products that are summed together.
@@ -84,8 +85,23 @@ def _row(at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
     return own, x / max(norm, 1e-12), norm
 
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2) -> np.ndarray:
-    """DIMENSIONS x rank: leading right singular vectors of the TF-IDF rows of items (column text, bytes)."""
+def vocabulary_of(items: DataFrame) -> np.ndarray:
+    """Hashes of the benchmark's words, in ascending order: the matrix's columns."""
+    found = map_batches(items.select("text"), lambda texts: {"word": np.unique(np.concatenate([word_hashes(t) for t in texts])).view(np.int64)}, "word long").distinct()
+    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))  # at most MAX_WORDS
+
+
+def _places(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column of each word, and whether it has one."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return at, vocabulary[at] == hashes
+
+
+def randomised_svd(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, rounds: int = 2) -> np.ndarray:
+    """vocabulary x rank: leading right singular vectors of the TF-IDF rows of items (column text, bytes). idf: of each column."""
+    columns = len(vocabulary)
 
     def product(q: np.ndarray) -> np.ndarray:
         """A' A q, summed over tasks in chunks of rows."""
@@ -94,7 +110,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2
             out = np.zeros_like(q)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    own, x, norm = _row(buckets(word_hashes(text)), idf)
+                    own, x, norm = _row(_places(vocabulary, word_hashes(text))[0], idf)
                     if norm:
                         out[own] += np.outer(x, x @ q[own])
             starts = [i for i in range(0, len(out), CHUNK) if out[i : i + CHUNK].any()]
@@ -105,11 +121,11 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2
             return pd.DataFrame({"start": [pdf["start"].iloc[0]], "part": [parts.tobytes()]})
 
         total = np.zeros_like(q)
-        for r in items.select("text").mapInArrow(partial, "start int, part binary").groupBy("start").applyInPandas(added, "start int, part binary").collect():  # DIMENSIONS x (rank + oversampling) numbers
+        for r in items.select("text").mapInArrow(partial, "start int, part binary").groupBy("start").applyInPandas(added, "start int, part binary").collect():  # vocabulary x (rank + oversampling) numbers
             total[r["start"] : r["start"] + CHUNK] = np.frombuffer(r["part"], np.float64).reshape(-1, q.shape[1])
         return total
 
-    q = np.random.default_rng(0).standard_normal((DIMENSIONS, rank + OVERSAMPLING))
+    q = np.random.default_rng(0).standard_normal((columns, min(columns, rank + OVERSAMPLING)))
     for _ in range(rounds):
         q = np.linalg.qr(product(q))[0]
     values, vectors = np.linalg.eigh(q.T @ product(q))
@@ -131,54 +147,69 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 class Passages:
-    """The benchmark's passages in latent space."""
+    """The benchmark's passages in latent space. idf: of each bucket; basis: of each word of the vocabulary."""
 
-    def __init__(self, items: list[tuple[int, bytes]], idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, items: list[tuple[int, bytes]], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
+        self.vocabulary, self.square = vocabulary, idf**2
+        own_idf = idf[buckets(vocabulary)]
         self.ids, self.words, self.size = [], [], []
         rows = []
-        projected = (idf[:, None] * basis).astype(np.float32)
-        self.inside = np.zeros(DIMENSIONS, bool)
         for i, text in items:
             h = word_hashes(text)
             if len(h):
-                own, x, _ = _row(buckets(h), idf)
-                self.inside[own] = True
+                own, x, _ = _row(_places(vocabulary, h)[0], own_idf)
                 self.ids.append(i)
                 self.words.append(h.tolist())
                 self.size.append(-(-(len(h) + STEP) // STEP) * STEP)
                 rows.append((x[:, None] * basis[own]).sum(axis=0).astype(np.float32))
-        self.vectors = np.array(rows, np.float32).reshape(len(rows), basis.shape[1])
-        self.weights = projected * self.inside[:, None]
-        self.square = idf**2
+        vectors = np.array(rows, np.float32).reshape(len(rows), basis.shape[1])
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+        self.weights = np.vstack([own_idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
         self.by_size = {s: np.flatnonzero(np.array(self.size) == s) for s in sorted(set(self.size))}
-        rare = lambda h: [w for _, w in sorted((-idf[int(w) & (DIMENSIONS - 1)], w) for w in set(h))][: max(1, len(set(h)) // 5)]
+        rare = lambda h: [w for _, w in sorted((-idf[w & (DIMENSIONS - 1)], w) for w in set(h))][: max(1, len(set(h)) // 5)]
         self.answers = [set(rare(h)) for h in self.words]
 
-    def candidates(self, at: np.ndarray) -> list[tuple[int, int, float]]:
-        """(passage, window's first word, cosine) of the pairs with the least cosine. at: buckets of a document's words."""
-        n = len(at)
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, window's first word, cosine) of the pairs with the least cosine. words: hashes of a document's words."""
+        n = len(words)
         if not n or not len(self.ids):
             return []
-        square = self.square[at]
-        total = np.r_[0, np.cumsum(square)]
-        inside = np.r_[0, np.cumsum(square * self.inside[at])]
+        place, known = _places(self.vocabulary, words)
+        square = self.square[buckets(words)]
+        # sums of blocks of STEP words; a window is a difference of sums up to its ends
+        blocks = -(-n // STEP)
+        up = lambda v: np.r_[0, np.cumsum(np.add.reduceat(v, np.arange(0, n, STEP)))]
+        total, inside = up(square), up(square * known)
+        spans = {size: (first := np.arange(max(1, blocks - size // STEP + 1)), np.minimum(first + size // STEP, blocks)) for size in self.by_size}
+        seen = {}
+        for size, (first, last) in spans.items():
+            norm, part = total[last] - total[first], inside[last] - inside[first]
+            seen[size] = np.flatnonzero((part >= LEAST_COSINE**2 * norm) & (norm > 0) & (part > 0))
+        if not any(map(len, seen.values())):
+            return []
+        sums = np.zeros((blocks + 1, self.weights.shape[1]), np.float32)
+        rows = np.full(blocks * STEP, len(self.weights) - 1)  # the last row is zero
+        rows[:n] = np.where(known, place, len(self.weights) - 1)
+        rows = rows.reshape(blocks, STEP)
+        for k in range(STEP):
+            sums[1:] += self.weights[rows[:, k]]
+        sums = np.cumsum(sums, axis=0, out=sums)
         out = []
         for size, own in self.by_size.items():
-            start = np.arange(0, max(1, n - size + STEP), STEP)
-            end = np.minimum(start + size, n)
-            norm = total[end] - total[start]
-            seen = np.flatnonzero(inside[end] - inside[start] >= LEAST_COSINE**2 / 2 * norm)  # half: words may repeat
-            for w in seen[norm[seen] > 0].tolist():
-                x = self.weights[at[start[w] : end[w]]].sum(axis=0)
-                cosine = self.vectors[own] @ x / np.sqrt(norm[w])
-                out += [(int(own[k]), int(start[w]), float(cosine[k])) for k in np.flatnonzero(cosine >= LEAST_COSINE).tolist()]
+            first, last = (v[seen[size]] for v in spans[size])
+            cosine = (sums[last] - sums[first]) @ self.vectors[own].T / np.sqrt(total[last] - total[first])[:, None]
+            hit, passage = np.nonzero(cosine >= LEAST_COSINE)
+            out += zip(own[passage].tolist(), (first[hit] * STEP).tolist(), cosine[hit, passage].tolist(), strict=True)
         return out
 
     def check(self, passage: int, words: np.ndarray, start: int) -> tuple[float, float] | None:
         """Shares of the passage and of its answer that a window holds, if it meets it."""
         own, window = self.words[passage], words[max(0, start - STEP) : start + self.size[passage] + STEP].tolist()
+        least = (LEAST_SHARE if len(own) >= MIN_WORDS else 1.0) * len(own)
+        if sum(map(set(window).__contains__, own)) < least:  # no subsequence holds more words
+            return None
         share = common_subsequence(own, window) / len(own)
-        if share < (LEAST_SHARE if len(own) >= MIN_WORDS else 1.0):
+        if share * len(own) < least:
             return None
         answer = len(self.answers[passage].intersection(window)) / len(self.answers[passage])
         return (share, answer) if share >= SURE or answer >= LEAST_ANSWER else None
@@ -187,7 +218,7 @@ class Passages:
         """(item, window's first word, cosine, share, answer's share) of each passage that the text holds, at the best window."""
         words = word_hashes(text)
         best: dict[int, tuple] = {}
-        for passage, start, cosine in self.candidates(buckets(words)):
+        for passage, start, cosine in self.candidates(words):
             if (shares := self.check(passage, words, start)) and (passage not in best or shares[0] > best[passage][3]):
                 best[passage] = (self.ids[passage], start, cosine, *shares)
         return [best[p] for p in sorted(best)]
@@ -203,8 +234,9 @@ def prepared(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
         raise ValueError(f"the benchmark has over {MAX_WORDS} words; give it in parts")
     idf = inverse_frequencies(documents.select(utf8(text_col).alias("text")))
     held = [(r["item_id"], bytes(r["text"])) for r in items.orderBy("item_id", "text").collect()]  # MAX_WORDS words at most
-    rank = min(RANK, max(1, len(held)))
-    return spark.sparkContext.broadcast(Passages(held, idf, randomised_svd(items, idf, rank)))
+    vocabulary = vocabulary_of(items)
+    basis = randomised_svd(items, vocabulary, idf[buckets(vocabulary)], min(RANK, len(held))) if len(vocabulary) else np.zeros((0, 1))
+    return spark.sparkContext.broadcast(Passages(held, vocabulary, idf, basis))
 
 
 MATCHES = "doc_id long, item_id long, first_word long, cosine double, share double, answer_share double"

@@ -36,7 +36,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words and cuts of texts whose ids a worker remembers (twice each), and neighbours whose weight it does.
-REMEMBER, REMEMBER_PAIRS = 300_000, 1 << 20
+REMEMBER, REMEMBER_CUTS, REMEMBER_PAIRS = 250_000, 120_000, 300_000
 INFINITE = float("inf")
 
 
@@ -88,7 +88,7 @@ class Transducer:
         self.older_cuts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
-        self.weights: dict[tuple[str, str], bool] = {}
+        self.weights: dict[str, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a short text: the best-scored neighbours first, the left ones of equals."""
@@ -106,11 +106,12 @@ class Transducer:
 
     def finite(self, left: str, right: str) -> bool:
         """Whether the arc of piece right after piece left has a finite weight."""
-        known = self.weights.get((left, right))
+        pair = f"{left} {right}"  # pieces hold no space
+        known = self.weights.get(pair)
         if known is None:
             if len(self.weights) >= REMEMBER_PAIRS:
                 self.weights.clear()
-            known = self.weights[left, right] = self.merged(left + right) == [left, right]
+            known = self.weights[pair] = self.merged(left + right) == [left, right]
         return known
 
     def arcs(self, text: str, at: int) -> list[tuple[str, int | None]]:
@@ -183,7 +184,7 @@ class Transducer:
             found = self.older_cuts.get(text)
             if found is None:
                 found = array("I", self._bpe_path(text) if self.kind == BPE else self._unigram_path(text)).tobytes()
-            if len(self.cuts) >= REMEMBER:  # what is in use comes back from the older half
+            if len(self.cuts) >= REMEMBER_CUTS:  # what is in use comes back from the older half
                 self.cuts, self.older_cuts = {}, self.cuts
             self.cuts[text] = found
         return found

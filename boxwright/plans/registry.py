@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from boxwright.plans import box_queries, decision_queries, evaluation_queries, relational_queries, review_queries  # noqa: F401
+from boxwright.plans.core import ORACLES, QUERIES  # noqa: F401

@@ -62,19 +62,19 @@ def test_decontamination_finds_planted_and_paraphrased_passages(spark):
 def test_candidates_reach_the_recall_of_whole_tfidf_cosines(spark, documents):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     passages = decontamination.prepared(documents, benchmark).value
-    square, hits, total = passages.square, 0, 0
-    idf = np.sqrt(square)
-    rows = [dict(Counter(decontamination.buckets(np.array(w, np.uint64)).tolist())) for w in passages.words]
-    for text in list(texts_of(documents).values()):
-        at = decontamination.buckets(decontamination.word_hashes((text or "").encode()))
-        found = {(p, s) for p, s, _ in passages.candidates(at)}
+    weight = lambda words: {w: n**2 * passages.square[w & (decontamination.DIMENSIONS - 1)] for w, n in Counter(words).items()}
+    hits = total = 0
+    for text in texts_of(documents).values():
+        words = decontamination.word_hashes((text or "").encode())
+        found = {(p, s) for p, s, _ in passages.candidates(words)}
         for size, own in passages.by_size.items():
-            for start in range(0, max(1, len(at) - size + decontamination.STEP), decontamination.STEP):
-                window = Counter(at[start : start + size].tolist())
-                norm = np.sqrt(sum((n * idf[b]) ** 2 for b, n in window.items()))
+            for start in range(0, max(1, len(words) - size + decontamination.STEP), decontamination.STEP):
+                window = Counter(words[start : start + size].tolist())
+                norm = sum(weight(window.elements()).values())
                 for p in own.tolist():
-                    item = np.sqrt(sum((n * idf[b]) ** 2 for b, n in rows[p].items()))
-                    if norm and sum(n * window.get(b, 0) * square[b] for b, n in rows[p].items()) / norm / item >= decontamination.LEAST_COSINE:
+                    item = Counter(passages.words[p])
+                    inner = sum(n * window[w] * passages.square[w & (decontamination.DIMENSIONS - 1)] for w, n in item.items() if w in window)
+                    if norm and inner / np.sqrt(norm * sum(weight(item.elements()).values())) >= decontamination.LEAST_COSINE:
                         total += 1
                         hits += (p, start) in found
     assert total and hits >= 0.9 * total
