@@ -47,9 +47,10 @@ CHUNK = 1024
 
 def word_hashes(text: bytes) -> np.ndarray:
     plain = text.lower().translate(_SPACES)
-    inside = np.frombuffer(plain, np.uint8) != 0x20
-    edge = np.diff(np.pad(inside.astype(np.int8), 1))
-    return Hashes(plain).of(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if len(plain) else np.zeros(0, np.uint64)
+    inside = np.zeros(len(plain) + 2, bool)
+    inside[1:-1] = np.frombuffer(plain, np.uint8) != 0x20
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return Hashes(plain).of(edge[::2], edge[1::2]) if len(plain) else np.zeros(0, np.uint64)
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -166,6 +167,9 @@ class Passages:
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
         self.weights = np.vstack([own_idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
         self.by_size = {s: np.flatnonzero(np.array(self.size) == s) for s in sorted(set(self.size))}
+        self.directions = {s: np.ascontiguousarray(self.vectors[own].T) for s, own in self.by_size.items()}
+        self.sets = [frozenset(h) for h in self.words]
+        self.repeats = [len(h) - len(s) for h, s in zip(self.words, self.sets, strict=True)]
         rare = lambda h: [w for _, w in sorted((-idf[w & (DIMENSIONS - 1)], w) for w in set(h))][: max(1, len(set(h)) // 5)]
         self.answers = [set(rare(h)) for h in self.words]
 
@@ -178,48 +182,68 @@ class Passages:
         square = self.square[buckets(words)]
         # sums of blocks of STEP words; a window is a difference of sums up to its ends
         blocks = -(-n // STEP)
-        up = lambda v: np.r_[0, np.cumsum(np.add.reduceat(v, np.arange(0, n, STEP)))]
+        starts = np.arange(0, n, STEP)
+
+        def up(v: np.ndarray) -> np.ndarray:
+            out = np.zeros(blocks + 1)
+            np.cumsum(np.add.reduceat(v, starts), out=out[1:])
+            return out
+
         total, inside = up(square), up(square * known)
-        spans = {size: (first := np.arange(max(1, blocks - size // STEP + 1)), np.minimum(first + size // STEP, blocks)) for size in self.by_size}
-        seen = {}
-        for size, (first, last) in spans.items():
-            norm, part = total[last] - total[first], inside[last] - inside[first]
-            seen[size] = np.flatnonzero((part >= LEAST_COSINE**2 * norm) & (norm > 0) & (part > 0))
-        if not any(map(len, seen.values())):
+        spans = {}
+        for size in self.by_size:
+            step = min(size // STEP, blocks)
+            norm, part = total[step:] - total[:-step], inside[step:] - inside[:-step]
+            seen = (part >= LEAST_COSINE**2 * norm) & (norm > 0) & (part > 0)
+            if seen.any():
+                spans[size] = step, np.where(seen, LEAST_COSINE * np.sqrt(norm), np.inf).astype(np.float32)
+        if not spans:
             return []
         sums = np.zeros((blocks + 1, self.weights.shape[1]), np.float32)
         rows = np.full(blocks * STEP, len(self.weights) - 1)  # the last row is zero
-        rows[:n] = np.where(known, place, len(self.weights) - 1)
+        rows[:n][known] = place[known]
         rows = rows.reshape(blocks, STEP)
         for k in range(STEP):
             sums[1:] += self.weights[rows[:, k]]
         sums = np.cumsum(sums, axis=0, out=sums)
         out = []
-        for size, own in self.by_size.items():
-            first, last = (v[seen[size]] for v in spans[size])
-            cosine = (sums[last] - sums[first]) @ self.vectors[own].T / np.sqrt(total[last] - total[first])[:, None]
-            hit, passage = np.nonzero(cosine >= LEAST_COSINE)
-            out += zip(own[passage].tolist(), (first[hit] * STEP).tolist(), cosine[hit, passage].tolist(), strict=True)
+        for size, (step, least) in spans.items():
+            own = self.by_size[size]
+            product = (sums[step:] - sums[:-step]) @ self.directions[size]
+            hit = np.flatnonzero(product >= least[:, None])
+            if len(hit):
+                first, passage = np.divmod(hit, len(own))
+                cosine = product.ravel()[hit] / (least[first] / np.float32(LEAST_COSINE))
+                out += zip(own[passage].tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
         return out
 
-    def check(self, passage: int, words: np.ndarray, start: int) -> tuple[float, float] | None:
-        """Shares of the passage and of its answer that a window holds, if it meets it."""
-        own, window = self.words[passage], words[max(0, start - STEP) : start + self.size[passage] + STEP].tolist()
+    def check(self, passage: int, window: list[int], held: set[int]) -> tuple[float, float] | None:
+        """Shares of the passage and of its answer that a window (held: its words) holds, if it meets it."""
+        own = self.words[passage]
         least = (LEAST_SHARE if len(own) >= MIN_WORDS else 1.0) * len(own)
-        if sum(map(set(window).__contains__, own)) < least:  # no subsequence holds more words
+        if len(self.sets[passage] & held) + self.repeats[passage] < least or sum(map(held.__contains__, own)) < least:  # no subsequence holds more words
             return None
         share = common_subsequence(own, window) / len(own)
         if share * len(own) < least:
             return None
-        answer = len(self.answers[passage].intersection(window)) / len(self.answers[passage])
+        answer = len(self.answers[passage] & held) / len(self.answers[passage])
         return (share, answer) if share >= SURE or answer >= LEAST_ANSWER else None
 
     def met(self, text: bytes) -> list[tuple[int, int, float, float, float]]:
         """(item, window's first word, cosine, share, answer's share) of each passage that the text holds, at the best window."""
-        words = word_hashes(text)
+        hashes = word_hashes(text)
+        found = self.candidates(hashes)
+        if not found:
+            return []
+        words = hashes.tolist()
+        windows: dict[tuple[int, int], tuple[list[int], set[int]]] = {}
         best: dict[int, tuple] = {}
-        for passage, start, cosine in self.candidates(words):
-            if (shares := self.check(passage, words, start)) and (passage not in best or shares[0] > best[passage][3]):
+        for passage, start, cosine in found:
+            key = start, self.size[passage]
+            if (window := windows.get(key)) is None:
+                part = words[max(0, start - STEP) : start + key[1] + STEP]
+                window = windows[key] = part, set(part)
+            if (shares := self.check(passage, *window)) and (passage not in best or shares[0] > best[passage][3]):
                 best[passage] = (self.ids[passage], start, cosine, *shares)
         return [best[p] for p in sorted(best)]
 
