@@ -266,8 +266,8 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "x2_tile_fusion",
     f"""{DET}, t AS (SELECT image_id, floor(x1 / 32)::INT AS cx, floor(y1 / 32)::INT AS cy, score, 0.05 + 0.5 - 0.5 * cos(2 * pi() * (det_id % 17) / 16) AS weight FROM det)
-SELECT image_id, cx, cy, round(sum(score * weight) / sum(weight), 6) AS value FROM t GROUP BY image_id, cx, cy""",
+SELECT image_id, cx, cy, round(sum(score * weight) / sum(weight), 9) AS value FROM t GROUP BY image_id, cx, cy""",
 )
 def tile_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir).select("image_id", F.floor(F.col("x1") / 32).cast("int").alias("cx"), F.floor(F.col("y1") / 32).cast("int").alias("cy"), F.col("score").alias("value"), (0.05 + tiles.hann(F.col("det_id") % 17, 17)).alias("weight"))
-    return tiles.fuse(d, ["image_id", "cx", "cy"]).withColumn("value", F.round("value", 6))
+    return tiles.fuse(d, ["image_id", "cx", "cy"]).withColumn("value", F.round("value", 9))

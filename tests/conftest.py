@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"  # for the workers
 
 
 @pytest.fixture(scope="session")
