@@ -14,7 +14,7 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
     """start, event_type, n, total for each hour. late: the watermark of a stream; an hour's state goes once it has passed."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 

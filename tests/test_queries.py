@@ -91,7 +91,7 @@ def test_wilcoxon_needs_ten_pairs(spark):
 
 
 def test_stream_gives_what_batch_gives(spark, tmp_path):
-    events = spark.read.parquet(f"{SF}/events.parquet")
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for name, fn in (("status", latest_status), ("hours", lambda d: hourly(d, "1 day"))):
