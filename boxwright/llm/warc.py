@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from .util import stored, table, utf8
+from .util import small_batches, stored, table, utf8
 
 ROLL = 8 << 20
+#: Pages and archives of an Arrow batch.
+PAGES, ARCHIVES = 128, 4
 PIECE = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -164,10 +166,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """archive, content: the archives, stored in the shared folder."""
+    """archive, content: the archives, stored in the shared folder.
+
+    Groups of copies are a stored table of their own, so that Spark can broadcast it or split a payload's many copies.
+    """
+    small_batches(pages.sparkSession, PAGES)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumn("sha", F.when(F.length("payload") >= min_bytes, F.sha1("payload")))
-    repeated = rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = stored(rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "copies")
     joined = rows.join(repeated, "sha", "left")
     refers = F.when(F.col("id") != F.col("first"), F.col("first"))
     return stored(joined.select("id", "url", "payload", refers.alias("refers_to")).mapInArrow(_pack, "archive string, content binary"), "warc")
@@ -192,6 +198,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
     """A row per record. archives: as write_archives returns, or spark.read.format("binaryFile")."""
+    small_batches(archives.sparkSession, ARCHIVES)
     return archives.select(content_col).mapInArrow(_read, RECORDS)
 
 
