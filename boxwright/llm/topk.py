@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import stored, table
+from .util import small_batches, stored, table
 
 #: Bytes of a block of queries: what is broadcast at a time.
 BLOCK_BYTES = 16 << 20
@@ -127,6 +127,7 @@ def _scan(block, k: int):
 def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a predicate on id_col."""
     spark = vectors.sparkSession
+    small_batches(spark, TILE_ROWS)
     rows = quantised(vectors, id_col, vec_col, scale)
     queries = quantised(vectors.where(is_query), id_col, vec_col, scale).dropDuplicates(["id"])
     total = queries.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
