@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from boxwright.operators import evaluate as E
+from boxwright.operators import suppress
 from boxwright.plans.registry import ORACLES, QUERIES
 from boxwright.streaming.jobs import hourly, latest_status, resumed
 
@@ -105,3 +106,11 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
 def test_resumed_leaves_out_what_is_done(spark):
     batch = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
     assert sorted(r["k"] for r in resumed(batch, spark.createDataFrame([(1,)], "k int"), "k").collect()) == [2, 3]
+
+
+def test_fusion_of_two_boxes_and_one_apart(spark):
+    some = boxes(spark, [(1, 1, "crack", 0.75, 0.0, 0.0, 10.0, 10.0), (1, 2, "crack", 0.25, 2.0, 0.0, 12.0, 10.0), (1, 3, "crack", 0.5, 50.0, 50.0, 60.0, 60.0)]).selectExpr("*", "'p' as prompt_key")
+    found = {r["seed_id"]: r for r in suppress.weighted_fusion(some, 0.5).collect()}
+    assert set(found) == {1, 3}
+    assert (found[1]["x1"], found[1]["x2"], found[1]["fused_count"], found[1]["score"]) == (0.5, 10.5, 2, 0.75)
+    assert (found[3]["x1"], found[3]["fused_count"]) == (50.0, 1)
