@@ -2,9 +2,11 @@
 
 1. Words are those of the license scan, hashed to 64 bits; their low bits are DIMENSIONS buckets. Document frequencies
    of the buckets are counted over the whole corpus, a row for each bucket and task before the exchange.
-2. The benchmark's passages, all of them, are TF-IDF rows of a distributed matrix. A randomised SVD finds its leading
-   right singular vectors: partial products with a random matrix are summed over tasks, in two power iterations.
-   (Its columns are the benchmark's words, so other words of the corpus never pass for one of them.)
+2. The benchmark's passages, all of them, are TF-IDF rows, in order of length and dealt into parts of PART passages.
+   A randomised SVD finds the leading right singular vectors of each part, a task for each: a sketch with a random matrix,
+   two power iterations. A part keeps as many directions as every one of its passages needs for LEAST_KEPT of its length,
+   so a verbatim copy keeps its cosine however many passages there are.
+   (The columns are the part's words, so other words of the corpus never pass for one of them.)
 3. Each document is cut into windows, every STEP words, as long as the passages they are compared with. A window's latent
    vector is the sum of its words' projected weights; its cosine with a passage is the inner product with the
    passage's latent direction over the window's TF-IDF length. Windows with too little weight on the benchmark's words cannot reach the least cosine (by
@@ -26,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,13 @@ from .suffix_dedup import Hashes
 from .util import map_batches, small_batches, table, utf8
 
 DIMENSIONS = 1 << 14
-RANK, OVERSAMPLING = 64, 16
+#: Passages of a part, which bounds its directions too.
+PART, OVERSAMPLING = 64, 16
+LEAST_KEPT = 0.9
 STEP = 8
 LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.35, 0.6, 0.75, 0.3
 MIN_WORDS = 5
 MAX_WORDS = 2_000_000
-#: Rows of the partial products that are summed together.
-CHUNK = 1024
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -86,12 +87,6 @@ def _row(at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
     return own, x / max(norm, 1e-12), norm
 
 
-def vocabulary_of(items: DataFrame) -> np.ndarray:
-    """Hashes of the benchmark's words, in ascending order: the matrix's columns."""
-    found = map_batches(items.select("text"), lambda texts: {"word": np.unique(np.concatenate([word_hashes(t) for t in texts])).view(np.int64)}, "word long").distinct()
-    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))  # at most MAX_WORDS
-
-
 def _places(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Column of each word, and whether it has one."""
     if not len(vocabulary):
@@ -100,37 +95,28 @@ def _places(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     return at, vocabulary[at] == hashes
 
 
-def randomised_svd(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, rounds: int = 2) -> np.ndarray:
-    """vocabulary x rank: leading right singular vectors of the TF-IDF rows of items (column text, bytes). idf: of each column."""
-    columns = len(vocabulary)
+def randomised_svd(texts: list[bytes], idf: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """A part's words (hashes, ascending) and, words x rank, the leading right singular vectors of its TF-IDF rows. idf: of each bucket."""
+    hashes = [word_hashes(t) for t in texts]
+    vocabulary = np.unique(np.concatenate(hashes))
+    own_idf = idf[buckets(vocabulary)]
+    rows = [(own, x) for h in hashes for own, x, norm in [_row(np.searchsorted(vocabulary, h), own_idf)] if norm]
 
     def product(q: np.ndarray) -> np.ndarray:
-        """A' A q, summed over tasks in chunks of rows."""
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(q)
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    own, x, norm = _row(_places(vocabulary, word_hashes(text))[0], idf)
-                    if norm:
-                        out[own] += np.outer(x, x @ q[own])
-            starts = [i for i in range(0, len(out), CHUNK) if out[i : i + CHUNK].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([out[i : i + CHUNK].tobytes() for i in starts], pa.binary())], names=["start", "part"])
-
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = sum(np.frombuffer(p, np.float64) for p in pdf["part"])
-            return pd.DataFrame({"start": [pdf["start"].iloc[0]], "part": [parts.tobytes()]})
-
-        total = np.zeros_like(q)
-        for r in items.select("text").mapInArrow(partial, "start int, part binary").groupBy("start").applyInPandas(added, "start int, part binary").collect():  # vocabulary x (rank + oversampling) numbers
-            total[r["start"] : r["start"] + CHUNK] = np.frombuffer(r["part"], np.float64).reshape(-1, q.shape[1])
-        return total
-
-    q = np.random.default_rng(0).standard_normal((columns, min(columns, rank + OVERSAMPLING)))
+        """A' A q."""
+        out = np.zeros_like(q)
+        for own, x in rows:
+            out[own] += np.outer(x, x @ q[own])
+        return out
+
+    q = np.random.default_rng(0).standard_normal((len(vocabulary), min(len(vocabulary), len(texts) + OVERSAMPLING)))
     for _ in range(rounds):
         q = np.linalg.qr(product(q))[0]
     values, vectors = np.linalg.eigh(q.T @ product(q))
-    return q @ vectors[:, np.argsort(-values)[:rank]]
+    basis = q @ vectors[:, np.argsort(-values)]
+    # squared length of the shortest row in the first 1, 2, 3 ... directions
+    kept = np.min([np.cumsum((x @ basis[own]) ** 2) for own, x in rows], axis=0) if rows else np.ones(1)
+    return vocabulary, basis[:, : 1 + np.searchsorted(kept, LEAST_KEPT**2)]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -147,27 +133,36 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - state.bit_count()
 
 
-class Passages:
-    """The benchmark's passages in latent space. idf: of each bucket; basis: of each word of the vocabulary."""
+def size_of(words: int) -> int:
+    """Words of the windows that a passage is compared with."""
+    return -(-(words + STEP) // STEP) * STEP
+
 
-    def __init__(self, items: list[tuple[int, bytes]], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
-        self.vocabulary, self.square = vocabulary, idf**2
+class Part:
+    """Some passages (first, first + 1, ...) in a latent space of their own. hashes: of each passage's words."""
+
+    def __init__(self, first: int, hashes: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
+        self.vocabulary = vocabulary
         own_idf = idf[buckets(vocabulary)]
-        self.ids, self.words, self.size = [], [], []
-        rows = []
-        for i, text in items:
-            h = word_hashes(text)
-            if len(h):
-                own, x, _ = _row(_places(vocabulary, h)[0], own_idf)
-                self.ids.append(i)
-                self.words.append(h.tolist())
-                self.size.append(-(-(len(h) + STEP) // STEP) * STEP)
-                rows.append((x[:, None] * basis[own]).sum(axis=0).astype(np.float32))
-        vectors = np.array(rows, np.float32).reshape(len(rows), basis.shape[1])
-        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+        rows = [(x[:, None] * basis[own]).sum(axis=0) for own, x, _ in (_row(_places(vocabulary, h)[0], own_idf) for h in hashes)]
+        vectors = np.array(rows, np.float32)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
         self.weights = np.vstack([own_idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        size = np.array([size_of(len(h)) for h in hashes])
+        self.by_size = {s: first + np.flatnonzero(size == s) for s in np.unique(size).tolist()}
+        self.directions = {s: np.ascontiguousarray(vectors[own - first].T) for s, own in self.by_size.items()}
+
+
+class Passages:
+    """The benchmark's passages in latent space. items: (id, words' hashes) in order of size; spaces: words and basis of each part of them; idf: of each bucket."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, spaces: list[tuple[np.ndarray, np.ndarray]]):
+        self.square = idf**2
+        self.ids = [i for i, _ in items]
+        self.words = [h.tolist() for _, h in items]
+        self.size = [size_of(len(h)) for _, h in items]
         self.by_size = {s: np.flatnonzero(np.array(self.size) == s) for s in sorted(set(self.size))}
-        self.directions = {s: np.ascontiguousarray(self.vectors[own].T) for s, own in self.by_size.items()}
+        self.parts = [Part(k * PART, [h for _, h in items[k * PART : (k + 1) * PART]], vocabulary, idf, basis) for k, (vocabulary, basis) in enumerate(spaces)]
         self.sets = [frozenset(h) for h in self.words]
         self.repeats = [len(h) - len(s) for h, s in zip(self.words, self.sets, strict=True)]
         rare = lambda h: [w for _, w in sorted((-idf[w & (DIMENSIONS - 1)], w) for w in set(h))][: max(1, len(set(h)) // 5)]
@@ -178,7 +173,6 @@ class Passages:
         n = len(words)
         if not n or not len(self.ids):
             return []
-        place, known = _places(self.vocabulary, words)
         square = self.square[buckets(words)]
         # sums of blocks of STEP words; a window is a difference of sums up to its ends
         blocks = -(-n // STEP)
@@ -189,32 +183,36 @@ class Passages:
             np.cumsum(np.add.reduceat(v, starts), out=out[1:])
             return out
 
-        total, inside = up(square), up(square * known)
-        spans = {}
-        for size in self.by_size:
-            step = min(size // STEP, blocks)
-            norm, part = total[step:] - total[:-step], inside[step:] - inside[:-step]
-            seen = (part >= LEAST_COSINE**2 * norm) & (norm > 0) & (part > 0)
-            if seen.any():
-                spans[size] = step, np.where(seen, LEAST_COSINE * np.sqrt(norm), np.inf).astype(np.float32)
-        if not spans:
-            return []
-        sums = np.zeros((blocks + 1, self.weights.shape[1]), np.float32)
-        rows = np.full(blocks * STEP, len(self.weights) - 1)  # the last row is zero
-        rows[:n][known] = place[known]
-        rows = rows.reshape(blocks, STEP)
-        for k in range(STEP):
-            sums[1:] += self.weights[rows[:, k]]
-        sums = np.cumsum(sums, axis=0, out=sums)
+        total = up(square)
+        norms = {size: total[step:] - total[:-step] for size in self.by_size for step in [min(size // STEP, blocks)]}
         out = []
-        for size, (step, least) in spans.items():
-            own = self.by_size[size]
-            product = (sums[step:] - sums[:-step]) @ self.directions[size]
-            hit = np.flatnonzero(product >= least[:, None])
-            if len(hit):
-                first, passage = np.divmod(hit, len(own))
-                cosine = product.ravel()[hit] / (least[first] / np.float32(LEAST_COSINE))
-                out += zip(own[passage].tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
+        for part in self.parts:
+            place, known = _places(part.vocabulary, words)
+            inside = up(square * known)
+            spans = {}
+            for size in part.by_size:
+                step, norm = min(size // STEP, blocks), norms[size]
+                held = inside[step:] - inside[:-step]
+                seen = (held >= LEAST_COSINE**2 * norm) & (norm > 0) & (held > 0)
+                if seen.any():
+                    spans[size] = step, np.where(seen, LEAST_COSINE * np.sqrt(norm), np.inf).astype(np.float32)
+            if not spans:
+                continue
+            sums = np.zeros((blocks + 1, part.weights.shape[1]), np.float32)
+            rows = np.full(blocks * STEP, len(part.weights) - 1)  # the last row is zero
+            rows[:n][known] = place[known]
+            rows = rows.reshape(blocks, STEP)
+            for k in range(STEP):
+                sums[1:] += part.weights[rows[:, k]]
+            sums = np.cumsum(sums, axis=0, out=sums)
+            for size, (step, least) in spans.items():
+                own = part.by_size[size]
+                product = (sums[step:] - sums[:-step]) @ part.directions[size]
+                hit = np.flatnonzero(product >= least[:, None])
+                if len(hit):
+                    first, passage = np.divmod(hit, len(own))
+                    cosine = product.ravel()[hit] / (least[first] / np.float32(LEAST_COSINE))
+                    out += zip(own[passage].tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
         return out
 
     def check(self, passage: int, window: list[int], held: set[int]) -> tuple[float, float] | None:
@@ -258,9 +256,20 @@ def prepared(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
         raise ValueError(f"the benchmark has over {MAX_WORDS} words; give it in parts")
     idf = inverse_frequencies(documents.select(utf8(text_col).alias("text")))
     held = [(r["item_id"], bytes(r["text"])) for r in items.orderBy("item_id", "text").collect()]  # MAX_WORDS words at most
-    vocabulary = vocabulary_of(items)
-    basis = randomised_svd(items, vocabulary, idf[buckets(vocabulary)], min(RANK, len(held))) if len(vocabulary) else np.zeros((0, 1))
-    return spark.sparkContext.broadcast(Passages(held, vocabulary, idf, basis))
+    held = sorted(((i, h, t) for i, t in held if len(h := word_hashes(t))), key=lambda x: (size_of(len(x[1])), x[2]))
+    spaces = []
+    if held:
+        texts = [(k, [t for _, _, t in held[at : at + PART]]) for k, at in enumerate(range(0, len(held), PART))]
+
+        def run(numbers: list, texts: list) -> dict[str, list]:
+            found = [randomised_svd(t, idf) for t in texts]
+            return {"part": numbers, "words": [v.tobytes() for v, _ in found], "basis": [b.astype(np.float32).tobytes() for _, b in found]}
+
+        dealt = spark.createDataFrame(texts, "part int, texts array<binary>").repartition(len(texts), "part")
+        for r in map_batches(dealt, run, "part int, words binary, basis binary").orderBy("part").collect():  # at most PART numbers for each of MAX_WORDS words
+            words = np.frombuffer(r["words"], np.uint64)
+            spaces.append((words, np.frombuffer(r["basis"], np.float32).reshape(len(words), -1)))
+    return spark.sparkContext.broadcast(Passages([(i, h) for i, h, _ in held], idf, spaces))
 
 
 MATCHES = "doc_id long, item_id long, first_word long, cosine double, share double, answer_share double"

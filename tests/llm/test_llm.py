@@ -80,6 +80,15 @@ def test_candidates_reach_the_recall_of_whole_tfidf_cosines(spark, documents):
     assert total and hits >= 0.9 * total
 
 
+def test_exact_copies_of_every_item_of_a_large_benchmark_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20))) for i in range(800)]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=rng.randrange(30)), text, *rng.choices(vocabulary, k=40)])) for i, text in items]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i) for i, _ in items}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
