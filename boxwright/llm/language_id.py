@@ -158,13 +158,16 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def reject_unknown(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, all columns, with a language; the others have no letter, or no text."""
+    """The documents, all columns, with a language; the others have no letter, or no text. Without a model all with a letter stay."""
     _, model = _prepared(documents, id_col, text_col, lang_col)
 
+    def known(text: bytes) -> bool:
+        return has_letter(text) if model is None else predict(model, text)[0] != NONE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([predict(model, None if t is None else t.encode())[0] != NONE for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([t is not None and known(t.encode()) for t in texts], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -302,6 +302,11 @@ def test_language_id_of_awkward_rows(spark, awkward, empty):
     assert {r["lang_pred"] for r in language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_documents_without_labels_keep_their_place(awkward):
+    unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] or 0 for r in language_id.reject_unknown(unlabelled).collect()) == [0, 3, 4, 4, 5]
+
+
 # 8
 
 
