@@ -264,6 +264,18 @@ def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", t
     return map_batches(rows, run, schema)
 
 
+def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, text of each row of ids; null ids give a null text. Bytes that are no UTF-8 become replacement characters."""
+    small_batches(encoded.sparkSession)
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+
+    def run(doc_ids: list, lists: list) -> dict[str, list]:
+        machine = compile_model(model)
+        return {"doc_id": doc_ids, "text": [None if ids is None else machine.decode(ids).decode("utf-8", "replace") for ids in lists]}
+
+    return map_batches(rows, run, "doc_id long, text string")
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -271,4 +283,4 @@ def model_path() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), model_path())
+    return encode_documents(table(spark, sf_dir, "documents"), model_path(), with_ids=True)

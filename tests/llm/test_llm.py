@@ -283,6 +283,18 @@ def test_encode_documents(spark, documents, awkward, empty):
     assert wfst.encode_documents(empty, wfst.model_path()).count() == 0
 
 
+def test_query_and_last_stage_return_the_ids_of_every_document(spark, documents, awkward, empty):
+    import corpus_pipeline
+
+    whole = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    for encoded in (wfst.op6_sentencepiece(spark, "/root/testdata/sf0.001"), corpus_pipeline.token_ids(spark, documents, "")):
+        assert texts_of(wfst.decode_documents(encoded, wfst.model_path())) == whole
+        assert all(r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in encoded.collect())
+    again = wfst.decode_documents(wfst.encode_documents(awkward, wfst.model_path(), with_ids=True), wfst.model_path())
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in again.collect()) == sorted((t[0] is None, t[0], t[1] or "") for t in AWKWARD)
+    assert wfst.decode_documents(wfst.encode_documents(empty, wfst.model_path(), with_ids=True), wfst.model_path()).count() == 0
+
+
 # 7
 
 
