@@ -262,7 +262,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
                 out.append((h.view(np.int64), ch.view(np.int64), np.full(len(h), doc), np.full(len(h), tag), place, dmin, dmax))
         return dict(zip(("h", "ch", "doc", "tag", "at", "dmin", "dmax"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
 
-    found = map_batches(rows, run, "h long, ch long, doc long, tag int, at int, dmin short, dmax short")
+    found = map_batches(rows, run, "h long, ch long, doc long, tag long, at int, dmin short, dmax short")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("several")), "anchors")
     occurrences = stored(found.join(again, "h"), "occurrences")
     first = F.min(F.struct("doc", "tag", "at"))
@@ -309,7 +309,7 @@ def covered(size: int, spans: list | None, length: int = LENGTH) -> np.ndarray:
 def _with_spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents with a column _spans: first and last starts of repeated windows."""
     small_batches(documents.sparkSession)
-    keyed = documents.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_tag": F.hash(F.col(text_col).cast("string"))})
+    keyed = documents.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_tag": F.xxhash64(F.col(text_col).cast("string"))})
     spans = repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), utf8(text_col).alias("text")))
     spans = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
     return keyed.join(spans, ["_doc", "_tag"], "left").select(*documents.columns, "_spans")

@@ -384,6 +384,15 @@ def test_suffix_dedup(spark, monkeypatch, group, batch):
     assert [tuple(r)[1:] for r in got] == brute_removed([(t or "").encode() for t in texts], suffix_dedup.LENGTH)
 
 
+def test_texts_without_id_are_told_apart(spark):
+    text = F.concat(*[F.sha2(F.concat(F.lit(f"{k} "), F.col("id")), 512) for k in range(3)])
+    pair = spark.range(300_000).select(text.alias("text")).groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    other = hashlib.sha512(b"other").hexdigest() + pair[0][100:350]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame([(None, pair[0]), (None, pair[1]), (1, other)], "doc_id long, text string")).collect()
+    want = brute_removed([t.encode() for t in (*pair, other)], suffix_dedup.LENGTH)
+    assert sorted(r["kept_sha256"] for r in rows) == sorted(w[3] for w in want)
+
+
 def test_suffix_dedup_of_awkward_rows(spark, awkward, empty):
     got = suffix_dedup.remove_repeats(awkward).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == sorted((len((t[1] or "").encode()), len((t[1] or "").encode()) if t[0] == 3 else 0) for t in AWKWARD)
