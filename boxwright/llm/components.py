@@ -1,42 +1,3 @@
-"""Connected components of a large edge list, by alternating large-star and small-star rounds.
+"""Connected components: those of the operators."""
 
-Every round is a few joins and combinable minima over the edges alone; their number is logarithmic in practice. Each
-round's edges are a table in the shared folder, so a lost executor costs one round at most.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .util import stored
-
-
-def _minima(pairs: DataFrame) -> DataFrame:
-    """Stored apart from the join that reads it: both sides of the join are then plain exchanges, which Spark splits where a node is hot."""
-    return stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")), "minima")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_minima(both), F.col("u") == F.col("node")).where("v > u")
-    return stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    minima = _minima(down)
-    moved = down.join(minima, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return stored(moved.union(minima.select(F.col("node").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of an edge (u, v) reaches; roots are not listed under themselves."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        now = _small_star(_large_star(now))
-        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
-        if mark == found:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = found
+from boxwright.operators.components import components  # noqa: F401

@@ -17,12 +17,13 @@ def overlapping_pairs(detections: DataFrame, columns: list[str]) -> DataFrame:
     return side("a").join(side("b"), "image_id").where(meet)
 
 
-def overlapping_pairs_grid(detections: DataFrame, columns: list[str], cell: float = 64.0, key: str = "image_id") -> DataFrame:
-    """The same pairs for images with very many boxes: an equi-join on (image, cell), each pair kept in the cell of its intersection's first corner."""
+def overlapping_pairs_grid(detections: DataFrame, columns: list[str], cell: float = 64.0, key: str = "image_id", inclusive: bool = False) -> DataFrame:
+    """The same pairs for images with very many boxes: an equi-join on (image, cell), each pair kept in the cell of its intersection's first corner. inclusive: boxes that share an edge meet too."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     celled = detections.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     side = lambda p: celled.select(key, "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in ["det_id", *XY, *columns]])
-    meet = (F.col("a_det_id") < F.col("b_det_id")) & (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2"))
+    before = lambda p, q: F.col(p) <= F.col(q) if inclusive else F.col(p) < F.col(q)
+    meet = (F.col("a_det_id") < F.col("b_det_id")) & before("a_x1", "b_x2") & before("b_x1", "a_x2") & before("a_y1", "b_y2") & before("b_y1", "a_y2")
     home = (F.floor(F.greatest("a_x1", "b_x1") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y1", "b_y1") / cell) == F.col("cy"))
     return side("a").join(side("b"), [key, "cx", "cy"]).where(meet & home).drop("cx", "cy")
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import boxes as B
 
+from .components import components
+from .pairs import overlapping_pairs_grid
+
 _FIELDS = ["det_id", "label", "score", "x1", "y1", "x2", "y2"]
 
 
@@ -128,24 +131,18 @@ def quantised_dedupe(detections: DataFrame, step: float = 2.0) -> DataFrame:
     return detections.select("*", *cell).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*detections.columns)
 
 
-def merge_touching(detections: DataFrame, rounds: int = 12, most: float = 0.45) -> DataFrame:
+def merge_touching(detections: DataFrame, most: float = 0.45) -> DataFrame:
     """Boxes of a label whose expanded forms touch merge into their bounding box, unless it spans over 45 % of the image.
 
-    Components are found by passing on the smallest id within an image (rounds: diameter of an image's component).
+    Touching pairs are a table of edges, however many boxes an image has; components are found until they are whole.
     """
-    pad = lambda lo, hi: F.greatest(F.lit(8.0), (hi - lo) * 0.15)
-    grown = detections.select("*", (F.col("x1") - pad(F.col("x1"), F.col("x2"))).alias("gx1"), (F.col("y1") - pad(F.col("y1"), F.col("y2"))).alias("gy1"), (F.col("x2") + pad(F.col("x1"), F.col("x2"))).alias("gx2"), (F.col("y2") + pad(F.col("y1"), F.col("y2"))).alias("gy2"))
-    # boxes of an image and label as one array: labels pass along it until the rounds end
-    entry = F.struct("det_id", "score", "x1", "y1", "x2", "y2", "gx1", "gy1", "gx2", "gy2", F.col("det_id").alias("root"))
-    g = grown.groupBy("image_id", "label", "width", "height").agg(F.array_sort(F.collect_list(entry)).alias("b"))
-    meets = lambda p, q: (p["gx1"] <= q["gx2"]) & (q["gx1"] <= p["gx2"]) & (p["gy1"] <= q["gy2"]) & (q["gy1"] <= p["gy2"])
-
-    def spread(b: Column) -> Column:
-        least = lambda p: F.array_min(F.transform(F.filter(b, lambda q: meets(p, q)), lambda q: q["root"]))
-        return F.transform(b, lambda p: p.withField("root", least(p)))
-
-    all_rounds = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("b"), lambda acc, _: spread(acc))
-    rows = g.select("image_id", "label", "width", "height", F.explode(all_rounds).alias("m")).select("image_id", "label", "width", "height", "m.*")
+    pad = lambda lo, hi: F.greatest(F.lit(8.0), (F.col(hi) - F.col(lo)) * 0.15)
+    group = F.struct("image_id", "label")
+    grown = detections.select(group.alias("group"), "det_id", *[(F.col(lo) - pad(lo, hi)).alias(lo) for lo, hi in (("x1", "x2"), ("y1", "y2"))], *[(F.col(hi) + pad(lo, hi)).alias(hi) for lo, hi in (("x1", "x2"), ("y1", "y2"))])
+    touching = overlapping_pairs_grid(grown, [], key="group", inclusive=True)
+    node = lambda p: F.struct("group.image_id", "group.label", F.col(f"{p}_det_id").alias("det_id"))
+    roots = components(touching.select(node("a").alias("u"), node("b").alias("v"))).select("node.*", F.col("root.det_id").alias("root"))
+    rows = detections.join(roots, ["image_id", "label", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
     w = Window.partitionBy("image_id", "label", "root")
     spans = ((F.max("x2").over(w) - F.min("x1").over(w)) > most * F.col("width")) | ((F.max("y2").over(w) - F.min("y1").over(w)) > most * F.col("height"))
     keyed = rows.withColumn("part", F.when(spans, F.col("det_id")).otherwise(F.col("root")))

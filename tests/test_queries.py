@@ -108,6 +108,29 @@ def test_resumed_leaves_out_what_is_done(spark):
     assert sorted(r["k"] for r in resumed(batch, spark.createDataFrame([(1,)], "k int"), "k").collect()) == [2, 3]
 
 
+def touching(some, width):
+    """Boxes of an image by brute force: (x1, y1, x2, y2, score, members)."""
+    grown = [(b[4] - max(8, (b[6] - b[4]) * 0.15), b[5] - max(8, (b[7] - b[5]) * 0.15), b[6] + max(8, (b[6] - b[4]) * 0.15), b[7] + max(8, (b[7] - b[5]) * 0.15)) for b in some]
+    root = list(range(len(some)))
+    for _ in some:
+        root = [min(root[j] for j, q in enumerate(grown) if some[i][2] == some[j][2] and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]) for i, p in enumerate(grown)]
+    out = []
+    for r in set(root):
+        own = [b for b, k in zip(some, root, strict=True) if k == r]
+        box = lambda g: (min(b[4] for b in g), min(b[5] for b in g), max(b[6] for b in g), max(b[7] for b in g), max(b[3] for b in g), len(g))
+        whole = box(own)
+        out += [box([b]) for b in own] if whole[2] - whole[0] > 0.45 * width or whole[3] - whole[1] > 0.45 * width else [whole]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", [500, 5000])
+def test_a_chain_of_touching_boxes_is_one_component(spark, width):
+    chain = [(1, k, "crack", k / 100, 20.0 * k, 0.0, 20.0 * k + 4, 10.0) for k in range(30)]
+    some = [*chain, (1, 40, "mold", 0.5, 0.0, 0.0, 4.0, 10.0), (1, 41, "crack", 0.5, 0.0, 200.0, 4.0, 210.0)]
+    found = suppress.merge_touching(boxes(spark, some).selectExpr("*", f"{width} as width", f"{width} as height"))
+    assert sorted((r["x1"], r["y1"], r["x2"], r["y2"], r["score"], r["members"]) for r in found.collect()) == touching(some, width)
+
+
 def test_fusion_of_two_boxes_and_one_apart(spark):
     some = boxes(spark, [(1, 1, "crack", 0.75, 0.0, 0.0, 10.0, 10.0), (1, 2, "crack", 0.25, 2.0, 0.0, 12.0, 10.0), (1, 3, "crack", 0.5, 50.0, 50.0, 60.0, 60.0)]).selectExpr("*", "'p' as prompt_key")
     found = {r["seed_id"]: r for r in suppress.weighted_fusion(some, 0.5).collect()}
