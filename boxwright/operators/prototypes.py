@@ -1,30 +1,43 @@
-"""Vectors against prototypes and class centres. The bank is broadcast only if it is small (MAX_BANK); else it is dealt in blocks."""
+"""Vectors against prototypes and class centres. A bank is dealt into blocks of about MAX_BANK, each broadcast by itself; only a row's best of each block are kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.functions.boxes import clip01
 from boxwright.functions.vectors import dot
 
-#: Prototypes of a bank that all tasks hold.
+#: Prototypes of a block of a bank, which all tasks hold.
 MAX_BANK = 20_000
 
 
-def similarities(rows: DataFrame, bank: DataFrame) -> DataFrame:
-    """Every row (vec_id, embedding) with every prototype (proto_id, label, is_reject, v): sim. The bank's size is checked."""
-    if bank.limit(MAX_BANK + 1).count() > MAX_BANK:
-        raise ValueError(f"a bank of over {MAX_BANK} prototypes; use exact top-k by blocks")
-    one = bank.agg(F.collect_list(F.struct("proto_id", "label", "is_reject", "v")).alias("bank"))
-    j = rows.crossJoin(F.broadcast(one))  # one row
-    return j.select("vec_id", "embedding", F.explode("bank").alias("p")).select("vec_id", "p.proto_id", "p.label", "p.is_reject", F.round(dot(F.col("embedding"), F.col("p.v")), 6).alias("sim"))
+def of_blocks(rows: DataFrame, bank: DataFrame, best: Callable[[Column], Column], by_label: bool = False) -> DataFrame:
+    """vec_id, found: what best makes of the similarities (sim, neg, label, is_reject; neg: -proto_id) of each row to each block, or to each of its labels. bank: proto_id, label, is_reject, v."""
+    parts = max(1, -(-bank.count() // MAX_BANK))
+    one = lambda p: F.struct(F.round(dot(F.col("embedding"), p["v"]), 6).alias("sim"), (-p["proto_id"]).alias("neg"), p["label"].alias("label"), p["is_reject"].alias("is_reject"))
+    entry = F.struct("proto_id", "label", "is_reject", "v")
+    out = []
+    for k in range(parts):
+        block = bank.where(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == k) if parts > 1 else bank
+        found = lambda protos: best(F.transform(protos, one))
+        if by_label:
+            held = block.groupBy("label").agg(F.collect_list(entry).alias("own")).agg(F.collect_list("own").alias("bank"))
+            result = F.explode(F.transform("bank", found))
+        else:
+            held = block.agg(F.collect_list(entry).alias("bank")).where(F.size("bank") > 0)
+            result = found(F.col("bank"))
+        out.append(rows.crossJoin(F.broadcast(held)).select("vec_id", result.alias("found")))  # one row of about MAX_BANK prototypes
+    return reduce(DataFrame.unionAll, out)
 
 
 def scores(rows: DataFrame, bank: DataFrame) -> DataFrame:
     """Best and second label of each row by its best prototype, the lead, whether the best is a reject class."""
-    s = similarities(rows, bank)
-    best = s.groupBy("vec_id", "label").agg(F.max(F.struct("sim", (-F.col("proto_id")).alias("neg"), "is_reject")).alias("b"))
+    s = of_blocks(rows, bank, F.array_max, by_label=True).select("vec_id", "found.label", F.struct("found.sim", "found.neg", "found.is_reject").alias("b"))
+    best = s.groupBy("vec_id", "label").agg(F.max("b").alias("b"))
     ranked = best.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("b.sim")).alias("neg_sim"), "label", F.col("b.sim").alias("sim"), (-F.col("b.neg")).alias("proto_id"), F.col("b.is_reject").alias("is_reject")))).alias("r"))
     one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     lead = one["sim"] - F.coalesce(two["sim"], F.lit(0.0))
@@ -32,8 +45,10 @@ def scores(rows: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def top(rows: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "proto_id"))
-    return similarities(rows, bank).select("vec_id", place.alias("place"), "proto_id", "sim").where(F.col("place") <= k)
+    """The k closest prototypes of each row, place 1 first."""
+    first = lambda sims: F.slice(F.sort_array(sims, asc=False), 1, k)
+    merged = of_blocks(rows, bank, first).groupBy("vec_id").agg(first(F.flatten(F.collect_list("found"))).alias("r"))
+    return merged.select("vec_id", F.posexplode("r").alias("at", "p")).select("vec_id", (F.col("at") + 1).alias("place"), (-F.col("p.neg")).alias("proto_id"), "p.sim")
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -49,15 +64,15 @@ def density(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    s = similarities(rows, centres.select(F.col("label").alias("proto_id"), "label", F.lit(False).alias("is_reject"), "v"))
-    best = s.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("label")).alias("neg"))).alias("b"))
+    s = of_blocks(rows, centres.select(F.col("label").alias("proto_id"), "label", F.lit(False).alias("is_reject"), "v"), F.array_max)
+    best = s.groupBy("vec_id").agg(F.max("found").alias("b"))
     return best.select("vec_id", (-F.col("b.neg")).alias("core_label"), F.col("b.sim").alias("core_sim"))
 
 
 def flagged(rows: DataFrame, corrections: DataFrame, least: float) -> DataFrame:
     """vec_id of the rows as close to a stored correction."""
     bank = corrections.select(F.col("vec_id").alias("proto_id"), "label", F.lit(False).alias("is_reject"), F.col("embedding").alias("v"))
-    return similarities(rows.select("vec_id", "embedding"), bank).groupBy("vec_id").agg(F.max("sim").alias("sim")).where(F.col("sim") >= least).select("vec_id")
+    return of_blocks(rows.select("vec_id", "embedding"), bank, F.array_max).groupBy("vec_id").agg(F.max("found.sim").alias("sim")).where(F.col("sim") >= least).select("vec_id")
 
 
 def p_good(semantic: Column, detector: Column, geometry: Column) -> Column:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from boxwright.operators import evaluate as E
-from boxwright.operators import suppress
+from boxwright.operators import prototypes, suppress
 from boxwright.plans.registry import ORACLES, QUERIES
 from boxwright.streaming.jobs import hourly, latest_status, resumed
 
@@ -123,6 +123,14 @@ def touching(some, width):
     return sorted(out)
 
 
+@pytest.mark.parametrize("name", ["d5_prototype_scores", "w7_top_prototypes", "o27_autoflag", "d7_nearest_core"])
+def test_banks_of_several_blocks_give_what_one_block_gives(spark, name, monkeypatch):
+    of = lambda: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    whole = of()
+    monkeypatch.setattr(prototypes, "MAX_BANK", 7)
+    assert whole and of() == whole
+
+
 @pytest.mark.parametrize("width", [500, 5000])
 def test_a_chain_of_touching_boxes_is_one_component(spark, width):
     chain = [(1, k, "crack", k / 100, 20.0 * k, 0.0, 20.0 * k + 4, 10.0) for k in range(30)]
