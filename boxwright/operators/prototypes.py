@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.boxes import clip01
@@ -84,8 +84,10 @@ def p_good(semantic: Column, detector: Column, geometry: Column) -> Column:
 def anchored(rows: DataFrame, group: str, alpha: float) -> DataFrame:
     """Scores lowered by alpha times the likeness to a negative anchor (proto_sim), then shared out to 1 within a group."""
     lowered = F.col("clip_score") * (1 - alpha * clip01(F.coalesce("proto_sim", F.lit(0.0))))
-    total = F.sum("adjusted").over(Window.partitionBy(group))
-    return rows.withColumn("adjusted", lowered).withColumn("share", F.when(total > 0, F.col("adjusted") / total).otherwise(0.0))
+    adjusted = rows.withColumn("adjusted", lowered)
+    totals = adjusted.groupBy(F.col(group).alias("_group")).agg(F.sum("adjusted").alias("_total"))
+    share = F.when(F.col("_total") > 0, F.col("adjusted") / F.col("_total")).otherwise(0.0)
+    return adjusted.join(totals, F.col(group).eqNullSafe(F.col("_group"))).withColumn("share", share).drop("_group", "_total")
 
 
 def replicated(rows: DataFrame, times: Column) -> DataFrame:

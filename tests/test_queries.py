@@ -131,6 +131,13 @@ def test_banks_of_several_blocks_give_what_one_block_gives(spark, name, monkeypa
     assert whole and of() == whole
 
 
+def test_shares_of_a_group_need_no_window(spark):
+    rows = spark.createDataFrame([(1, "a", 3.0, None), (2, "a", 1.0, 0.0), (3, None, 2.0, None), (4, "b", 0.0, None)], "id int, label string, clip_score double, proto_sim double")
+    found = prototypes.anchored(rows, "label", 0.5)
+    assert {r["id"]: r["share"] for r in found.collect()} == {1: 0.75, 2: 0.25, 3: 1.0, 4: 0.0}
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("width", [500, 5000])
 def test_a_chain_of_touching_boxes_is_one_component(spark, width):
     chain = [(1, k, "crack", k / 100, 20.0 * k, 0.0, 20.0 * k + 4, 10.0) for k in range(30)]
