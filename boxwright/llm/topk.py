@@ -2,12 +2,14 @@
 
 Vectors are quantised to floor(scale * x). A query is compared with every other row whose vector has the same length.
 Queries are dealt into blocks of a bounded size by a hash of their id; each block is sent to all tasks, and every task
-multiplies it with its own rows, tile by tile, and keeps the best k of each query. The lists of all tasks meet in a
-tree: first those of a sixth of the bits of the task's number, then those of a query.
-
-Null vectors, null ids and vectors holding null, NaN or infinite components take no part. An id stands for one row: rows
-that repeat a query's id are not its candidates. Equal scores go to the smaller id. Scores are exact; one beyond a
-64-bit integer is set to the nearest. With fewer than k candidates all are returned; an empty table gives no rows.
+multiplies it with its own rows, tile by tile, and keeps the best k + 1 of each query. The lists of all tasks meet in a
+tree: first those of a sixth of the bits of the task's number, then those of a query; then the query itself leaves.
+
+Null vectors, null ids and vectors holding null, NaN or infinite components take no part. A query is a distinct id and
+vector: rows that repeat both are one query, rows with the same id and another vector are queries of their own, and each
+of them but one copy of the query itself is a candidate. Equal scores go to the smaller id. Scores are exact; one beyond
+a 64-bit integer is set to the nearest. With fewer than k candidates all are returned; an empty table gives no rows.
+Vectors may have any length (very long ones make smaller blocks); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import small_batches, stored, table
+from .util import stored, table
 
 #: Bytes of a block of queries: what is broadcast at a time.
 BLOCK_BYTES = 16 << 20
@@ -39,17 +41,21 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return valid.select(F.col(id_col).cast("long").alias("id"), floored.alias("q"))
 
 
-def _matrix(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length of vectors: ids in ascending order and the matrix."""
-    by: dict[int, list] = {}
-    for i, q in rows:
-        by.setdefault(len(q), []).append((i, q))
-    out = {}
-    for d, some in by.items():
-        ids = np.array([i for i, _ in some], np.int64)
-        order = np.argsort(ids, kind="stable")
-        out[d] = ids[order], np.array([q for _, q in some], np.float64).reshape(len(some), d)[order]
-    return out
+class Block:
+    """Some queries: for each length of vectors, ids, own scores and the matrix, and the number of the first among all of the block."""
+
+    def __init__(self, rows: list):
+        by: dict[int, list] = {}
+        for i, q in sorted((r["id"], r["q"]) for r in rows):
+            by.setdefault(len(q), []).append((i, q))
+        self.ids = np.array([i for some in by.values() for i, _ in some], np.int64)
+        self.of, at, own = {}, 0, []
+        for d, some in by.items():
+            matrix = np.array([q for _, q in some], np.float64).reshape(len(some), d)
+            self.of[d] = at, matrix
+            own += [_products(matrix[i : i + 1], matrix[i : i + 1]).astype(np.int64).ravel() for i in range(len(some))]
+            at += len(some)
+        self.own = np.concatenate(own) if own else np.zeros(0, np.int64)
 
 
 def _products(q: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -60,26 +66,19 @@ def _products(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(t).T, -(2**63), 2**63 - 1)
 
 
-def _best(scores: np.ndarray, q_ids: np.ndarray, t_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Partial selection within a tile: (query's row, score, id) of the k best, ties to the smaller id."""
+def _best(scores: np.ndarray, first: int, t_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Partial selection within a tile: (query's number from first on, score, id) of the k best, ties to the smaller id."""
     n = scores.shape[1]
-    own = (np.searchsorted(t_ids, q_ids), np.searchsorted(t_ids, q_ids, side="right"))
-    valid = np.ones(scores.shape, bool)
-    for row in np.flatnonzero(own[0] < own[1]):
-        valid[row, own[0][row] : own[1][row]] = False
     if scores.dtype == object:
         rank = np.array([np.lexsort((t_ids, [-x for x in row])) for row in scores.tolist()]).argsort(axis=1)
         keys = (n - rank).astype(np.float64)
     else:
         keys = scores * n - np.arange(n)  # exact: products stay under 2**53 / TILE_ROWS
-    keys[~valid] = -np.inf
     take = min(k, n)
     at = np.argpartition(-keys, take - 1, axis=1)[:, :take] if n > take else np.tile(np.arange(n), (len(keys), 1))
     rows = np.repeat(np.arange(len(keys)), at.shape[1])
     at = at.ravel()
-    good = valid[rows, at]
-    rows, at = rows[good], at[good]
-    return rows, scores[rows, at].astype(np.int64), t_ids[at]
+    return rows + first, scores[rows, at].astype(np.int64), t_ids[at]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,9 +91,12 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tu
     return query[keep], score[keep], ids[keep]
 
 
-def _scan(block, k: int):
+def _scan(block, k: int, number: int):
+    """The k + 1 best rows of the task for each query (number: the block's), the query's own row among them if it is that good."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, best = block.value, None
+        queries: Block = block.value
+        best = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -102,24 +104,25 @@ def _scan(block, k: int):
             ids_all, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
             starts = np.r_[0, np.cumsum(lengths)]
             for d in np.unique(lengths).tolist():
-                if d not in queries:
+                if d not in queries.of:
                     continue
                 at = np.flatnonzero(lengths == d)
                 at = at[np.argsort(ids_all[at], kind="stable")]
-                q_ids, q = queries[d]
+                first, q = queries.of[d]
                 for a in range(0, len(at), TILE_ROWS):
                     part = at[a : a + TILE_ROWS]
                     tile = flat[starts[part][:, None] + np.arange(d)] if d else np.zeros((len(part), 0))
-                    for b in range(0, len(q_ids), TILE_QUERIES):
-                        rows, score, ids = _best(_products(q[b : b + TILE_QUERIES], tile), q_ids[b : b + TILE_QUERIES], ids_all[part], k)
-                        found = q_ids[b : b + TILE_QUERIES][rows], score, ids
+                    for b in range(0, len(q), TILE_QUERIES):
+                        found = _best(_products(q[b : b + TILE_QUERIES], tile), first + b, ids_all[part], k + 1)
                         best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    if len(best[0]) > 8 * k * len(q_ids):
-                        best = _merge([best], k)
+                    if len(best[0]) > 8 * (k + 1) * len(queries.ids):
+                        best = _merge([best], k + 1)
         if best is not None:
-            query, score, ids = _merge([best], k)
+            query, score, ids = _merge([best], k + 1)
             part = np.full(len(ids), TaskContext.get().partitionId(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, score, ids, part)], names=["query_id", "score", "vec_id", "part"])
+            own = (ids == queries.ids[query]) & (score == queries.own[query])
+            columns = [np.full(len(ids), number, np.int32), query, queries.ids[query], score, ids, own, part]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "number", "query_id", "score", "vec_id", "own", "part"])
 
     return run
 
@@ -127,22 +130,23 @@ def _scan(block, k: int):
 def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a predicate on id_col."""
     spark = vectors.sparkSession
-    small_batches(spark, TILE_ROWS)
     rows = quantised(vectors, id_col, vec_col, scale)
-    queries = quantised(vectors.where(is_query), id_col, vec_col, scale).dropDuplicates(["id"])
+    queries = quantised(vectors.where(is_query), id_col, vec_col, scale).distinct()
     total = queries.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
     blocks = -(-int(total) // block_bytes) * 2 or 1 if total > block_bytes else 1  # twice as many: the hash deals unevenly
     lists = None
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        block = spark.sparkContext.broadcast(_matrix(own.collect()))  # within block_bytes
-        part = stored(rows.mapInArrow(_scan(block, k), "query_id long, score long, vec_id long, part int"), "lists")
+        own = queries.where(F.pmod(F.xxhash64("id", "q"), F.lit(blocks)) == b) if blocks > 1 else queries
+        block = spark.sparkContext.broadcast(Block(own.collect()))  # within block_bytes
+        part = stored(rows.mapInArrow(_scan(block, k, b), "block int, number long, query_id long, score long, vec_id long, own boolean, part int"), "lists")
         lists = part if lists is None else lists.unionByName(part)
-    order = [F.desc("score"), F.asc("vec_id")]
-    group = (F.col("part") % FAN_IN).alias("part")
-    level = lists.select("query_id", "score", "vec_id", group).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
-    top = level.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", "score")
+    query, order = ["block", "number"], [F.desc("score"), F.asc("vec_id")]
+    ranked = lambda df, *group: df.withColumn("rank", F.row_number().over(Window.partitionBy(*query, *group).orderBy(*order))).where(F.col("rank") <= k + 1)
+    top = ranked(ranked(lists.withColumn("part", F.col("part") % FAN_IN), "part").drop("rank"))
+    # one row of equal score and id is the query itself: what is behind it moves up
+    itself = F.min(F.when(F.col("own"), F.col("rank"))).over(Window.partitionBy(*query))
+    moved = top.withColumn("itself", F.coalesce(itself, F.lit(k + 1))).where(F.col("rank") != F.col("itself"))
+    return moved.select("query_id", (F.col("rank") - (F.col("rank") > F.col("itself")).cast("int")).alias("rank"), "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

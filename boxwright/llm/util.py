@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.stored import shared_dir, stored  # noqa: F401
 
-#: Rows in an Arrow batch, so that a task holds a few MB of texts at a time.
+#: Rows that a task takes as Python objects at a time; Spark bounds an Arrow batch by its bytes.
 BATCH_ROWS = 1024
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: str | F.Column) -> F.Column:
@@ -31,15 +41,15 @@ def utf8(column: str | F.Column) -> F.Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[..., dict[str, list] | None], schema: str) -> DataFrame:
-    """fn gets a batch's columns as lists, in order, and returns the columns of the result (or None)."""
+    """fn gets some rows' columns as lists, in order, and returns the columns of the result (or None)."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (columns := fn(*(c.to_pylist() for c in batch.columns))) is not None:
+        for batch in sliced(batches):
+            if (columns := fn(*(c.to_pylist() for c in batch.columns))) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
