@@ -7,7 +7,8 @@ content is a plain .warc.gz file.
 
 Reader: feeds an archive to zlib piece by piece (memory is bounded by a piece, whatever the record's size), takes one
 member per record, frames the block by Content-Length and verifies block and payload digests; a wrong length, digest or
-a cut member raises WarcError.
+a cut member raises WarcError. read_archives() takes archives out of cells, as the writer makes them (of ROLL bytes, or one
+record); read_archive_files() opens files of any size where the task runs.
 
 A null payload is an empty one. Null or repeated ids: a row with a null id, or with the smallest id of its group, is a
 response. Null urls give a record without a target; control characters in urls are percent-encoded. Very long payloads
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from .util import small_batches, stored, table, utf8
+from .util import sliced, stored, table, utf8
 
 ROLL = 8 << 20
-#: Pages and archives of an Arrow batch.
-PAGES, ARCHIVES = 128, 4
+#: Pages that are taken, and records that are given, at a time.
+PAGES, RECORDS_OUT = 128, 4096
 PIECE = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -154,7 +155,7 @@ class Reader:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
     roll = lambda: pa.RecordBatch.from_pydict({"archive": [f"pages-{part:05d}-{number:05d}.warc.gz"], "content": pa.array([b"".join(parts)], pa.binary())})
-    for batch in batches:
+    for batch in sliced(batches, PAGES):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             parts.append(record(*row))
             size += len(parts[-1])
@@ -170,7 +171,6 @@ def write_archives(pages: DataFrame, id_col: str, url_col: str, payload_col: str
 
     Groups of copies are a stored table of their own, so that Spark can broadcast it or split a payload's many copies.
     """
-    small_batches(pages.sparkSession, PAGES)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumn("sha", F.when(F.length("payload") >= min_bytes, F.sha1("payload")))
     repeated = stored(rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "copies")
@@ -182,24 +182,49 @@ def write_archives(pages: DataFrame, id_col: str, url_col: str, payload_col: str
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(source: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     number = lambda urn: int(m[1]) if urn and (m := re.fullmatch(r"<urn:page:(-?\d+)>", urn)) else None
-    for batch in batches:
-        for content in batch.column(0):
-            out: list[tuple] = []
-            for h, n, digest in Reader(pieces(content.as_buffer())):
-                revisit = h["warc-type"] == "revisit"
-                said = h["warc-payload-digest"].removeprefix("sha1:") if revisit else digest
-                out.append((number(h["warc-record-id"]), int(h["x-payload-length"]) if revisit else n, said, h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-target-uri")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
+    out: list[tuple] = []
+    told = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+    for h, n, digest in Reader(source):
+        revisit = h.get("warc-type") == "revisit"
+        said = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest
+        size = h.get("x-payload-length") if revisit else n
+        out.append((number(h.get("warc-record-id")), None if size is None else int(size), said, h.get("warc-type"), number(h.get("warc-refers-to")), h.get("warc-target-uri")))
+        if len(out) >= RECORDS_OUT:
+            yield told()
+            out = []
+    if out:
+        yield told()
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
-    """A row per record. archives: as write_archives returns, or spark.read.format("binaryFile")."""
-    small_batches(archives.sparkSession, ARCHIVES)
-    return archives.select(content_col).mapInArrow(_read, RECORDS)
+    """A row per record. archives: as write_archives returns, each within a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                if content.is_valid:
+                    yield from _records(pieces(content.as_buffer()))
+
+    return archives.select(content_col).mapInArrow(run, RECORDS)
+
+
+def read_archive_files(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """A row per record of .warc.gz files of any size: a task opens each path (a URI that Arrow's file systems know) and reads it piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, inner = FileSystem.from_uri(path)
+                with system.open_input_stream(inner, compression=None) as file:
+                    yield from _records(iter(lambda f=file: f.read(PIECE), b""))
+
+    return paths.select(path_col).where(F.col(path_col).isNotNull()).mapInArrow(run, RECORDS)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
