@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import small_batches, stored, table
+from .util import sliced, stored, table
 
 HEAD = struct.Struct("<4sBQQIQ")
 MAGIC = b"BWP1"
@@ -105,6 +105,15 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """The ids of all documents in order; every block is unpacked once."""
+        held, base = np.zeros(0, np.uint32), 0  # ids from base on
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            if b > base + len(held):
+                end = min(-(-b // self.block) * self.block, self.n_ids)
+                held, base = np.concatenate([held[a - base :], self.ids(base + len(held), end)]), a
+            yield held[a - base : b - base]
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes each byte as a letter: printable ones as themselves, the others from U+0100 on."""
@@ -179,9 +188,11 @@ def encoder_of(path: str) -> Encoder:
 
 def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """shard, part, n_ids, content; part and shard are in ascending order of id."""
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"), "text")
+    # ranges of (id, text's hash, row's number), so that rows of one id, or equal rows, are dealt over many tasks
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    keys = [F.asc_nulls_first("id"), F.asc("hash"), F.asc("row")]
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -195,7 +206,7 @@ def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: st
             content = write_shard(docs, [len(p) // 4 for p in parts], ids, bits, block)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["part", "shard", "n_ids", "content"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(i)
                 parts.append(encoder.encode(text) + end)
@@ -216,7 +227,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, number, content in zip(*(batch.column(k).to_pylist() for k in ("part", "shard")), batch.column("content"), strict=True):
                 shard = Shard(content.as_buffer())
-                crc = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.doc_ids))]
+                crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
                 n = np.diff(shard.starts.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1].astype(np.int64)), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), shard.bits, np.int32)), pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), number, np.int32))], names=["doc_id", "own", "n_tokens", "ids_crc32", "bits", "part", "shard"])
 
