@@ -16,7 +16,8 @@
    is a paraphrase and must also hold LEAST_ANSWER of the passage's answer words, the fifth of its words that are rarest
    in the corpus.
 
-The benchmark is broadcast, so its size is checked (MAX_WORDS); a larger one is given in parts. Documents never move.
+What is broadcast has a bound: a benchmark of over PASS_WORDS words is dealt into parts by a hash of the text, with a pass
+over the documents for each. Documents never move.
 
 Null and empty texts meet nothing; null or wordless items are no passages; items of under MIN_WORDS words must be met
 word by word. Very long texts are read whole. Repeated rows give rows of their own; so do items of equal text. An empty
@@ -26,6 +27,7 @@ table gives no rows. Columns other than id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .license_scan import _SPACES
 from .suffix_dedup import Hashes
-from .util import map_batches, small_batches, table, utf8
+from .util import LOWER, UPPER, map_batches, sliced, table, utf8
 
 DIMENSIONS = 1 << 14
 #: Passages of a part, which bounds its directions too.
@@ -43,7 +45,8 @@ LEAST_KEPT = 0.9
 STEP = 8
 LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.35, 0.6, 0.75, 0.3
 MIN_WORDS = 5
-MAX_WORDS = 2_000_000
+#: Words of the passages of a pass, about (or one longer item).
+PASS_WORDS = 200_000
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -246,16 +249,10 @@ class Passages:
         return [best[p] for p in sorted(best)]
 
 
-def prepared(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text"):
-    """The passages, broadcast."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), utf8(item_text).alias("text")).where(F.length("text") > 0)
-    size = items.select(F.sum(F.size(F.split(F.col("text").cast("string"), r"\s+")))).first()[0] or 0
-    if size > MAX_WORDS:
-        raise ValueError(f"the benchmark has over {MAX_WORDS} words; give it in parts")
-    idf = inverse_frequencies(documents.select(utf8(text_col).alias("text")))
-    held = [(r["item_id"], bytes(r["text"])) for r in items.orderBy("item_id", "text").collect()]  # MAX_WORDS words at most
+def prepared(items: DataFrame, idf: np.ndarray):
+    """Passages (item_id, text as bytes) of a pass, broadcast."""
+    spark = items.sparkSession
+    held = [(r["item_id"], bytes(r["text"])) for r in items.select("item_id", "text").orderBy("item_id", "text").collect()]  # about PASS_WORDS words
     held = sorted(((i, h, t) for i, t in held if len(h := word_hashes(t))), key=lambda x: (size_of(len(x[1])), x[2]))
     spaces = []
     if held:
@@ -266,36 +263,56 @@ def prepared(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
             return {"part": numbers, "words": [v.tobytes() for v, _ in found], "basis": [b.astype(np.float32).tobytes() for _, b in found]}
 
         dealt = spark.createDataFrame(texts, "part int, texts array<binary>").repartition(len(texts), "part")
-        for r in map_batches(dealt, run, "part int, words binary, basis binary").orderBy("part").collect():  # at most PART numbers for each of MAX_WORDS words
+        for r in map_batches(dealt, run, "part int, words binary, basis binary").orderBy("part").collect():  # at most PART + OVERSAMPLING numbers for each word
             words = np.frombuffer(r["words"], np.uint64)
             spaces.append((words, np.frombuffer(r["basis"], np.float32).reshape(len(words), -1)))
     return spark.sparkContext.broadcast(Passages([(i, h) for i, h, _ in held], idf, spaces))
 
 
+def passes(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Iterator:
+    """The benchmark's passages, broadcast, a pass's at a time."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), utf8(item_text).alias("text"), _n_words(F.col(item_text)).alias("words")).where("words > 0")
+    total = items.agg(F.sum("words")).first()[0] or 0
+    parts = max(1, -(-total // PASS_WORDS))
+    idf = inverse_frequencies(documents.select(utf8(text_col).alias("text")))
+    for p in range(parts):
+        yield prepared(items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else items, idf)
+
+
+def _n_words(text: F.Column) -> F.Column:
+    """Words by the same rule as word_hashes()."""
+    return F.coalesce(F.size(F.regexp_extract_all(F.translate(text.cast("string"), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))), F.lit(0)).cast("long")
+
+
 MATCHES = "doc_id long, item_id long, first_word long, cosine double, share double, answer_share double"
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item that it holds: MATCHES."""
-    passages = prepared(documents, benchmark, text_col)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+
+    def found(passages) -> DataFrame:
+        def run(ids: list, texts: list) -> dict[str, list] | None:
+            met = [(i, *m) for i, text in zip(ids, texts, strict=True) for m in passages.value.met(text)]
+            return dict(zip((x.split()[0] for x in MATCHES.split(", ")), zip(*met, strict=True), strict=True)) if met else None
 
-    def run(ids: list, texts: list) -> dict[str, list] | None:
-        rows = [(i, *m) for i, text in zip(ids, texts, strict=True) for m in passages.value.met(text)]
-        return dict(zip((x.split()[0] for x in MATCHES.split(", ")), zip(*rows, strict=True), strict=True)) if rows else None
+        return map_batches(rows, run, MATCHES)
 
-    return map_batches(documents.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), run, MATCHES)
+    return reduce(DataFrame.unionByName, map(found, passes(documents, benchmark, text_col)))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that hold no benchmark item."""
-    passages = prepared(documents, benchmark, text_col)
+    """The documents, all columns, that hold no benchmark item. Rows with a null or empty text, or a null id, stay; repeated rows are judged alike."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([not passages.value.met((t or "").encode()) for t in texts], pa.bool_()))
+    def without(docs: DataFrame, passages) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not passages.value.met((t or "").encode()) for t in texts], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return reduce(without, passes(documents, benchmark, text_col), documents)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
