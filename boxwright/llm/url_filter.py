@@ -8,7 +8,8 @@ a url is judged by bit tests alone, without a join.
 
 A null url or one without "://" has an empty host and path, fits no rule and gets the default verdict; so does a host
 without a listed suffix. Repeated rows are judged one by one. An empty list gives every url the default verdict. A key
-that is on both lists is blocked. Columns of the input other than id and url are ignored.
+that is on both lists is blocked. Very long urls have as many candidate keys as labels. Null and repeated ids are passed
+through. Columns of the input other than id and url are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ RULES = [
 
 #: Bits a key and hash functions, of the first level (false positives of about 4e-5 of the universe) and of the others.
 FIRST, LATER = (24, 8), (10, 6)
-#: A cascade is part of the plan, so its size is checked: 2 MB.
-MAX_BITS = 1 << 24
+#: A cascade is part of the plan; a list whose first level would need more bits is split by a hash of the key.
+MAX_BITS = 1 << 20
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -54,6 +55,11 @@ def _place(key: str, level: int, bits: int, i: str) -> str:
     return f"pmod({a} + {i} * {b}, {bits}L)"
 
 
+def part_of(key: str, parts: int) -> str:
+    """Which of the parts a key belongs to."""
+    return f"pmod(xxhash64({key}, -1), {parts}L)"
+
+
 class Cascade:
     """Levels (bits, hashes, words): words is a level's bit array as 64-bit integers. Tests are SQL over a column or lambda variable."""
 
@@ -82,10 +88,10 @@ def _bit_array(keys: DataFrame, level: int, bits: int, hashes: int) -> list[int]
     return words
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """listed, universe: a column key each. One pass over the universe; later levels see only what level 1 let pass."""
     members = stored(listed.select("key").where("key is not null").distinct(), "listed")
-    cascade, inside, outside, used = Cascade([]), members, None, 0
+    cascade, inside, outside = Cascade([]), members, None
     while True:
         level = len(cascade.levels)
         keys = inside if level % 2 == 0 else outside
@@ -94,9 +100,6 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
             return cascade
         per_key, hashes = FIRST if level == 0 else LATER
         bits = max(64, n * per_key)
-        used += bits
-        if used > max_bits:
-            raise ValueError(f"the cascade needs over {max_bits} bits; raise max_bits or split the list by key")
         cascade.levels.append((bits, hashes, _bit_array(keys, level, bits, hashes)))
         passes = F.expr(cascade.passes("key", level))
         if level == 0:  # the members that occur in the universe are taken out of the few keys that pass
@@ -107,20 +110,37 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
             outside = outside.where(passes)
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str = "allow") -> DataFrame:
-    """id, host, path, rule (the longest listed key that fits, else null), verdict. rules: verdict, host, path."""
+def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
+    """id, host, path, rule (the longest listed key that fits, else null), verdict. rules: verdict, host, path.
+
+    Lists of over max_bits are dealt into parts by a hash of the key, each with cascades and a pass of its own over the
+    candidate keys, so neither the plan nor the driver holds more than a part's bits at a time.
+    """
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path").where("host is not null and path is not null and host <> ''")
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # a few: lengths of listed paths
     host, path = url_parts(F.col(url_col))
     parsed = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not lengths:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    listed = rules.select("verdict", F.concat("host", "path").alias("key"))
+    parts = -(-listed.count() * FIRST[0] // max_bits)
     keys = parsed.withColumn("keys", candidate_keys("host", "path", lengths))
     universe = keys.select(F.explode("keys").alias("key"))
-    lists = {v: build_cascade(rules.where(F.col("verdict") == v).select(F.concat("host", "path").alias("key")), universe) for v in ("allow", "block")}
-    longest = F.expr(f"array_max(transform(filter(keys, k -> {lists['allow'].contains('k')} or {lists['block'].contains('k')}), k -> struct(length(k) as n, k as key))).key")
-    ruled = keys.select(id_col, "host", "path", longest.alias("rule"))
-    return ruled.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(F.expr(lists["block"].contains("rule")), "block").otherwise("allow"))
+    # the longest key that fits so far, and whether it is blocked
+    best = keys.withColumn("best", F.lit(None).cast("struct<n: int, key: string, blocked: boolean>"))
+    for p in range(parts):
+        own = (lambda df: df.where(f"{part_of('key', parts)} = {p}")) if parts > 1 else (lambda df: df)  # noqa: B023
+        allow, block = (build_cascade(own(listed.where(F.col("verdict") == v).select("key")), own(universe)) for v in ("allow", "block"))
+        mine = f"{part_of('k', parts)} = {p} and " if parts > 1 else ""
+        fits = f"transform(filter(keys, k -> {mine}({allow.contains('k')} or {block.contains('k')})), k -> struct(length(k) as n, k as key))"
+        longest = best.withColumn("found", F.expr(f"array_max({fits})"))
+        blocked = F.expr(block.contains("found.key"))
+        found = F.when(F.col("found").isNotNull(), F.struct("found.n", "found.key", blocked.alias("blocked")))
+        best = longest.withColumn("best", F.greatest("best", found)).drop("found")
+        if p < parts - 1:
+            best = stored(best, "judged")
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best.blocked"), "block").otherwise("allow")
+    return best.select(id_col, "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
