@@ -6,7 +6,8 @@ of languages of that family votes for the language. FAMILIES maps language codes
 family of its own.
 
 The machines are fitted on a bounded sample: about PER_LANGUAGE labelled rows of each language (rows whose hash falls
-below PER_LANGUAGE / rows of that language), whole texts, held-out rows left out. Prediction reads the text alone.
+below PER_LANGUAGE / rows of that language), whole texts, held-out rows left out, of the MOST_LANGUAGES most frequent
+labels (equal ones in order of name). Prediction reads the text alone.
 
 A text that is null or has no letter is "und" with score 0; so is every text if no row is labelled. Rows with a null
 label are predicted but not learned from; rows with a null id are never held out nor learned from. Repeated rows are
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import map_batches, small_batches, table
+from .util import map_batches, sliced, table
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
 PER_LANGUAGE = 400
+#: Labels that are learned: the most frequent ones (a dirty column of labels must not grow the model).
+MOST_LANGUAGES = 64
 DIMENSIONS = 4096
 NONE = "und"
 
@@ -106,7 +109,8 @@ class Hierarchy:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     """documents: id, text (bytes), lang of the rows to learn from."""
     labelled = documents.where("id is not null and text is not null and lang is not null")
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    totals = {r["lang"]: r["n"] for r in counted.collect()}
     if not totals:
         return None
     shares = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, per_language / n)) for k, n in totals.items()])
@@ -137,7 +141,6 @@ def held_out(id_col: str) -> F.Column:
 
 
 def _prepared(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, Hierarchy | None]:
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held_out"))
     return rows, fit(rows.where(~F.col("held_out")))
 
@@ -157,17 +160,20 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(rows.select("id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_unknown(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, all columns, with a language; the others have no letter, or no text. Without a model all with a letter stay."""
-    _, model = _prepared(documents, id_col, text_col, lang_col)
+def keep_languages(documents: DataFrame, languages: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, all columns, whose predicted language is wanted (by default one that FAMILIES knows).
 
-    def known(text: bytes) -> bool:
-        return has_letter(text) if model is None else predict(model, text)[0] != NONE
+    Null texts and texts without a letter have no language and go. Without a model no text can be told from another, and all
+    with a letter stay. Repeated rows, and rows with a null id or label, are judged by their text like any other.
+    """
+    _, model = _prepared(documents, id_col, text_col, lang_col)
+    wanted = frozenset(FAMILIES) if languages is None else languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([t is not None and known(t.encode()) for t in texts], pa.bool_()))
+            keep = [t is not None and (has_letter(t.encode()) if model is None else predict(model, t.encode())[0] in wanted) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
