@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import map_batches, small_batches, stored, table, utf8
+from .util import fresh, map_batches, stored, table, utf8
 
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = MOST + 1
@@ -58,7 +58,6 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tag (the text's hash), fp (as a signed 64-bit integer)."""
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), _tag(text_col).alias("tag"), utf8(text_col).alias("text"))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return map_batches(rows, lambda ids, tags, texts: {"doc_id": ids, "tag": tags, "fp": [signed(fingerprint(t)) for t in texts]}, "doc_id long, tag long, fp long")
@@ -175,10 +174,11 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = stored(fingerprints(documents, id_col, text_col), "fingerprints")
     known = _roots(fps.select("doc_id", "fp")).select("fp", "root")
     first = fps.join(known, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
-    kept = stored(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.tag").alias("kept_tag")), "kept")
-    tagged = documents.withColumn("_tag", _tag(text_col))
-    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_tag") == F.col("kept_tag")), "left_semi")
-    return joined.dropDuplicates([id_col, "_tag"]).drop("_tag")
+    kept_id, kept_tag, tag = (fresh(documents, name) for name in ("_kept_id", "_kept_tag", "_tag"))
+    kept = stored(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.tag").alias(kept_tag)), "kept")
+    tagged = documents.withColumn(tag, _tag(text_col))
+    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(tag) == F.col(kept_tag)), "left_semi")
+    return joined.dropDuplicates([id_col, tag]).drop(tag)
 
 
 def _tag(text_col: str) -> F.Column:

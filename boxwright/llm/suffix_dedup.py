@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import map_batches, small_batches, stored, table, utf8
+from .util import fresh, map_batches, sliced, stored, table, utf8
 
 LENGTH = 200
 #: Length of the K-grams that anchors are chosen from.
@@ -307,12 +307,12 @@ def covered(size: int, spans: list | None, length: int = LENGTH) -> np.ndarray:
 
 
 def _with_spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with a column _spans: first and last starts of repeated windows."""
-    small_batches(documents.sparkSession)
-    keyed = documents.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_tag": F.xxhash64(F.col(text_col).cast("string"))})
-    spans = repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), utf8(text_col).alias("text")))
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, ["_doc", "_tag"], "left").select(*documents.columns, "_spans")
+    """The documents with one more column, the last: first and last starts of repeated windows."""
+    doc, tag, spans = (fresh(documents, name) for name in ("_doc", "_tag", "_spans"))
+    keyed = documents.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), tag: F.xxhash64(F.col(text_col).cast("string"))})
+    found = repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(tag).alias("tag"), utf8(text_col).alias("text")))
+    found = found.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(spans))
+    return keyed.join(found, [doc, tag], "left").select(*[F.col(f"`{c}`") for c in documents.columns], spans)
 
 
 def kept_bytes(text: bytes, runs: list[list[int]]) -> bytes:
@@ -327,7 +327,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kept = [kept_bytes(text, r) for text, r in zip(texts, runs, strict=True)]
         return {"doc_id": ids, "n_bytes": [len(t) for t in texts], "n_removed": [len(t) - len(k) for t, k in zip(texts, kept, strict=True)], "n_spans": [len(r) for r in runs], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
 
-    joined = _with_spans(documents, id_col, text_col).select(F.col(id_col).cast("long"), utf8(text_col), "_spans")
+    joined = _with_spans(documents, id_col, text_col)
+    joined = joined.select(F.col(id_col).cast("long"), utf8(text_col), joined.columns[-1])
     return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -336,7 +337,7 @@ def cleaned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = _with_spans(documents, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text_col)
             texts = [None if t is None else kept_bytes(b := t.encode(), covered(len(b), some).tolist()).decode("utf-8", "ignore") for t, some in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])]

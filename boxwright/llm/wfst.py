@@ -30,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import map_batches, small_batches, table, utf8
+from .util import map_batches, table, utf8
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -245,7 +245,6 @@ def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", t
     """doc_id, n_tokens, n_fallback (bytes written as fallback), ids_crc32 (of the ids as little-endian 32-bit integers), round_trip; with_ids: ids too."""
     import numpy as np
 
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
@@ -266,7 +265,6 @@ def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of each row of ids; null ids give a null text. Bytes that are no UTF-8 become replacement characters."""
-    small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(doc_ids: list, lists: list) -> dict[str, list]:

@@ -61,7 +61,7 @@ def test_decontamination_finds_planted_and_paraphrased_passages(spark):
 
 def test_candidates_reach_the_recall_of_whole_tfidf_cosines(spark, documents):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    passages = decontamination.prepared(documents, benchmark).value
+    passages = next(decontamination.passes(documents, benchmark)).value
     weight = lambda words: {w: n**2 * passages.square[w & (decontamination.DIMENSIONS - 1)] for w, n in Counter(words).items()}
     hits = total = 0
     for text in texts_of(documents).values():
@@ -89,6 +89,50 @@ def test_exact_copies_of_every_item_of_a_large_benchmark_are_found(spark):
     assert found == {(i, i) for i, _ in items}
 
 
+def test_matches_reach_the_recall_of_an_exhaustive_search(spark):
+    """Paraphrases with a quarter of the words replaced, dropped or moved, against every window's longest common subsequence."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    vocabulary = [word() for _ in range(600)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(12, 50))] for _ in range(80)]
+
+    def changed(words):
+        out = []
+        for w in words:
+            x = rng.random()
+            out += [] if x < 0.08 else [rng.choice(vocabulary)] if x < 0.2 else [w, rng.choice(vocabulary)] if x < 0.25 else [w]
+        return out
+
+    docs = [(d, " ".join([*rng.choices(vocabulary, k=rng.randrange(60)), *changed(rng.choice(items)), *rng.choices(vocabulary, k=rng.randrange(60))])) for d in range(150)]
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents, benchmark).collect()}
+    passages = next(decontamination.passes(documents, benchmark)).value
+    truth = set()
+    for d, text in docs:
+        words = decontamination.word_hashes(text.encode()).tolist()
+        for p, size in enumerate(passages.size):
+            for start in range(0, len(words), decontamination.STEP):
+                window = words[max(0, start - decontamination.STEP) : start + size + decontamination.STEP]
+                if passages.check(p, window, set(window)):
+                    truth.add((d, passages.ids[p]))
+                    break
+    assert len(truth) > 100 and found <= truth and len(found) >= 0.9 * len(truth)
+
+
+def test_a_benchmark_dealt_into_passes_gives_what_one_pass_gives(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(900)]
+    items = [(i, "-".join(rng.choices(vocabulary, k=20))) for i in range(40)]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=rng.randrange(30)), text, *rng.choices(vocabulary, k=40)]), "e") for i, text in items] + [(99, " ".join(rng.choices(vocabulary, k=50)), "e")]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string, extra string"), spark.createDataFrame(items, "item_id long, text string")
+    assert benchmark.select(F.sum(decontamination._n_words(F.col("text")))).first()[0] == 800
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 300)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents, benchmark).collect()} == {(i, i) for i, _ in items}
+    kept = decontamination.clean(documents, benchmark)
+    assert [r["doc_id"] for r in kept.collect()] == [99] and kept.columns == documents.columns
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
@@ -103,7 +147,7 @@ def test_common_subsequence():
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(0, None), (1, ""), (2, "..."), (3, "the cat sat on the mat the cat sat"), (4, "same words")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(awkward, bench).collect()} == {(3, 3), (4, 4)}
-    assert decontamination.clean(awkward, bench).count() == 6
+    assert decontamination.clean(awkward, bench).count() == 6 and decontamination.clean(empty, bench).count() == 0
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(awkward, bench.limit(0)).count() == 0
 
@@ -125,6 +169,21 @@ def test_template_join_is_exact(spark):
             assert found.get(t) == (n if n >= license_scan.overlap_needed(len(own)) else None)
 
 
+def test_long_templates_are_met_wherever_they_stand(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    templates = [("long", " ".join(words[:120])), ("longer", " ".join(words[200:1300])), ("short", " ".join(words[1500:1506]))]
+    docs = []
+    for d in range(40):
+        label, text = templates[d % 3]
+        docs.append((d, " ".join([*(rng.choice(words) + "x" for _ in range(rng.randrange(300))), text, *(rng.choice(words) + "y" for _ in range(rng.randrange(300)))]), label))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, label string").repartition(3)
+    for most in (license_scan.PASS_WORDS, 130):  # in one pass, and in one for each template
+        monkeypatch.setattr(license_scan, "PASS_WORDS", most)
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(rows, "doc_id", "text", license_scan.PHRASES, templates).collect()}
+        assert got == {d: (label, 1.0) for d, _, label in docs}
+
+
 def test_license_scan_of_awkward_rows(spark, awkward, empty):
     rows = awkward.select("doc_id", "text", "lang").union(spark.createDataFrame([(9, "x CC-BY y. cc by", "en"), (10, "Released under MIT license", "en")], "doc_id long, text string, lang string"))
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(rows, "doc_id", "text", license_scan.PHRASES, license_scan.TEMPLATES).collect()}
@@ -163,6 +222,15 @@ def test_warc_reader_works_in_pieces_and_verifies():
         list(warc.Reader([z.compress(plain) + z.flush()]))
 
 
+def test_warc_files_are_read_where_they_lie(spark, tmp_path):
+    members = [warc.record(i, "http://a", bytes([65 + i]) * 50_000, None) for i in range(5)]
+    for k in range(2):
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(members[k::2]))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{k}.warc.gz",) for k in range(2)] + [(None,)], "path string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_archive_files(paths).collect())
+    assert got == [(i, 50_000, warc.base32_sha1(bytes([65 + i]) * 50_000)) for i in range(5)]
+
+
 # 4
 
 
@@ -232,12 +300,35 @@ def test_simhash_of_awkward_rows(awkward, empty):
     assert len(got) == len(AWKWARD) and {c for i, f, c in got if i in (0, 1, 2)} == {0} and {f for i, f, _ in got if i == 0} == {"0" * 16}
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns and kept.count() == len({c for _, _, c in got})
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one, suffix_dedup.cleaned, language_id.keep_languages, lambda d: decontamination.clean(d, d.selectExpr("doc_id as item_id", "'zzz' as text").limit(1))])
+def test_stages_keep_columns_with_clashing_names(spark, stage):
+    names = "_tag _doc _spans kept_id kept_tag _kept_id _kept_tag tag fp doc h text_ spans".split()
+    rows = [(i, f"some english words of document number {i} and the rest", "en", *range(i, i + len(names))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(map(tuple, stage(df).collect())) == sorted(rows) and stage(df).columns == df.columns
 
 
 # 5
 
 
+def test_topk_of_repeated_ids(spark):
+    """Each distinct vector of a query's id is a query, and every row but one copy of itself is a candidate."""
+    rng = np.random.default_rng(3)
+    vector = lambda: rng.integers(-2, 3, 4).astype(float).tolist()
+    rows = [(i, vector()) for i in range(1, 60)] + [(50, vector()) for _ in range(3)] + [(100, [2.0] * 4)] * 3 + [(7, [2.0] * 4)]
+    want = []
+    for i, q in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        others = list(rows)
+        others.remove((i, list(q)))
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(q, v, strict=True)), j) for j, v in others)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 def brute_topk(rows, k):
     good = {i: [int(np.floor(256.0 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
@@ -309,19 +400,72 @@ def test_language_id_of_awkward_rows(spark, awkward, empty):
     more = spark.createDataFrame([(i, t, lang, "s", 1, "t", 1, 1) for i in range(20, 40, 2) for i, t, lang in ((i, "the dog and the cat were here", "en"), (i + 1, "der Hund und die Katze waren hier", "de"))], DOCS)
     got = {r["doc_id"]: r for r in language_id.identify(awkward.union(more)).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 6)) and got[3]["lang_pred"] == "en"
-    assert language_id.reject_unknown(awkward.union(more)).count() == 25
+    assert language_id.keep_languages(awkward.union(more)).count() == 25 and language_id.keep_languages(empty).count() == 0
+    german = language_id.keep_languages(awkward.union(more), frozenset({"de"})).collect()
+    assert all(r["lang"] == "de" for r in german) and {r["doc_id"] for r in german} >= {21, 23, 39}
     assert language_id.identify(empty).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def test_documents_without_labels_keep_their_place(awkward):
     unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
-    assert sorted(r["doc_id"] or 0 for r in language_id.reject_unknown(unlabelled).collect()) == [0, 3, 4, 4, 5]
+    assert sorted(r["doc_id"] or 0 for r in language_id.keep_languages(unlabelled).collect()) == [0, 3, 4, 4, 5]
+
+
+def test_machines_meet_the_exact_optimum():
+    """The squared hinge loss is smooth and convex: Newton steps on the active rows find its only minimum."""
+    rng = np.random.default_rng(8)
+    for n, d in ((40, 6), (200, 20)):
+        x = rng.standard_normal((n, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = np.where(x[:, 0] + 0.3 * rng.standard_normal(n) > 0.1, 1.0, -1.0)
+        a = np.hstack([x, np.ones((n, 1))])
+        c = 20 * np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        w = np.zeros(d + 1)
+        for _ in range(100):
+            act = y * (a @ w) < 1
+            w = np.linalg.solve(np.eye(d + 1) + 2 * (a[act].T * c[act]) @ a[act], 2 * a[act].T @ (c[act] * y[act]))
+        assert np.abs(language_id.fit_svm(x, y) - w).max() < 1e-3 * np.abs(w).max()
+
+
+def test_votes_equal_a_count_by_hand():
+    rng = np.random.default_rng(9)
+    x, labels = rng.standard_normal((60, 5)), np.array(list("abc") * 20, object)
+    votes = language_id.Votes(["a", "b", "c"], x, labels)
+    for row in x:
+        won = Counter({name: 0 for name in "abc"})
+        margin = Counter()
+        for (a, b), w in zip(votes.pairs, votes.weights, strict=True):
+            m = float(row @ w[:-1] + w[-1])
+            won["abc"[a] if m >= 0 else "abc"[b]] += 1
+            margin["abc"[a]] += m
+            margin["abc"[b]] -= m
+        assert votes.best(row)[0] == min("abc", key=lambda v: (-won[v], -margin[v], v))
+
+
+def test_labels_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, t, lang) for i in range(60) for t, lang in [(("the dog and the cat", "en"), ("der Hund und die Katze", "de"), (f"zq{i} xv", f"dirty{i}"))[i % 3]]]
+    got = {r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {"en", "de"}
 
 
 # 8
 
 
+def test_rows_of_one_id_are_dealt_over_tasks(spark):
+    import public_tokenizers
+
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'same text', concat('word ', id)) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ones would be joined
+    try:
+        shards = packing.write_shards(rows, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.select("part").distinct().count() == 4 and shards.selectExpr("max(n_ids) < 2 * min(n_ids) as even").first()["even"]
+    assert packing.read_documents(shards).count() == 4000
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
 def test_packing_round_trip(bits):
     rng = np.random.default_rng(bits)
@@ -331,6 +475,7 @@ def test_packing_round_trip(bits):
     starts = np.cumsum([0, *lengths])
     assert shard.doc_ids == [None, 3, 4, 4, 9] and all((shard.document(i) == ids[starts[i] : starts[i + 1]]).all() for i in range(5))
     assert (shard.ids(60, 70) == ids[60:70]).all()
+    assert [x.tolist() for x in shard.documents()] == [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
 def test_packed_documents(spark, documents, awkward, empty):
@@ -397,7 +542,7 @@ def test_suffix_dedup_of_awkward_rows(spark, awkward, empty):
     got = suffix_dedup.remove_repeats(awkward).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == sorted((len((t[1] or "").encode()), len((t[1] or "").encode()) if t[0] == 3 else 0) for t in AWKWARD)
     assert suffix_dedup.cleaned(awkward).columns == awkward.columns and suffix_dedup.cleaned(awkward).count() == len(AWKWARD)
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.cleaned(empty).count() == 0
 
 
 # 10
@@ -431,8 +576,14 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     cascade = url_filter.build_cascade(universe.where("crc32(key) % 7 = 0"), universe)
     assert len(cascade.levels) > 2
     assert universe.where(f"({cascade.contains('key')}) <> (crc32(key) % 7 = 0)").count() == 0
-    with pytest.raises(ValueError, match="bits"):
-        url_filter.build_cascade(universe, universe, max_bits=100)
+
+
+def test_a_list_dealt_into_parts_gives_what_one_cascade_gives(spark):
+    urls = [*URLS, None, "http://www.example.com/en/2", "http://www.example.com/en/2"]
+    rows = spark.createDataFrame([(None if i == 3 else i % 17, u, None) for i, u in enumerate(urls)], "page_id long, url string, best string").repartition(2)
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = sorted(map(str, url_filter.judge_urls(rows, rules, "page_id", "url", max_bits=50).collect()))
+    assert got == sorted(map(str, url_filter.judge_urls(rows, rules, "page_id", "url").collect())) and len(got) == len(urls)
 
 
 # pipeline
