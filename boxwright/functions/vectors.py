@@ -29,9 +29,9 @@ def unit(cos: Column) -> Column:
 
 def bit_counts(a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
     """n11, n10, n01, n00 of two arrays of booleans."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    count = lambda p: F.size(F.filter(both, p)).cast("double")
-    return count(lambda z: z["a"] & z["b"]), count(lambda z: z["a"] & ~z["b"]), count(lambda z: ~z["a"] & z["b"]), count(lambda z: ~z["a"] & ~z["b"])
+    both = F.zip_with(a, b, lambda x, y: x.cast("int") * 2 + y.cast("int"))
+    count = lambda k: F.size(F.filter(both, lambda z: z == k)).cast("double")
+    return count(3), count(2), count(1), count(0)
 
 
 def distances(n11: Column, n10: Column, n01: Column, n00: Column) -> dict[str, Column]:
@@ -44,8 +44,26 @@ def distances(n11: Column, n10: Column, n01: Column, n00: Column) -> dict[str, C
         "matching": over(differ, n),
         "rogerstanimoto": over(2 * differ, n11 + n00 + 2 * differ),
         "sokalmichener": over(2 * differ, n11 + n00 + 2 * differ),
-        "yule": over(2 * n10 * n01, n11 * n00 + n10 * n01),
-        "dice": over(differ, 2 * n11 + differ),
+        "yule": over(n10 * n01, n11 * n00 + n10 * n01),
+    }
+
+
+def similarities(n11: Column, n10: Column, n01: Column, n00: Column) -> dict[str, Column]:
+    """Similarities of two sets of bits; an empty denominator gives 0."""
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    a, b, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
+    return {
+        "allbit": over(n11 + n00, n),
+        "asymmetric": over(n11, F.least(a, b)),
+        "braunblanquet": over(n11, F.greatest(a, b)),
+        "cosine": over(n11, F.sqrt(a * b)),
+        "dice": over(2 * n11, a + b),
+        "kulczynski": over(n11 * (a + b), 2 * a * b),
+        "onbit": over(n11, n11 + n10 + n01),
+        "rogotgoldberg": over(n11, a + b) + over(n00, 2 * n - a - b),
+        "russel": over(n11, n),
+        "sokal": over(n11, 2 * a + 2 * b - 3 * n11),
+        "tanimoto": over(n11, a + b - n11),
     }
 
 

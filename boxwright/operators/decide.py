@@ -179,15 +179,26 @@ def outputs(decided: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]
     return clean, review
 
 
+#: Rules of a block, which all tasks hold.
+MAX_RULES = 5_000
+
+
 def first_matching_rule(predictions: DataFrame, rules: DataFrame, least: float, strict: bool) -> DataFrame:
     """result_id, decision, label: a row's first prediction (by place) that meets a rule. rules: query, label (null: reject).
 
-    predictions: result_id, place, label, confidence. Low confidence is decided first: rejected if strict, else kept.
+    predictions: result_id, place, label, confidence. Low confidence is decided first: rejected if strict, else kept. A
+    prediction meets a rule if one of the two texts holds the other. Rules are dealt into blocks of about MAX_RULES.
     """
     p = predictions.withColumn("low", F.lower("label"))
-    r = rules.select(F.lower("query").alias("query"), F.col("label").alias("to"), F.lit(True).alias("met"))
-    j = p.join(F.broadcast(r), F.col("low").contains(F.col("query")) | F.col("query").contains(F.col("low")), "left")  # rules: a short list of words
-    met = j.groupBy("result_id").agg(F.min_by(F.struct("to"), F.struct("place", "query")).alias("none"), F.min(F.when(F.col("met"), F.struct("place", "query", "to"))).alias("hit"), F.max(F.when(F.col("place") == 1, F.col("confidence"))).alias("confidence"))
+    r = rules.select(F.lower("query").alias("query"), F.col("label").alias("to"))
+    parts = max(1, -(-r.count() // MAX_RULES))
+    found = []
+    for k in range(parts):
+        held = (r.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k) if parts > 1 else r).agg(F.collect_list(F.struct("query", "to")).alias("rules"))
+        meets = F.filter("rules", lambda x: F.col("low").contains(x["query"]) | x["query"].contains(F.col("low")))
+        hit = F.array_min(F.transform(meets, lambda x: F.struct(F.col("place"), x["query"].alias("query"), x["to"].alias("to"))))
+        found.append(p.crossJoin(F.broadcast(held)).select("result_id", hit.alias("hit"), F.when(F.col("place") == 1, F.col("confidence")).alias("confidence")))  # one row of about MAX_RULES rules
+    met = reduce(DataFrame.unionAll, found).groupBy("result_id").agg(F.min("hit").alias("hit"), F.max("confidence").alias("confidence"))
     other = F.lit("reject" if strict else "keep")
     decision = F.when(F.col("confidence") < least, other).when(F.col("hit").isNull(), other).when(F.col("hit.to").isNull(), "reject").otherwise("accept")
     return met.select("result_id", decision.alias("decision"), F.when(decision == "accept", F.col("hit.to")).alias("label"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import boxes as B
+from boxwright.functions.stored import stored
+from boxwright.operators.numbering import running_max, running_sums
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -46,17 +50,26 @@ def image_counts(predictions: DataFrame, truth: DataFrame, matches: DataFrame, k
     return n.select(*keys, "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def average_precision(flagged: DataFrame, truths: int) -> DataFrame:
-    """ap: area under the precision envelope. flagged: score, hit. Predictions of equal score are one step of the curve.
+def average_precision(flagged: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ap: area under the precision envelope of each key. flagged: keys, score, hit; truths: keys, truths.
 
-    The curve has a row for each distinct score, so scores are rounded to a fixed number of places before.
+    Predictions of equal score are one step of the curve. Running sums and the envelope come from ranges of (keys, score), so
+    no task sees a whole curve; keys with truth and no hit have 0.
     """
-    steps = flagged.groupBy(F.round("score", 4).alias("score")).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select("score", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp")).select("score", (F.col("tp") / F.lit(max(truths, 1))).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return curve.select((F.max("precision").over(up) * (F.col("recall") - before)).alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("ap"))
+    steps = flagged.groupBy(*keys, "score").agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("m"))
+    of = [F.col(k) for k in keys]
+    summed = stored(running_sums(steps, [*of, F.desc("score")], {"tp": F.col("h"), "fp": F.col("m")}), "curve")
+    # what lies before a key's own steps
+    base = summed.groupBy(*keys).agg(F.min(F.struct(F.col("tp") + F.col("fp"), "tp", "fp", "h", "m")).alias("b")).select(*keys, (F.col("b.tp") - F.col("b.h")).alias("tp0"), (F.col("b.fp") - F.col("b.m")).alias("fp0"))
+    own = summed.join(base, keys).join(truths, keys).withColumns({"tp": F.col("tp") - F.col("tp0"), "fp": F.col("fp") - F.col("fp0")})
+    curve = own.select(*keys, "score", "h", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.greatest("truths", F.lit(1)).alias("truths"))
+    # the best precision at this score or a lower one: a running maximum over the reverse order, of (key's number, precision)
+    number = curve.select(*keys).distinct().withColumn("key", F.xxhash64(*keys))  # keys are few: labels, thresholds
+    ranked = stored(curve.join(number, keys), "curve")
+    envelope = running_max(ranked, [F.col("key"), F.asc("score")], "top", F.struct("key", "precision"))
+    area = F.sum(F.col("top.precision") * F.col("h") / F.col("truths"))
+    found = envelope.groupBy(*keys).agg(area.alias("ap"))
+    return truths.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def f_beta(tp: Column, fp: Column, fn: Column, beta: float) -> Column:
@@ -71,16 +84,35 @@ def mask_metrics(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": of(tp / (tp + fp)), "recall": of(tp / (tp + fn)), "dice": of(2 * tp / (2 * tp + fp + fn)), "iou": of(tp / (tp + fp + fn))}
 
 
-def wilcoxon(pairs: DataFrame, places: int = 3) -> DataFrame:
-    """n, w, rank_biserial, z of the signed ranks of column delta, zeros left out.
+#: Pairs up to which the distribution of the rank sum is taken whole.
+EXACT = 50
+
+
+def signed_rank_p(n: int, w: float, z: float | None, ties: int) -> float | None:
+    """Two-sided p of the smaller rank sum: exact for up to EXACT pairs without ties, else by the normal approximation."""
+    if n <= EXACT and not ties:
+        ways = [1] + [0] * (n * (n + 1) // 2)  # subsets of 1..n by their sum
+        for r in range(1, n + 1):
+            for s in range(len(ways) - 1, r - 1, -1):
+                ways[s] += ways[s - r]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+
+
+def wilcoxon(pairs: DataFrame) -> DataFrame:
+    """n, w, rank_biserial, z, p, note of the signed ranks of column delta, zeros left out.
 
-    Differences are rounded to some places: equal ones are one row, and ranks are sums over these alone.
+    Ranks are running sums over ranges of the differences' sizes, equal ones a row. Under ten pairs nothing is told but a note.
     """
-    d = pairs.where("delta is not null and not isnan(delta)").select(F.round("delta", places).alias("d")).where("d <> 0")
+    d = pairs.where("delta is not null and not isnan(delta)").select(F.col("delta").alias("d")).where("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = sizes.withColumn("rank", F.sum("n").over(Window.orderBy("size")) - (F.col("n") - 1) / 2)
+    ranked = running_sums(sizes, [F.col("size")], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     sums = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1)).alias("ties"))
-    n, w = F.col("n").cast("double"), F.least("plus", "minus")
-    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    enough = F.col("n") >= 10
-    return sums.select("n", F.when(enough, w).alias("w"), F.when(enough, 1 - 2 * w / (n * (n + 1) / 2)).alias("rank_biserial"), F.when(enough & (spread > 0), (w - n * (n + 1) / 4) / spread).alias("z"))
+    r = sums.first()  # one row
+    n, w = r["n"], None if r["plus"] is None else min(r["plus"], r["minus"])
+    enough = n >= 10
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - r["ties"] / 48) if enough else 0.0
+    z = (w - n * (n + 1) / 4) / spread if spread > 0 else None
+    note = None if enough else "no differences" if n == 0 else "too few pairs"
+    row = (n, w if enough else None, 1 - 2 * w / (n * (n + 1) / 2) if enough else None, z, signed_rank_p(n, w, z, r["ties"]) if enough else None, note)
+    return pairs.sparkSession.createDataFrame([row], "n long, w double, rank_biserial double, z double, p double, note string")

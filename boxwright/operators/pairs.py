@@ -10,11 +10,16 @@ from boxwright.functions import boxes as B
 XY = ["x1", "y1", "x2", "y2"]
 
 
+def meeting(a: str, b: str) -> Column:
+    """Whether two boxes, given by the prefixes of their columns, share an area."""
+    c = F.col
+    return (c(f"{a}x1") < c(f"{b}x2")) & (c(f"{b}x1") < c(f"{a}x2")) & (c(f"{a}y1") < c(f"{b}y2")) & (c(f"{b}y1") < c(f"{a}y2"))
+
+
 def overlapping_pairs(detections: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (a_, b_; a's id below b's) of an image that share an area."""
     side = lambda p: detections.select("image_id", *[F.col(c).alias(f"{p}_{c}") for c in ["det_id", *XY, *columns]])
-    meet = (F.col("a_det_id") < F.col("b_det_id")) & (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2"))
-    return side("a").join(side("b"), "image_id").where(meet)
+    return side("a").join(side("b"), "image_id").where((F.col("a_det_id") < F.col("b_det_id")) & meeting("a_", "b_"))
 
 
 def overlapping_pairs_grid(detections: DataFrame, columns: list[str], cell: float = 64.0, key: str = "image_id", inclusive: bool = False) -> DataFrame:
@@ -41,18 +46,19 @@ def geometry_features(detections: DataFrame) -> DataFrame:
     return scalar.join(agg, "det_id", "left").withColumns(zero)
 
 
-def box_graph(detections: DataFrame) -> DataFrame:
-    """Edges from the larger to the smaller box (the smaller id of equal ones) with their features."""
+def _edges(detections: DataFrame) -> DataFrame:
+    """box_graph() with what its parents' statistics need besides."""
     p = overlapping_pairs(detections, ["label", "width", "height"])
     a, b = B.box("a_"), B.box("b_")
     larger = B.area(a) >= B.area(b)
     (ax, ay), (bx, by) = B.centre(a), B.centre(b)
     inter, big, small = B.intersection(a, b), F.greatest(B.area(a), B.area(b)), F.least(B.area(a), B.area(b))
     con = inter / F.greatest(small, F.lit(1e-6))
+    child = lambda x, y: F.when(larger, y).otherwise(x)
     return p.select(
         "image_id",
         F.when(larger, F.col("a_det_id")).otherwise(F.col("b_det_id")).alias("parent_id"),
-        F.when(larger, F.col("b_det_id")).otherwise(F.col("a_det_id")).alias("child_id"),
+        child(F.col("a_det_id"), F.col("b_det_id")).alias("child_id"),
         (inter / F.greatest(big + small - inter, F.lit(1e-6))).alias("iou"),
         inter.alias("inter"),
         con.alias("containment"),
@@ -62,32 +68,43 @@ def box_graph(detections: DataFrame) -> DataFrame:
         (F.least(B.aspect(a), B.aspect(b)) / F.greatest(B.aspect(a), B.aspect(b), F.lit(1e-6))).alias("aspect_similarity"),
         (F.col("a_label") == F.col("b_label")).alias("label_agreement"),
         F.when(con >= 0.9, "containment").otherwise("overlap").alias("edge_type"),
+        child(F.col("a_label"), F.col("b_label")).alias("child_label"),
+        child(ax, bx).alias("cx"),
+        child(ay, by).alias("cy"),
+        big.alias("parent_area"),
     ).where((F.col("containment") >= 0.5) | (F.col("iou") >= 0.1))
 
 
-def child_stats(edges: DataFrame, detections: DataFrame) -> DataFrame:
-    """parent_id, children, diversity, coverage, alignment of the centres (1 - smaller over larger eigenvalue), crack_ratio."""
-    cx, cy = B.centre(B.box())
-    child = detections.select(F.col("det_id").alias("child_id"), F.col("label").alias("child_label"), cx.alias("cx"), cy.alias("cy"))
-    parent = detections.select(F.col("det_id").alias("parent_id"), B.area(B.box()).alias("parent_area"))
-    j = edges.where("containment >= 0.9").join(child, "child_id").join(parent, "parent_id")
-    s = j.groupBy("parent_id").agg(F.count("*").alias("children"), F.countDistinct("child_label").alias("diversity"), F.sum("inter").alias("inter"), F.max("parent_area").alias("parent_area"), F.var_pop("cx").alias("vx"), F.var_pop("cy").alias("vy"), F.covar_pop("cx", "cy").alias("vxy"), F.avg((F.col("child_label") == "crack").cast("double")).alias("crack_ratio"))
+def box_graph(detections: DataFrame) -> DataFrame:
+    """Edges from the larger to the smaller box (the smaller id of equal ones) with their features."""
+    return _edges(detections).drop("child_label", "cx", "cy", "parent_area")
+
+
+def _nested(detections: DataFrame) -> DataFrame:
+    """det_id, and the statistics of its children (null without one), of the boxes at either end of a containment: the graph is built and grouped once."""
+    e = _edges(detections).where("containment >= 0.9")
+    features = ["child_label", "cx", "cy", "inter", "parent_area"]
+    end = lambda own, is_parent: F.struct(F.col(own).alias("det_id"), *[(F.col(c) if is_parent else F.lit(None)).alias(c) for c in features])
+    rows = e.select(F.inline(F.array(end("parent_id", True), end("child_id", False))))
+    s = rows.groupBy("det_id").agg(F.count("inter").alias("children"), F.size(F.collect_set("child_label")).alias("diversity"), F.sum("inter").alias("inter"), F.max("parent_area").alias("parent_area"), F.var_pop("cx").alias("vx"), F.var_pop("cy").alias("vy"), F.covar_pop("cx", "cy").alias("vxy"), F.avg((F.col("child_label") == "crack").cast("double")).alias("crack_ratio"))
     half, root = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, F.lit(2)) + F.pow(F.col("vxy"), F.lit(2)))
     l1, l2 = half + root, half - root
     aligned = F.when(F.col("children") == 1, 1.0).when(l1 <= 1e-6, 0.0).otherwise(1 - F.greatest(l2, F.lit(0.0)) / F.greatest(l1, F.lit(1e-6)))
-    return s.select("parent_id", "children", "diversity", F.least(F.lit(1.0), F.col("inter") / F.greatest("parent_area", F.lit(1e-6))).alias("coverage"), aligned.alias("alignment"), "crack_ratio")
+    return s.select("det_id", "children", F.col("diversity").cast("long").alias("diversity"), F.least(F.lit(1.0), F.col("inter") / F.greatest("parent_area", F.lit(1e-6))).alias("coverage"), aligned.alias("alignment"), "crack_ratio")
+
+
+def child_stats(detections: DataFrame) -> DataFrame:
+    """parent_id, children, diversity, coverage, alignment of the centres (1 - smaller over larger eigenvalue), crack_ratio."""
+    return _nested(detections).where("children > 0").withColumnRenamed("det_id", "parent_id")
 
 
 def box_quality(detections: DataFrame, semantic: Column, margin: Column) -> DataFrame:
     """det_id, quality, decision, reason of each box. semantic, margin: its label's score and lead."""
-    edges = box_graph(detections)
-    stats = child_stats(edges, detections).withColumnRenamed("parent_id", "det_id")
-    contained = edges.where("containment >= 0.9")
-    involved = contained.select(F.col("parent_id").alias("det_id")).union(contained.select("child_id")).distinct().withColumn("involved", F.lit(True))
-    rows = detections.withColumns({"sem": semantic, "margin": margin, "elong": B.elongation(B.box()), "ratio": B.area(B.box()) / (F.col("width") * F.col("height"))}).join(stats, "det_id", "left").join(involved, "det_id", "left")
+    stats = _nested(detections).withColumn("involved", F.lit(True))
+    rows = detections.withColumns({"sem": semantic, "margin": margin, "elong": B.elongation(B.box()), "ratio": B.area(B.box()) / (F.col("width") * F.col("height"))}).join(stats, "det_id", "left")
     n = F.coalesce("children", F.lit(0))
     composite = (n >= 2) & (F.coalesce("diversity", F.lit(0)) > 1)
-    broad = (F.col("ratio") >= 0.25) & (F.coalesce("coverage", F.lit(0.0)) <= 0.35) & (F.col("sem") <= 0.65)
+    broad = (F.col("ratio") >= 0.25) & (F.when(n > 0, F.col("coverage")).otherwise(0.0) <= 0.35) & (F.col("sem") <= 0.65)
     long_crack = (F.col("label") == "crack") & (F.col("elong") >= 3) & F.when(n == 0, (F.col("sem") >= 0.75) & (F.col("margin") >= 0.05)).otherwise((F.col("crack_ratio") >= 0.75) & (F.col("alignment") >= 0.60))
     lead = F.least(F.lit(1.0), F.col("margin") / 0.10)
     quality = B.clip01(0.25 * F.col("score") + 0.25 * F.col("sem") + 0.15 * lead - 0.20 * broad.cast("double") - 0.20 * composite.cast("double"))
@@ -100,7 +117,7 @@ def best_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """pred_id, best_iou, truth_id: each prediction's best truth box of its image and label (0, null if none)."""
     p = predictions.select("image_id", "label", *[F.col(c).alias(f"a_{c}") for c in ["det_id", *XY]])
     t = truth.select("image_id", "label", *[F.col(c).alias(f"b_{c}") for c in ["det_id", *XY]])
-    j = p.join(t, ["image_id", "label"], "left").withColumn("iou", F.coalesce(B.iou(B.box("a_"), B.box("b_")), F.lit(0.0)))
+    j = p.alias("p").join(t.alias("t"), (F.col("p.image_id") == F.col("t.image_id")) & (F.col("p.label") == F.col("t.label")) & meeting("a_", "b_"), "left").withColumn("iou", F.coalesce(B.iou(B.box("a_"), B.box("b_")), F.lit(0.0)))
     best = F.max_by(F.struct("b_det_id", "iou"), F.struct("iou", -F.col("b_det_id")))
     return j.groupBy(F.col("a_det_id").alias("pred_id")).agg(best.alias("m")).select("pred_id", F.col("m.iou").alias("best_iou"), F.when(F.col("m.iou") > 0, F.col("m.b_det_id")).alias("truth_id"))
 

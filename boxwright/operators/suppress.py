@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boxwright.functions import boxes as B
 
 from .components import components
-from .pairs import overlapping_pairs_grid
+from .pairs import meeting, overlapping_pairs_grid
 
 _FIELDS = ["det_id", "label", "score", "x1", "y1", "x2", "y2"]
 
@@ -51,19 +51,19 @@ def cap(detections: DataFrame, n: int) -> DataFrame:
     return detections.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def pairs(detections: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of the same image side by side (a_, b_)."""
+def pairs(detections: DataFrame, columns: list[str], met: Column) -> DataFrame:
+    """Boxes of an image that share an area and meet a condition, side by side (a_, b_)."""
     side = lambda p: detections.select("image_id", *[F.col(c).alias(f"{p}_{c}") for c in columns])
-    return side("a").join(side("b"), "image_id")
+    return side("a").join(side("b"), "image_id").where(met & meeting("a_", "b_"))
 
 
 def parent_filter(detections: DataFrame, share: float = 0.7) -> DataFrame:
     """Drops a box if a smaller one that comes before it (by score, id) has the share of its own area inside."""
     w = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
     placed = detections.withColumn("pos", F.row_number().over(w))
-    p = pairs(placed, ["det_id", "pos", "x1", "y1", "x2", "y2"])
+    p = pairs(placed, ["det_id", "pos", "x1", "y1", "x2", "y2"], F.col("b_pos") < F.col("a_pos"))
     a, b = B.box("a_"), B.box("b_")
-    parents = p.where((F.col("b_pos") < F.col("a_pos")) & (B.area(b) < B.area(a)) & (B.area(b) > 0) & (B.intersection(a, b) / F.greatest(B.area(b), F.lit(1e-9)) >= share)).select("image_id", F.col("a_det_id").alias("det_id"))
+    parents = p.where((B.area(b) < B.area(a)) & (B.area(b) > 0) & (B.intersection(a, b) / F.greatest(B.area(b), F.lit(1e-9)) >= share)).select("image_id", F.col("a_det_id").alias("det_id"))
     return detections.join(parents, ["image_id", "det_id"], "left_anti")
 
 
@@ -77,17 +77,15 @@ def quality(detections: DataFrame) -> Column:
 
 
 def adaptive_thresholds(detections: DataFrame) -> DataFrame:
-    """image_id, iou_t, contain_t, area_t: clipped quantiles of the overlaps of all pairs; fixed values where none overlap."""
-    p = pairs(detections, ["det_id", "x1", "y1", "x2", "y2"]).where("a_det_id < b_det_id")
+    """image_id, iou_t, contain_t, area_t of images with two boxes or more: clipped quantiles of the overlaps of all pairs; fixed values where none overlap."""
+    p = pairs(detections, ["det_id", "x1", "y1", "x2", "y2"], F.col("a_det_id") < F.col("b_det_id"))
     a, b = B.box("a_"), B.box("b_")
     f = p.select("image_id", B.iou(a, b).alias("iou"), B.containment(a, b).alias("con"), B.area_ratio(a, b).alias("ratio"))
     clip = lambda v, lo, hi, default: F.coalesce(F.least(F.greatest(v, F.lit(lo)), F.lit(hi)), F.lit(default))
     q = lambda cond, c, x: F.percentile(F.when(cond, F.col(c)), F.lit(x))
-    return f.groupBy("image_id").agg(
-        clip(q(F.col("iou") > 0.02, "iou", 0.72), 0.38, 0.62, 0.50).alias("iou_t"),
-        clip(q(F.col("con") > 0.50, "con", 0.80), 0.82, 0.94, 0.88).alias("contain_t"),
-        clip(q(F.col("con") > 0.50, "ratio", 0.35), 0.25, 0.55, 0.35).alias("area_t"),
-    )
+    found = f.groupBy("image_id").agg(q(F.col("iou") > 0.02, "iou", 0.72).alias("i"), q(F.col("con") > 0.50, "con", 0.80).alias("c"), q(F.col("con") > 0.50, "ratio", 0.35).alias("r"))
+    several = detections.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id")
+    return several.join(found, "image_id", "left").select("image_id", clip(F.col("i"), 0.38, 0.62, 0.50).alias("iou_t"), clip(F.col("c"), 0.82, 0.94, 0.88).alias("contain_t"), clip(F.col("r"), 0.25, 0.55, 0.35).alias("area_t"))
 
 
 def adaptive_filter(detections: DataFrame) -> DataFrame:

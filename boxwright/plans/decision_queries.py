@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.operators import decide, prototypes, votes
@@ -34,9 +34,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("det_id").alias("result_id"), "image_id", "label", "score", "prompt_key", *[F.expr(e).alias(k) for k, e in SIGNALS.items()])
 
 
-def ballots(s: DataFrame) -> DataFrame:
-    one = lambda source, label, score: s.select("result_id", F.lit(source).alias("source"), F.col(label).alias("label"), F.col(score).alias("score"))
-    return one("detector", "label", "score").unionByName(one("clip", "clip_label", "clip_score")).unionByName(one("prototype", "proto_label", "proto_sim")).unionByName(one("core", "core_label", "core_sim")).where("label is not null")
+def ballots(*leave_out: str) -> Column:
+    named = {"detector": ("label", "score"), "clip": ("clip_label", "clip_score"), "prototype": ("proto_label", "proto_sim"), "core": ("core_label", "core_sim")}
+    return votes.ballots(**{k: (F.col(a), F.col(b)) for k, (a, b) in named.items() if k not in leave_out})
 
 
 _BALLOTS = f"""{_SIG}, v AS (SELECT result_id, 'detector' AS source, label, score FROM sig UNION ALL SELECT result_id, 'clip', clip_label, clip_score FROM sig UNION ALL SELECT result_id, 'prototype', proto_label, proto_sim FROM sig WHERE proto_label IS NOT NULL UNION ALL SELECT result_id, 'core', core_label, core_sim FROM sig WHERE core_label IS NOT NULL),
@@ -47,8 +47,8 @@ agree AS (SELECT result_id, max(label) FILTER (place = 1) AS majority_label, max
 
 @query("a9_majority_vote", f"{_BALLOTS} SELECT result_id, majority_label, agreement_ratio, strong_agreement_count, array_to_string(conflict_labels, ',') AS conflict_labels, round(entropy, 6) + 0.0 AS entropy FROM agree")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = votes.majority(ballots(signals(spark, sf_dir)), "result_id")
-    return out.withColumns({"conflict_labels": F.array_join("conflict_labels", ","), "entropy": F.round("entropy", 6) + 0.0})
+    out = votes.majority(signals(spark, sf_dir), ballots())
+    return out.select("result_id", "majority_label", "agreement_ratio", "strong_agreement_count", F.array_join("conflict_labels", ",").alias("conflict_labels"), (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
 _WIN = """top AS (SELECT *, max(n) OVER (PARTITION BY result_id) AS most FROM (SELECT result_id, label, count(*) AS n FROM v WHERE source <> 'clip' GROUP BY ALL)),
@@ -57,7 +57,7 @@ win AS (SELECT result_id, CASE WHEN count(*) = 1 AND max(n) >= 2 THEN max(label)
 
 @query("a10_unique_winner", f"{_BALLOTS}, {_WIN} SELECT * FROM win")
 def unique_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return votes.unique_winner(ballots(signals(spark, sf_dir)).where("source <> 'clip'"), "result_id")
+    return votes.unique_winner(signals(spark, sf_dir), ballots("clip")).select("result_id", "winner")
 
 
 _SEED = """ini AS (SELECT s.result_id, s.label AS initial_label, CASE s.prompt_key WHEN 'p0' THEN s.label END AS seed_label, s.clip_label, s.clip_score,
@@ -71,14 +71,13 @@ i3 AS (SELECT *, majority_label <> top AND agreement_ratio >= 0.75 AS relabel, a
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     seed = F.when(F.col("prompt_key") == "p0", F.col("label"))
-    rows = s.select("result_id", F.col("label").alias("initial_label"), seed.alias("seed_label"), "clip_label", "clip_score", F.when(seed.isNotNull(), F.col("score")).otherwise(F.col("clip_score")).alias("top_score"), "second_score", (F.coalesce(seed, "clip_label") == F.col("label")).alias("detector_agrees"))
-    return rows.join(votes.majority(ballots(s), "result_id"), "result_id")
+    return votes.majority(s, ballots()).select("result_id", F.col("label").alias("initial_label"), seed.alias("seed_label"), "clip_label", "clip_score", F.when(seed.isNotNull(), F.col("score")).otherwise(F.col("clip_score")).alias("top_score"), "second_score", (F.coalesce(seed, "clip_label") == F.col("label")).alias("detector_agrees"), "majority_label", "agreement_ratio", "strong_agreement_count")
 
 
 @query(
     "d2_initial_decision",
     f"""{_BALLOTS}, {_SEED} SELECT result_id, top AS suggested_label, CASE WHEN relabel THEN majority_label ELSE top END AS final_label, CASE WHEN relabel THEN 'relabel_candidate' WHEN low THEN 'suspect' WHEN accepted THEN 'auto_accept' ELSE 'suspect' END AS decision_type, round(reliability, 6) AS reliability,
-  concat_ws(',', CASE WHEN NOT detector_agrees THEN 'detector_semantic_conflict' END, CASE WHEN seed_label IS NOT NULL THEN 'detector_seed_label' END) AS some_reasons FROM i3""".replace("concat_ws(',', CASE WHEN NOT", "concat_ws(',', CASE WHEN seed_label IS NOT NULL THEN 'detector_seed_label' END, CASE WHEN NOT").replace(", CASE WHEN seed_label IS NOT NULL THEN 'detector_seed_label' END) AS", ", CASE WHEN top_score >= 0.75 AND margin >= 0.1 THEN 'high_consensus' END, CASE WHEN margin < 0.03 THEN 'low_margin' END, CASE WHEN NOT (relabel OR low OR accepted) AND weak AND margin >= 0.03 THEN 'low_semantic_reliability' END, CASE WHEN relabel THEN 'majority_relabels_openclip' END, CASE WHEN agreement_ratio >= 0.75 THEN 'model_agreement_high' END, CASE WHEN low THEN 'model_disagreement' END, CASE WHEN NOT (relabel OR low OR accepted OR weak) THEN 'needs_core_or_prototype_evidence' END, CASE WHEN NOT ca THEN 'openclip_seed_conflict' END, CASE WHEN top <> initial_label THEN 'top_score_differs_from_initial_label' END) AS"),
+  concat_ws(',', CASE WHEN seed_label IS NOT NULL THEN 'detector_seed_label' END, CASE WHEN NOT detector_agrees THEN 'detector_semantic_conflict' END, CASE WHEN top_score >= 0.75 AND margin >= 0.1 THEN 'high_consensus' END, CASE WHEN margin < 0.03 THEN 'low_margin' END, CASE WHEN NOT (relabel OR low OR accepted) AND weak AND margin >= 0.03 THEN 'low_semantic_reliability' END, CASE WHEN relabel THEN 'majority_relabels_openclip' END, CASE WHEN agreement_ratio >= 0.75 THEN 'model_agreement_high' END, CASE WHEN low THEN 'model_disagreement' END, CASE WHEN NOT (relabel OR low OR accepted OR weak) THEN 'needs_core_or_prototype_evidence' END, CASE WHEN NOT ca THEN 'openclip_seed_conflict' END, CASE WHEN top <> initial_label THEN 'top_score_differs_from_initial_label' END) AS some_reasons FROM i3""",
 )
 def initial_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decide.initial(seeded(spark, sf_dir))
@@ -90,7 +89,7 @@ def initial_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
-    rows = s.join(votes.majority(ballots(s), "result_id"), "result_id").select(
+    rows = votes.majority(s, ballots()).select(
         "result_id",
         F.col("label").alias("initial_label"),
         F.col("label").alias("final_label"),
@@ -186,7 +185,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows that change."""
     s = signals(spark, sf_dir)
-    j = s.join(votes.unique_winner(ballots(s).where("source <> 'clip'"), "result_id"), "result_id")
+    j = votes.unique_winner(s, ballots("clip"))
     rejected = F.coalesce((F.col("proto_label") == "reject") & (F.col("proto_sim") >= 0.5), F.lit(False))
     to = F.when(rejected, "reject").otherwise(F.coalesce("winner", "label"))
     return j.select("result_id", F.col("label").alias("from_label"), to.alias("to_label")).where("from_label <> to_label")

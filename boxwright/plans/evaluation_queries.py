@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +31,27 @@ def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.image_counts(p, t, E.greedy_matches(p, t), ["image_id"])
 
 
+def _flagged(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
+    p, t = sides(spark, sf_dir)
+    hit = E.greedy_matches(p, t, threshold).select(F.col("pred_id").alias("det_id"), F.lit(True).alias("hit"))
+    return p.join(hit, "det_id", "left").select("label", "score", F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(threshold).alias("threshold"))
+
+
 @query("e2_average_precision")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By label."""
-    p, t = sides(spark, sf_dir)
-    hit = E.greedy_matches(p, t).select(F.col("pred_id").alias("det_id"), F.lit(True).alias("hit"))
-    flagged = p.join(hit, "det_id", "left").select("label", "score", F.coalesce("hit", F.lit(False)).alias("hit"))
-    truths = {r["label"]: r["n"] for r in t.groupBy("label").agg(F.count("*").alias("n")).collect()}  # three labels
-    out = None
-    for label, n in sorted(truths.items()):
-        one = E.average_precision(flagged.where(F.col("label") == label), n).select(F.lit(label).alias("label"), F.round("ap", 6).alias("ap"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """By label, at an IoU of .5."""
+    truths = sides(spark, sf_dir)[1].groupBy("label").agg(F.count("*").alias("truths"))
+    return E.average_precision(_flagged(spark, sf_dir, 0.5).drop("threshold"), truths, ["label"])
+
+
+@query("e2_mean_average_precision")
+def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By label, the mean over IoU thresholds .50 to .95: all curves in one pass over (label, threshold)."""
+    thresholds = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    flagged = reduce(DataFrame.unionByName, (_flagged(spark, sf_dir, t) for t in thresholds))
+    at = spark.createDataFrame([(t,) for t in thresholds], "threshold double")
+    truths = sides(spark, sf_dir)[1].groupBy("label").agg(F.count("*").alias("truths")).crossJoin(F.broadcast(at))  # ten rows
+    return E.average_precision(flagged, truths, ["label", "threshold"]).groupBy("label").agg(F.avg("ap").alias("map"))
 
 
 _HIT = "CASE WHEN label = 'crack' THEN 1 ELSE 0 END"

@@ -114,28 +114,3 @@ def yolo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string("%d %.6f %.6f %.6f %.6f", index, F.expr("(x1 + x2) / 2 / width"), F.expr("(y1 + y2) / 2 / height"), F.expr("(x2 - x1) / width"), F.expr("(y2 - y1) / height"))
     lines = F.array_sort(F.collect_list(F.struct("det_id", line.alias("line"))))
     return detections(spark, sf_dir).groupBy("image_id").agg(lines.alias("l")).select("image_id", F.array_join("l.line", "\n").alias("content"))
-
-
-@query("k9_coco_annotations", f"{BOTH}, a AS (SELECT row_number() OVER (ORDER BY image_id, det_id) AS id, dense_rank() OVER (ORDER BY image_id) AS image, {_INDEX} + 1 AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM det) SELECT id, image, category_id, x, y, w, h, w * h AS area FROM a")
-def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential ids without a global window: images are numbered by sums over ranges of ids, annotations within them."""
-    d = detections(spark, sf_dir)
-    sizes = d.groupBy("image_id").agg(F.count("*").alias("n"))
-    span = F.floor(F.col("image_id") / 4096)
-    blocks = sizes.groupBy(span.alias("block")).agg(F.count("*").alias("images"), F.sum("n").alias("boxes"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for 4096 ids
-    base = blocks.select("block", F.coalesce(F.sum("images").over(before), F.lit(0)).alias("images"), F.coalesce(F.sum("boxes").over(before), F.lit(0)).alias("boxes"))
-    own = Window.partitionBy("block").orderBy("image_id")
-    placed = sizes.withColumn("block", span).join(base, "block").select("image_id", (F.col("images") + F.row_number().over(own)).alias("image"), (F.col("boxes") + F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("first"))
-    number = F.row_number().over(Window.partitionBy("image_id").orderBy("det_id"))
-    category = F.when(F.col("label") == "crack", 1).when(F.col("label") == "mold", 2).otherwise(3)
-    j = d.withColumn("number", number).join(placed, "image_id")
-    return j.select((F.col("first") + F.col("number")).alias("id"), F.col("image").cast("long").alias("image"), category.alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"), F.expr("(x2 - x1) * (y2 - y1)").alias("area"))
-
-
-@query("k15_unique_names", f"{BOTH}, n AS (SELECT image_id, rel_path, image_id % 50 AS base, 'scan_' || (source_id % 7) AS dir FROM img), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY rel_path) AS k, row_number() OVER (PARTITION BY base, dir ORDER BY rel_path) AS j FROM n) SELECT image_id, CASE WHEN k = 1 THEN 'img_' || base ELSE dir || '__img_' || base || CASE WHEN j > 1 THEN '_' || j ELSE '' END END AS name FROM r")
-def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = images(spark, sf_dir).select("image_id", "rel_path", (F.col("image_id") % 50).alias("base"), F.concat(F.lit("scan_"), F.col("source_id") % 7).alias("dir"))
-    r = i.withColumns({"k": F.row_number().over(Window.partitionBy("base").orderBy("rel_path")), "j": F.row_number().over(Window.partitionBy("base", "dir").orderBy("rel_path"))})
-    plain = F.concat(F.lit("img_"), "base")
-    return r.select("image_id", F.when(F.col("k") == 1, plain).otherwise(F.concat("dir", F.lit("__"), plain, F.when(F.col("j") > 1, F.concat(F.lit("_"), "j")).otherwise(""))).alias("name"))
