@@ -6,13 +6,16 @@ bits.
 
 A fingerprint is a ring of SEGMENTS = MOST + 1 segments. If two fingerprints differ in at most MOST bits, then on the
 ring some chain starts at which the differences of the first 1, 2, 3 ... segments never exceed their share MOST *
-length / SEGMENTS: the strong pigeonhole principle. The first segment's share is below one bit, so chains are found by
-equality of that segment (an exchange on segment and value); within such a bucket the longer chains' budgets discard
-pairs one segment after another, and only what is left gets the full Hamming check.
+length / SEGMENTS: the strong pigeonhole principle. The first segment's share is below one bit and that of the first two
+below two, so a chain's first two segments are equal but for one bit of the second. Each fingerprint is therefore a base
+under the key of two neighbouring segments, for each segment, and a probe under the keys that one more set bit of the
+second segment makes (of two segments that differ in a bit, one has it set): pairs meet under one key of 26 bits. There
+the longer chains' budgets discard pairs one segment after another, and only what is left gets the full Hamming check.
 
-Equal fingerprints are one node. A bucket of over CHUNK fingerprints is dealt into chunks, and each pair of chunks is a
-tile of its own, so that no task holds an unbounded bucket. A tile keeps all links for connectivity but returns only a
-forest of them. Components are found on Spark (components.py).
+Equal fingerprints are one node. Keys of over about CHUNK rows (by a sample of the fingerprints, which decides on the
+dealing alone) are dealt into chunks, and each pair of chunks is a tile of its own, so that no task holds an unbounded
+bucket. A tile keeps all links for connectivity but returns only a forest of them. Components are found on Spark
+(components.py).
 
 A null or empty text, or one of white space, has fingerprint zero, which links like any other. Texts with fewer than
 four words are one shingle. Repeated rows are in one component; rows with a null id get one too (the smallest id that
@@ -34,8 +37,10 @@ from .util import fresh, map_batches, stored, table, utf8
 
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = MOST + 1
-#: Fingerprints of a bucket that one tile takes on each side.
-CHUNK = 512
+#: Rows of a key that one tile takes on each side, and the share of the fingerprints by which keys are counted.
+CHUNK, SAMPLE = 512, 16
+#: Rows, and links, that a task takes at a time.
+ROWS, LINKS = 1 << 16, 1 << 20
 #: Fingerprint bits of each segment: (lowest bit, bits).
 BOUNDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -63,20 +68,19 @@ def fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(rows, lambda ids, tags, texts: {"doc_id": ids, "tag": tags, "fp": [signed(fingerprint(t)) for t in texts]}, "doc_id long, tag long, fp long")
 
 
-def chain_links(a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs (a, b), equal in segment first, that differ in at most MOST bits; longer chains are tested one segment after another."""
-    masks = [np.uint64(((1 << n) - 1) << lo) for lo, n in BOUNDS]
-    ring = [(first + k) % SEGMENTS for k in range(1, SEGMENTS)]
-    differing = a[:, None] ^ b[None, :]
-    i, j = np.nonzero(np.bitwise_count(differing & masks[ring[0]]) <= 2 * MOST // SEGMENTS)
-    x = differing[i, j]
-    chain = masks[ring[0]]
-    for length, segment in enumerate(ring[1:], 3):
-        chain = chain | masks[segment]
-        keep = np.bitwise_count(x & chain) <= length * MOST // SEGMENTS
-        i, j, x = i[keep], j[keep], x[keep]
-    keep = np.bitwise_count(x) <= MOST
-    return i[keep], j[keep]
+_MASKS = [((1 << n) - 1) << lo for lo, n in BOUNDS]
+#: For each first segment, the masks of the chains of 3 and of more segments, with the bits in which they may differ.
+CHAINS = [(np.array([sum(_MASKS[(k + i) % SEGMENTS] for i in range(length)) for k in range(SEGMENTS)], np.uint64), length * MOST // SEGMENTS) for length in range(3, SEGMENTS + 1)]
+
+
+def chain_links(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) that differ in at most MOST bits, of those whose first two segments (from first on) are within their share; longer chains are tested one after another, the whole ring last."""
+    at = np.arange(len(a))
+    x = a ^ b
+    for masks, most in CHAINS:
+        keep = np.bitwise_count(x & masks[first]) <= most
+        at, x, first = at[keep], x[keep], first[keep]
+    return at
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,61 +99,85 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, label[nodes]
 
 
-def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (segment, value, low, high, chunk, fp), sorted by tile: links of each tile."""
+#: A tile is key << 32 | low chunk << 16 | high chunk, and a key segment << 26 | its value << 13 | the next one's; flags: probe, of the high chunk.
+PROBE, HIGH = 1, 2
 
-    def links(tile: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        segment, _, low, high = tile
-        fps = rows["fp"].view(np.uint64)
-        if len(fps) < 2:
-            return None
-        left = fps[rows["chunk"] == low]
-        right = left if low == high else fps[rows["chunk"] == high]
-        i, j = chain_links(left, right, segment)
-        both = left if low == high else np.concatenate([left, right])
-        j = j if low == high else j + len(left)
-        own = i != j
-        if not own.any():
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, fp, flags), sorted by tile: a forest of the links within the tiles."""
+
+    def joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        names, at = np.unique(np.r_[u, v], return_inverse=True)
+        nodes, roots = forest(len(names), at[: len(u)], at[len(u) :])
+        return names[nodes], names[roots]
+
+    def links(rows: np.ndarray) -> pa.RecordBatch | None:
+        tile, fp, flags = rows["tile"], rows["fp"].view(np.uint64), rows["flags"]
+        change = np.flatnonzero(np.diff(tile)) + 1
+        bounds = np.r_[0, change, len(tile)]
+        left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(tile)) - 1  # rows of the tile after this one
+        first = (tile >> 58).astype(np.int64)
+        cross = (tile >> 16) & 0xFFFF != tile & 0xFFFF
+        pairs, n, d = [], 0, 1
+        at = np.flatnonzero(left >= d)
+        while len(at):
+            a, b = flags[at], flags[at + d]
+            good = at[((a & b & PROBE) == 0) & (~cross[at] | ((a ^ b) & HIGH > 0))]
+            met = good[chain_links(fp[good], fp[good + d], first[good])]
+            if len(met):
+                pairs.append((fp[met], fp[met + d]))
+                n += len(met)
+                if n > LINKS:
+                    pairs = [joined(pairs)]
+                    n = len(pairs[0][0])
+            d += 1
+            at = at[left[at] >= d]
+        if not pairs:
             return None
-        nodes, roots = forest(len(both), i[own], j[own])
-        return both[nodes].view(np.int64), both[roots].view(np.int64)
-
-    def found(rows: np.ndarray, final: bool) -> tuple[list, np.ndarray]:
-        """Links of all whole tiles, and the rows of the one that may go on."""
-        keys = rows[["segment", "value", "low", "high"]]
-        starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(rows)] if len(rows) else np.zeros(1, int)
-        out = []
-        for a, b in zip(starts[: -1 if final else -2].tolist(), starts[1:].tolist(), strict=False):
-            if b - a > 1 and (x := links(keys[a].tolist(), rows[a:b])):
-                out.append(x)
-        return out, rows[:0] if final else rows[starts[-2] :] if len(rows) else rows
-
-    kind = np.dtype([("segment", "i4"), ("value", "i4"), ("low", "i4"), ("high", "i4"), ("chunk", "i4"), ("fp", "i8")])
-    rest = np.zeros(0, kind)
+        u, v = joined(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    kind = np.dtype([("tile", "i8"), ("fp", "i8"), ("flags", "i4")])
+    held: list[np.ndarray] = []
     for batch in batches:
         rows = np.zeros(batch.num_rows, kind)
         for name in kind.names:
             rows[name] = batch.column(name).to_numpy()
-        out, rest = found(np.concatenate([rest, rows]), False)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
-    out, _ = found(rest, True)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
+        held.append(rows)
+        if sum(map(len, held)) >= ROWS:
+            rows = np.concatenate(held)
+            cut = int(np.searchsorted(rows["tile"], rows["tile"][-1]))  # the last tile may go on
+            held = [rows[cut:]]
+            if (found := links(rows[:cut])) is not None:
+                yield found
+    if held and (found := links(np.concatenate(held))) is not None:
+        yield found
+
+
+def _keyed(fps: DataFrame) -> DataFrame:
+    """key, probe, fp: under which keys a fingerprint is a base or a probe."""
+    parts = []
+    for k, (lo, n) in enumerate(BOUNDS):
+        next_lo, next_n = BOUNDS[(k + 1) % SEGMENTS]
+        second = f"cast(shiftrightunsigned(fp, {next_lo}) & {(1 << next_n) - 1} as int)"
+        key = f"({k << 26} | shiftleft(cast(shiftrightunsigned(fp, {lo}) & {(1 << n) - 1} as int), 13) | {second})"
+        parts.append(f"array(struct({key} as key, false as probe))")
+        parts.append(f"transform(filter(sequence(0, {next_n - 1}), b -> getbit({second}, b) = 0), b -> struct({key} | shiftleft(1, b) as key, true as probe))")
+    return fps.select("fp", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("k")).select("k.key", "k.probe", "fp")
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that keep all connections."""
-    segment = F.array(*[F.struct(F.lit(k).alias("segment"), F.expr(f"cast(shiftrightunsigned(fp, {lo}) & {(1 << n) - 1} as int)").alias("value")) for k, (lo, n) in enumerate(BOUNDS)])
-    rows = fps.select("fp", F.explode(segment).alias("s")).select("fp", "s.segment", "s.value")
-    chunks = rows.groupBy("segment", "value").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-    # at most 4 * 2**13 + 2**12 buckets, however many fingerprints
-    dealt = rows.join(F.broadcast(chunks), ["segment", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    tiles = dealt.select("segment", "value", "chunk", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tiles = tiles.select("segment", "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "fp")
-    keys = ["segment", "value", "low", "high"]
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_links, "u long, v long")
+    sample = _keyed(fps.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(SAMPLE)) == 0))
+    hot = stored(sample.groupBy("key").agg(F.ceil(F.count("*") * SAMPLE / CHUNK).cast("int").alias("chunks")).where("chunks > 1"), "hot")
+    dealt = _keyed(fps).join(hot, "key", "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.lit(0))
+    others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    tiles = dealt.withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    tile = F.expr("shiftleft(cast(key as long), 32) | shiftleft(cast(least(chunk, other) as long), 16) | cast(greatest(chunk, other) as long)")
+    flags = F.col("probe").cast("int") * PROBE + (F.col("chunk") > F.col("other")).cast("int") * HIGH
+    return tiles.select(tile.alias("tile"), "fp", flags.alias("flags")).repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links, "u long, v long")
 
 
 def _roots(fps: DataFrame) -> DataFrame:
