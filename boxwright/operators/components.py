@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.functions.stored import stored
+from boxwright.functions.stored import discard, stored
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -19,15 +19,20 @@ def _minima(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_minima(both), F.col("u") == F.col("node")).where("v > u")
-    return stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    minima = _minima(both)
+    joined = both.join(minima, F.col("u") == F.col("node")).where("v > u")
+    out = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    discard(minima)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     minima = _minima(down)
     moved = down.join(minima, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return stored(moved.union(minima.select(F.col("node").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    out = stored(moved.union(minima.select(F.col("node").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    discard(minima)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = _small_star(_large_star(now))
+        large = _large_star(now)
+        discard(now)
+        now = _small_star(large)
+        discard(large)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         if mark == found:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -19,8 +19,8 @@ from .pairs import meeting, overlapping_pairs_grid
 _FIELDS = ["det_id", "label", "score", "x1", "y1", "x2", "y2"]
 
 
-def greedy(detections: DataFrame, drops: Callable[[Column, Column], Column], keys: list[str], rank: list[Column] | None = None, max_kept: int | None = None, extra: list[str] | None = None) -> DataFrame:
-    """The rows kept: in order of rank (score descending), then id, a row goes if drops(kept, row) for one kept before."""
+def greedy(detections: DataFrame, drops: Callable[[Column, Column], Column], keys: list[str], rank: list[Column] | None = None, max_kept: int | None = None, extra: list[str] | None = None, per_label: int | None = None) -> DataFrame:
+    """The rows kept: in order of rank (score descending), then id, a row goes if drops(kept, row) for one kept before, or if so many (of its label) are kept."""
     extra = extra or []
     fields = [f for f in [*_FIELDS, *extra] if f not in keys]
     rank = rank or [-F.col("score")]
@@ -31,6 +31,8 @@ def greedy(detections: DataFrame, drops: Callable[[Column, Column], Column], key
         full = F.exists(kept, lambda k: drops(k, b))
         if max_kept is not None:
             full = full | (F.size(kept) >= max_kept)
+        if per_label is not None:
+            full = full | (F.size(F.filter(kept, lambda k: k["label"] == b["label"])) >= per_label)
         return F.when(full, kept).otherwise(F.concat(kept, F.array(b)))
 
     grouped = detections.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("boxes"))
@@ -88,18 +90,20 @@ def adaptive_thresholds(detections: DataFrame) -> DataFrame:
     return several.join(found, "image_id", "left").select("image_id", clip(F.col("i"), 0.38, 0.62, 0.50).alias("iou_t"), clip(F.col("c"), 0.82, 0.94, 0.88).alias("contain_t"), clip(F.col("r"), 0.25, 0.55, 0.35).alias("area_t"))
 
 
-def adaptive_filter(detections: DataFrame) -> DataFrame:
-    """Drops by quality: same label at the image's own threshold, another label at .42 of it at least."""
+def adaptive_filter(detections: DataFrame, per_label: int | None = None) -> DataFrame:
+    """Drops by quality: same label at the image's own threshold, another label at .42 of it at least; per_label: most of a label that stay."""
     t = adaptive_thresholds(detections).select("image_id", "iou_t")
     rows = detections.withColumn("quality", quality(detections)).join(t, "image_id", "left").withColumn("iou_t", F.coalesce("iou_t", F.lit(0.5)))
     drops = lambda k, b: B.iou(B.of(k), B.of(b)) >= F.when(k["label"] == b["label"], b["iou_t"]).otherwise(F.greatest(F.lit(0.42), b["iou_t"]))
-    return greedy(rows, drops, ["image_id"], [-F.round("quality", 9)], extra=["prompt_key", "quality", "iou_t"])
+    return greedy(rows, drops, ["image_id"], [-F.round("quality", 9)], extra=["prompt_key", "quality", "iou_t"], per_label=per_label)
 
 
-def weighted_fusion(detections: DataFrame, threshold: float) -> DataFrame:
-    """Boxes of a prompt go to the first seed that they overlap; a seed's cluster is their score-weighted mean box."""
+def weighted_fusion(detections: DataFrame, threshold: float, max_dets: int | None = None) -> DataFrame:
+    """Boxes of a prompt go to the first seed that they overlap; a seed's cluster is their score-weighted mean box. max_dets: an image's first seeds alone."""
     keys = ["image_id", "prompt_key"]
     seeds = greedy(detections, lambda k, b: B.iou(B.of(k), B.of(b)) >= threshold, keys)
+    if max_dets is not None:
+        seeds = cap(seeds, max_dets)
     s = seeds.select(*keys, *[F.col(c).alias(f"s_{c}") for c in ("det_id", "score", "x1", "y1", "x2", "y2")])
     both = detections.join(s, keys).where((F.col("det_id") == F.col("s_det_id")) | (B.iou(B.box(), B.box("s_")) >= threshold))
     own = F.row_number().over(Window.partitionBy(*keys, "det_id").orderBy(F.desc("s_score"), "s_det_id"))

@@ -207,7 +207,16 @@ def adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.adaptive_thresholds(detections(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("iou_t", "contain_t", "area_t")})
 
 
-@query("n6_adaptive_filter")
+_QUALITY = f"0.68 * score + 0.14 * CASE WHEN label = 'crack' THEN least(greatest(ln({elong('')}) / ln(10.0), 0.0), 1.0) WHEN label IN ('mold', 'spall') THEN 1 - least(greatest(({elong('')} - 1) / 8, 0.0), 1.0) ELSE 0.5 END + 0.10 * (1 - least(greatest({area('')} / (width * height) / CASE WHEN label = 'crack' THEN 0.06 ELSE 0.20 END, 0.0), 1.0)) + 0.08 * CASE WHEN detector = 'F' THEN 1.0 ELSE 0.92 END"
+
+
+@query(
+    "n6_adaptive_filter",
+    f"""{DET}, {_T}, q AS (SELECT det.*, {_QUALITY} AS quality, coalesce(t.iou_t, 0.5) AS iou_t FROM det LEFT JOIN t USING (image_id)),
+lists AS (SELECT image_id, list([{{'det_id': det_id, 'label': label, 'prompt_key': prompt_key, 'quality': quality, 'iou_t': iou_t, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY round(quality, 9) DESC, det_id) AS l FROM q GROUP BY image_id),
+kept AS (SELECT image_id, unnest(list_reduce(l, lambda kept, b: CASE WHEN len(list_filter(kept, lambda k: {iou('k.', 'b.').replace('b.', 'b[1].')} >= CASE WHEN k.label = b[1].label THEN b[1].iou_t ELSE greatest(0.42, b[1].iou_t) END)) > 0 THEN kept ELSE list_concat(kept, b) END)) AS k FROM lists)
+SELECT image_id, k.det_id AS det_id, k.prompt_key AS prompt_key, round(k.quality, 6) AS quality FROM kept""",
+)
 def adaptive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.adaptive_filter(detections(spark, sf_dir)).select("image_id", "det_id", "prompt_key", F.round("quality", 6).alias("quality"))
 
@@ -218,6 +227,22 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("x1", "y1", "x2", "y2")})
 
 
+_TURNED = "cos((k.det_id % 7) - (b[1].det_id % 7))"
+
+
+@query(
+    "n8_embedding_dedup",
+    f"""{DET}, lists AS (SELECT image_id, list([{{'det_id': det_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, det_id) AS l FROM det GROUP BY image_id),
+kept AS (SELECT image_id, unnest(list_reduce(l, lambda kept, b: CASE WHEN len(list_filter(kept, lambda k: {iou('k.', 'b.').replace('b.', 'b[1].')} >= 0.2 AND {_TURNED} >= 0.5)) > 0 THEN kept ELSE list_concat(kept, b) END)) AS k FROM lists),
+m AS (SELECT d.image_id, d.det_id, k.det_id AS into_id FROM det d JOIN kept USING (image_id) WHERE {iou('d.', 'k.')} >= 0.2 AND cos((d.det_id % 7) - (k.det_id % 7)) >= 0.5 QUALIFY row_number() OVER (PARTITION BY d.image_id, d.det_id ORDER BY k.score DESC, k.det_id) = 1)
+SELECT image_id, det_id, det_id = into_id AS kept, CASE WHEN det_id <> into_id THEN into_id END AS merged_into FROM m""",
+)
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes merge only if their vectors are alike too: directions, by the id."""
+    turn = F.col("det_id") % 7
+    return suppress.embedding_dedup(detections(spark, sf_dir).withColumn("v", F.array(F.cos(turn), F.sin(turn))), 0.2, 0.5)
+
+
 @query("n9_merge_touching")
 def merge_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.merge_touching(detections(spark, sf_dir))

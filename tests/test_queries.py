@@ -78,12 +78,6 @@ def test_greedy_matches_meet_a_loop(spark):
     assert all(x["tp"] + x["fp"] == 15 and x["tp"] + x["fn"] == 15 for x in c.values())
 
 
-def test_average_precision_of_a_small_curve(spark):
-    flagged = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True)], "score double, hit boolean")
-    assert E.average_precision(flagged, 2).first()["ap"] == pytest.approx(0.5 + 0.5 * 2 / 3)
-    assert E.average_precision(flagged.limit(0), 2).first()["ap"] == 0
-
-
 def test_wilcoxon_needs_ten_pairs(spark):
     few = spark.createDataFrame([(0.1 * i,) for i in range(1, 6)], "delta double")
     assert E.wilcoxon(few).first()["w"] is None
