@@ -38,8 +38,8 @@ MAGIC = b"BWP1"
 BLOCK = 4096
 #: Ids after which a shard is closed (a shard is held in memory while it is written).
 SHARD_IDS = 2 << 20
-#: Pieces whose ids a worker remembers, twice.
-REMEMBER = 400_000
+#: Pieces, and pre-tokens, whose ids a worker remembers, twice.
+REMEMBER = 300_000
 #: Marks that are a pre-token of their own after a word (an apostrophe is not).
 MARKS = tuple(".,;:!?|")
 
@@ -139,45 +139,70 @@ class Encoder:
         self.model, self.letters = self.chain.model, _byte_letters()
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.marks = {m: array("I", [t.id for t in self.model.tokenize(m)]).tobytes() for m in MARKS}
+        self.tokens: dict[str, bytes] = {}
+        self.older_tokens: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.chain.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _token(self, text: str) -> list[int]:
-        """Ids of one pre-token."""
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+    def _token(self, text: str) -> bytes:
+        """Ids of one pre-token; those with another mark behind them, or at another place, are met again."""
+        found = self.tokens.get(text)
+        if found is None:
+            found = self.older_tokens.get(text)
+            if found is None:
+                letters = f"Ġ{text[1:]}" if text[0] == " " and text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.tokens) >= REMEMBER:
+                self.tokens, self.older_tokens = {}, self.tokens
+            self.tokens[text] = found
+        return found
 
     def _piece(self, piece: str) -> bytes | None:
+        if piece.isalpha():
+            return self._token(f" {piece}")
+        if piece[-1:] in self.marks and piece[:-1].isalpha():
+            return self._token(f" {piece[:-1]}") + self.marks[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        ids: list[int] = []
+        ids: list[bytes] = []
         for n, line in enumerate(piece.split("\n")):
-            word, mark = (line[:-1], line[-1]) if line[-1:] in MARKS else (line, "")
+            word, mark = (line[:-1], line[-1]) if line[-1:] in self.marks else (line, "")
             if not word.isalpha():
                 return self.whole(f" {piece}")
             if n:
-                ids += self._token("\n")
-            ids += self._token(word if n else f" {word}")
+                ids.append(self._token("\n"))
+            ids.append(self._token(word if n else f" {word}"))
             if mark:
-                ids += self._token(mark)
-        return array("I", ids).tobytes()
+                ids.append(self.marks[mark])
+        return b"".join(ids)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        known, piece = self.known, self._piece
+        split = [t.split(" ") for t in texts]
+        # the first piece has no space before it
+        cut = [len(p) > 1 and p[0] != "" and not p[0][-1].isspace() for p in split]
+        new = set().union(*(p[1:] for p, c in zip(split, cut, strict=True) if c)).difference(known)
+        older = self.older
+        for p in new:
+            known[p] = older[p] if p in older else piece(p)
+        out = []
+        for text, pieces, c in zip(texts, split, cut, strict=True):
+            if c:
+                try:
+                    out.append(self.whole(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:])))
+                    continue
+                except TypeError:  # a piece that is not known beforehand (None)
+                    pass
+            out.append(self.whole(text))
+        if len(known) > REMEMBER:  # what is in use comes back from the older half
+            self.known, self.older = {}, known
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known, pieces = self.known, text.split(" ")
-        first, rest = pieces[0], pieces[1:]
-        if not rest or not first or first[-1].isspace():
-            return self.whole(text)
-        try:
-            found = [known[p] for p in rest]
-        except KeyError:
-            for p in set(rest):
-                if p not in known:
-                    known[p] = self.older[p] if p in self.older else self._piece(p)
-            found = [known[p] for p in rest]
-            if len(known) > REMEMBER:  # what is in use comes back from the older half
-                self.known, self.older = {}, known
-        return self.whole(text) if None in found else self.whole(first) + b"".join(found)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -207,9 +232,10 @@ def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: st
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["part", "shard", "n_ids", "content"])
 
         for batch in sliced(batches):
-            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for i, packed in zip(ids, encoder.encode_all(texts), strict=True):
                 docs.append(i)
-                parts.append(encoder.encode(text) + end)
+                parts.append(packed + end)
                 held += len(parts[-1]) // 4
                 if held >= SHARD_IDS:
                     yield close()
