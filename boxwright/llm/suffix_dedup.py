@@ -5,19 +5,20 @@ A byte goes if it is covered by a LENGTH-byte string that also starts anywhere e
 1. Anchors. Every window of LENGTH bytes has one: the leftmost of its K-grams with the smallest hash. Equal windows have
    equal anchors at equal offsets, so only windows at anchors whose hash occurs again can repeat. An anchor stands for a
    run of neighbouring windows; the bytes that these cover are its context. Counting anchors is a combinable
-   aggregation, and only repeated ones (a few per cent of the positions / 70) go on.
-2. Contexts. Equal contexts are one row with a count. If they occur twice all their windows repeat; if an anchor has
-   one context alone, that is all there is to know about it.
+   aggregation, and only repeated ones (a few per cent of the positions / 70) go on. Hashes of anchors choose what meets;
+   they never decide that two strings are equal.
+2. Contexts. Equal contexts (by a 128-bit BLAKE2b digest) are one row with a count. If they occur twice all their windows
+   repeat; if an anchor has one context alone, that is all there is to know about it.
 3. Suffixes. Anchors with several contexts are exchanged by hash and sorted by it with Spark's external sort, so a shard
    may exceed memory by far: a task takes as many whole groups as BATCH allows. The suffixes that start at the anchors
    are sorted; then the suffixes one byte to the left are induced from them, in rounds: suffix tuples (group, preceding
    byte, rank) leave the queue in stable order, and their common-prefix values are one more than the least value between
    them in the round before. A window repeats if its suffix has LENGTH bytes in common with a neighbour. Tuples that can
    no longer reach LENGTH leave the queue early.
-4. A group of over GROUP different contexts is not given to one task. Its contexts are cut into pieces of PIECE windows.
-   Pieces, and their cores (what all windows of a piece share), are hashed (64 bits beside the anchor's 64) and counted
-   by combinable aggregations: a piece that occurs twice repeats whole, one whose core occurs once not at all, and of the
-   few others the windows are hashed and counted.
+4. Recursion. A group of over GROUP different contexts is no task's. Its contexts are cut into pieces of PIECE windows,
+   and pieces that share their core (what all windows of a piece share) are a group of the next level: equal pieces are
+   counted as contexts are, others are sorted and induced in the same way. A group that is still too large is cut into
+   single windows, where a group's members are equal strings and a count is all that is left.
 5. Ranges of window starts go back to the occurrences, then to the documents.
 
 A null text is empty. Texts shorter than LENGTH keep all bytes. Very long texts are read whole. Rows that repeat another
@@ -28,6 +29,7 @@ text's hash. An empty table gives no rows. Columns other than id and text are ig
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import fresh, map_batches, sliced, stored, table, utf8
+from .util import discard, fresh, map_batches, sliced, stored, table, utf8
 
 LENGTH = 200
 #: Length of the K-grams that anchors are chosen from.
 K = 32
 #: Contexts of a group that one task takes; contexts that it takes at a time.
-GROUP, BATCH = 1024, 32768
+GROUP, BATCH = 256, 32768
 #: Windows of a piece of a large group's context.
 PIECE = 8
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_HALVES = struct.Struct("<qq")
 _VALUES = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -82,12 +85,17 @@ class Hashes:
         return _mixed((self.sums[end] - self.sums[start]) * self.up[start])
 
 
+def digest(data: bytes) -> tuple[int, int]:
+    """128 bits, as two signed integers."""
+    return _HALVES.unpack(hashlib.blake2b(data, digest_size=16).digest())
+
+
 def anchors(text: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Hash, context's hash, place of each anchor, and its run of windows as offsets (dmin, dmax) before it."""
+    """Hash and place of each anchor, and its run of windows as offsets (dmin, dmax) before it."""
     n = len(text)
     if n < length:
         none = np.zeros(0, np.int64)
-        return (none.astype(np.uint64),) * 2 + (none,) * 3
+        return none.astype(np.uint64), none, none, none
     hashes = Hashes(text)
     grams = _mixed((hashes.sums[k:] - hashes.sums[:-k]) * hashes.up[: n - k + 1])
     low = np.uint64((1 << max(20, n.bit_length())) - 1)
@@ -102,7 +110,7 @@ def anchors(text: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
     change = np.flatnonzero(np.diff(at)) + 1
     first, last = np.r_[0, change], np.r_[change - 1, len(at) - 1]
     place = at[first]
-    return grams[place], hashes.of(first, last + length), place, place - last, place - first
+    return grams[place], place, place - last, place - first
 
 
 class InductionQueue:
@@ -174,22 +182,29 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-_RANGES = "h long, ch long, lo int, hi int"
+#: A context's key: its anchor's hash and its digest. Ranges: the first and last distance of repeated windows before an anchor.
+_KEY = ["h", "c0", "c1"]
+_RANGES = "h long, c0 long, c1 long, lo int, hi int"
+#: Contexts of the groups g: windows at distances dmin to dmax before the anchor, the bytes that these cover.
+_CONTEXTS = "g long, h long, c0 long, c1 long, dmin int, dmax int, context binary"
 
 
-def _ranges(h, ch, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(h), pa.int64()), pa.array(np.asarray(ch), pa.int64()), pa.array(np.asarray(lo), pa.int32()), pa.array(np.asarray(hi), pa.int32())], names=["h", "ch", "lo", "hi"])
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, ch, dmin, dmax, context), sorted by h."""
+    """Rows (_CONTEXTS), sorted by g."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        h, ch, dmin, dmax, contexts = zip(*rows, strict=True)
-        h = np.array(h, np.int64)
-        group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
+        g, h, c0, c1, dmin, dmax, contexts = zip(*rows, strict=True)
+        g = np.array(g, np.int64)
+        group = np.cumsum(np.r_[0, g[1:] != g[:-1]])
         row, lo, hi = _runs(repeated_windows(group, list(contexts), np.array(dmin, np.int64), np.array(dmax, np.int64)))
-        return _ranges(h[row], np.array(ch, np.int64)[row], lo, hi)
+        columns = [pa.array(np.array(x, np.int64)[row]) for x in (h, c0, c1)] + [pa.array(x.astype(np.int32)) for x in (lo, hi)]
+        return pa.RecordBatch.from_arrays(columns, names=[*_KEY, "lo", "hi"])
 
     held: list[tuple] = []
     for batch in batches:
@@ -205,50 +220,49 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield solved(held)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, ch, dmin, dmax, context): pieces of windows at distances lo to hi, with their hash, their core's hash and their bytes."""
-    for batch in batches:
-        out: list[tuple] = []
-        for h, ch, dmin, dmax, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            number = np.arange(dmin // PIECE, dmax // PIECE + 1)
-            lo, hi = np.maximum(number * PIECE, dmin), np.minimum(number * PIECE + PIECE - 1, dmax)
-            hashes = Hashes(context)
-            start, end = dmax - hi, dmax - lo + LENGTH
-            core = hashes.of(dmax - number * PIECE, dmax - (number * PIECE + PIECE - 1) + LENGTH).view(np.int64)
-            whole = hashes.of(start, end).view(np.int64)
-            out += zip([h] * len(number), [ch] * len(number), number.tolist(), lo.tolist(), hi.tolist(), whole.tolist(), core.tolist(), [context[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], strict=True)
-        if out:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "ch", "number", "lo", "hi", "piece", "core", "context"])
-
-
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, ch, lo, hi, context, n): the hash w of every window, at distance d."""
-    for batch in batches:
-        out = []
-        for h, ch, lo, hi, context, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            start = np.arange(hi - lo + 1)
-            out.append((np.full(len(start), h), np.full(len(start), ch), hi - start, Hashes(context).of(start, start + LENGTH).view(np.int64), np.full(len(start), n)))
-        if out:
-            h, ch, d, w, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ch), pa.array(d.astype(np.int32)), pa.array(w), pa.array(n.astype(np.int64))], names=["h", "ch", "d", "w", "n"])
-
-
-def _counted_ranges(contexts: DataFrame) -> DataFrame:
-    """Ranges of large groups, by counting; every table that a join reads is stored, so that Spark can split hot keys."""
-    pieces = stored(contexts.mapInArrow(_pieces, "h long, ch long, number int, lo int, hi int, piece long, core long, context binary"), "pieces")
-    cores = stored(pieces.groupBy("h", "number", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
-    key = ["h", "lo", "hi", "piece"]
-    whole = stored(pieces.groupBy(*key).agg(F.count("*").alias("n"), F.min("context").alias("context")).where("n > 1").drop("n"), "whole")
-    open_ = pieces.join(cores, ["h", "number", "core"], "left_semi").select("h", "ch", "lo", "hi", "piece", "context")
-    marked = stored(open_.join(whole.select(*key, F.lit(True).alias("whole")), key, "left"), "marked")
-    edges = marked.where("whole is null").select("h", "ch", "lo", "hi", "context", F.lit(1).alias("n"))
-    others = whole.select("h", F.lit(0).cast("long").alias("ch"), "lo", "hi", "context", F.lit(2).alias("n"))
-    windows = "h long, ch long, d int, w long, n long"
-    twice = edges.unionByName(others).mapInArrow(_window_hashes, windows).groupBy("h", "d", "w").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = stored(twice.select("h", "d", "w"), "windows")
-    hit = edges.mapInArrow(_window_hashes, windows).join(twice, ["h", "d", "w"]).select("h", "ch", F.col("d").alias("lo"), F.col("d").alias("hi"))
-    return marked.where("whole").select("h", "ch", "lo", "hi").unionByName(hit)
+_PIECES = _CONTEXTS + ", p0 long, p1 long"
+
+
+def _cut_into(width: int):
+    """Contexts in pieces of the windows at width neighbouring distances: their group by what all these windows share, their own digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out: list[tuple] = []
+            for _, h, c0, c1, dmin, dmax, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for number in range(dmin // width, dmax // width + 1):
+                    low, high = number * width, number * width + width - 1
+                    lo, hi = max(low, dmin), min(high, dmax)
+                    bytes_ = context[dmax - hi : dmax - lo + LENGTH]
+                    # windows at all distances of the piece begin at dmax - low at the latest and end at dmax - high + LENGTH at the earliest
+                    core = context[dmax - low : dmax - high + LENGTH] if high <= dmax + LENGTH else b""
+                    group = digest(b"%d %d %d " % (h, number, width) + core)[0]
+                    out.append((group, h, c0, c1, lo, hi, bytes_, *digest(b"%d %d " % (lo, hi) + bytes_)))
+            if out:
+                yield _batch(_PIECES, out)
+
+    return run
+
+
+def _large_ranges(contexts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """Ranges of the groups that are too large for a task: cut into pieces, which are groups of the next level. Every table that a join reads is stored, so that Spark can split hot keys."""
+    width, deeper = widths[0], widths[1:]
+    pieces = stored(contexts.mapInArrow(_cut_into(width), _PIECES), "pieces")
+    # equal pieces are one, with a count
+    piece = ["g", "p0", "p1"]
+    some = F.first(F.struct("h", "c0", "c1", "dmin", "dmax", "context")).alias("x")
+    distinct = stored(pieces.groupBy(*piece).agg(F.count("*").alias("n"), some).select(*piece, "n", "x.*"), "distinct")
+    again = stored(distinct.where("n > 1").select(*piece), "again")
+    sure = pieces.join(again, piece, "left_semi").select(*_KEY, F.col("dmin").alias("lo"), F.col("dmax").alias("hi"))
+    if not deeper:  # windows: the members of a group that are not equal share only its digest's half
+        return sure
+    sizes = stored(distinct.groupBy("g").agg(F.count("*").alias("size")).where("size > 1").select("g", (F.col("size") > GROUP).alias("large")), "sizes")
+    open_ = stored(distinct.join(sizes, "g").select("g", *_KEY, "dmin", "dmax", "context", "large", *piece[1:]), "open")
+    names = [x.split()[0] for x in _CONTEXTS.split(", ")]
+    small = open_.where("not large").select(*names).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_suffixes, _RANGES)
+    large = _large_ranges(open_.where("large").select(*names), deeper)
+    # what was found for one of equal pieces holds for that piece alone: the others of them repeat whole anyway
+    return sure.unionByName(small).unionByName(large)
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
@@ -257,41 +271,46 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     def run(docs: list, tags: list, texts: list) -> dict[str, list] | None:
         out = []
         for doc, tag, text in zip(docs, tags, texts, strict=True):
-            h, ch, place, dmin, dmax = anchors(text)
+            h, place, dmin, dmax = anchors(text)
             if len(h):
-                out.append((h.view(np.int64), ch.view(np.int64), np.full(len(h), doc), np.full(len(h), tag), place, dmin, dmax))
-        return dict(zip(("h", "ch", "doc", "tag", "at", "dmin", "dmax"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
+                own = [digest(text[a:b]) for a, b in zip((place - dmax).tolist(), (place - dmin + LENGTH).tolist(), strict=True)]
+                c0, c1 = np.array(own, np.int64).T
+                out.append((h.view(np.int64), c0, c1, np.full(len(h), doc), np.full(len(h), tag), place, dmin, dmax))
+        return dict(zip((*_KEY, "doc", "tag", "at", "dmin", "dmax"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
 
-    found = map_batches(rows, run, "h long, ch long, doc long, tag long, at int, dmin short, dmax short")
-    again = stored(found.groupBy("h").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("several")), "anchors")
+    found = stored(map_batches(rows, run, "h long, c0 long, c1 long, doc long, tag long, at int, dmin short, dmax short"), "found")
+    again = stored(found.groupBy("h").agg(F.count("*").alias("n"), F.min("c0").alias("a"), F.max("c0").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("several")), "anchors")
     occurrences = stored(found.join(again, "h"), "occurrences")
+    discard(found)
     first = F.min(F.struct("doc", "tag", "at"))
-    contexts = stored(occurrences.groupBy("h", "ch", "several").agg(F.count("*").alias("n"), first.alias("first"), F.min("dmin").alias("dmin"), F.min("dmax").alias("dmax")), "contexts")
-    certain = contexts.where("n > 1").select("h", "ch", F.col("dmin").cast("int").alias("lo"), F.col("dmax").cast("int").alias("hi"))
+    contexts = stored(occurrences.groupBy(*_KEY, "several").agg(F.count("*").alias("n"), first.alias("first"), F.min("dmin").cast("int").alias("dmin"), F.min("dmax").cast("int").alias("dmax")), "contexts")
+    certain = contexts.where("n > 1").select(*_KEY, F.col("dmin").alias("lo"), F.col("dmax").alias("hi"))
 
     several = contexts.where("several")
     large = stored(several.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("h", F.lit(True).alias("large")), "large")
-    sought = several.join(large, "h", "left").select("first.*", F.struct("h", "ch", "n", "dmin", "dmax", F.coalesce("large", F.lit(False)).alias("large"), F.col("first.at").alias("at")).alias("context"))
+    sought = several.join(large, "h", "left").select("first.*", F.struct(*_KEY, "dmin", "dmax", F.coalesce("large", F.lit(False)).alias("large"), F.col("first.at").alias("at")).alias("context"))
     by_doc = sought.groupBy("doc", "tag").agg(F.collect_list("context").alias("contexts"))  # no more than a document has anchors
 
     def cut(texts: list, lists: list) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("h", "ch", "n", "dmin", "dmax", "large", "context")}
+        names = (*_KEY, "dmin", "dmax", "large")
+        out: dict[str, list] = {k: [] for k in ("g", *names, "context")}
         for text, some in zip(texts, lists, strict=True):
             for c in some:
-                for k in ("h", "ch", "n", "dmin", "dmax", "large"):
+                out["g"].append(c["h"])
+                for k in names:
                     out[k].append(c[k])
                 out["context"].append(text[c["at"] - c["dmax"] : c["at"] - c["dmin"] + LENGTH])
         return out
 
     cutting = rows.join(by_doc, ["doc", "tag"]).select("text", "contexts")
-    bytes_of = stored(map_batches(cutting, cut, "h long, ch long, n long, dmin int, dmax int, large boolean, context binary"), "bytes")
-    bytes_of = bytes_of.select("h", "ch", "n", "dmin", "dmax", "context", "large")
-    columns = ["h", "ch", "dmin", "dmax", "context"]
-    sorted_ = bytes_of.where("not large").select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_sort_suffixes, _RANGES)
-
-    hashed = _counted_ranges(bytes_of.where("large").select(*columns))
-    ranges = stored(certain.unionByName(sorted_).unionByName(hashed), "ranges")
-    spans = occurrences.select("h", "ch", "doc", "tag", "at").join(ranges, ["h", "ch"]).select("doc", "tag", F.struct((F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo")).alias("hi")).alias("span"))
+    bytes_of = stored(map_batches(cutting, cut, "g long, h long, c0 long, c1 long, dmin int, dmax int, large boolean, context binary"), "bytes")
+    columns = [x.split()[0] for x in _CONTEXTS.split(", ")]
+    sorted_ = bytes_of.where("not large").select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_suffixes, _RANGES)
+
+    deep = _large_ranges(bytes_of.where("large").select(*columns), (PIECE, 1))
+    ranges = stored(certain.unionByName(sorted_).unionByName(deep), "ranges")
+    discard(bytes_of)
+    spans = occurrences.select(*_KEY, "doc", "tag", "at").join(ranges, _KEY).select("doc", "tag", F.struct((F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo")).alias("hi")).alias("span"))
     return spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
 
 

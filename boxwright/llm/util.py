@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.stored import shared_dir, stored  # noqa: F401
+from boxwright.functions.stored import discard, shared_dir, stored  # noqa: F401
 
 #: Rows that a task takes as Python objects at a time; Spark bounds an Arrow batch by its bytes.
 BATCH_ROWS = 1024
