@@ -170,7 +170,7 @@ class Normaliser:
 class Pieces:
     """P: states of the trie and their arcs (state << 21 | character), the piece of final states, and fallback ids."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]]):
+    def __init__(self, pieces: list[tuple[str, float, int]], fallback: bool):
         usable = [(p, i) for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER) and p]
         arcs: dict[tuple[int, int], int] = {}
         final = [-1]
@@ -187,7 +187,7 @@ class Pieces:
         self.arcs = Table(np.array([s << 21 | c for s, c in arcs], np.int64), np.array(list(arcs.values()), np.int32))
         joined = {(ord(p[k]) << 21) | ord(p[k + 1]) for p, _ in usable for k in range(len(p) - 1)}
         self.joined = Table(np.array(sorted(joined), np.int64), np.zeros(len(joined), np.int32))
-        self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
+        self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE} if fallback else {}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.fallbacks: dict[int, list[int]] = {}
 
@@ -300,17 +300,18 @@ class MergeWeights:
 
 
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, normaliser: Normaliser):
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, normaliser: Normaliser, fallback: bool):
         self.pieces, self.kind, self.normaliser = pieces, kind, normaliser
-        self.trie = Pieces(pieces)
+        self.trie = Pieces(pieces, fallback)
         self.merges = MergeWeights(pieces) if kind == BPE else None
         scores = [s for _, s, t in pieces if t == NORMAL]
         least, most = min(scores, default=0.0), max(scores, default=0.0)
         weight = [-(len(p.encode()) * most - 0.1) if t == USER else -s for p, s, t in pieces]
-        self.weight = np.array([*weight, UNKNOWN_PENALTY - least], np.float64)  # the last one is a fallback's
+        self.weight = np.array([*weight, UNKNOWN_PENALTY - least], np.float32)  # the last one is a fallback's; single precision, as models have it
         space = ord(SPACE)
         inner = (self.trie.joined.keys >= 0) & ((self.trie.joined.keys & 0x1FFFFF) == space) & ((self.trie.joined.keys >> 21) != space)
-        self.spaces_split = not inner.any()
+        # texts are cut before spaces if no piece, and no run of unknown characters, goes across
+        self.spaces_split = not inner.any() and (bool(self.trie.byte) or any(p == SPACE for p, _, t in pieces if t in (NORMAL, USER)))
         self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in pieces]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -343,12 +344,12 @@ class Transducer:
         return self._walk(done, back, place, piece)
 
     def _unigram_paths(self, place: np.ndarray, length: np.ndarray, piece: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lightest path of each cut; of equal ones that which comes from further left."""
+        """The lightest path of each cut; of equal ones (in single precision) that which comes from further left."""
         cut = np.repeat(np.arange(len(first)), last - first)[place]
         end = place + length
         weight = self.weight[piece]
         # the end of a cut and the start of the next one are different states
-        best = np.full((int(last[-1]) if len(last) else 0) + len(first) + 1, np.inf)
+        best = np.full((int(last[-1]) if len(last) else 0) + len(first) + 1, np.inf, np.float32)
         best[first + np.arange(len(first))] = 0.0
         through = np.full(len(best), -1)
         offset = end - first[cut]
@@ -468,17 +469,20 @@ def compile_model(path: str) -> Transducer:
 
 
 def compile_bytes(data: bytes) -> Transducer:
-    pieces, kind, rules, dummy, squeeze, escape = [], UNIGRAM, b"", True, True, True
+    pieces, kind, fallback, rules, dummy, squeeze, escape = [], UNIGRAM, False, b"", True, True, True
     for field, value in _fields(data):
         if field == 1:
             own = dict(_fields(value))
             pieces.append((own[1].decode(), struct.unpack("<f", own.get(2, b"\0\0\0\0"))[0], own.get(3, NORMAL)))
         elif field == 2:
-            kind = dict(_fields(value)).get(3, UNIGRAM)
+            own = dict(_fields(value))
+            kind, fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
         elif field == 3:
             own = dict(_fields(value))
             rules, dummy, squeeze, escape = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
-    return Transducer(pieces, kind, Normaliser(rules, dummy, squeeze, escape))
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and byte-pair models are compiled")
+    return Transducer(pieces, kind, Normaliser(rules, dummy, squeeze, escape), fallback)
 
 
 def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

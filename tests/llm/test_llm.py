@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -366,6 +367,105 @@ def test_encoding_equals_the_library():
         assert np.frombuffer(machine.encode(text), "<u4").tolist() == library.encode(text), text
 
 
+def _varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + _varint(n >> 7)
+
+
+def _field(number, value):
+    if isinstance(value, float):
+        return _varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def charsmap(rules):
+    """A compiled map of rewriting rules: a double-array trie with a block of 256 units for each node, then the replacements."""
+    if not rules:
+        return b""
+    tree, texts, bases = {}, b"", {(): 256}
+    for source, new in rules.items():
+        key = tuple(source.encode())
+        for k in range(len(key) + 1):
+            bases.setdefault(key[:k], 256 * (len(bases) + 1))
+        tree[key] = len(texts)
+        texts += new.encode() + b"\0"
+    units = [0] * (256 * (len(bases) + 1))
+    units[0] = bases[()] << 10
+    for key, base in bases.items():
+        if key:
+            at = bases[key[:-1]] ^ key[-1]
+            units[at] = (at ^ base) << 10 | (key in tree) << 8 | key[-1]
+        if key in tree:
+            units[base] = tree[key] | 1 << 31
+    blob = struct.pack(f"<{len(units)}I", *units)
+    return struct.pack("<I", len(blob)) + blob + texts
+
+
+def model(pieces, kind, rules=None, dummy=True, squeeze=False, fallback=False):
+    every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    every += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    every += [(p, s, 1) for p, s in pieces]
+    body = b"".join(_field(1, _field(1, p.encode()) + _field(2, float(s)) + _field(3, t)) for p, s, t in every)
+    trainer = _field(3, kind) + _field(35, int(fallback))
+    return body + _field(2, trainer) + _field(3, _field(1, b"own") + _field(2, charsmap(rules)) + _field(3, int(dummy)) + _field(4, int(squeeze)) + _field(5, 1))
+
+
+@pytest.mark.parametrize("kind", [wfst.UNIGRAM, wfst.BPE])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize(("rules", "squeeze", "dummy"), [(None, False, True), (None, True, False), ({"Ａ": "a", "ﬁ": "bi", "ﬁé": "c", "é": "e", "\t": " ", "x": ""}, True, True)])
+def test_models_of_all_kinds_equal_the_library(kind, fallback, rules, squeeze, dummy):
+    import sentencepiece
+
+    rng = random.Random(f"{kind}{fallback}{squeeze}")
+    for ordered in (True, False):
+        if kind == wfst.BPE and ordered:  # a real merge list: every piece is made of two earlier ones
+            names = ["▁", *"abcde"]
+            while len(names) < 60:
+                new = rng.choice(names) + rng.choice(names)
+                if new not in names and "▁" not in new[1:] and len(new) < 9:
+                    names.append(new)
+            pieces = [(p, -1.0 * i) for i, p in enumerate(names)]
+        else:
+            names = {"▁", *"abcde"} | {"".join([rng.choice(["▁", ""]), *(rng.choice("abcde") for _ in range(rng.randint(2, 5)))]) for _ in range(60)}
+            scores = rng.sample(range(1000), len(names))
+            pieces = [(p, -s / 100) for p, s in zip(sorted(names), scores, strict=True)]
+        data = model(pieces, kind, rules, dummy, squeeze, fallback)
+        library, machine = sentencepiece.SentencePieceProcessor(model_proto=data), wfst.compile_bytes(data)
+        texts = ["", " ", "  a  b ", "aaaaaaaaaaaaaaaa"] + ["".join(rng.choice("aabbccddee   zéＡﬁx\t日") for _ in range(rng.randrange(40))) for _ in range(300)]
+        got = [np.frombuffer(p, "<u4").tolist() for p in machine.encode_all(texts)]
+        other = 0
+        for text, own in zip(texts, got, strict=True):
+            theirs = library.encode(text)
+            if own != theirs:  # paths of equal weight: the same pieces in another order, up to rounding
+                assert kind == wfst.UNIGRAM and library.decode(own) == library.decode(theirs), (text, ordered)
+                assert machine.weight[own].sum() == pytest.approx(machine.weight[theirs].sum(), abs=1e-3)
+                other += 1
+        assert other < 0.2 * len(texts)
+
+
+def test_paths_are_the_lightest_of_all():
+    """Against an enumeration of all segmentations."""
+    rng = random.Random(13)
+    names = {"▁", *"abc"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(25)}
+    score = {p: round(-rng.random() * 10, 3) for p in names}
+    machine = wfst.compile_bytes(model(sorted(score.items()), wfst.UNIGRAM))
+    name = [p for p, _, _ in machine.pieces]
+
+    def every(text):
+        if not text:
+            yield []
+        for k in range(1, len(text) + 1):
+            if text[:k] in score:
+                yield from ([text[:k], *rest] for rest in every(text[k:]))
+
+    for _ in range(40):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        found = [name[i] for i in np.frombuffer(machine.encode(text), "<u4").tolist()]
+        assert "".join(found) == "▁" + text
+        assert sum(map(score.get, found)) == pytest.approx(max(sum(map(score.get, p)) for p in every("▁" + text)), abs=1e-4)
+
+
 def test_encode_documents(spark, documents, awkward, empty):
     got = wfst.encode_documents(documents, wfst.model_path(), with_ids=True).collect()
     assert len(got) == documents.count() and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got)
