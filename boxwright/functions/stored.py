@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that this process wrote and has not deleted, in order.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints. Where none is set a local session (a test) gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -26,11 +30,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    MADE.append(path)
     return out
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    MADE.remove(place)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that stored() wrote, when nothing that is still to run reads it."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table._stored_at)
+
+
+def discard_others(table: DataFrame, since: int) -> None:
+    """Deletes what was stored since MADE had that length, but for the table: it is written, so what it was made from is done."""
+    for place in [p for p in MADE[since:] if p != table._stored_at]:
+        _delete(table.sparkSession, place)

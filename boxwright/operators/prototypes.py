@@ -1,54 +1,108 @@
-"""Vectors against prototypes and class centres. A bank is dealt into blocks of about MAX_BANK, each broadcast by itself; only a row's best of each block are kept."""
+"""Vectors against prototypes and class centres: matrix products of batches of rows and blocks of a bank.
+
+A bank of any size is dealt into blocks of about BLOCK_BYTES, each broadcast by itself; a task keeps a row's best of each
+block alone. vec_id is a key. Vectors that are shorter than others are taken as ending in zeros; null vectors take no part.
+Similarities are rounded to six places; equal ones go to the smaller prototype.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxwright.functions.boxes import clip01
 from boxwright.functions.vectors import dot
 
-#: Prototypes of a block of a bank, which all tasks hold.
-MAX_BANK = 20_000
-
-
-def of_blocks(rows: DataFrame, bank: DataFrame, best: Callable[[Column], Column], by_label: bool = False) -> DataFrame:
-    """vec_id, found: what best makes of the similarities (sim, neg, label, is_reject; neg: -proto_id) of each row to each block, or to each of its labels. bank: proto_id, label, is_reject, v."""
-    parts = max(1, -(-bank.count() // MAX_BANK))
-    one = lambda p: F.struct(F.round(dot(F.col("embedding"), p["v"]), 6).alias("sim"), (-p["proto_id"]).alias("neg"), p["label"].alias("label"), p["is_reject"].alias("is_reject"))
-    entry = F.struct("proto_id", "label", "is_reject", "v")
-    out = []
-    for k in range(parts):
-        block = bank.where(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == k) if parts > 1 else bank
-        found = lambda protos: best(F.transform(protos, one))
-        if by_label:
-            held = block.groupBy("label").agg(F.collect_list(entry).alias("own")).agg(F.collect_list("own").alias("bank"))
-            result = F.explode(F.transform("bank", found))
-        else:
-            held = block.agg(F.collect_list(entry).alias("bank")).where(F.size("bank") > 0)
-            result = found(F.col("bank"))
-        out.append(rows.crossJoin(F.broadcast(held)).select("vec_id", result.alias("found")))  # one row of about MAX_BANK prototypes
-    return reduce(DataFrame.unionAll, out)
+#: Bytes of the prototypes of a block, and rows that are multiplied at a time.
+BLOCK_BYTES, ROWS = 16 << 20, 512
+
+
+def _matrix(lists: list, width: int) -> np.ndarray:
+    out = np.zeros((len(lists), width))
+    for i, v in enumerate(lists):
+        own = np.array([0.0 if x is None else x for x in v[:width]], np.float64)
+        out[i, : len(own)] = own
+    return out
+
+
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest whole numbers of each row, ties to the first column."""
+    n = sims.shape[1]
+    keys = sims * n - np.arange(n)
+    take = min(k, n)
+    at = np.argpartition(-keys, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(sims), 1))
+    return np.repeat(np.arange(len(sims)), take), at.ravel()
+
+
+def of_blocks(rows: DataFrame, bank: DataFrame, k: int = 1, by_label: bool = False) -> DataFrame:
+    """vec_id, found: the k best (sim, neg, label, is_reject; neg: -proto_id) of each row (vec_id, embedding), or the best of each label. bank: proto_id, label, is_reject, v."""
+    spark = rows.sparkSession
+    kind = bank.schema["label"].dataType.simpleString()
+    key = bank.schema["proto_id"].dataType.simpleString()
+    schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, found array<struct<sim: double, neg: {key}, label: {kind}, is_reject: boolean>>"
+    total, width = bank.agg(F.sum(F.size("v") * 8 + 64), F.max(F.size("v"))).first()
+    parts = max(1, -(-int(total or 0) // BLOCK_BYTES))
+    fields = ["sim", "neg", "label", "is_reject"]
+    key_type, label_type = (to_arrow_type(bank.schema[c].dataType) for c in ("proto_id", "label"))
+
+    def scan(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, labels, rejects, matrix, bounds = block.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    sims = np.rint(_matrix(part.column(1).to_pylist(), matrix.shape[1]) @ matrix.T * 1e6).astype(np.int64)
+                    if by_label:
+                        row = np.repeat(np.arange(len(sims)), len(bounds) - 1)
+                        column = np.stack([a + np.argmax(sims[:, a:b], axis=1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], axis=1).ravel()
+                    else:
+                        row, column = _best(sims, k)
+                    columns = [pa.array(sims[row, column] / 1e6), pa.array([-ids[c] for c in column], key_type), pa.array([labels[c] for c in column], label_type), pa.array([rejects[c] for c in column], pa.bool_())]
+                    offsets = np.searchsorted(row, np.arange(len(sims) + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=fields))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["vec_id", "found"])
+
+        return run
+
+    good = rows.select("vec_id", "embedding").where("embedding is not null")
+    out = None
+    for p in range(parts):
+        block = bank.where(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == p) if parts > 1 else bank
+        held = sorted(block.where("v is not null").select("proto_id", "label", "is_reject", "v").collect(), key=lambda r: (r["label"] if by_label else 0, r["proto_id"]))  # about BLOCK_BYTES
+        if not held:
+            continue
+        change = [i for i in range(1, len(held)) if held[i]["label"] != held[i - 1]["label"]]
+        value = [r["proto_id"] for r in held], [r["label"] for r in held], [r["is_reject"] for r in held], _matrix([r["v"] for r in held], width), [0, *change, len(held)]
+        one = good.mapInArrow(scan(spark.sparkContext.broadcast(value)), schema)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    if parts == 1:
+        return out
+    if by_label:  # the best of each label over the blocks
+        best = out.select("vec_id", F.explode("found").alias("f")).groupBy("vec_id", "f.label").agg(F.max("f").alias("f"))
+        return best.groupBy("vec_id").agg(F.collect_list("f").alias("found"))
+    return out.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, k).alias("found"))
 
 
 def scores(rows: DataFrame, bank: DataFrame) -> DataFrame:
     """Best and second label of each row by its best prototype, the lead, whether the best is a reject class."""
-    s = of_blocks(rows, bank, F.array_max, by_label=True).select("vec_id", "found.label", F.struct("found.sim", "found.neg", "found.is_reject").alias("b"))
-    best = s.groupBy("vec_id", "label").agg(F.max("b").alias("b"))
-    ranked = best.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("b.sim")).alias("neg_sim"), "label", F.col("b.sim").alias("sim"), (-F.col("b.neg")).alias("proto_id"), F.col("b.is_reject").alias("is_reject")))).alias("r"))
-    one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    lead = one["sim"] - F.coalesce(two["sim"], F.lit(0.0))
-    return ranked.select("vec_id", one["label"].alias("top_label"), one["sim"].alias("top_sim"), one["proto_id"].alias("top_id"), two["label"].alias("second_label"), two["sim"].alias("second_sim"), F.round(lead, 6).alias("margin"), one["is_reject"].alias("is_reject_match"), F.coalesce(one["sim"] - two["sim"] < 0.03, F.lit(False)).alias("low_margin"))
+    one = lambda f: F.struct((-f["sim"]).alias("neg_sim"), f["label"].alias("label"), f["sim"].alias("sim"), (-f["neg"]).alias("proto_id"), f["is_reject"].alias("is_reject"))
+    ranked = of_blocks(rows, bank, by_label=True).select("vec_id", F.array_sort(F.transform("found", one)).alias("r"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    lead = first["sim"] - F.coalesce(second["sim"], F.lit(0.0))
+    return ranked.select("vec_id", first["label"].alias("top_label"), first["sim"].alias("top_sim"), first["proto_id"].alias("top_id"), second["label"].alias("second_label"), second["sim"].alias("second_sim"), F.round(lead, 6).alias("margin"), first["is_reject"].alias("is_reject_match"), F.coalesce(first["sim"] - second["sim"] < 0.03, F.lit(False)).alias("low_margin"))
 
 
 def top(rows: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """The k closest prototypes of each row, place 1 first."""
-    first = lambda sims: F.slice(F.sort_array(sims, asc=False), 1, k)
-    merged = of_blocks(rows, bank, first).groupBy("vec_id").agg(first(F.flatten(F.collect_list("found"))).alias("r"))
-    return merged.select("vec_id", F.posexplode("r").alias("at", "p")).select("vec_id", (F.col("at") + 1).alias("place"), (-F.col("p.neg")).alias("proto_id"), "p.sim")
+    best = of_blocks(rows, bank, k).select("vec_id", F.posexplode(F.sort_array("found", asc=False)).alias("at", "p"))
+    return best.select("vec_id", (F.col("at") + 1).alias("place"), (-F.col("p.neg")).alias("proto_id"), "p.sim")
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -64,15 +118,16 @@ def density(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    s = of_blocks(rows, centres.select(F.col("label").alias("proto_id"), "label", F.lit(False).alias("is_reject"), "v"), F.array_max)
-    best = s.groupBy("vec_id").agg(F.max("found").alias("b"))
-    return best.select("vec_id", (-F.col("b.neg")).alias("core_label"), F.col("b.sim").alias("core_sim"))
+    """vec_id, core_label, core_sim: the class centre (label, v) that is closest to each row."""
+    bank = centres.select(F.col("label").alias("proto_id"), "label", F.lit(False).alias("is_reject"), "v")
+    found = of_blocks(rows, bank).select("vec_id", F.get("found", F.lit(0)).alias("b"))
+    return found.select("vec_id", (-F.col("b.neg")).alias("core_label"), F.col("b.sim").alias("core_sim"))
 
 
 def flagged(rows: DataFrame, corrections: DataFrame, least: float) -> DataFrame:
     """vec_id of the rows as close to a stored correction."""
     bank = corrections.select(F.col("vec_id").alias("proto_id"), "label", F.lit(False).alias("is_reject"), F.col("embedding").alias("v"))
-    return of_blocks(rows.select("vec_id", "embedding"), bank, F.array_max).groupBy("vec_id").agg(F.max("found.sim").alias("sim")).where(F.col("sim") >= least).select("vec_id")
+    return of_blocks(rows, bank).where(F.get("found", F.lit(0))["sim"] >= least).select("vec_id")
 
 
 def p_good(semantic: Column, detector: Column, geometry: Column) -> Column:

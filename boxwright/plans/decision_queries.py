@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.functions.labels import ALIASES_ENSEMBLE, by_alias
 from boxwright.operators import decide, prototypes, votes
 from boxwright.plans.core import query
 from boxwright.sources.views import SQL_DETECTIONS, detections, read
@@ -51,6 +52,19 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("result_id", "majority_label", "agreement_ratio", "strong_agreement_count", F.array_join("conflict_labels", ",").alias("conflict_labels"), (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
+#: Prompts of the detector, by their key.
+_PROMPT = "CASE prompt_key WHEN 'p0' THEN 'Wall fissure' WHEN 'p1' THEN 'moss, mildew' ELSE 'other' END"
+
+
+@query("d1_ensemble", f"{_SIG}, v AS (SELECT result_id, label, score FROM sig UNION ALL SELECT result_id, clip_label, clip_score FROM sig UNION ALL SELECT result_id, CASE prompt_key WHEN 'p0' THEN 'crack' ELSE 'mold' END, score FROM sig WHERE prompt_key <> 'p2'), c AS (SELECT result_id, label, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY n DESC, label) AS place, sum(n) OVER (PARTITION BY result_id) AS total FROM c) SELECT result_id, label AS majority_label, n / total AS agreement_ratio, total::INT AS votes FROM r WHERE place = 1")
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector, second model and, where its words tell a label, the detector's prompt."""
+    s = signals(spark, sf_dir)
+    prior = by_alias(F.expr(_PROMPT), ALIASES_ENSEMBLE)
+    cast = votes.ballots(detector=(F.col("label"), F.col("score")), clip=(F.col("clip_label"), F.col("clip_score")), prompt=(prior, F.col("score")))
+    return votes.majority(s.withColumn("cast", cast), F.col("cast")).select("result_id", "majority_label", "agreement_ratio", F.size("cast").alias("votes"))
+
+
 _WIN = """top AS (SELECT *, max(n) OVER (PARTITION BY result_id) AS most FROM (SELECT result_id, label, count(*) AS n FROM v WHERE source <> 'clip' GROUP BY ALL)),
 win AS (SELECT result_id, CASE WHEN count(*) = 1 AND max(n) >= 2 THEN max(label) END AS winner FROM top WHERE n = most GROUP BY result_id)"""
 

@@ -154,6 +154,17 @@ def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("same", wanted, "c1").unionByName(of("moved", moved, "c1")).unionByName(of("checkpoint", wanted, "c2"))
 
 
+@query("s8_sequences", "SELECT 'fasta' AS format, p_name AS name, upper(replace(p_type, ' ', '')) || repeat('A', p_size::INT) AS content FROM part UNION ALL SELECT 'sdf', p_name, p_type || chr(10) || 'M  END' || chr(10) FROM part")
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written over several lines and read back."""
+    p = read(spark, sf_dir, "part")
+    fasta, sdf = scratch(spark, "fasta"), scratch(spark, "sdf")
+    p.select(F.concat(F.lit(">"), "p_name", F.lit("\n"), F.upper(F.replace("p_type", F.lit(" "))), F.lit("\n"), F.expr("repeat('A', cast(p_size as int))")).alias("v")).write.text(fasta)
+    p.select(F.concat("p_name", F.lit("\n"), "p_type", F.lit("\nM  END\n$$$$")).alias("v")).write.text(sdf)
+    found = formats.fasta(spark, fasta).select(F.lit("fasta").alias("format"), "name", F.col("sequence").alias("content"))
+    return found.unionByName(formats.sdf(spark, sdf).select(F.lit("sdf").alias("format"), "name", F.col("body").alias("content")))
+
+
 # Sinks
 
 

@@ -201,3 +201,16 @@ def cached(cache: DataFrame, wanted: DataFrame, checkpoint: str) -> DataFrame:
     both = ours.select("path", "place").withColumn("side", F.lit(1)).unionByName(wanted.select("path", "place").withColumn("side", F.lit(2)))
     wrong = both.groupBy("path", "place").agg(F.sum("side").alias("s")).where("s <> 3").limit(1)
     return ours.join(wrong.select(F.lit(True).alias("w")), F.lit(True), "left_anti")
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """name, sequence of the records of FASTA files; lines of a sequence are joined."""
+    record = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
+    lines = F.split("value", "\r?\n")
+    return record.select(F.trim(lines[0]).alias("name"), F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "").alias("sequence"))
+
+
+def sdf(spark: SparkSession, path: str) -> DataFrame:
+    """name, body of the records of SDF files: the first line and the rest."""
+    record = spark.read.text(path, lineSep="$$$$\n").where("trim(value) <> ''")
+    return record.select(F.trim(F.substring_index("value", "\n", 1)).alias("name"), F.substring("value", F.length(F.substring_index("value", "\n", 1)) + 2, F.length("value")).alias("body"))

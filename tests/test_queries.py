@@ -121,7 +121,7 @@ def touching(some, width):
 def test_banks_of_several_blocks_give_what_one_block_gives(spark, name, monkeypatch):
     of = lambda: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
     whole = of()
-    monkeypatch.setattr(prototypes, "MAX_BANK", 7)
+    monkeypatch.setattr(prototypes, "BLOCK_BYTES", 4000)
     assert whole and of() == whole
 
 
