@@ -22,8 +22,8 @@ A byte goes if it is covered by a LENGTH-byte string that also starts anywhere e
 5. Ranges of window starts go back to the occurrences, then to the documents.
 
 A null text is empty. Texts shorter than LENGTH keep all bytes. Very long texts are read whole. Rows that repeat another
-(id and text) are occurrences of their own; rows with the same or a null id and different texts are told apart by the
-text's hash. An empty table gives no rows. Columns other than id and text are ignored.
+(id and text) are occurrences of their own; rows with the same id and different texts are told apart by the text's 64-bit
+hash, rows with a null id by two of them. An empty table gives no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ K = 32
 #: Contexts of a group that one task takes; contexts that it takes at a time.
 GROUP, BATCH = 256, 32768
 #: Windows of a piece of a large group's context.
-PIECE = 8
+PIECE = 16
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _HALVES = struct.Struct("<qq")
@@ -328,7 +328,7 @@ def covered(size: int, spans: list | None, length: int = LENGTH) -> np.ndarray:
 def _with_spans(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents with one more column, the last: first and last starts of repeated windows."""
     doc, tag, spans = (fresh(documents, name) for name in ("_doc", "_tag", "_spans"))
-    keyed = documents.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), tag: F.xxhash64(F.col(text_col).cast("string"))})
+    keyed = documents.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"), F.lit(1))), tag: F.xxhash64(F.col(text_col).cast("string"))})
     found = repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(tag).alias("tag"), utf8(text_col).alias("text")))
     found = found.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(spans))
     return keyed.join(found, [doc, tag], "left").select(*[F.col(f"`{c}`") for c in documents.columns], spans)
