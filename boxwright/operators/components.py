@@ -36,7 +36,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of an edge (u, v) reaches; roots are not listed under themselves."""
+    """node, root: the smallest node that each node of an edge (u, v) reaches; roots are not listed under themselves. Edges with a null end, and from a node to itself, say nothing; repeated ones are one."""
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
