@@ -192,6 +192,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.outputs(decided(spark, sf_dir).drop("box_type"), _boxes(signals(spark, sf_dir)))[1].select("result_id", "queue_type", F.round("score", 6).alias("score"))
 
 
+@query("d10_policy_audit", f"{_POL} SELECT result_id, label AS previous_label, new_label, final_type AS decision_type, matched_rule, array_to_string(list_sort(list_distinct(list_concat(reasons, CASE WHEN starts_with(matched_rule, 'relabel') THEN ['core_relabel_candidate'] WHEN matched_rule = 'auto_accept_low_priority' THEN ['low_priority_accept'] ELSE [] END))), ',') AS reasons FROM pol")
+def policy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each decision: what it was, what it became, by which rule and for which reasons."""
+    return decided(spark, sf_dir).select("result_id", F.col("initial_label").alias("previous_label"), F.col("final_label").alias("new_label"), "decision_type", "matched_rule", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(
     "d11_seed_relabel",
     f"{_BALLOTS}, {_WIN} SELECT s.result_id, s.label AS from_label, CASE WHEN coalesce(s.proto_label = 'reject' AND s.proto_sim >= 0.5, false) THEN 'reject' ELSE coalesce(w.winner, s.label) END AS to_label FROM sig s JOIN win w USING (result_id) WHERE CASE WHEN coalesce(s.proto_label = 'reject' AND s.proto_sim >= 0.5, false) THEN 'reject' ELSE coalesce(w.winner, s.label) END <> s.label",
