@@ -150,10 +150,10 @@ class Part:
         rows = [(x[:, None] * basis[own]).sum(axis=0) for own, x, _ in (_row(_places(vocabulary, h)[0], own_idf) for h in hashes)]
         vectors = np.array(rows, np.float32)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-        self.weights = np.vstack([own_idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        size = np.array([size_of(len(h)) for h in hashes])
-        self.by_size = {s: first + np.flatnonzero(size == s) for s in np.unique(size).tolist()}
-        self.directions = {s: np.ascontiguousarray(vectors[own - first].T) for s, own in self.by_size.items()}
+        # what a word adds to a window's inner product with each passage's latent direction; the last row is of other words
+        self.weights = np.vstack([(own_idf[:, None] * basis).astype(np.float32) @ vectors.T, np.zeros((1, len(vectors)), np.float32)])
+        size = np.array([size_of(len(h)) for h in hashes])  # in ascending order
+        self.first, self.by_size = first, {s: (int(np.searchsorted(size, s)), int(np.searchsorted(size, s, side="right"))) for s in np.unique(size).tolist()}
 
 
 class Passages:
@@ -209,13 +209,13 @@ class Passages:
                 sums[1:] += part.weights[rows[:, k]]
             sums = np.cumsum(sums, axis=0, out=sums)
             for size, (step, least) in spans.items():
-                own = part.by_size[size]
-                product = (sums[step:] - sums[:-step]) @ part.directions[size]
+                a, b = part.by_size[size]
+                product = sums[step:, a:b] - sums[:-step, a:b]
                 hit = np.flatnonzero(product >= least[:, None])
                 if len(hit):
-                    first, passage = np.divmod(hit, len(own))
+                    first, passage = np.divmod(hit, b - a)
                     cosine = product.ravel()[hit] / (least[first] / np.float32(LEAST_COSINE))
-                    out += zip(own[passage].tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
+                    out += zip((part.first + a + passage).tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
         return out
 
     def check(self, passage: int, window: list[int], held: set[int]) -> tuple[float, float] | None:
