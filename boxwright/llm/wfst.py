@@ -41,9 +41,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Cuts whose ids a worker remembers (twice), and characters that are composed at a time (or one longer cut).
-REMEMBER, AT_ONCE = 400_000, 1 << 18
+REMEMBER, AT_ONCE = 250_000, 1 << 18
 #: Pairs of pieces whose weight a worker remembers.
-REMEMBER_PAIRS = 4_000_000
+REMEMBER_PAIRS = 1_500_000
 #: What an unknown character weighs more than the least likely piece.
 UNKNOWN_PENALTY = 10.0
 
