@@ -96,6 +96,23 @@ def boundary_f(predicted: DataFrame, truth: DataFrame, tolerance: int = 2) -> Da
     return both.select("image_id", f.alias("f"))
 
 
+def _distances(own: DataFrame, other: DataFrame) -> DataFrame:
+    """image_id, d: each cell's distance to the nearest cell of the other mask (null if that has none in the image). A cell meets the other mask's rows of cells, not its cells."""
+    lines = other.groupBy("image_id", "y").agg(F.collect_list("x").alias("xs")).withColumnRenamed("y", "line")
+    near = F.array_min(F.transform("xs", lambda x: F.abs(x - F.col("x"))))
+    square = near * near + (F.col("line") - F.col("y")) * (F.col("line") - F.col("y"))
+    inside = own.join(other.withColumn("there", F.lit(True)), ["image_id", "x", "y"], "left")
+    apart = inside.where("there is null").join(lines, "image_id", "left").groupBy("image_id", "x", "y").agg(F.sqrt(F.min(square)).alias("d"))
+    return inside.where("there").select("image_id", F.lit(0.0).alias("d")).unionByName(apart.select("image_id", "d"))
+
+
+def hausdorff(predicted: DataFrame, truth: DataFrame, share: float = 0.95) -> DataFrame:
+    """image_id, distance: the percentile of all cells' distances to the other mask, of images in either; null if one has no cell there."""
+    both = _distances(predicted, truth).unionByName(_distances(truth, predicted))
+    found = F.when(F.count_if(F.col("d").isNull()) == 0, F.percentile("d", F.lit(share)))
+    return both.groupBy("image_id").agg(found.alias("distance"))
+
+
 def betti_error(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """image_id, error: difference in the number of components."""
     count = lambda cells, sign: component_boxes(cells).groupBy("image_id").agg((F.lit(sign) * F.count("*")).alias("n"))

@@ -54,6 +54,14 @@ def boundary_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.boundary_f(cells(spark, sf_dir, "O"), cells(spark, sf_dir, "F"), tolerance=1).withColumn("f", F.round("f", 6))
 
 
+_NEAR = lambda a, b: f"SELECT a.image_id, (SELECT min(sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2)) FROM {b} o WHERE o.image_id = a.image_id) AS d FROM {a} a"
+
+
+@query("e6_hausdorff", f"{_BOTH}, d AS ({_NEAR('p', 't')} UNION ALL {_NEAR('t', 'p')}) SELECT image_id, CASE WHEN count(*) = count(d) THEN round(quantile_cont(d, 0.95), 6) END AS distance FROM d GROUP BY image_id")
+def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hausdorff(cells(spark, sf_dir, "O"), cells(spark, sf_dir, "F")).withColumn("distance", F.round("distance", 6))
+
+
 @query("e6_betti_error")
 def betti_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components are iterative: tested against a loop."""
