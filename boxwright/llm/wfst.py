@@ -41,9 +41,11 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Cuts whose ids a worker remembers (twice), and characters that are composed at a time (or one longer cut).
-REMEMBER, AT_ONCE = 250_000, 1 << 18
+REMEMBER, AT_ONCE = 120_000, 1 << 16
+#: Texts that are encoded at a time.
+AT_A_TIME = 256
 #: Pairs of pieces whose weight a worker remembers.
-REMEMBER_PAIRS = 1_500_000
+REMEMBER_PAIRS = 500_000
 #: What an unknown character weighs more than the least likely piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -494,7 +496,7 @@ def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", t
         machine = compile_model(model)
         is_byte = np.zeros(len(machine.pieces), np.int64)
         is_byte[list(machine.trie.byte.values())] = 1
-        for batch in sliced(batches):
+        for batch in sliced(batches, AT_A_TIME):
             texts = batch.column(1).to_pylist()
             packed = machine.encode_all([t.decode("utf-8", "surrogatepass") for t in texts])
             ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
