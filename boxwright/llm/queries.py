@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packed_ids": ("packing", None),
     "op9_suffix_dedup": ("suffix_dedup", None),
     "op10_url_filter": ("url_filter", "SQL"),
+    "op11_vector_codes": ("vector_codes", "SQL"),
+    "op12_spelling_variants": ("spelling", "SQL"),
+    "op13_hilbert_shards": ("sharding", "SQL"),
 }
 
 

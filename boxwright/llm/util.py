@@ -40,6 +40,17 @@ def utf8(column: str | F.Column) -> F.Column:
     return F.coalesce(column.cast("string").cast("binary"), F.lit(b""))
 
 
+def crc32_sql(listing: str) -> str:
+    """SQL of the CRC-32 of a list of bytes, byte by byte from its polynomial's table."""
+    step = [0] * 256
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = c >> 1 ^ (3988292384 if c & 1 else 0)
+        step[i] = c
+    return f"xor(4294967295, list_reduce({listing}, lambda a, x: xor(a >> 8, {step}[xor(a & 255, x) + 1]), 4294967295))"
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict[str, list] | None], schema: str) -> DataFrame:
     """fn gets some rows' columns as lists, in order, and returns the columns of the result (or None)."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
