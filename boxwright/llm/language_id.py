@@ -100,6 +100,10 @@ class Hierarchy:
         self.top = Votes(sorted(set(family)), x, family)
         self.within = {f: Votes(sorted(set(labels[family == f])), x[family == f], labels[family == f]) for f in set(family)}
 
+    @property
+    def languages(self) -> frozenset[str]:
+        return frozenset(name for votes in self.within.values() for name in votes.names)
+
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         family, sure = self.top.best(x)
         name, own = self.within[family].best(x)
@@ -161,19 +165,21 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_languages(documents: DataFrame, languages: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, all columns, whose predicted language is wanted (by default one that FAMILIES knows).
+    """The documents, all columns, whose predicted language is wanted: one of those given, by default any learned label, whatever codes the table uses.
 
     Null texts and texts without a letter have no language and go. Without a model no text can be told from another, and all
     with a letter stay. Repeated rows, and rows with a null id or label, are judged by their text like any other.
     """
     _, model = _prepared(documents, id_col, text_col, lang_col)
-    wanted = frozenset(FAMILIES) if languages is None else languages
+    wanted = languages if languages is not None or model is None else model.languages
+
+    def kept(text: bytes) -> bool:
+        return has_letter(text) if model is None else predict(model, text)[0] in wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            keep = [t is not None and (has_letter(t.encode()) if model is None else predict(model, t.encode())[0] in wanted) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([t is not None and kept(t.encode()) for t in texts], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

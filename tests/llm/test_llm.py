@@ -507,6 +507,15 @@ def test_language_id_of_awkward_rows(spark, awkward, empty):
     assert {r["lang_pred"] for r in language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_any_code_are_kept(spark):
+    rng = random.Random(8)
+    alphabet = {"ja": "あいうえおかきくけこ", "ko": "가나다라마바사아자차", "eng": "abcdefghij"}
+    docs = [(i, " ".join("".join(rng.choice(alphabet[c]) for _ in range(4)) for _ in range(30)), c) for i, c in enumerate(["ja", "ko", "eng"] * 20)]
+    df = spark.createDataFrame([*docs, (100, "123", "ja"), (101, None, "ko")], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.keep_languages(df).collect()) == list(range(60))
+    assert {r["lang"] for r in language_id.keep_languages(df, frozenset({"ko"})).collect()} == {"ko"}
+
+
 def test_documents_without_labels_keep_their_place(awkward):
     unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r["doc_id"] or 0 for r in language_id.keep_languages(unlabelled).collect()) == [0, 3, 4, 4, 5]
