@@ -1,4 +1,4 @@
-"""Core mining, prototype banks, diverse samples and probes over embeddings."""
+"""Core mining, prototype banks and probes over embeddings."""
 
 from __future__ import annotations
 
@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.stored import stored
 from boxwright.functions.vectors import dot, normalised
-
-#: Rows of a bucket of a label's diverse sample, which one task holds.
-BUCKET = 4096
+from boxwright.operators.clusters import keyed_kmeans
 
 
 def candidates(decisions: DataFrame, agreements: DataFrame, boxes: DataFrame, reliability: float = 0.70, agreement: float = 0.75) -> DataFrame:
@@ -28,30 +26,17 @@ def candidates(decisions: DataFrame, agreements: DataFrame, boxes: DataFrame, re
 
 
 def core_mining(rows: DataFrame, least_size: int = 10, least_agreement: float = 0.75, most_clusters: int = 8, rare: int = 3, seed: int = 42) -> DataFrame:
-    """result_id, label, cluster, size, density, cluster_agreement, similarity, status. rows: result_id, label, agreement, v (unit vectors).
+    """result_id, label, cluster, size, density, cluster_agreement, similarity, status. rows: result_id (a key), label, agreement, v (unit vectors).
 
-    A label with too few rows has no cluster (insufficient_class_samples); else k-means over the label's vectors; a cluster is
-    core if it is large and agrees enough, else rare_cluster or noise_cluster. Labels are few (the taxonomy's).
+    A label with too few rows has no cluster (insufficient_class_samples); else k-means over the label's vectors, all labels at
+    once; a cluster is core if it is large and agrees enough, else rare_cluster or noise_cluster. Rows without a vector, id or
+    label are left out. Any number of labels; an empty table gives no rows.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = stored(rows.select("result_id", "label", "agreement", "v"), "mining")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    out = []
-    for label, n in sorted(sizes.items()):
-        own = rows.where(F.col("label") == label)
-        k = max(1, min(most_clusters, n // least_size))
-        if n < least_size:
-            out.append(own.withColumn("cluster", F.lit(None).cast("int")))
-        elif k == 1:
-            out.append(own.withColumn("cluster", F.lit(0)))
-        else:
-            vectors = own.withColumn("features", array_to_vector(F.transform("v", lambda x: x.cast("double"))))
-            out.append(KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).drop("features"))
-    if not out:
-        return rows.sparkSession.createDataFrame([], "result_id long, label string, cluster int, size long, density double, cluster_agreement double, similarity double, status string")
-    dealt = stored(reduce(DataFrame.unionByName, out), "mining")
+    rows = stored(rows.select("result_id", "label", "agreement", "v").where("result_id is not null and label is not null and v is not null"), "mining")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    k = stored(sizes.where(F.col("n") >= least_size).select("label", F.greatest(F.lit(1), F.least(F.lit(most_clusters), F.floor(F.col("n") / least_size))).cast("int").alias("k")), "sizes")
+    clustered = keyed_kmeans(rows, k, most_clusters, seed=seed)
+    dealt = stored(clustered.unionByName(rows.join(k, "label", "left_anti"), allowMissingColumns=True), "mining")
     keys = ["label", "cluster"]
     means = dealt.where("cluster is not null").select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(*keys, normalised(F.transform("c", lambda p: p["m"])).alias("c"))
@@ -78,54 +63,6 @@ def prototype_bank(manual: DataFrame, members: DataFrame, picked: DataFrame, exc
     return bank
 
 
-def farthest_first(reliability: np.ndarray, ids: np.ndarray, vectors: list, k: int) -> np.ndarray:
-    """Places of k rows: first the least (reliability, id), then always the one farthest (cosine) from those taken; a missing vector is infinitely far."""
-    n = len(ids)
-    if k >= n:
-        return np.arange(n)
-    size = max((len(v) for v in vectors if v is not None), default=0)
-    matrix, there = np.zeros((n, size)), np.array([v is not None for v in vectors])
-    for i, v in enumerate(vectors):
-        if v is not None:
-            matrix[i, : len(v)] = v
-    least = np.full(n, np.inf)
-    taken = [int(np.lexsort((ids, reliability))[0])]
-    while True:
-        at = taken[-1]
-        if there[at]:
-            free = least >= 0
-            least[free & there] = np.minimum(least[free & there], 1 - matrix[free & there] @ matrix[at])
-        least[at] = -1
-        if len(taken) == k:
-            return np.array(taken)
-        best = int(np.argmax(least))
-        if least[best] < 0:
-            return np.array(taken)
-        taken.append(best)
-
-
-def diverse_sample(rows: DataFrame, ratio: float) -> DataFrame:
-    """label, result_id of a share of each label, at least one row: farthest-point samples. rows: result_id, label, reliability, v.
-
-    A label of over BUCKET rows is dealt into buckets by a hash of the id, each with its part of the label's share.
-    """
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", F.greatest(F.lit(1), F.bround(F.col("n") * ratio).cast("long")).alias("k"), F.ceil(F.col("n") / BUCKET).alias("buckets"))
-    dealt = rows.join(sizes, "label").withColumn("bucket", F.pmod(F.xxhash64("result_id"), F.col("buckets")).cast("int"))
-    w = Window.partitionBy("label").orderBy("bucket")
-    counts = dealt.groupBy("label", "bucket", "n", "k").agg(F.count("*").alias("own"))  # a row for each bucket
-    upto = F.sum("own").over(w)
-    shares = counts.select("label", "bucket", (F.bround(F.col("k") * upto / F.col("n")) - F.bround(F.col("k") * (upto - F.col("own")) / F.col("n"))).cast("int").alias("take"))
-
-    def pick(group):
-        group = group.sort_values("result_id", ignore_index=True)
-        at = farthest_first(group["reliability"].fillna(0).to_numpy(), group["result_id"].to_numpy(), list(group["v"]), int(group["take"].iloc[0]))
-        return group.loc[at, ["label", "result_id"]]
-
-    j = dealt.join(shares, ["label", "bucket"]).where("take > 0").select("label", "bucket", "take", "result_id", "reliability", "v")
-    schema = f"label {rows.schema['label'].dataType.simpleString()}, result_id long"
-    return j.groupBy("label", "bucket").applyInPandas(pick, schema)
-
-
 def dup_score(overlap: Column, containment: Column, cosine: Column) -> Column:
     """How much two boxes are one finding, 0 to 1: the mean of the larger of IoU and containment, and the vectors' likeness; symmetric in the two. The weights are our choice."""
     clip = lambda v: F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,24 +126,47 @@ def best_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy(F.col("a_det_id").alias("pred_id")).agg(best.alias("m")).select("pred_id", F.col("m.iou").alias("best_iou"), F.when(F.col("m.iou") > 0, F.col("m.b_det_id")).alias("truth_id"))
 
 
-def coverage(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """image_id, corners (kind, x, y, n) of a tile to image_id, size, hit: the area of truth, and of truth that predictions cover."""
+    for batch in batches:
+        sizes, hits = [], []
+        for corners in batch.column(1):
+            v = corners.values
+            kind, x, y, n = (v.field(c).to_numpy() for c in ("kind", "x", "y", "n"))
+            xs, at_x = np.unique(x, return_inverse=True)
+            ys, at_y = np.unique(y, return_inverse=True)
+            over = np.zeros((2, len(ys), len(xs)), np.int64)
+            np.add.at(over, (kind, at_y, at_x), n)
+            truth, predicted = over.cumsum(axis=1).cumsum(axis=2)[:, :-1, :-1] > 0  # how many boxes lie over each cell between edges
+            area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
+            sizes.append(int((area * truth).sum()))
+            hits.append(int((area * (truth & predicted)).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64())], names=["image_id", "size", "hit"])
+
+
+def coverage(truth: DataFrame, predictions: DataFrame, tile: int = 512) -> DataFrame:
     """image_id, covered: area of (union of truth) within (union of predictions) over the former, edges on whole pixels.
 
-    An image's edges cut it into cells that boxes cover whole or not at all, so no pixel is written out.
+    Boxes are cut along tiles of an image. In a tile a box is four signed corners, added up before they are shuffled, so a tile
+    has as many as its pixels at most, whatever the boxes; running sums of the corners tell which cells between edges are
+    covered. No pixel is written out. Boxes without an area and images without truth have no row.
     """
-    whole = lambda df: df.select("image_id", F.struct(F.floor("x1").alias("x1"), F.floor("y1").alias("y1"), F.ceil("x2").alias("x2"), F.ceil("y2").alias("y2")).alias("b"))
-    t = whole(truth).groupBy("image_id").agg(F.collect_list("b").alias("t"))
-    p = whole(predictions).groupBy("image_id").agg(F.collect_list("b").alias("p"))
-    none = F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>")
-    j = t.join(p, "image_id", "left").withColumn("p", F.coalesce("p", none))
-    edges = lambda lo, hi: F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat("t", "p"), lambda b: F.array(b[lo], b[hi])))))
-    steps = lambda e: F.arrays_zip(F.slice(e, F.lit(1), F.size(e) - 1).alias("lo"), F.slice(e, F.lit(2), F.size(e) - 1).alias("hi"))
-    x = j.select("image_id", "t", "p", F.explode(steps(edges("x1", "x2"))).alias("x"), edges("y1", "y2").alias("ys"))
-    c = x.select("image_id", "t", "p", "x", F.explode(steps(F.col("ys"))).alias("y"))
-    holds = lambda boxes: F.exists(boxes, lambda b: (b["x1"] <= F.col("x.lo")) & (b["x2"] >= F.col("x.hi")) & (b["y1"] <= F.col("y.lo")) & (b["y2"] >= F.col("y.hi")))
-    size = (F.col("x.hi") - F.col("x.lo")) * (F.col("y.hi") - F.col("y.lo"))
-    inside = c.where(holds("t")).select("image_id", size.alias("size"), holds("p").alias("hit"))
-    return inside.groupBy("image_id").agg((F.coalesce(F.sum(F.when(F.col("hit"), F.col("size"))), F.lit(0)) / F.sum("size")).alias("covered"))
+
+    def corners(df: DataFrame, kind: int) -> DataFrame:
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor((F.col(hi) - 1) / tile)))
+        whole = df.select("image_id", F.floor("x1").alias("x1"), F.floor("y1").alias("y1"), F.ceil("x2").alias("x2"), F.ceil("y2").alias("y2")).where("x2 > x1 and y2 > y1")
+        cut = whole.withColumn("tx", span("x1", "x2")).withColumn("ty", span("y1", "y2"))
+        local = lambda c, t: F.least(F.greatest(F.col(c) - F.col(t) * tile, F.lit(0)), F.lit(tile))
+        x1, y1, x2, y2 = local("x1", "tx"), local("y1", "ty"), local("x2", "tx"), local("y2", "ty")
+        corner = lambda x, y, n: F.struct(x.alias("x"), y.alias("y"), F.lit(n).alias("n"))
+        return cut.select("image_id", "tx", "ty", F.lit(kind).alias("kind"), F.inline(F.array(corner(x1, y1, 1), corner(x2, y1, -1), corner(x1, y2, -1), corner(x2, y2, 1))))
+
+    keys = ["image_id", "tx", "ty"]
+    summed = corners(truth, 0).unionByName(corners(predictions, 1)).groupBy(*keys, "kind", "x", "y").agg(F.sum("n").alias("n")).where("n <> 0")
+    tiles = summed.groupBy(*keys).agg(F.collect_list(F.struct("kind", "x", "y", "n")).alias("corners"), F.min("kind").alias("least")).where("least = 0").select("image_id", "corners")
+    image = truth.schema["image_id"].dataType.simpleString()
+    areas = tiles.mapInArrow(_covered, f"image_id {image}, size bigint, hit bigint")
+    return areas.groupBy("image_id").agg((F.sum("hit") / F.sum("size")).alias("covered"))
 
 
 def without_overlap(predictions: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Masks and score maps as rows of cells (image_id, x, y, value): components, regions, boundaries, statistics."""
+"""Masks and score maps as rows of cells (image_id, x, y, value): components, regions, boundaries, statistics.
+
+A cell is named once in a mask; null cells and images take no part in any join. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import boxes as B
 from boxwright.operators.components import components
+from boxwright.operators.distance import box_sums, nearest
 from boxwright.operators.suppress import greedy
 
 
@@ -59,10 +63,9 @@ def refine_regions(values: DataFrame, width: int, height: int, threshold: float,
     mid = lambda lo, hi, edge: F.bround((F.greatest(F.col(lo) - padding, F.lit(0)) + F.least(F.col(hi) + padding, F.lit(edge))) / 2).cast("int")
     box = fixed_box(mid("x1", "x2", width), mid("y1", "y2", height), size, width, height)
     own = c.select("image_id", *[v.alias(f"b_{k}") for k, v in box._asdict().items()]).distinct()
-    within = (F.col("x") >= F.col("b_x1")) & (F.col("x") < F.col("b_x2")) & (F.col("y") >= F.col("b_y1")) & (F.col("y") < F.col("b_y2"))
     names = [f"b_{k}" for k in B.Box._fields]
     area = (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))
-    scored = hot.join(own, "image_id").where(within).groupBy("image_id", *names).agg((F.sum("heat") / F.first(area)).alias("score"))
+    scored = box_sums(hot, own, names, "heat").select("image_id", *names, (F.col("total") / area).alias("score"))
     few = c.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") < most)
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("heat"), "y", "x"))
     about = fixed_box(F.col("x").cast("int"), F.col("y").cast("int"), size, width, height)
@@ -81,34 +84,25 @@ def boundary(cells: DataFrame) -> DataFrame:
     return cells.join(inside, ["image_id", "x", "y"], "left_anti")
 
 
-def boundary_f(predicted: DataFrame, truth: DataFrame, tolerance: int = 2) -> DataFrame:
-    """image_id, f: F1 of boundary cells with one of the other mask within the tolerance, of images in either; 0 if one has none."""
+def share_within(own: DataFrame, other: DataFrame, tolerance: int, name: str) -> DataFrame:
+    """image_id and, under the name, the share of an image's own cells with one of the other mask within the tolerance."""
     offsets = [(dx, dy) for dx in range(-tolerance, tolerance + 1) for dy in range(-tolerance, tolerance + 1) if dx * dx + dy * dy <= tolerance * tolerance]
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])).alias("d")
+    reach = other.select("image_id", "x", "y", around).select("image_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct().withColumn("near", F.lit(1))
+    return own.join(reach, ["image_id", "x", "y"], "left").groupBy("image_id").agg(F.avg(F.coalesce("near", F.lit(0))).alias(name))
 
-    def share(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        reach = other.select("image_id", "x", "y", around).select("image_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct().withColumn("near", F.lit(1))
-        return own.join(reach, ["image_id", "x", "y"], "left").groupBy("image_id").agg(F.avg(F.coalesce("near", F.lit(0))).alias(name))
 
+def boundary_f(predicted: DataFrame, truth: DataFrame, tolerance: int = 2) -> DataFrame:
+    """image_id, f: F1 of boundary cells with one of the other mask within the tolerance, of images in either; 0 if one has none."""
     p, t = boundary(predicted), boundary(truth)
-    both = share(p, t, "p").join(share(t, p, "r"), "image_id", "full")
+    both = share_within(p, t, tolerance, "p").join(share_within(t, p, tolerance, "r"), "image_id", "full")
     f = F.when(F.col("p").isNull() | F.col("r").isNull() | (F.col("p") + F.col("r") == 0), 0.0).otherwise(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
     return both.select("image_id", f.alias("f"))
 
 
-def _distances(own: DataFrame, other: DataFrame) -> DataFrame:
-    """image_id, d: each cell's distance to the nearest cell of the other mask (null if that has none in the image). A cell meets the other mask's rows of cells, not its cells."""
-    lines = other.groupBy("image_id", "y").agg(F.collect_list("x").alias("xs")).withColumnRenamed("y", "line")
-    near = F.array_min(F.transform("xs", lambda x: F.abs(x - F.col("x"))))
-    square = near * near + (F.col("line") - F.col("y")) * (F.col("line") - F.col("y"))
-    inside = own.join(other.withColumn("there", F.lit(True)), ["image_id", "x", "y"], "left")
-    apart = inside.where("there is null").join(lines, "image_id", "left").groupBy("image_id", "x", "y").agg(F.sqrt(F.min(square)).alias("d"))
-    return inside.where("there").select("image_id", F.lit(0.0).alias("d")).unionByName(apart.select("image_id", "d"))
-
-
 def hausdorff(predicted: DataFrame, truth: DataFrame, share: float = 0.95) -> DataFrame:
     """image_id, distance: the percentile of all cells' distances to the other mask, of images in either; null if one has no cell there."""
-    both = _distances(predicted, truth).unionByName(_distances(truth, predicted))
+    both = nearest(predicted, truth).unionByName(nearest(truth, predicted)).withColumn("d", F.sqrt("square"))
     found = F.when(F.count_if(F.col("d").isNull()) == 0, F.percentile("d", F.lit(share)))
     return both.groupBy("image_id").agg(found.alias("distance"))
 

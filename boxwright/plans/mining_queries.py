@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxwright.operators import diverse
 from boxwright.operators import mining as M
 from boxwright.operators.numbering import numbered_within
 from boxwright.plans.core import query
@@ -182,9 +183,33 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("result_id"), F.concat(F.lit("l"), "label").alias("label"), (((F.col("vec_id") * 13) % 100) / 100).alias("reliability"), F.col("embedding").alias("v"))
 
 
-@query("d6_core_mining")
+def _rounds_sql(rounds: int = 20) -> str:
+    """k-means rounds in whole numbers, unrolled: more than it takes change nothing."""
+    square = "list_sum(list_transform(list_zip(r.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r.label, r.result_id, arg_min(c.cluster, {square} * 64 + c.cluster) AS cluster FROM rows r JOIN c{i} c ON c.label = r.label GROUP BY ALL)")
+        steps.append(f"""m{i} AS (SELECT label, cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT a.label, a.cluster, t.i, sum(r.q[t.i])::BIGINT AS s, count(*) AS n
+  FROM a{i} a JOIN rows r USING (result_id), (SELECT unnest(range(1, 65)) AS i) t GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.label, c.cluster, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.label = c.label AND m.cluster = c.cluster)""")
+    return ", ".join(steps)
+
+
+_MINING = f"""WITH base AS (SELECT vec_id AS result_id, 'l' || label AS label, 0.7 + vec_id % 3 / 10 AS agreement, embedding AS v, list_transform(embedding, lambda x: floor(x::DOUBLE * 1048576 + 0.5)::BIGINT) AS q FROM embeddings),
+sized AS (SELECT label, count(*) AS n, greatest(1, least(8, count(*) // 10)) AS k FROM base GROUP BY label),
+rows AS MATERIALIZED (SELECT base.* FROM base JOIN sized USING (label) WHERE n >= 10),
+c0 AS MATERIALIZED (SELECT label, p - 1 AS cluster, q AS c FROM (SELECT label, k, q, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || result_id), result_id) AS p FROM rows JOIN sized USING (label)) WHERE p <= k),
+{_rounds_sql()},
+mean AS (SELECT label, cluster, list(m ORDER BY i) AS m FROM (SELECT label, cluster, i, avg(x::DOUBLE) AS m FROM (SELECT a.label, a.cluster, unnest(r.v) AS x, generate_subscripts(r.v, 1) AS i FROM a19 a JOIN rows r USING (result_id)) GROUP BY ALL) GROUP BY ALL),
+near AS (SELECT a.result_id, a.label, a.cluster, r.agreement, greatest(-1, least(1, list_dot_product(r.v::DOUBLE[], m) / greatest(sqrt(list_dot_product(m, m)), 1e-12))) AS similarity FROM a19 a JOIN rows r USING (result_id) JOIN mean ON mean.label = a.label AND mean.cluster = a.cluster),
+about AS (SELECT label, cluster, count(*) AS size, avg(similarity) AS density, avg(agreement) AS ca FROM near GROUP BY ALL)
+SELECT result_id, label, cluster::INTEGER AS cluster, size, round(density, 5) AS density, round(ca, 5) AS cluster_agreement, round(similarity, 5) AS similarity,
+  CASE WHEN size >= 10 AND ca >= 0.75 THEN 'core' WHEN size >= 3 THEN 'rare_cluster' ELSE 'noise_cluster' END AS status FROM near JOIN about USING (label, cluster)
+UNION ALL SELECT result_id, label, NULL, NULL, NULL, NULL, NULL, 'insufficient_class_samples' FROM base JOIN sized USING (label) WHERE n < 10"""
+
+
+@query("d6_core_mining", _MINING)
 def core_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-means has no SQL; the tests hold its invariants to a loop over the rows."""
     rows = _vectors(spark, sf_dir).withColumn("agreement", 0.7 + F.col("result_id") % 3 / 10)
     out = M.core_mining(rows)
     return out.withColumns({c: F.round(c, 5) for c in ("density", "cluster_agreement", "similarity")})
@@ -193,7 +218,7 @@ def core_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t4_diverse_sample")
 def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential by nature: tested against a loop."""
-    return M.diverse_sample(_vectors(spark, sf_dir), 0.05)
+    return diverse.diverse_sample(_vectors(spark, sf_dir), 0.05)
 
 
 @query("t5_domains_by_size", f"{_BASE}, z AS (SELECT label, cluster_id, count(*) AS size, min(result_id) AS first FROM m GROUP BY ALL) SELECT cluster_id, row_number() OVER (ORDER BY size DESC, first) AS place FROM z")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.operators import distance, skeleton, tiles
 from boxwright.operators import rasters as R
-from boxwright.operators import tiles
 from boxwright.plans.core import query
 from boxwright.sources.views import SQL_DETECTIONS, detections
 
@@ -62,6 +62,35 @@ def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hausdorff(cells(spark, sf_dir, "O"), cells(spark, sf_dir, "F")).withColumn("distance", F.round("distance", 6))
 
 
+_DEPTH = lambda m: f"""{m}d AS (SELECT image_id, x, y, coalesce((SELECT min(abs(g.x - c.x) + abs(g.y - c.y)) FROM grid g WHERE NOT EXISTS (SELECT 1 FROM {m} o WHERE o.image_id = c.image_id AND o.x = g.x AND o.y = g.y)), 999) AS depth FROM {m} c),
+  {m}s AS (SELECT image_id, x, y FROM {m}d a WHERE NOT EXISTS (SELECT 1 FROM {m}d b WHERE b.image_id = a.image_id AND abs(b.x - a.x) + abs(b.y - a.y) = 1 AND b.depth > a.depth))"""
+
+
+@query("e6_skeleton_overlap", f"{_BOTH}, grid AS (SELECT x, unnest(range({HIGH})) AS y FROM (SELECT unnest(range({WIDE})) AS x)), {_DEPTH('p')}, {_DEPTH('t')}, n AS (SELECT image_id, count(px) AS p, count(tx) AS t, count(px + tx) AS b FROM (SELECT image_id, x, y, x AS px FROM ps) FULL JOIN (SELECT image_id, x, y, x AS tx FROM ts) USING (image_id, x, y) GROUP BY image_id) SELECT image_id, round(coalesce(b / nullif(p, 0), 0), 6) AS precision, round(coalesce(b / nullif(t, 0), 0), 6) AS recall, round(2 * b / (p + t), 6) AS dice FROM n")
+def skeleton_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and Dice of the skeletons that erosion leaves."""
+    lines = [distance.ridges(cells(spark, sf_dir, d), WIDE, HIGH) for d in "OF"]
+    return skeleton.overlap(*lines).select("image_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "dice")])
+
+
+@query("e6_mask_depth", f"{_BOTH}, grid AS (SELECT x, unnest(range({HIGH})) AS y FROM (SELECT unnest(range({WIDE})) AS x)), {_DEPTH('p')} SELECT image_id, max(depth) AS deepest, sum(depth)::BIGINT AS total FROM pd WHERE depth < 999 GROUP BY image_id")
+def mask_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = distance.depth(cells(spark, sf_dir, "O"), WIDE, HIGH).where("depth is not null")
+    return d.groupBy("image_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("total"))
+
+
+@query("e6_centre_line_f")
+def centre_line_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thinning is iterative: tested against a loop."""
+    return skeleton.centre_line_f(cells(spark, sf_dir, "O"), cells(spark, sf_dir, "F"), tolerance=1).withColumn("f", F.round("f", 6))
+
+
+@query("e6_fragmentation")
+def fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components are iterative: tested against a loop."""
+    return skeleton.fragmentation(cells(spark, sf_dir, "O"), cells(spark, sf_dir, "F"))
+
+
 @query("e6_betti_error")
 def betti_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components are iterative: tested against a loop."""
@@ -73,6 +102,21 @@ def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.component_boxes(cells(spark, sf_dir, "O"), least=2, longest=4)
 
 
+_SCORES = f"""s AS (SELECT i.image_id, g.x, g.y, coalesce(max(score), 0) AS value FROM (SELECT DISTINCT image_id FROM det) i CROSS JOIN (SELECT x, unnest(range({HIGH})) AS y FROM (SELECT unnest(range({WIDE})) AS x)) g
+  LEFT JOIN det ON det.image_id = i.image_id AND g.x >= floor(x1 / {CELL}) AND g.x < ceil(x2 / {CELL}) AND g.y >= floor(y1 / {CELL}) AND g.y < ceil(y2 / {CELL}) GROUP BY ALL)"""
+
+
+@query("x3_box_means", f"{DET}, {_SCORES}, b AS (SELECT image_id, det_id, floor(x1 / {CELL}) AS a1, floor(y1 / {CELL}) AS b1, ceil(x2 / {CELL}) AS a2, ceil(y2 / {CELL}) AS b2 FROM det) SELECT det_id, round(avg(value), 6) AS mean FROM b JOIN s ON s.image_id = b.image_id AND x >= a1 AND x < a2 AND y >= b1 AND y < b2 GROUP BY det_id")
+def box_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean score of each detection's cells, by a summed-area table."""
+    side = lambda c, f: f(F.col(c) / CELL).cast("long").alias(f"b_{c}")
+    b = detections(spark, sf_dir).select("image_id", "det_id", side("x1", F.floor), side("y1", F.floor), side("x2", F.ceil), side("y2", F.ceil))
+    names = ["b_x1", "b_y1", "b_x2", "b_y2"]
+    t = distance.box_sums(scores(spark, sf_dir), b, names)
+    area = (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))
+    return b.join(t, ["image_id", *names]).select("det_id", F.round(F.col("total") / area, 6).alias("mean"))
+
+
 @query("x3_refine_regions")
 def refine_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refine_regions(scores(spark, sf_dir), WIDE, HIGH, threshold=0.5, size=3, most=4)

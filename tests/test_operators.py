@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boxwright.operators import diverse
 from boxwright.operators import evaluate as E
 from boxwright.operators import mining as M
 from boxwright.operators import numbering, rasters, suppress
@@ -106,7 +107,7 @@ def test_farthest_points_meet_a_loop(spark):
     v = rng.standard_normal((40, 5))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = [(i, "a" if i % 2 else "b", (i * 7 % 10) / 10, None if i % 9 == 0 else v[i].tolist()) for i in range(40)]
-    got = {(r["label"], r["result_id"]) for r in M.diverse_sample(spark.createDataFrame(rows, "result_id long, label string, reliability double, v array<double>"), 0.3).collect()}
+    got = {(r["label"], r["result_id"]) for r in diverse.diverse_sample(spark.createDataFrame(rows, "result_id long, label string, reliability double, v array<double>"), 0.3).collect()}
     want = set()
     for label in "ab":
         own = [r for r in rows if r[1] == label]
@@ -119,11 +120,20 @@ def test_farthest_points_meet_a_loop(spark):
     assert got == want
 
 
-def test_samples_of_large_labels_are_dealt_into_buckets(spark, monkeypatch):
-    monkeypatch.setattr(M, "BUCKET", 50)
-    rows = spark.range(400).selectExpr("id as result_id", "if(id < 397, 'x', 'y') as label", "0.5D as reliability", "array(cos(id), sin(id)) as v")
-    got = {r["label"]: r["count"] for r in M.diverse_sample(rows, 0.1).groupBy("label").count().collect()}
-    assert got == {"x": 40, "y": 1}
+@pytest.mark.parametrize(("bucket", "together"), [(10, 10), (64, 5), (7, 1), (8192, 512)])
+def test_samples_of_large_labels_are_those_of_a_loop(spark, bucket, together):
+    rng = np.random.default_rng(6)
+    v = rng.integers(-2, 3, (260, 3)) / 4.0  # many ties
+    rows = [(i * 13 % 1000, ("x", "y", None)[0 if i < 180 else 1 + i % 2], None if i % 11 == 0 else (i * 7 % 10) / 10, None if i % 17 == 0 else v[i].tolist()) for i in range(260)]
+    df = spark.createDataFrame(rows, "result_id long, label string, reliability double, v array<double>").repartition(5)
+    got = {(r["label"], r["result_id"]) for r in diverse.diverse_sample(df, 0.12, bucket, together).collect()}
+    want = set()
+    for label in ("x", "y", None):
+        own = [r for r in rows if r[1] == label]
+        at = diverse.farthest_first(np.array([r[2] or 0 for r in own]), np.array([r[0] for r in own]), [r[3] for r in own], max(1, round(0.12 * len(own))))
+        want |= {(label, own[i][0]) for i in at}
+    assert got == want
+    assert diverse.diverse_sample(df.limit(0), 0.5).count() == 0
 
 
 def test_core_mining_invariants(spark):
