@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.boxes import clip01
 from boxwright.functions.labels import DAMAGE, REJECT
 from boxwright.functions.vectors import unit
+from boxwright.operators.products import block_product, parts
 
 #: Weights of the reliability's parts, and codes that are a conflict.
 WEIGHTS = {"semantic": 0.08, "agreement": 0.08, "margin": 0.05, "detector": 0.12, "prototype": 0.28, "core": 0.24, "density": 0.04, "consistency": 0.06, "geometry": 0.08}
@@ -179,26 +181,63 @@ def outputs(decided: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]
     return clean, review
 
 
-#: Rules of a block, which all tasks hold.
-MAX_RULES = 5_000
+#: Bytes of the rules, and of the labels, that a task holds at a time.
+RULE_BYTES, LABEL_BYTES = 8 << 20, 8 << 20
+
+
+def _first_rules(labels: pa.Table, rules: pa.Table) -> pa.Table:
+    """low, query, to: for each label text the first rule (by query, then label) that holds it or is held by it.
+
+    Two automata of Aho and Corasick: one of the rules reads each label once, one of the labels reads each rule once.
+    """
+    import ahocorasick
+
+    ordered = sorted(set(zip(rules.column("query").to_pylist(), rules.column("to").to_pylist(), strict=True)), key=lambda r: (r[0], r[1] is not None, r[1]))
+    texts = sorted(set(labels.column("low").to_pylist()))
+    best: dict[str, int] = {}
+    of_rules, of_labels = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for rank, (query, _) in enumerate(ordered):
+        if query and query not in of_rules:
+            of_rules.add_word(query, rank)
+    for text in texts:
+        if text:
+            of_labels.add_word(text, text)
+    empty_rule = 0 if ordered[0][0] == "" else None  # an empty text is within every other
+    if len(of_rules):
+        of_rules.make_automaton()
+        for text in texts:
+            if (found := min((rank for _, rank in of_rules.iter(text)), default=None)) is not None:
+                best[text] = found
+    if len(of_labels):
+        of_labels.make_automaton()
+        for rank, (query, _) in enumerate(ordered):
+            for _, text in of_labels.iter(query):
+                if rank < best.get(text, len(ordered)):
+                    best[text] = rank
+    for text in texts:
+        if text == "" or empty_rule is not None:
+            best[text] = 0
+    at = list(best.items())
+    columns = [[t for t, _ in at], [ordered[r][0] for _, r in at], [ordered[r][1] for _, r in at]]
+    return pa.table([pa.array(c, pa.string()) for c in columns], names=["low", "query", "to"])
 
 
 def first_matching_rule(predictions: DataFrame, rules: DataFrame, least: float, strict: bool) -> DataFrame:
     """result_id, decision, label: a row's first prediction (by place) that meets a rule. rules: query, label (null: reject).
 
     predictions: result_id, place, label, confidence. Low confidence is decided first: rejected if strict, else kept. A
-    prediction meets a rule if one of the two texts holds the other. Rules are dealt into blocks of about MAX_RULES.
+    prediction meets a rule if one of the two texts holds the other, without regard to case. Each distinct text meets the
+    rules once, tile by block, so rules may be many; a null text or query meets nothing, without rules nothing meets one.
     """
     p = predictions.withColumn("low", F.lower("label"))
-    r = rules.select(F.lower("query").alias("query"), F.col("label").alias("to"))
-    parts = max(1, -(-r.count() // MAX_RULES))
-    found = []
-    for k in range(parts):
-        held = (r.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k) if parts > 1 else r).agg(F.collect_list(F.struct("query", "to")).alias("rules"))
-        meets = F.filter("rules", lambda x: F.col("low").contains(x["query"]) | x["query"].contains(F.col("low")))
-        hit = F.array_min(F.transform(meets, lambda x: F.struct(F.col("place"), x["query"].alias("query"), x["to"].alias("to"))))
-        found.append(p.crossJoin(F.broadcast(held)).select("result_id", hit.alias("hit"), F.when(F.col("place") == 1, F.col("confidence")).alias("confidence")))  # one row of about MAX_RULES rules
-    met = reduce(DataFrame.unionAll, found).groupBy("result_id").agg(F.min("hit").alias("hit"), F.max("confidence").alias("confidence"))
+    texts = p.select("low").where("low is not null").distinct()
+    r = rules.select(F.lower("query").alias("query"), F.col("label").alias("to")).where("query is not null")
+    size = lambda df, c: df.agg(F.sum(F.length(c) + 32)).first()[0]
+    met = block_product(texts, r, parts(size(texts, "low"), LABEL_BYTES), parts(size(r, "query"), RULE_BYTES), _first_rules, "low string, query string, to string")
+    one = met.groupBy("low").agg(F.min(F.struct("query", "to")).alias("rule"))
+    hit = F.when(F.col("rule").isNotNull(), F.struct("place", "rule.query", "rule.to"))
+    j = p.join(one, "low", "left").select("result_id", hit.alias("hit"), F.when(F.col("place") == 1, F.col("confidence")).alias("confidence"))
+    g = j.groupBy("result_id").agg(F.min("hit").alias("hit"), F.max("confidence").alias("confidence"))
     other = F.lit("reject" if strict else "keep")
     decision = F.when(F.col("confidence") < least, other).when(F.col("hit").isNull(), other).when(F.col("hit.to").isNull(), "reject").otherwise("accept")
-    return met.select("result_id", decision.alias("decision"), F.when(decision == "accept", F.col("hit.to")).alias("label"))
+    return g.select("result_id", decision.alias("decision"), F.when(decision == "accept", F.col("hit.to")).alias("label"))

@@ -29,16 +29,25 @@ def greedy_matches(predictions: DataFrame, truth: DataFrame, threshold: float =
 
     Only pairs that overlap meet in an array, one for each image and label.
     """
-    pairs = overlaps(predictions, truth, threshold)
+    return _taken(overlaps(predictions, truth, threshold), ["image_id", "label"]).drop("score")
+
+
+def matches_at(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """image_id, label, threshold, score, pred_id, truth_id: greedy_matches() at each threshold; boxes meet once, pairs are told apart after."""
+    at = F.filter(F.array(*map(F.lit, sorted(thresholds))), lambda t: t <= F.col("iou"))
+    pairs = overlaps(predictions, truth, min(thresholds)).withColumn("threshold", F.explode(at))
+    return _taken(pairs, ["image_id", "label", "threshold"])
+
+
+def _taken(pairs: DataFrame, keys: list[str]) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", (-F.col("iou")).alias("o"), "truth_id")))
-    start = F.expr("cast(array() as array<struct<pred_id: bigint, truth_id: bigint>>)")
+    start = F.expr("cast(array() as array<struct<pred_id: bigint, truth_id: bigint, score: double>>)")
 
     def step(held: Column, x: Column) -> Column:
         free = ~F.exists(held, lambda h: (h["pred_id"] == x["pred_id"]) | (h["truth_id"] == x["truth_id"]))
-        return F.when(free, F.concat(held, F.array(F.struct(x["pred_id"].alias("pred_id"), x["truth_id"].alias("truth_id"))))).otherwise(held)
+        return F.when(free, F.concat(held, F.array(F.struct(x["pred_id"].alias("pred_id"), x["truth_id"].alias("truth_id"), (-x["s"]).cast("double").alias("score"))))).otherwise(held)
 
-    kept = pairs.groupBy("image_id", "label").agg(order.alias("rows")).select("image_id", "label", F.inline(F.aggregate("rows", start, step)))
-    return kept
+    return pairs.groupBy(*keys).agg(order.alias("rows")).select(*keys, F.inline(F.aggregate("rows", start, step)))
 
 
 def image_counts(predictions: DataFrame, truth: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,12 +60,28 @@ def image_counts(predictions: DataFrame, truth: DataFrame, matches: DataFrame, k
 
 
 def average_precision(flagged: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ap: area under the precision envelope of each key. flagged: keys, score, hit; truths: keys, truths.
+    """keys, ap: area under the precision envelope of each key. flagged: keys, score, hit; truths: keys, truths."""
+    steps = flagged.groupBy(*keys, "score").agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("m"))
+    return average_precision_of_steps(steps, truths, keys)
+
+
+def mean_average_precision(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """label, map: the mean average precision over the thresholds. Boxes are matched in one pass, predictions counted by score once for all thresholds."""
+    at = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    hits = matches_at(predictions, truth, thresholds).groupBy("label", "threshold", "score").agg(F.count("*").alias("h"))
+    said = predictions.groupBy("label", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n")).select("label", "score", "n", at)
+    h = F.coalesce("h", F.lit(0))
+    steps = said.join(hits, ["label", "threshold", "score"], "left").select("label", "threshold", "score", h.alias("h"), (F.col("n") - h).alias("m"))
+    truths = truth.groupBy("label").agg(F.count("*").alias("truths")).select("label", "truths", at)
+    return average_precision_of_steps(steps, truths, ["label", "threshold"]).groupBy("label").agg(F.avg("ap").alias("map"))
+
+
+def average_precision_of_steps(steps: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    """average_precision() of hits and misses (h, m) counted by keys and score.
 
     Predictions of equal score are one step of the curve. Running sums and the envelope come from ranges of (keys, score), so
     no task sees a whole curve; keys with truth and no hit have 0.
     """
-    steps = flagged.groupBy(*keys, "score").agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("m"))
     of = [F.col(k) for k in keys]
     summed = stored(running_sums(steps, [*of, F.desc("score")], {"tp": F.col("h"), "fp": F.col("m")}), "curve")
     # what lies before a key's own steps
@@ -84,6 +109,30 @@ def mask_metrics(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": of(tp / (tp + fp)), "recall": of(tp / (tp + fn)), "dice": of(2 * tp / (2 * tp + fp + fn)), "iou": of(tp / (tp + fp + fn))}
 
 
+def smoothed_metrics(tp: Column, fp: Column, fn: Column, tn: Column, eps: float = 1e-8) -> dict[str, Column]:
+    """Dice, IoU, precision, recall, specificity and accuracy with eps on both sides of each ratio: two empty masks give 1."""
+    of = lambda a, b: (a + F.lit(eps)) / (b + F.lit(eps))
+    return {"dice": of(2 * tp, 2 * tp + fp + fn), "iou": of(tp, tp + fp + fn), "precision": of(tp, tp + fp), "recall": of(tp, tp + fn), "specificity": of(tn, tn + fp), "accuracy": of(tp + tn, tp + fp + fn + tn)}
+
+
+def confusion_filled(rows: DataFrame) -> DataFrame:
+    """rows (precision, recall, predicted_px, truth_px, width, height, and tp, fp, fn, tn, specificity, accuracy that may be null) with what is null worked out from the rest.
+
+    tp is the mean of precision x predicted and recall x truth (or the one of the two whose mask is not empty, or 0), rounded
+    half up; then fp, fn and tn, none below 0; then the ratios, null where a denominator is 0.
+    """
+    c = F.col
+    by_p, by_r = c("precision") * c("predicted_px"), c("recall") * c("truth_px")
+    tp = F.when((c("predicted_px") > 0) & (c("truth_px") > 0), (by_p + by_r) / 2).when(c("predicted_px") > 0, by_p).when(c("truth_px") > 0, by_r).otherwise(0.0)
+    least0 = lambda x: F.greatest(x, F.lit(0)).cast("long")
+    known = lambda name, value: rows_now.withColumn(name, F.coalesce(name, value))
+    rows_now = rows
+    area = c("width") * c("height")
+    for name, value in (("tp", F.floor(tp + 0.5).cast("long")), ("fp", least0(c("predicted_px") - c("tp"))), ("fn", least0(c("truth_px") - c("tp"))), ("tn", least0(area - c("tp") - c("fp") - c("fn"))), ("specificity", c("tn") / F.nullif(c("tn") + c("fp"), F.lit(0))), ("accuracy", (c("tp") + c("tn")) / F.nullif(area, F.lit(0)))):
+        rows_now = known(name, value)
+    return rows_now
+
+
 #: Pairs up to which the distribution of the rank sum is taken whole.
 EXACT = 50
 

@@ -98,14 +98,17 @@ def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 20.0, poin
 
 
 def linear_probe(rows: DataFrame, candidates: DataFrame, seed: int = 0) -> DataFrame:
-    """result_id, probe_label, probability of the candidates by a logistic regression over vectors, classes weighed to balance. rows: label, v; candidates: result_id, v."""
+    """result_id, probe_label, probability of the candidates by a logistic regression over vectors, classes weighed to balance. rows: label, v; candidates: result_id, v. Rows without a label or vector take no part; without a labelled row there is no result."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     vector = array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features")
+    rows, candidates = rows.where("label is not null and v is not null"), candidates.where("v is not null")
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
     total, classes = counts.agg(F.sum("n"), F.count("*")).first()
+    if not total:
+        return candidates.select("result_id", F.lit(None).cast("string").alias("probe_label"), F.lit(None).cast("double").alias("probability")).limit(0)
     weighed = stored(rows.join(counts, "label").select("label", vector, (F.lit(float(total)) / (classes * F.col("n"))).alias("weight")), "probe")
     names = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(weighed)
     model = LogisticRegression(labelCol="y", weightCol="weight", regParam=0.001).fit(names.transform(weighed))
@@ -149,20 +152,63 @@ def bootstrap(rows: DataFrame, value: str, key: str, resamples: int = 10_000, co
     return good.agg(F.avg("x").alias("mean")).crossJoin(interval)  # one row each
 
 
-def balanced_split(units: DataFrame, counts: dict[str, float], trials: int = 200, shares: tuple[float, float] = (0.7, 0.2)) -> DataFrame:
-    """unit, split: of so many random splits by a hash of (trial, unit), the one whose shares of the weighted counts are nearest to those wanted (then the first).
+def _trial_place(h: np.ndarray, trial: np.ndarray) -> np.ndarray:
+    """Places (0 to 999) of units, by 28 bits of their hashes, in trials: products with odd numbers, their upper bits."""
+    odd = (trial * 40503 + 12345) % (1 << 27) * 2 + 1
+    return ((h[None, :] * odd[:, None]) % (1 << 28)) * 1000 >> 28
 
-    units: unit and a column for each count. counts: weight of each column's squared relative deviation. All trials are scored
-    in one pass, with a row for each trial and split after the map side.
+
+def balanced_split(units: DataFrame, counts: dict[str, float], trials: int = 1200, shares: tuple[float, float] = (0.7, 0.2)) -> DataFrame:
+    """unit, split: of so many random splits, the one whose shares of the weighted counts are nearest to those wanted (then the first).
+
+    units: unit (a key) and a column for each count. counts: weight of each column's squared relative deviation. A unit is
+    hashed once, its places in all trials follow from that; all trials are scored in one pass, with a row for each trial and
+    task. Null counts are 0; an empty table gives no rows.
+    """
+    names, first, both = list(counts), round(1000 * shares[0]), round(1000 * sum(shares))
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("split"), F.col("unit").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    hashed = units.select(h.alias("h"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+
+    def score(batches):
+        import pyarrow as pa
+
+        sums, numbers = np.zeros((2, trials, len(names))), np.arange(trials)
+        for batch in batches:
+            h, values = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            for at in range(0, len(h), 1024):
+                place = _trial_place(h[at : at + 1024], numbers)
+                sums[0] += (place < first) @ values[at : at + 1024]
+                sums[1] += ((place >= first) & (place < both)) @ values[at : at + 1024]
+        columns = [pa.array(sums[side, :, k]) for side in (0, 1) for k in range(len(names))]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), *columns], names=["trial", *(f"{side}_{k}" for side in "tv" for k in range(len(names)))])
+
+    kind = ", ".join(f"{side}_{k} double" for side in "tv" for k in range(len(names)))
+    sums = hashed.mapInArrow(score, f"trial long, {kind}").groupBy("trial").agg(*[F.sum(f"{side}_{k}").alias(f"{side}_{k}") for side in "tv" for k in range(len(names))])
+    total = hashed.agg(*[F.sum(c).alias(f"n_{k}") for k, c in enumerate(names)])
+    j = sums.crossJoin(F.broadcast(total))  # one row
+    wanted = [*shares, 1 - sum(shares)]
+
+    def off(k: int) -> list[Column]:
+        t, v, n = F.col(f"t_{k}"), F.col(f"v_{k}"), F.nullif(F.col(f"n_{k}"), F.lit(0.0))
+        return [counts[names[k]] * F.pow(F.coalesce(x / n, F.lit(0.0)) - share, F.lit(2)) for x, share in zip((t, v, F.col(f"n_{k}") - t - v), wanted, strict=True)]
+
+    cost = reduce(Column.__add__, [x for k in range(len(names)) for x in off(k)])
+    found = j.select("trial", F.round(cost, 9).alias("cost")).orderBy("cost", "trial").first()
+    odd = (((found["trial"] if found else 0) * 40503 + 12345) % (1 << 27)) * 2 + 1
+    place = F.shiftright((h * odd % (1 << 28)) * 1000, 28)
+    return units.select("unit", F.when(place < first, "train").when(place < both, "val").otherwise("test").alias("split"))
+
+
+def source_split(boxes: DataFrame, labels: list[str], trials: int = 5000, image_trials: int = 1200) -> DataFrame:
+    """unit, split: all images of a source on one side, by images, boxes, sources and labels; under three sources, images one by one.
+
+    boxes: image, source, label. unit is the source, or the image where there are too few sources.
     """
-    place = lambda trial: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("split"), trial, "unit").cast("binary")), 1, 7), 16, 10).cast("long") % 1000
-    named = lambda p: F.when(p < round(1000 * shares[0]), "train").when(p < round(1000 * sum(shares)), "val").otherwise("test")
-    wanted = {"train": shares[0], "val": shares[1], "test": 1 - sum(shares)}
-    dealt = units.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("split", named(place(F.col("trial"))))
-    sums = dealt.groupBy("trial").agg(*[F.sum(F.when(F.col("split") == s, F.col(c)).otherwise(0)).alias(f"{c}_{s}") for c in counts for s in wanted], *[F.sum(c).alias(c) for c in counts])
-    cost = reduce(Column.__add__, (w * F.pow(F.coalesce(F.col(f"{c}_{s}") / F.nullif(F.col(c), F.lit(0)), F.lit(0.0)) - share, F.lit(2)) for c, w in counts.items() for s, share in wanted.items()))
-    best = sums.select("trial", F.round(cost, 9).alias("cost")).orderBy("cost", "trial").limit(1).select("trial")
-    return units.crossJoin(best).select("unit", named(place(F.col("trial"))).alias("split"))  # one row: the best trial
+    few = boxes.select("source").distinct().limit(3).count() < 3
+    key = "image" if few else "source"
+    units = boxes.groupBy(F.col(key).alias("unit")).agg(F.lit(1).alias("sources"), F.count_distinct("image").alias("images"), F.count("*").alias("boxes"), *[F.count_if(F.col("label") == x).alias(x) for x in labels])
+    own = {"images": 20, "boxes": 10} if few else {"images": 8, "boxes": 8, "sources": 1.5}
+    return balanced_split(units, own | dict.fromkeys(labels, 2), image_trials if few else trials)
 
 
 def sources_clustered(rows: DataFrame, wanted: int, seed: int = 42) -> DataFrame:

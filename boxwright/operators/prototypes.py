@@ -1,25 +1,25 @@
 """Vectors against prototypes and class centres: matrix products of batches of rows and blocks of a bank.
 
-A bank of any size is dealt into blocks of about BLOCK_BYTES, each broadcast by itself; a task keeps a row's best of each
-block alone. vec_id is a key. Vectors that are shorter than others are taken as ending in zeros; null vectors take no part.
+A bank within BLOCK_BYTES is broadcast; a larger one is dealt into blocks and the rows into tiles, which meet in one shuffle
+(products.py), and a row's best of each block are merged. vec_id is a key. Vectors that are shorter than others are taken as ending in zeros; null vectors take no part.
 Similarities are rounded to six places; equal ones go to the smaller prototype.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from boxwright.functions.boxes import clip01
 from boxwright.functions.vectors import dot
+from boxwright.operators.products import BLOCK_BYTES, TILE_BYTES, block_product, parts
 
-#: Bytes of the prototypes of a block, and rows that are multiplied at a time.
-BLOCK_BYTES, ROWS = 16 << 20, 512
+#: Rows that are multiplied at a time.
+ROWS = 512
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -39,51 +39,60 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sims)), take), at.ravel()
 
 
+class Bank:
+    """Prototypes as a matrix, in order of (label and) id, and where each label's begin."""
+
+    def __init__(self, held: pa.Table, width: int, by_label: bool):
+        rows = sorted(held.select(["proto_id", "label", "is_reject", "v"]).to_pylist(), key=lambda r: (r["label"] if by_label else 0, r["proto_id"]))
+        change = [i for i in range(1, len(rows)) if rows[i]["label"] != rows[i - 1]["label"]]
+        self.bounds, self.matrix = [0, *change, len(rows)], _matrix([r["v"] for r in rows], width)
+        key, label = held.schema.field("proto_id").type, held.schema.field("label").type
+        self.neg = pa.array([-r["proto_id"] for r in rows], key)
+        self.label, self.is_reject = pa.array([r["label"] for r in rows], label), pa.array([r["is_reject"] for r in rows], pa.bool_())
+
+    def found(self, ids: pa.Array, vectors: pa.Array, k: int, by_label: bool) -> pa.RecordBatch:
+        """vec_id and its k best, or the best of each label."""
+        sims = np.rint(_matrix(vectors.to_pylist(), self.matrix.shape[1]) @ self.matrix.T * 1e6).astype(np.int64)
+        if by_label:
+            row = np.repeat(np.arange(len(sims)), len(self.bounds) - 1)
+            column = np.stack([a + np.argmax(sims[:, a:b], axis=1) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)], axis=1).ravel()
+        else:
+            row, column = _best(sims, k)
+        columns = [pa.array(sims[row, column] / 1e6), *(c.take(pa.array(column)) for c in (self.neg, self.label, self.is_reject))]
+        offsets = np.searchsorted(row, np.arange(len(sims) + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=["sim", "neg", "label", "is_reject"]))
+        return pa.RecordBatch.from_arrays([ids, lists], names=["vec_id", "found"])
+
+
 def of_blocks(rows: DataFrame, bank: DataFrame, k: int = 1, by_label: bool = False) -> DataFrame:
     """vec_id, found: the k best (sim, neg, label, is_reject; neg: -proto_id) of each row (vec_id, embedding), or the best of each label. bank: proto_id, label, is_reject, v."""
     spark = rows.sparkSession
     kind = bank.schema["label"].dataType.simpleString()
     key = bank.schema["proto_id"].dataType.simpleString()
     schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, found array<struct<sim: double, neg: {key}, label: {kind}, is_reject: boolean>>"
-    total, width = bank.agg(F.sum(F.size("v") * 8 + 64), F.max(F.size("v"))).first()
-    parts = max(1, -(-int(total or 0) // BLOCK_BYTES))
-    fields = ["sim", "neg", "label", "is_reject"]
-    key_type, label_type = (to_arrow_type(bank.schema[c].dataType) for c in ("proto_id", "label"))
-
-    def scan(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, labels, rejects, matrix, bounds = block.value
+    held = bank.where("v is not null").select("proto_id", "label", "is_reject", "v")
+    good = rows.select("vec_id", "embedding").where("embedding is not null")
+    total, width = held.agg(F.sum(F.size("v") * 8 + 64), F.max(F.size("v"))).first()
+    if not total:
+        return spark.createDataFrame([], schema)
+    blocks = parts(total, BLOCK_BYTES)
+    if blocks == 1:
+        block = spark.sparkContext.broadcast(Bank(held.toArrow(), width, by_label))  # within BLOCK_BYTES
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
-                    sims = np.rint(_matrix(part.column(1).to_pylist(), matrix.shape[1]) @ matrix.T * 1e6).astype(np.int64)
-                    if by_label:
-                        row = np.repeat(np.arange(len(sims)), len(bounds) - 1)
-                        column = np.stack([a + np.argmax(sims[:, a:b], axis=1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], axis=1).ravel()
-                    else:
-                        row, column = _best(sims, k)
-                    columns = [pa.array(sims[row, column] / 1e6), pa.array([-ids[c] for c in column], key_type), pa.array([labels[c] for c in column], label_type), pa.array([rejects[c] for c in column], pa.bool_())]
-                    offsets = np.searchsorted(row, np.arange(len(sims) + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=fields))
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["vec_id", "found"])
-
-        return run
+                    yield block.value.found(part.column(0), part.column(1), k, by_label)
 
-    good = rows.select("vec_id", "embedding").where("embedding is not null")
-    out = None
-    for p in range(parts):
-        block = bank.where(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == p) if parts > 1 else bank
-        held = sorted(block.where("v is not null").select("proto_id", "label", "is_reject", "v").collect(), key=lambda r: (r["label"] if by_label else 0, r["proto_id"]))  # about BLOCK_BYTES
-        if not held:
-            continue
-        change = [i for i in range(1, len(held)) if held[i]["label"] != held[i - 1]["label"]]
-        value = [r["proto_id"] for r in held], [r["label"] for r in held], [r["is_reject"] for r in held], _matrix([r["v"] for r in held], width), [0, *change, len(held)]
-        one = good.mapInArrow(scan(spark.sparkContext.broadcast(value)), schema)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    if parts == 1:
-        return out
+        return good.mapInArrow(scan, schema)
+
+    def meet(tile: pa.Table, block: pa.Table) -> pa.Table:
+        own = Bank(block, width, by_label)
+        return pa.Table.from_batches([own.found(part.column(0), part.column(1), k, by_label) for part in tile.combine_chunks().to_batches(max_chunksize=ROWS)])
+
+    tiles = parts(good.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0], TILE_BYTES)
+    out = block_product(good, held, tiles, blocks, meet, schema)
     if by_label:  # the best of each label over the blocks
         best = out.select("vec_id", F.explode("found").alias("f")).groupBy("vec_id", "f.label").agg(F.max("f").alias("f"))
         return best.groupBy("vec_id").agg(F.collect_list("f").alias("found"))

@@ -12,6 +12,7 @@ from boxwright.operators import mining as M
 from boxwright.operators.numbering import numbered
 from boxwright.plans.core import query
 from boxwright.plans.decision_queries import _SIG, signals
+from boxwright.plans.io_queries import scratch
 from boxwright.sources import sinks
 from boxwright.sources.views import SQL_DETECTIONS, SQL_IMAGES, detections, images, read
 
@@ -21,7 +22,7 @@ BOTH = f"{DET}, {SQL_IMAGES}"
 
 # Splits
 
-_PLACE = "('0x' || substr(md5('split-' || trial || '-' || unit), 1, 7))::BIGINT % 1000"
+_PLACE = "((('0x' || substr(md5('split-' || unit), 1, 7))::BIGINT * (((trial * 40503 + 12345) % 134217728) * 2 + 1)) % 268435456) * 1000 >> 28"
 
 
 def _balanced_sql(units: str, counts: dict[str, float], trials: int) -> str:
@@ -35,20 +36,19 @@ _LABELS = ["crack", "mold", "spall"]
 _COUNT_SQL = ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in _LABELS)
 
 
-@query("l2_balanced_images", _balanced_sql(f"SELECT image_id AS unit, 1 AS images, count(*) AS boxes, {_COUNT_SQL} FROM det GROUP BY image_id", {"images": 20, "boxes": 10, "crack": 2, "mold": 2, "spall": 2}, 40))
+@query("l2_balanced_images", _balanced_sql(f"SELECT image_id AS unit, 1 AS images, count(*) AS boxes, {_COUNT_SQL} FROM det GROUP BY image_id", {"images": 20, "boxes": 10, "crack": 2, "mold": 2, "spall": 2}, 1200))
 def balanced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most even of 40 splits by image, by images, boxes and labels."""
+    """The most even of 1200 splits by image, by images, boxes and labels."""
     d = detections(spark, sf_dir)
     units = d.groupBy(F.col("image_id").alias("unit")).agg(F.lit(1).alias("images"), F.count("*").alias("boxes"), *[F.count_if(F.col("label") == x).alias(x) for x in _LABELS])
-    return M.balanced_split(units, {"images": 20, "boxes": 10, "crack": 2, "mold": 2, "spall": 2}, 40)
+    return M.balanced_split(units, {"images": 20, "boxes": 10, "crack": 2, "mold": 2, "spall": 2}, 1200)
 
 
-@query("l3_balanced_sources", _balanced_sql(f"SELECT source_id AS unit, 1 AS sources, count(DISTINCT image_id) AS images, count(*) AS boxes, {_COUNT_SQL} FROM det JOIN img USING (image_id) GROUP BY source_id", {"images": 8, "boxes": 8, "sources": 1.5, "crack": 2, "mold": 2, "spall": 2}, 200))
+@query("l3_balanced_sources", _balanced_sql(f"SELECT source_id AS unit, 1 AS sources, count(DISTINCT image_id) AS images, count(*) AS boxes, {_COUNT_SQL} FROM det JOIN img USING (image_id) GROUP BY source_id", {"images": 8, "boxes": 8, "sources": 1.5, "crack": 2, "mold": 2, "spall": 2}, 5000))
 def balanced_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most even of 200 splits by source."""
+    """The most even of 5000 splits by source."""
     d = detections(spark, sf_dir).join(images(spark, sf_dir).select("image_id", "source_id"), "image_id")
-    units = d.groupBy(F.col("source_id").alias("unit")).agg(F.lit(1).alias("sources"), F.count_distinct("image_id").alias("images"), F.count("*").alias("boxes"), *[F.count_if(F.col("label") == x).alias(x) for x in _LABELS])
-    return M.balanced_split(units, {"images": 8, "boxes": 8, "sources": 1.5, "crack": 2, "mold": 2, "spall": 2}, 200)
+    return M.source_split(d.select(F.col("image_id").alias("image"), F.col("source_id").alias("source"), "label"), _LABELS)
 
 
 def _hashed(seed: str, key: str) -> Column:
@@ -161,6 +161,44 @@ def reviewed(cleaned: DataFrame, edits: DataFrame) -> DataFrame:
     return sinks.updated(cleaned, last, ["result_id"])
 
 
+def review_session(edits: DataFrame, session_id: str, run_id: str, reviewer: str, at: str, notes: str = "") -> tuple[DataFrame, DataFrame]:
+    """The rows of a committed session and of its decisions; both are empty if no edit is valid. edits: as for review_rows(), and previous_label, note."""
+    valid = review_rows(edits.where("place is not null").dropDuplicates(["place"])).join(edits.select("place", "previous_label", "note").dropDuplicates(["place"]), "place")
+    id_text = F.col("result_id").cast("string")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    decisions = valid.select(F.lit(session_id).alias("review_session_id"), "place", F.lit("result").alias("target_type"), id_text.alias("target_id"), "result_id", "action", text("previous_label").alias("previous_label"), F.col("label").alias("new_label"), F.col("decision").alias("new_decision_type"), F.lit('["human_correction"]').alias("reason_codes_json"), F.concat(F.lit("["), id_text, F.lit("]")).alias("affected_result_ids_json"), text("note").alias("note"), F.lit(at).alias("created_at_utc"), F.lit(run_id).alias("run_id"))
+    sessions = decisions.limit(1).select("review_session_id", "run_id", F.lit(reviewer).alias("reviewer"), F.lit("committed").alias("status"), F.lit(at).alias("created_at_utc"), F.lit(at).alias("committed_at_utc"), F.lit(notes).alias("notes"))
+    return sessions, decisions
+
+
+def commit_review(store: sinks.RunStore, cleaned: DataFrame, edits: DataFrame, session_id: str, run_id: str, reviewer: str, at: str, notes: str = "") -> bool:
+    """Writes the changed labels, the session and its decisions as one change of the store; False, and nothing written, if no edit is valid. cleaned: run_id, result_id, label, decision of that run."""
+    sessions, decisions = review_session(edits, session_id, run_id, reviewer, at, notes)
+    if sessions.isEmpty():
+        return False
+    store.replace({"cleaned_labels": reviewed(cleaned, edits), "review_sessions": sessions, "review_decisions": decisions})
+    return True
+
+
+_EDITS = """e AS (SELECT result_id AS place, CASE WHEN result_id % 10 = 7 THEN 'x' ELSE result_id::VARCHAR END AS id, CASE result_id % 4 WHEN 0 THEN 'manual_reject' WHEN 1 THEN 'manual_relabel' WHEN 2 THEN 'other' ELSE ' manual_accept ' END AS action, CASE result_id % 5 WHEN 0 THEN '' ELSE ' MOLD' END AS new_label, label AS previous FROM sig WHERE result_id % 3 = 0),
+v AS (SELECT TRY_CAST(id AS BIGINT) AS result_id, trim(action) AS action, CASE WHEN trim(action) = 'manual_reject' THEN 'reject' ELSE lower(trim(new_label)) END AS new_label, previous FROM e)"""
+
+
+@query("d15_review_session", f"""{_SIG}, {_EDITS}, w AS (SELECT * FROM v WHERE result_id IS NOT NULL AND new_label <> '' AND action <> 'other')
+SELECT 'r1-review' AS review_session_id, 'committed' AS status, result_id, action, previous AS previous_label, new_label, CASE WHEN action = 'manual_reject' THEN 'reject' ELSE 'manual_accept' END AS new_decision_type, '[' || result_id || ']' AS affected_result_ids_json FROM w""")
+def review_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session, its decisions and the changed labels, written as one change and read back."""
+    s = signals(spark, sf_dir).select("result_id", "label")
+    k = F.col("result_id")
+    action = F.when(k % 4 == 0, "manual_reject").when(k % 4 == 1, "manual_relabel").when(k % 4 == 2, "other").otherwise(" manual_accept ")
+    edits = s.where("result_id % 3 = 0").select(k.alias("place"), F.when(k % 10 == 7, "x").otherwise(k.cast("string")).alias("result_id"), action.alias("action"), F.when(k % 5 == 0, "").otherwise(" MOLD").alias("new_label"), F.col("label").alias("previous_label"), F.lit(None).cast("string").alias("note"))
+    store = sinks.RunStore(scratch(spark, "reviews"))
+    cleaned = s.select(F.lit("r1").alias("run_id"), "result_id", "label", F.lit("auto_accept").alias("decision"))
+    commit_review(store, cleaned, edits, "r1-review", "r1", "me", "2026-01-01T00:00:00Z")
+    d = store.read(spark, "review_decisions").join(store.read(spark, "review_sessions").select("review_session_id", "status"), "review_session_id")
+    return d.select("review_session_id", "status", "result_id", "action", "previous_label", "new_label", "new_decision_type", "affected_result_ids_json")
+
+
 @query("d15_review_apply", f"""{_SIG}, e AS (SELECT result_id AS place, CASE WHEN result_id % 10 = 7 THEN 'x' ELSE result_id::VARCHAR END AS id, CASE result_id % 4 WHEN 0 THEN 'manual_reject' WHEN 1 THEN 'manual_relabel' WHEN 2 THEN 'other' ELSE ' manual_accept ' END AS action, CASE result_id % 5 WHEN 0 THEN '' ELSE ' MOLD' END AS new_label FROM sig WHERE result_id % 3 = 0 UNION ALL SELECT result_id + 1000000000, result_id::VARCHAR, 'manual_relabel', 'crack' FROM sig WHERE result_id % 6 = 0 UNION ALL SELECT 5, '-1', 'manual_reject', ''),
 v AS (SELECT place, TRY_CAST(id AS BIGINT) AS result_id, trim(action) AS action, CASE WHEN trim(action) = 'manual_reject' THEN 'reject' ELSE lower(trim(new_label)) END AS label FROM e),
 l AS (SELECT * FROM v WHERE result_id IS NOT NULL AND label <> '' AND action <> 'other' QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY place DESC) = 1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,27 +29,23 @@ def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.image_counts(p, t, E.greedy_matches(p, t), ["image_id"])
 
 
-def _flagged(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = sides(spark, sf_dir)
-    hit = E.greedy_matches(p, t, threshold).select(F.col("pred_id").alias("det_id"), F.lit(True).alias("hit"))
-    return p.join(hit, "det_id", "left").select("label", "score", F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(threshold).alias("threshold"))
+    hit = E.greedy_matches(p, t).select(F.col("pred_id").alias("det_id"), F.lit(True).alias("hit"))
+    return p.join(hit, "det_id", "left").select("label", "score", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query("e2_average_precision")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By label, at an IoU of .5."""
     truths = sides(spark, sf_dir)[1].groupBy("label").agg(F.count("*").alias("truths"))
-    return E.average_precision(_flagged(spark, sf_dir, 0.5).drop("threshold"), truths, ["label"])
+    return E.average_precision(_flagged(spark, sf_dir), truths, ["label"])
 
 
 @query("e2_mean_average_precision")
 def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By label, the mean over IoU thresholds .50 to .95: all curves in one pass over (label, threshold)."""
-    thresholds = [round(0.5 + 0.05 * k, 2) for k in range(10)]
-    flagged = reduce(DataFrame.unionByName, (_flagged(spark, sf_dir, t) for t in thresholds))
-    at = spark.createDataFrame([(t,) for t in thresholds], "threshold double")
-    truths = sides(spark, sf_dir)[1].groupBy("label").agg(F.count("*").alias("truths")).crossJoin(F.broadcast(at))  # ten rows
-    return E.average_precision(flagged, truths, ["label", "threshold"]).groupBy("label").agg(F.avg("ap").alias("map"))
+    """By label, the mean over IoU thresholds .50 to .95."""
+    return E.mean_average_precision(*sides(spark, sf_dir), [round(0.5 + 0.05 * k, 2) for k in range(10)])
 
 
 _HIT = "CASE WHEN label = 'crack' THEN 1 ELSE 0 END"
@@ -95,6 +89,33 @@ def mask_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWEEP = "s AS (SELECT t, avg(dice) AS dice, avg(iou) AS iou FROM m GROUP BY t)"
 
 
+_SMOOTH = lambda a, b: f"round(({a} + 1e-8) / ({b} + 1e-8), 6)"
+
+
+@query("e3_smoothed_metrics", f"{DET}, {_COUNTS}, n AS (SELECT c.*, image_id % 400 AS tn FROM c) SELECT image_id, t, {_SMOOTH('2 * tp', '2 * tp + fp + fn')} AS dice, {_SMOOTH('tp', 'tp + fp + fn')} AS iou, {_SMOOTH('tp', 'tp + fp')} AS precision, {_SMOOTH('tp', 'tp + fn')} AS recall, {_SMOOTH('tn', 'tn + fp')} AS specificity, {_SMOOTH('tp + tn', 'tp + fp + fn + tn')} AS accuracy FROM n")
+def smoothed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = swept(spark, sf_dir).select("image_id", "t", "tp", "fp", "fn", (F.col("image_id") % 400).alias("tn"))
+    return rows.select("image_id", "t", *[F.round(v, 6).alias(k) for k, v in E.smoothed_metrics(*map(F.col, ("tp", "fp", "fn", "tn"))).items()])
+
+
+_PX = f"""m AS (SELECT image_id, count(*) FILTER (detector = 'O') AS predicted_px, count(*) FILTER (detector = 'F') AS truth_px, count(*) FILTER (detector = 'O' AND label = 'crack') AS b, image_id % 3 = 0 AS known FROM det GROUP BY image_id),
+r AS (SELECT *, coalesce(b / nullif(predicted_px, 0), 0) AS precision, least(coalesce(b / nullif(truth_px, 0), 0), 1) AS recall FROM m),
+f AS (SELECT *, CASE WHEN known THEN b ELSE floor(CASE WHEN predicted_px > 0 AND truth_px > 0 THEN (precision * predicted_px + recall * truth_px) / 2 WHEN predicted_px > 0 THEN precision * predicted_px WHEN truth_px > 0 THEN recall * truth_px ELSE 0 END + 0.5)::BIGINT END AS tp FROM r),
+g AS (SELECT *, greatest(predicted_px - tp, 0) AS fp, greatest(truth_px - tp, 0) AS fn FROM f), h AS (SELECT *, greatest(20 - tp - fp - fn, 0) AS tn FROM g)"""
+
+
+@query("f8_confusion_backfill", f"{DET}, {_PX} SELECT image_id, tp, fp, fn, tn, round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp + tn) / 20, 6) AS accuracy FROM h")
+def confusion_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that a table lacks, from its ratios."""
+    d = detections(spark, sf_dir)
+    is_o = F.col("detector") == "O"
+    m = d.groupBy("image_id").agg(F.count_if(is_o).alias("predicted_px"), F.count_if(~is_o).alias("truth_px"), F.count_if(is_o & (F.col("label") == "crack")).alias("b"))
+    over = lambda x: F.coalesce(F.col("b") / F.nullif(F.col(x), F.lit(0)), F.lit(0.0))
+    none = {c: F.lit(None).cast(t) for c, t in (("fp", "long"), ("fn", "long"), ("tn", "long"), ("specificity", "double"), ("accuracy", "double"))}
+    rows = m.withColumns({"precision": over("predicted_px"), "recall": F.least(over("truth_px"), F.lit(1.0)), "width": F.lit(5), "height": F.lit(4), "tp": F.when(F.col("image_id") % 3 == 0, F.col("b")), **none})
+    return E.confusion_filled(rows).select("image_id", "tp", "fp", "fn", "tn", F.round("specificity", 6).alias("specificity"), F.round("accuracy", 6).alias("accuracy"))
+
+
 @query("e4_threshold_sweep", f"{DET}, {_COUNTS}, {_METRICS}, {_SWEEP} SELECT t, round(dice, 6) AS dice, round(iou, 6) AS iou FROM s")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swept(spark, sf_dir).groupBy("t").agg(F.round(F.avg("dice"), 6).alias("dice"), F.round(F.avg("iou"), 6).alias("iou"))

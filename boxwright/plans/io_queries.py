@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.functions.stored import shared_dir, stored
-from boxwright.operators.numbering import numbered, numbered_within
+from boxwright.functions.stored import application_dir, stored
+from boxwright.operators.numbering import numbered, numbered_within, running_sums
 from boxwright.plans.core import query
 from boxwright.sources import formats, sinks
 from boxwright.sources.views import SQL_DETECTIONS, SQL_IMAGES, detections, images, read
+from boxwright.streaming.sinks import BufferedSink
 
 DET = f"WITH {SQL_DETECTIONS}"
 BOTH = f"{DET}, {SQL_IMAGES}"
@@ -19,7 +20,7 @@ LABELS = ["crack", "mold", "spall"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/boxwright/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _index(label: str = "label") -> Column:
@@ -205,6 +206,42 @@ def backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.backup(read(spark, sf_dir, "supplier"), scratch(spark, "backup")).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
 
 
+@query("k7_json_exports", "SELECT 'rows' AS export, count(*) AS n, sum(r_regionkey)::BIGINT AS keys, max(r_name) AS last FROM region UNION ALL SELECT 'none', 0, NULL, NULL")
+def json_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of objects, read back whole."""
+    r, out = read(spark, sf_dir, "region").select("r_regionkey", "r_name"), None
+    for name, df in (("rows", r), ("none", r.where("false"))):
+        path = scratch(spark, "json")
+        sinks.export_json(df, path, [F.col("r_name")])
+        back = spark.read.schema("r_regionkey int, r_name string").json(path, multiLine=True)
+        one = back.agg(F.count("*").alias("n"), F.sum("r_regionkey").alias("keys"), F.max("r_name").alias("last")).select(F.lit(name).alias("export"), "n", "keys", "last")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("k3_replace_tables", "SELECT 'lines' AS part, l_returnflag AS run, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'orders', o_orderstatus, count(*) FROM orders GROUP BY ALL")
+def replace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of runs, written twice: the second time as the same change; readers see both of one version."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run_id"), "l_orderkey")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("run_id"), "o_orderkey")
+    store = sinks.RunStore(scratch(spark, "runs"))
+    store.replace({"lines": lines.where("run_id <> 'A'"), "orders": orders})
+    store.replace({"lines": lines.where("run_id in ('A', 'N')"), "orders": orders.where("run_id = 'O'")})
+    count = lambda name: store.read(spark, name).groupBy(F.col("run_id").alias("run")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "run", "n")
+    return count("lines").unionByName(count("orders"))
+
+
+@query("k14_buffered_log", "SELECT event_type AS level, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL")
+def buffered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven batches through the log sink, two of them twice, as after a restart: each row once."""
+    e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("level"), "ts")
+    rows = e.count()
+    sink = BufferedSink(scratch(spark, "log"), flush_every=max(1, rows // 3))
+    for k in (0, 1, 2, 2, 3, 1, 4, 5, 6):
+        sink(e.where(F.col("event_id") % 7 == k), k)
+    return sink.rows(spark).groupBy("level").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 @query("k7_exports", "SELECT 'rows' AS export, 'r_regionkey,r_name' AS header, count(*) AS lines FROM region UNION ALL SELECT 'none', 'empty', 0")
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1)
@@ -255,14 +292,12 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k9_coco_annotations", f"{BOTH}, a AS (SELECT row_number() OVER (ORDER BY image_id, det_id) AS id, dense_rank() OVER (ORDER BY image_id) AS image, CASE label WHEN 'crack' THEN 1 WHEN 'mold' THEN 2 ELSE 3 END AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM det) SELECT id, image, category_id, x, y, w, h, w * h AS area FROM a")
 def coco_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential ids by ranges of image ids: images are numbered with the boxes before them, annotations within an image."""
+    """Sequential ids: annotations are numbered in order of (image, id), whatever ids look like; images by those that begin one."""
     d = detections(spark, sf_dir)
-    sizes = d.groupBy("image_id").agg(F.count("*").alias("n"))
-    from boxwright.operators.numbering import running_sums
-
-    placed = running_sums(sizes, [F.col("image_id")], {"image": F.lit(1).cast("long"), "boxes": F.col("n")}).select("image_id", "image", (F.col("boxes") - F.col("n")).alias("before"))
-    j = d.join(placed, "image_id")
-    return j.select((F.col("before") + F.col("det_id") - F.col("image_id") * 1000).alias("id"), "image", (_index() + 1).alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"), F.expr("(x2 - x1) * (y2 - y1)").alias("area"))
+    first = d.groupBy("image_id").agg(F.min("det_id").alias("_first"))
+    marked = d.join(first, "image_id").withColumn("_begins", (F.col("det_id") == F.col("_first")).cast("long"))
+    j = running_sums(marked, [F.col("image_id"), F.col("det_id")], {"id": F.lit(1).cast("long"), "image": F.col("_begins")})
+    return j.select("id", "image", (_index() + 1).alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"), F.expr("(x2 - x1) * (y2 - y1)").alias("area"))
 
 
 @query("k15_unique_names", f"{BOTH}, n AS (SELECT image_id, rel_path, CASE WHEN image_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, image_id % 50 AS base, 'scan_' || (source_id % 7) AS dir FROM img), r AS (SELECT *, row_number() OVER (PARTITION BY split, base ORDER BY rel_path) AS k, row_number() OVER (PARTITION BY split, base, dir ORDER BY rel_path) AS j FROM n), f AS (SELECT split, base, arg_min(dir, k) AS first_dir FROM r GROUP BY ALL) SELECT image_id, split, CASE WHEN k = 1 THEN 'img_' || r.base ELSE dir || '__img_' || r.base || CASE WHEN j - CASE WHEN dir = first_dir THEN 1 ELSE 0 END > 1 THEN '_' || (j - CASE WHEN dir = first_dir THEN 1 ELSE 0 END) ELSE '' END END AS name FROM r JOIN f USING (split, base)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwright.operators import diverse
+from boxwright.operators import diverse, probes
 from boxwright.operators import mining as M
 from boxwright.operators.numbering import numbered_within
 from boxwright.plans.core import query
@@ -240,6 +240,13 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.threshold_report(probed, [0.5, 0.7, 0.9])
 
 
+@query("d16_cross_validation")
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each of five folds; the models are tested against a fit of each fold by itself."""
+    rows = _vectors(spark, sf_dir).select("result_id", "label", "v")
+    return probes.accuracies(probes.cross_validated(rows)).withColumn("accuracy", F.round("accuracy", 4))
+
+
 @query("d17_temperature", f"{DET}, r AS (SELECT (score - 0.5) * 6 AS logit, CASE WHEN det_id % 10 < score * 10 THEN 1 ELSE 0 END AS target FROM det), g(t) AS (VALUES (0.25), (0.5), (1.0), (2.0), (4.0), (8.0)) SELECT t::DOUBLE AS t, round(avg(greatest(logit / t, 0) - logit / t * target + ln(1 + exp(-abs(logit / t)))), 6) AS loss FROM r CROSS JOIN g GROUP BY t")
 def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwright.plans.core import query
 from boxwright.sources.views import SQL_DETECTIONS, SQL_IMAGES, detections, images, read
+from boxwright.streaming import states
 from boxwright.streaming.jobs import latest_status
 
 BOTH = f"WITH {SQL_DETECTIONS}, {SQL_IMAGES}"
@@ -72,6 +73,34 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_status(read(spark, sf_dir, "events"))
 
 
+_JOBS = """e AS (SELECT job, event_id, ts, event, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS n FROM (SELECT user_id * 100 + day(ts) % 4 AS job, event_id, ts,
+  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE CASE WHEN event_id % 3 = 0 THEN 'cancelled' ELSE 'drained' END END AS event FROM events)),
+w AS (SELECT job, n, event_id, ts, event, NULL::VARCHAR AS f, CASE WHEN event = 'queued' THEN 'queued' END AS s, event IN ('queued', 'drained') AS legal FROM e WHERE n = 1
+  UNION ALL SELECT e.job, e.n, e.event_id, e.ts, e.event, w.s,
+  CASE WHEN e.event = 'queued' AND w.s IS NULL THEN 'queued' WHEN e.event = 'started' AND w.s = 'queued' THEN 'running' WHEN e.event IN ('done', 'failed') AND w.s = 'running' THEN e.event WHEN e.event = 'cancelled' AND w.s IN ('queued', 'running') THEN 'cancelled' ELSE w.s END,
+  e.event = 'drained' OR (e.event = 'queued' AND w.s IS NULL) OR coalesce((e.event = 'started' AND w.s = 'queued') OR (e.event IN ('done', 'failed') AND w.s = 'running') OR (e.event = 'cancelled' AND w.s IN ('queued', 'running')), false)
+  FROM w JOIN e ON e.job = w.job AND e.n = w.n + 1)"""
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    event = F.when(kind == "signup", "queued").when(kind == "view", "started").when(kind == "purchase", "done").when(kind == "error", "failed").when(F.col("event_id") % 3 == 0, "cancelled").otherwise("drained")
+    return read(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.day("ts") % 4).alias("job"), "event_id", "ts", event.alias("event"))
+
+
+@query("r1_job_transitions", f"WITH RECURSIVE {_JOBS} SELECT job, event_id, event, f AS from_status, s AS to_status, legal FROM w")
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the statuses before and after it, illegal ones told: here by minima, in the SQL one after the other."""
+    return states.transitions(job_events(spark, sf_dir)).drop("ts")
+
+
+@query("r1_retained_jobs", f"""WITH RECURSIVE {_JOBS}, l AS (SELECT job, max_by(s, n) FILTER (legal AND event <> 'drained') AS status, max(n) FILTER (legal AND event <> 'drained') AS m, count(*) AS events, count(*) FILTER (NOT legal) AS illegal, coalesce(max(n) FILTER (event <> 'drained') > max(n) FILTER (event = 'drained'), max(n) FILTER (event <> 'drained') IS NOT NULL) AS undrained FROM w GROUP BY job),
+o AS (SELECT l.*, w.ts, w.event_id, CASE WHEN status IN ('done', 'failed', 'cancelled') THEN row_number() OVER (PARTITION BY status IN ('done', 'failed', 'cancelled') ORDER BY w.ts, w.event_id, l.job) END AS place FROM l LEFT JOIN w ON w.job = l.job AND w.n = l.m)
+SELECT job, status, events, illegal, undrained FROM o WHERE place IS NULL OR place <= 200 OR undrained""")
+def retained_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.retained(states.statuses(states.transitions(job_events(spark, sf_dir)))).select("job", "status", "events", "illegal", "undrained")
+
+
 @query("s17_latest_run", "SELECT o_custkey AS owner, o_orderkey AS run_id, o_orderdate AS created FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max(F.struct("o_orderdate", "o_orderkey"))

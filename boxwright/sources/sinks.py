@@ -6,6 +6,8 @@ and what is new. replace_run() overwrites only the partitions of the runs that c
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +60,90 @@ def export_csv(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").csv(path, header=True)
 
 
+def export_json(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """JSON arrays of objects with all columns, nulls written: a file for each task's rows, in order; an empty result is one empty array.
+
+    A reader takes the folder with multiLine. Each file is a whole document, so no task holds more than its own rows.
+    """
+    spark = df.sparkSession
+    if df.isEmpty():
+        spark.createDataFrame([("[]",)], "v string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    rows = df.sort(*order) if order else df
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+    def framed(batches):
+        import pyarrow as pa
+
+        sep = "["
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([sep + texts[0], *("," + t for t in texts[1:])])], names=["v"])
+                sep = ","
+        if sep == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["v"])
+
+    rows.select(line.alias("v")).mapInArrow(framed, "v string").write.mode("overwrite").text(path)
+
+
+class RunStore:
+    """Tables of runs that change together: a version is a folder for each table and a manifest that names them all.
+
+    replace() writes the new parts aside and then one manifest, under the next number; readers take the newest manifest, so they
+    see all tables of a change or none. A change that is cut off leaves folders that no manifest names. Two writers at once
+    cannot both make a number: the second fails.
+    """
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _fs(self, spark: SparkSession, place: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        fs, root = self._fs(spark, f"{self.path}/manifests")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(root)) if fs.exists(root) else []
+
+    def manifest(self, spark: SparkSession, version: int | None = None) -> dict[str, dict[str, str]]:
+        """table: {run: folder} of a version, the newest by default."""
+        known = self.versions(spark)
+        if not known:
+            return {}
+        text = spark.read.text(f"{self.path}/manifests/{(known[-1] if version is None else version):020d}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def replace(self, tables: dict[str, DataFrame], key: str = "run_id", runs: list[str] | None = None) -> int:
+        """All rows of the runs (by default those in any of the tables) are replaced in all tables of the store; a table without rows of a run loses it. The key is not null."""
+        spark = next(iter(tables.values())).sparkSession
+        known = self.versions(spark)
+        now, number, made = self.manifest(spark), (known[-1] + 1 if known else 0), uuid.uuid4().hex
+        placed: dict[str, dict[str, str]] = {}
+        for name, df in tables.items():
+            place = f"{self.path}/data/{name}-{number}-{made}"
+            df.withColumn("_run", F.concat(F.lit("run-"), F.col(key).cast("string"))).write.partitionBy("_run").parquet(place)
+            own = [r["_run"] for r in spark.read.parquet(place).select("_run").distinct().collect()] if not df.isEmpty() else []  # a row for each run
+            placed[name] = dict.fromkeys(own, place)
+        gone = {f"run-{r}" for r in runs or []} | {r for own in placed.values() for r in own}
+        new = {name: {r: p for r, p in now.get(name, {}).items() if r not in gone} | placed.get(name, {}) for name in now.keys() | placed.keys()}
+        fs, path = self._fs(spark, f"{self.path}/manifests/{number:020d}")
+        out = fs.create(path, False)  # fails if it is there
+        out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+        out.close()
+        return number
+
+    def read(self, spark: SparkSession, name: str, version: int | None = None) -> DataFrame:
+        """A table as of a version."""
+        by_place: dict[str, list[str]] = {}
+        for run, place in self.manifest(spark, version).get(name, {}).items():
+            by_place.setdefault(place, []).append(run)
+        if not by_place:
+            raise ValueError(f"no run of {name}")
+        parts = [spark.read.parquet(place).where(F.col("_run").isin(runs)).drop("_run") for place, runs in sorted(by_place.items())]
+        return reduce(DataFrame.unionByName, parts)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Lines of JSON, appended; null values are written."""
     events.write.mode("append").option("ignoreNullFields", "false").json(path)
