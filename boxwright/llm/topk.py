@@ -1,9 +1,10 @@
 """Exact top-k inner products: tiled matrix products of query blocks and shards, partial selection, tree merging.
 
 Vectors are quantised to floor(scale * x). A query is compared with every other row whose vector has the same length.
-Queries are dealt into blocks of a bounded size by a hash of their id; each block is sent to all tasks, and every task
-multiplies it with its own rows, tile by tile, and keeps the best k + 1 of each query. The lists of all tasks meet in a
-tree: first those of a sixth of the bits of the task's number, then those of a query; then the query itself leaves.
+Queries within a block's bytes are sent to all tasks; more of them are dealt into blocks and the rows into tiles, which meet
+in one shuffle (operators/products.py). A task multiplies its block with its rows, tile by tile, and keeps the best k + 1 of
+each query. The lists of all tasks meet in a tree: first those of a sixth of the bits of the task's (or tile's) number, then
+those of a query; then the query itself leaves.
 
 Null vectors, null ids and vectors holding null, NaN or infinite components take no part. A query is a distinct id and
 vector: rows that repeat both are one query, rows with the same id and another vector are queries of their own, and each
@@ -14,7 +15,7 @@ Vectors may have any length (very long ones make smaller blocks); other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxwright.operators.products import BLOCK_BYTES, TILE_BYTES, block_product, parts
+
 from .util import stored, table
 
-#: Bytes of a block of queries: what is broadcast at a time.
-BLOCK_BYTES = 16 << 20
 #: Rows of a tile of a shard, queries of a tile.
 TILE_ROWS, TILE_QUERIES = 4096, 512
 #: Lists of that many groups of tasks are merged before those of a query.
@@ -42,16 +43,17 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
 
 
 class Block:
-    """Some queries: for each length of vectors, ids, own scores and the matrix, and the number of the first among all of the block."""
+    """Some queries: for each length of vectors the first one's place and the matrix; of all of them numbers, ids and own scores."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list[dict]):
         by: dict[int, list] = {}
-        for i, q in sorted((r["id"], r["q"]) for r in rows):
-            by.setdefault(len(q), []).append((i, q))
-        self.ids = np.array([i for some in by.values() for i, _ in some], np.int64)
+        for r in sorted(rows, key=lambda r: (r["id"], r["number"])):
+            by.setdefault(len(r["q"]), []).append(r)
+        ordered = [r for some in by.values() for r in some]
+        self.ids, self.numbers = (np.array([r[c] for r in ordered], np.int64) for c in ("id", "number"))
         self.of, at, own = {}, 0, []
         for d, some in by.items():
-            matrix = np.array([q for _, q in some], np.float64).reshape(len(some), d)
+            matrix = np.array([r["q"] for r in some], np.float64).reshape(len(some), d)
             self.of[d] = at, matrix
             own += [_products(matrix[i : i + 1], matrix[i : i + 1]).astype(np.int64).ravel() for i in range(len(some))]
             at += len(some)
@@ -91,60 +93,70 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tu
     return query[keep], score[keep], ids[keep]
 
 
-def _scan(block, k: int, number: int):
-    """The k + 1 best rows of the task for each query (number: the block's), the query's own row among them if it is that good."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: Block = block.value
-        best = None
-        for batch in batches:
-            if not batch.num_rows:
+def _lists(queries: Block, batches: Iterable[pa.RecordBatch], k: int, part: int) -> pa.RecordBatch | None:
+    """The k + 1 best of the rows (id, q) for each query, the query's own row among them if it is that good."""
+    best = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = np.diff(batch.column(1).offsets.to_numpy())
+        ids_all, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+        starts = np.r_[0, np.cumsum(lengths)]
+        for d in np.unique(lengths).tolist():
+            if d not in queries.of:
                 continue
-            lengths = np.diff(batch.column(1).offsets.to_numpy())
-            ids_all, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
-            starts = np.r_[0, np.cumsum(lengths)]
-            for d in np.unique(lengths).tolist():
-                if d not in queries.of:
-                    continue
-                at = np.flatnonzero(lengths == d)
-                at = at[np.argsort(ids_all[at], kind="stable")]
-                first, q = queries.of[d]
-                for a in range(0, len(at), TILE_ROWS):
-                    part = at[a : a + TILE_ROWS]
-                    tile = flat[starts[part][:, None] + np.arange(d)] if d else np.zeros((len(part), 0))
-                    for b in range(0, len(q), TILE_QUERIES):
-                        found = _best(_products(q[b : b + TILE_QUERIES], tile), first + b, ids_all[part], k + 1)
-                        best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    if len(best[0]) > 8 * (k + 1) * len(queries.ids):
-                        best = _merge([best], k + 1)
-        if best is not None:
-            query, score, ids = _merge([best], k + 1)
-            part = np.full(len(ids), TaskContext.get().partitionId(), np.int32)
-            own = (ids == queries.ids[query]) & (score == queries.own[query])
-            columns = [np.full(len(ids), number, np.int32), query, queries.ids[query], score, ids, own, part]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "number", "query_id", "score", "vec_id", "own", "part"])
-
-    return run
-
-
-def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            at = np.flatnonzero(lengths == d)
+            at = at[np.argsort(ids_all[at], kind="stable")]
+            first, q = queries.of[d]
+            for a in range(0, len(at), TILE_ROWS):
+                rows = at[a : a + TILE_ROWS]
+                tile = flat[starts[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0))
+                for b in range(0, len(q), TILE_QUERIES):
+                    found = _best(_products(q[b : b + TILE_QUERIES], tile), first + b, ids_all[rows], k + 1)
+                    best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+                if len(best[0]) > 8 * (k + 1) * len(queries.ids):
+                    best = _merge([best], k + 1)
+    if best is None:
+        return None
+    query, score, ids = _merge([best], k + 1)
+    own = (ids == queries.ids[query]) & (score == queries.own[query])
+    columns = [queries.numbers[query], queries.ids[query], score, ids, own, np.full(len(ids), part, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["number", "query_id", "score", "vec_id", "own", "part"])
+
+
+_LISTS = "number long, query_id long, score long, vec_id long, own boolean, part int"
+
+
+def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_bytes: int = BLOCK_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a predicate on id_col."""
     spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vec_col, scale)
-    queries = quantised(vectors.where(is_query), id_col, vec_col, scale).distinct()
-    total = queries.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
-    blocks = -(-int(total) // block_bytes) * 2 or 1 if total > block_bytes else 1  # twice as many: the hash deals unevenly
-    lists = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id", "q"), F.lit(blocks)) == b) if blocks > 1 else queries
-        block = spark.sparkContext.broadcast(Block(own.collect()))  # within block_bytes
-        part = stored(rows.mapInArrow(_scan(block, k, b), "block int, number long, query_id long, score long, vec_id long, own boolean, part int"), "lists")
-        lists = part if lists is None else lists.unionByName(part)
-    query, order = ["block", "number"], [F.desc("score"), F.asc("vec_id")]
-    ranked = lambda df, *group: df.withColumn("rank", F.row_number().over(Window.partitionBy(*query, *group).orderBy(*order))).where(F.col("rank") <= k + 1)
+    size = F.sum(F.size("q") * 8 + 32)
+    queries = stored(quantised(vectors.where(is_query), id_col, vec_col, scale).distinct().withColumn("number", F.monotonically_increasing_id()), "queries")
+    blocks = parts(queries.select(size).first()[0], block_bytes)
+    if blocks == 1:
+        block = spark.sparkContext.broadcast(Block([r.asDict() for r in queries.collect()]))  # within block_bytes
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if (found := _lists(block.value, batches, k, TaskContext.get().partitionId())) is not None:
+                yield found
+
+        lists = rows.mapInArrow(scan, _LISTS)
+    else:
+
+        def meet(tile: pa.Table, block: pa.Table) -> pa.Table:
+            whole = tile.select(["id", "q"]).combine_chunks().to_batches()
+            found = _lists(Block(block.select(["id", "q", "number"]).to_pylist()), whole, k, tile.column("_tile")[0].as_py())
+            return empty_lists if found is None else pa.Table.from_batches([found])
+
+        empty_lists = pa.table({n: pa.array([], t) for n, t in (("number", pa.int64()), ("query_id", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64()), ("own", pa.bool_()), ("part", pa.int32()))})
+        lists = block_product(rows, queries, parts(rows.select(size).first()[0], tile_bytes), blocks, meet, _LISTS)
+    lists = stored(lists, "lists")
+    order = [F.desc("score"), F.asc("vec_id")]
+    ranked = lambda df, *group: df.withColumn("rank", F.row_number().over(Window.partitionBy("number", *group).orderBy(*order))).where(F.col("rank") <= k + 1)
     top = ranked(ranked(lists.withColumn("part", F.col("part") % FAN_IN), "part").drop("rank"))
     # one row of equal score and id is the query itself: what is behind it moves up
-    itself = F.min(F.when(F.col("own"), F.col("rank"))).over(Window.partitionBy(*query))
+    itself = F.min(F.when(F.col("own"), F.col("rank"))).over(Window.partitionBy("number"))
     moved = top.withColumn("itself", F.coalesce(itself, F.lit(k + 1))).where(F.col("rank") != F.col("itself"))
     return moved.select("query_id", (F.col("rank") - (F.col("rank") > F.col("itself")).cast("int")).alias("rank"), "vec_id", "score")
 

@@ -347,8 +347,8 @@ def test_topk(spark, scale):
     rows = [(i, (rng.integers(-2, 3, 6) * scale).tolist()) for i in range(220)]
     rows += [(300, None), (350, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] * 6), (500, [1.0, 2.0]), (None, [1.0] * 6), (550, []), (551, [])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int").repartition(5)
-    for block in (topk.BLOCK_BYTES, 200):
-        got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0, block_bytes=block).collect())
+    for block, tile in ((topk.BLOCK_BYTES, topk.TILE_BYTES), (200, topk.TILE_BYTES), (200, 900)):
+        got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0, block_bytes=block, tile_bytes=tile).collect())
         assert got == brute_topk(rows, 5)
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
