@@ -140,7 +140,7 @@ def _rounds(rows: DataFrame, ratio: float, bucket: int, together: int) -> list[D
         need = left
         going = state.alias("s").join(need.alias("n"), same("s", "n"), "left_semi")
         chosen = picks.alias("p").join(need.alias("n"), same("p", "n"), "left_semi")
-        each = chosen.alias("p").join(going.select("label", "bucket").distinct().alias("s"), same("p", "s")).select("p.*", "s.bucket")  # a round's picks for every bucket
+        each = chosen.alias("p").join(going.select("label", "bucket").distinct().alias("s"), same("p", "s")).select("p.*", F.col("s.bucket").alias("bucket"))  # a round's picks for every bucket
         nearer = stored(going.groupBy("label", "bucket").cogroup(each.groupBy("label", "bucket")).applyInPandas(_nearer(size, together), schema), "distances")
         discard(state)
         state = nearer
