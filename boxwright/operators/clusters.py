@@ -1,7 +1,8 @@
 """k-means of many keys at once: one round moves the centres of all of them.
 
 Vectors are taken in fixed point, so sums, centres and distances are whole numbers: nothing depends on the order in which
-tasks finish, and equal distances go to the lower cluster. A key's first centres are its rows of the smallest hashes.
+tasks finish, and equal distances go to the lower cluster. A key's first centres are far from each other among its rows of
+the smallest hashes.
 
 A row keeps its cluster, an upper bound of the distance to it and a lower bound of the distance to any other (Hamerly's
 bounds, rounded outwards); where the upper one is below the lower one nothing is compared. Sums change by the rows that
@@ -11,6 +12,8 @@ a key that holds a third of the rows is split by the join, and its sums are adde
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from boxwright.functions.stored import own_tables, stored
 
 #: Fixed point: so many parts of one.
 PARTS = 1 << 20
+#: Rows of a key among which its first centres are chosen.
+POOL = 64
 SLACK = 1e-12
 
 
@@ -40,6 +45,18 @@ def _centres(sums: DataFrame, before: DataFrame) -> DataFrame:
     return before.alias("b").join(new.alias("n"), same, "left").select("b.label", "b.cluster", c.alias("c"), (F.sqrt(_square(c, F.col("b.c")).cast("double")) * (1 + SLACK)).alias("moved"))
 
 
+def _seeds(pool: pd.DataFrame) -> pd.DataFrame:
+    """A label's first centres: of its pool the first row, then always the one farthest from those taken (of equal ones the first)."""
+    pool = pool.sort_values("place", ignore_index=True)
+    q = np.stack(pool["q"].tolist()).astype(np.int64)
+    taken, least = [0], None
+    while len(taken) < min(int(pool["k"].iloc[0]), len(q)):
+        square = ((q - q[taken[-1]]) ** 2).sum(axis=1)
+        least = square if least is None else np.minimum(least, square)
+        taken.append(int(np.argmax(least)))
+    return pd.DataFrame({"label": [pool["label"].iloc[0]] * len(taken), "cluster": range(len(taken)), "c": [q[i].tolist() for i in taken]})
+
+
 def _by_label(centres: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("cluster", "c", "moved")))  # a row for each cluster
     return centres.groupBy("label").agg(ordered.alias("a")).select(F.col("label").alias("_label"), F.transform("a", lambda x: x["c"]).alias("cs"), F.transform("a", lambda x: x["moved"]).alias("moved"))
@@ -74,9 +91,11 @@ def keyed_kmeans(rows: DataFrame, k: DataFrame, most: int, rounds: int = 20, see
         same = F.col("r.label").eqNullSafe(F.col("k.label"))
         h = F.md5(F.concat(F.lit(f"{seed}-"), F.col("result_id").cast("string")).cast("binary"))
         state = stored(rows.alias("r").join(k.alias("k"), same).select("r.*", "k.k").select("label", "result_id", fixed("v").alias("q"), "k", h.alias("h")), "kmeans")
-        best = F.row_number().over(Window.partitionBy("label").orderBy("h", "result_id"))
-        seeds = state.withColumn("place", best).where(F.col("place") <= most).where(F.col("place") <= F.col("k"))  # most rows of a label, cut before the shuffle
-        centres = stored(seeds.select("label", (F.col("place") - 1).cast("int").alias("cluster"), F.col("q").alias("c"), F.lit(0.0).alias("moved")), "centres")
+        place = F.row_number().over(Window.partitionBy("label").orderBy("h", "result_id"))
+        pool = state.withColumn("place", place).where(F.col("place") <= max(POOL, most))  # so many rows of a label, cut before the shuffle
+        kind = rows.schema["label"].dataType.simpleString()
+        seeds = pool.select("label", "place", "q", "k").groupBy("label").applyInPandas(_seeds, f"label {kind}, cluster int, c array<bigint>")
+        centres = stored(seeds.select("label", "cluster", "c", F.lit(0.0).alias("moved")), "centres")
         none = F.lit(None)
         now, sums = state.select("label", "result_id", "q", none.cast("int").alias("cluster"), none.cast("double").alias("up"), none.cast("double").alias("low")), None
         for _ in range(rounds):

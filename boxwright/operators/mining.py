@@ -122,31 +122,29 @@ def threshold_report(probed: DataFrame, thresholds: list[float]) -> DataFrame:
     return probed.agg(*[F.count_if(F.col("probability") >= t).alias(str(k)) for k, t in enumerate(thresholds)]).select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(k)).alias("promoted")) for k, t in enumerate(thresholds)])))
 
 
-def bootstrap(rows: DataFrame, value: str, key: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap(rows: DataFrame, value: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """mean, low, high: a percentile interval of the mean over Poisson resamples.
 
-    A row's weight in a resample is a function of its key and the resample's number, so tasks need not know of each other; each
-    sends one row for a resample. Nulls and NaN are left out.
+    Rows of one value are counted first: that a row is drawn so many times is a
+    Poisson number, and those of n equal rows add up to one of mean n. The numbers follow from the value and the seed, so
+    tasks need not know of each other; each sends one row for a resample. Nulls and NaN are left out.
     """
-    cumulative = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 13)]))
 
     def partial(batches):
         import pyarrow as pa
 
         sums = np.zeros((2, resamples))
-        numbers = np.arange(resamples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for at in range(0, len(keys), 64):
-                x = keys[at : at + 64, None] ^ numbers[None, :]
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-                w = np.searchsorted(cumulative, (x ^ (x >> np.uint64(31))) / 2.0**64, side="right")
-                sums += np.stack([w.sum(axis=0), values[at : at + 64] @ w])
+            hashes, values, counts = (c.to_numpy() for c in batch.columns)
+            for h, x, n in zip(hashes.view(np.uint64).tolist(), values.tolist(), counts.tolist(), strict=True):
+                w = np.random.default_rng([seed, h]).poisson(n, resamples)
+                sums[0] += w
+                sums[1] += x * w
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums[0]), pa.array(sums[1])], names=["b", "w", "wx"])
 
-    good = rows.select(F.xxhash64(F.lit(seed), key).alias("k"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    means = good.mapInArrow(partial, "b long, w double, wx double").groupBy("b").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    good = rows.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    counted = good.groupBy("x").agg(F.count("*").alias("n")).select(F.xxhash64("x").alias("h"), "x", "n")
+    means = counted.mapInArrow(partial, "b long, w double, wx double").groupBy("b").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     tail = (1 - confidence) / 2
     interval = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return good.agg(F.avg("x").alias("mean")).crossJoin(interval)  # one row each
@@ -212,14 +210,10 @@ def source_split(boxes: DataFrame, labels: list[str], trials: int = 5000, image_
 
 
 def sources_clustered(rows: DataFrame, wanted: int, seed: int = 42) -> DataFrame:
-    """source, cluster: k-means over the sources' normalised mean vectors, k = min(sources, max(3, wanted)). rows: source, v."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    m = rows.select("source", F.posexplode("v").alias("i", "x")).groupBy("source", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = m.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("source", normalised(F.transform("c", lambda p: p["m"])).alias("c"))
-    vectors = stored(means, "sources").withColumn("features", array_to_vector("c"))
-    k = min(vectors.count(), max(3, wanted))
-    if k < 2:
-        return vectors.select("source", F.lit(0).alias("cluster"))
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select("source", "cluster")
+    """source, cluster: k-means over the sources' normalised mean vectors, k = min(sources, max(3, wanted)). rows: source, v. Null sources and vectors take no part."""
+    known = rows.where("source is not null and v is not null")
+    m = known.select("source", F.posexplode("v").alias("i", "x")).groupBy("source", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = m.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    vectors = stored(means.select(F.lit("all").alias("label"), F.col("source").alias("result_id"), normalised(F.transform("c", lambda p: p["m"])).alias("v")), "sources")
+    k = vectors.groupBy("label").agg(F.least(F.count("*"), F.lit(max(3, wanted))).cast("int").alias("k"))
+    return keyed_kmeans(vectors, k, max(3, wanted), seed=seed).select(F.col("result_id").alias("source"), "cluster")

@@ -169,6 +169,15 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sinks
 
 
+@query("k1_write", "SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey")
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written with a partition column and read back: overwritten whole, not added to."""
+    path = scratch(spark, "written")
+    for _ in range(2):
+        read(spark, sf_dir, "nation").write.mode("overwrite").partitionBy("n_regionkey").parquet(path)
+    return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
+
+
 @query("k2_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -1, 'added'")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

@@ -183,12 +183,16 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("result_id"), F.concat(F.lit("l"), "label").alias("label"), (((F.col("vec_id") * 13) % 100) / 100).alias("reliability"), F.col("embedding").alias("v"))
 
 
-def _rounds_sql(rounds: int = 20) -> str:
-    """k-means rounds in whole numbers, unrolled: more than it takes change nothing."""
-    square = "list_sum(list_transform(list_zip(r.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
-    steps = []
+def _rounds_sql(most: int, rounds: int = 20) -> str:
+    """k-means in whole numbers over rows (label, result_id, q) and sized (label, k), unrolled: more rounds than it takes change nothing."""
+    square = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = ["pool AS MATERIALIZED (SELECT label, k, q, p FROM (SELECT label, k, q, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || result_id), result_id) AS p FROM rows JOIN sized USING (label)) WHERE p <= 64)", "s0 AS (SELECT label, k, 0 AS cluster, q AS c FROM pool WHERE p = 1)", f"g0 AS MATERIALIZED (SELECT pool.*, {square('pool.q', 's0.c')} AS d FROM pool JOIN s0 USING (label))"]
+    for j in range(1, most):
+        steps.append(f"s{j} AS MATERIALIZED (SELECT label, k, {j} AS cluster, arg_max(q, d * 128 - p) AS c FROM g{j - 1} GROUP BY label, k)")
+        steps.append(f"g{j} AS MATERIALIZED (SELECT g.label, g.k, g.q, g.p, least(g.d, {square('g.q', 's.c')}) AS d FROM g{j - 1} g JOIN s{j} s ON s.label = g.label)")
+    steps.append(f"c0 AS MATERIALIZED (SELECT label, cluster, c FROM ({' UNION ALL '.join(f'SELECT * FROM s{j}' for j in range(most))}) WHERE cluster < k)")
     for i in range(rounds):
-        steps.append(f"a{i} AS MATERIALIZED (SELECT r.label, r.result_id, arg_min(c.cluster, {square} * 64 + c.cluster) AS cluster FROM rows r JOIN c{i} c ON c.label = r.label GROUP BY ALL)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r.label, r.result_id, arg_min(c.cluster, {square('r.q', 'c.c')} * 64 + c.cluster) AS cluster FROM rows r JOIN c{i} c ON c.label = r.label GROUP BY ALL)")
         steps.append(f"""m{i} AS (SELECT label, cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT a.label, a.cluster, t.i, sum(r.q[t.i])::BIGINT AS s, count(*) AS n
   FROM a{i} a JOIN rows r USING (result_id), (SELECT unnest(range(1, 65)) AS i) t GROUP BY ALL) GROUP BY ALL),
 c{i + 1} AS MATERIALIZED (SELECT c.label, c.cluster, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.label = c.label AND m.cluster = c.cluster)""")
@@ -198,8 +202,7 @@ c{i + 1} AS MATERIALIZED (SELECT c.label, c.cluster, coalesce(m.c, c.c) AS c FRO
 _MINING = f"""WITH base AS (SELECT vec_id AS result_id, 'l' || label AS label, 0.7 + vec_id % 3 / 10 AS agreement, embedding AS v, list_transform(embedding, lambda x: floor(x::DOUBLE * 1048576 + 0.5)::BIGINT) AS q FROM embeddings),
 sized AS (SELECT label, count(*) AS n, greatest(1, least(8, count(*) // 10)) AS k FROM base GROUP BY label),
 rows AS MATERIALIZED (SELECT base.* FROM base JOIN sized USING (label) WHERE n >= 10),
-c0 AS MATERIALIZED (SELECT label, p - 1 AS cluster, q AS c FROM (SELECT label, k, q, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || result_id), result_id) AS p FROM rows JOIN sized USING (label)) WHERE p <= k),
-{_rounds_sql()},
+{_rounds_sql(8)},
 mean AS (SELECT label, cluster, list(m ORDER BY i) AS m FROM (SELECT label, cluster, i, avg(x::DOUBLE) AS m FROM (SELECT a.label, a.cluster, unnest(r.v) AS x, generate_subscripts(r.v, 1) AS i FROM a19 a JOIN rows r USING (result_id)) GROUP BY ALL) GROUP BY ALL),
 near AS (SELECT a.result_id, a.label, a.cluster, r.agreement, greatest(-1, least(1, list_dot_product(r.v::DOUBLE[], m) / greatest(sqrt(list_dot_product(m, m)), 1e-12))) AS similarity FROM a19 a JOIN rows r USING (result_id) JOIN mean ON mean.label = a.label AND mean.cluster = a.cluster),
 about AS (SELECT label, cluster, count(*) AS size, avg(similarity) AS density, avg(agreement) AS ca FROM near GROUP BY ALL)
@@ -227,7 +230,13 @@ def domains_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("cluster_id", F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long").alias("place"))  # a row for each cluster
 
 
-@query("l5_source_clusters")
+_SOURCES = f"""WITH u AS (SELECT 's' || vec_id % 40 AS source, i, avg(x::DOUBLE) AS m FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+n AS (SELECT source, list(m ORDER BY i) AS m, sqrt(sum(m * m)) AS norm FROM u GROUP BY source),
+rows AS MATERIALIZED (SELECT 'all' AS label, source AS result_id, list_transform(m, lambda x: floor(x / greatest(norm, 1e-12) * 1048576 + 0.5)::BIGINT) AS q FROM n), sized AS (SELECT 'all' AS label, least(count(*), 5) AS k FROM rows),
+{_rounds_sql(5)} SELECT result_id AS source, cluster::INTEGER AS cluster FROM a19"""
+
+
+@query("l5_source_clusters", _SOURCES)
 def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sources_clustered(_vectors(spark, sf_dir).select(F.concat(F.lit("s"), F.col("result_id") % 40).alias("source"), "v"), 5)
 
@@ -257,7 +266,7 @@ def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e7_bootstrap")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples have no SQL; the interval is tested against the normal one."""
-    return M.bootstrap(detections(spark, sf_dir), "score", "det_id", resamples=1000)
+    return M.bootstrap(detections(spark, sf_dir), "score")
 
 
 @query("o7_dup_score", f"{DET}, p AS (SELECT a.det_id AS a_det_id, b.det_id AS b_det_id, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM det a JOIN det b ON a.image_id = b.image_id AND a.det_id < b.det_id) SELECT a_det_id, b_det_id, round(0.6 * greatest(i / (aa + ab - i), i / least(aa, ab)) + 0.4 * (((a_det_id * b_det_id) % 200 - 100) / 1e2 + 1) / 2, 6) AS score FROM p WHERE i > 0")

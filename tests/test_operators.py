@@ -192,10 +192,10 @@ def test_bootstrap_meets_the_normal_interval(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(5, 2, 2000)
     rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(9999, float("nan")), (9998, None)], "id long, x double")
-    r = M.bootstrap(rows.repartition(4), "x", "id", resamples=800).first()
+    r = M.bootstrap(rows.repartition(4), "x", resamples=800).first()
     half = 1.96 * x.std() / math.sqrt(len(x))
     assert r["mean"] == pytest.approx(x.mean()) and r["low"] == pytest.approx(x.mean() - half, abs=0.25 * half) and r["high"] == pytest.approx(x.mean() + half, abs=0.25 * half)
-    assert M.bootstrap(rows.repartition(2), "x", "id", resamples=800).first()["low"] == pytest.approx(r["low"])
+    assert M.bootstrap(rows.repartition(2), "x", resamples=800).first()["low"] == pytest.approx(r["low"])
 
 
 def test_sources_in_as_many_clusters_as_asked(spark):
