@@ -100,6 +100,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, label[nodes]
 
 
+#: Chunks of a key: their numbers have 16 bits. A key of more fingerprints has larger chunks.
+MOST_CHUNKS = 1 << 16
 #: A tile is key << 32 | low chunk << 16 | high chunk, and a key segment << 26 | its value << 13 | the next one's; flags: probe, of the high chunk.
 PROBE, HIGH = 1, 2
 
@@ -171,7 +173,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
 def linked(fps: DataFrame) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that keep all connections."""
     sample = _keyed(fps.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(SAMPLE)) == 0))
-    hot = stored(sample.groupBy("key").agg(F.ceil(F.count("*") * SAMPLE / CHUNK).cast("int").alias("chunks")).where("chunks > 1"), "hot")
+    hot = stored(sample.groupBy("key").agg(F.least(F.ceil(F.count("*") * SAMPLE / CHUNK), F.lit(MOST_CHUNKS)).cast("int").alias("chunks")).where("chunks > 1"), "hot")
     dealt = _keyed(fps).join(hot, "key", "left")
     chunk = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.lit(0))
     others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
