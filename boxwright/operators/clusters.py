@@ -34,15 +34,17 @@ def _square(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _centres(sums: DataFrame, before: DataFrame) -> DataFrame:
-    """label, cluster, c, moved: floored means of the sums (label, cluster, i, s; i = 0 counts rows). A cluster without rows stays."""
-    whole = sums.groupBy("label", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"))  # a row for each component
-    n = F.element_at("a", 1)["s"]
-    floored = F.expr("transform(slice(a, 2, size(a) - 1), p -> (p.s - pmod(p.s, a[0].s)) div a[0].s)")
-    new = whole.where(n > 0).select("label", "cluster", floored.alias("new"))
-    same = F.col("b.label").eqNullSafe(F.col("n.label")) & (F.col("b.cluster") == F.col("n.cluster"))
-    c = F.coalesce("n.new", "b.c")
-    return before.alias("b").join(new.alias("n"), same, "left").select("b.label", "b.cluster", c.alias("c"), (F.sqrt(_square(c, F.col("b.c")).cast("double")) * (1 + SLACK)).alias("moved"))
+def _centres(changes: DataFrame, before: DataFrame) -> DataFrame:
+    """label, cluster, n, s (number and sum of its rows), c (their floored mean; a cluster without rows stays), moved, touched. changes: label, cluster, i, s; i = 0 counts rows."""
+    added = changes.groupBy("label", "cluster", "i").agg(F.sum("s").alias("s"))
+    whole = added.groupBy("label", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("d"))  # a row for each component
+    same = F.col("b.label").eqNullSafe(F.col("w.label")) & (F.col("b.cluster") == F.col("w.cluster"))
+    j = before.alias("b").join(whole.alias("w"), same, "left").select("b.label", "b.cluster", "b.n", "b.s", "b.c", "w.d")
+    parts = F.transform(F.slice("d", 2, F.size("d") - 1), lambda p: p["s"])
+    there = F.col("d").isNotNull()
+    summed = j.select("label", "cluster", F.when(there, F.col("n") + F.element_at("d", 1)["s"]).otherwise(F.col("n")).alias("n"), F.when(there, F.zip_with("s", parts, lambda x, y: x + y)).otherwise(F.col("s")).alias("s"), F.col("c").alias("old"), there.alias("touched"))
+    mean = F.expr("if(n > 0, transform(s, x -> (x - pmod(x, n)) div n), old)")
+    return summed.withColumn("c", mean).select("label", "cluster", "n", "s", "c", (F.sqrt(_square(F.col("c"), F.col("old")).cast("double")) * (1 + SLACK)).alias("moved"), "touched")
 
 
 def _seeds(pool: pd.DataFrame) -> pd.DataFrame:
@@ -95,19 +97,18 @@ def keyed_kmeans(rows: DataFrame, k: DataFrame, most: int, rounds: int = 20, see
         pool = state.withColumn("place", place).where(F.col("place") <= max(POOL, most))  # so many rows of a label, cut before the shuffle
         kind = rows.schema["label"].dataType.simpleString()
         seeds = pool.select("label", "place", "q", "k").groupBy("label").applyInPandas(_seeds, f"label {kind}, cluster int, c array<bigint>")
-        centres = stored(seeds.select("label", "cluster", "c", F.lit(0.0).alias("moved")), "centres")
+        zeros = F.transform("c", lambda x: F.lit(0).cast("long"))
+        centres = stored(seeds.select("label", "cluster", F.lit(0).cast("long").alias("n"), zeros.alias("s"), "c", F.lit(0.0).alias("moved"), F.lit(True).alias("touched")), "centres")
         none = F.lit(None)
-        now, sums = state.select("label", "result_id", "q", none.cast("int").alias("cluster"), none.cast("double").alias("up"), none.cast("double").alias("low")), None
+        now = state.select("label", "result_id", "q", none.cast("int").alias("cluster"), none.cast("double").alias("up"), none.cast("double").alias("low"))
         for _ in range(rounds):
             done = stored(_assigned(now, centres), "kmeans")
             changed = done.where("was is null or was <> cluster")
-            if changed.isEmpty():
-                break
             part = lambda c, sign: changed.where(F.col(c).isNotNull()).select("label", F.col(c).alias("cluster"), F.posexplode(F.transform(F.concat(F.array(F.lit(1).cast("long")), "q"), lambda x: x * sign)).alias("i", "s"))  # noqa: B023, E731
-            every = part("cluster", 1).unionByName(part("was", -1))
-            sums = stored((every if sums is None else every.unionByName(sums)).groupBy("label", "cluster", "i").agg(F.sum("s").alias("s")), "sums")
-            centres = stored(_centres(sums, centres), "centres")
-            own.discard_all_but(done, sums, centres)
+            centres = stored(_centres(part("cluster", 1).unionByName(part("was", -1)), centres), "centres")
+            own.discard_all_but(done, centres)
+            if centres.where("touched").isEmpty():
+                break
             now = done.drop("was", "scanned")
         own.discard_all_but(done)
     return rows.join(done.select("result_id", "cluster"), "result_id")

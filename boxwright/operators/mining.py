@@ -1,4 +1,8 @@
-"""Core mining, prototype banks and probes over embeddings."""
+"""Core mining, prototype banks and probes over embeddings.
+
+Nulls: rows without what an operator needs (label, vector, value) are left out, as each says. Ties go to the smaller id, place or
+trial. Ids are keys. Empty tables give no rows, but for a bank, where that is an error.
+"""
 
 from __future__ import annotations
 

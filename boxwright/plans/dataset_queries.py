@@ -172,11 +172,22 @@ def review_session(edits: DataFrame, session_id: str, run_id: str, reviewer: str
 
 
 def commit_review(store: sinks.RunStore, cleaned: DataFrame, edits: DataFrame, session_id: str, run_id: str, reviewer: str, at: str, notes: str = "") -> bool:
-    """Writes the changed labels, the session and its decisions as one change of the store; False, and nothing written, if no edit is valid. cleaned: run_id, result_id, label, decision of that run."""
+    """Writes the changed labels, the session and its decisions as one change of the store, beside the run's other sessions; a session written again takes its own place.
+
+    False, and nothing written, if no edit is valid. cleaned: run_id, result_id, label, decision of that run.
+    """
     sessions, decisions = review_session(edits, session_id, run_id, reviewer, at, notes)
     if sessions.isEmpty():
         return False
-    store.replace({"cleaned_labels": reviewed(cleaned, edits), "review_sessions": sessions, "review_decisions": decisions})
+    known = store.manifest(edits.sparkSession)
+
+    def beside(name: str, new: DataFrame) -> DataFrame:
+        if name not in known:
+            return new
+        old = store.read(edits.sparkSession, name).where((F.col("run_id") == run_id) & (F.col("review_session_id") != session_id))
+        return old.unionByName(new)
+
+    store.replace({"cleaned_labels": reviewed(cleaned, edits), "review_sessions": beside("review_sessions", sessions), "review_decisions": beside("review_decisions", decisions)})
     return True
 
 

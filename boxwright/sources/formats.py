@@ -2,6 +2,10 @@
 
 A document (COCO, box list, request, run) may be one file or a line of a file; many files are read at once. Writers make
 as many files as Spark has tasks, each a whole document of its own images.
+
+Null texts, and texts that are no document of the format, give no rows; a missing field is null. Repeated documents and lines
+are read as often as they occur. Lists keep their order; where rows are ranked, equal scores are in order of the other
+fields. A very long document is read whole by one task.
 """
 
 from __future__ import annotations

@@ -2,6 +2,10 @@
 
 A table is a folder of Parquet files. Rows are immutable, so a change is a new snapshot: what stays (an anti join by key)
 and what is new. replace_run() overwrites only the partitions of the runs that come in.
+
+Keys compare null with null as equal. Where the changes name a key more than once, each of their rows counts: upserted() has
+all of them, updated() and filled() a row for each; callers pick one first. Empty changes leave a table as it is; an
+empty table takes them all.
 """
 
 from __future__ import annotations
@@ -139,7 +143,7 @@ class RunStore:
         for run, place in self.manifest(spark, version).get(name, {}).items():
             by_place.setdefault(place, []).append(run)
         if not by_place:
-            raise ValueError(f"no run of {name}")
+            raise ValueError(f"the store has no run of {name}")
         parts = [spark.read.parquet(place).where(F.col("_run").isin(runs)).drop("_run") for place, runs in sorted(by_place.items())]
         return reduce(DataFrame.unionByName, parts)
 

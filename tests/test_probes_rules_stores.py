@@ -190,6 +190,10 @@ def test_reviews_are_written_with_their_change(spark, tmp_path):
     d = store.read(spark, "review_decisions").first()
     assert (d["review_session_id"], d["target_id"], d["new_label"], d["affected_result_ids_json"], d["note"]) == ("s1", "1", "reject", "[1]", "n")
     assert store.read(spark, "review_sessions").count() == 1
+    for _ in range(2):  # another session, and the same again
+        assert commit_review(store, cleaned, edits.withColumn("result_id", F.lit("2")), "s2", "r", "me", "t")
+    assert sorted(r["review_session_id"] for r in store.read(spark, "review_sessions").collect()) == ["s1", "s2"]
+    assert sorted((r["review_session_id"], r["result_id"]) for r in store.read(spark, "review_decisions").collect()) == [("s1", 1), ("s2", 2), ("s2", 2)]
 
 
 def test_json_exports_are_whole_documents(spark, tmp_path):

@@ -140,3 +140,56 @@ def test_sums_of_boxes_need_four_lookups(spark):
     df = spark.createDataFrame(boxes, "image_id long, a long, c long, b long, d long")
     got = {tuple(q[:5]): q[5] for q in distance.box_sums(values, df, ["a", "b", "c", "d"]).select("image_id", "a", "b", "c", "d", "total").collect()}
     assert got == {(i, a, b, c, d): sum(v for (j, x, y), v in grid.items() if j == i and a <= x < c and b <= y < d) for i, a, c, b, d in boxes}
+
+
+def regions_by_loop(grid, wide, high, threshold, size, most, padding=1, least=0.15, overlap=0.3):
+    """grid: {(x, y): value} of an image."""
+    clip = lambda v: min(max(v, 0.0), 1.0)
+    heat = {p: clip(0.6 * clip(1 - abs(v - threshold) / 0.5) + 0.4 * v) if 0.2 <= v <= 0.9 else 0.0 for p, v in grid.items()}
+    over, left, pieces = [p for p in heat if heat[p] >= least], {p for p in heat if heat[p] >= least}, []
+    while left:
+        stack, piece = [left.pop()], []
+        while stack:
+            x, y = stack.pop()
+            piece.append((x, y))
+            near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            stack += near
+        pieces.append(piece)
+
+    def box(cx, cy):
+        x, y = max(0, min(cx - size // 2, max(0, wide - size))), max(0, min(cy - size // 2, max(0, high - size)))
+        return x, y, min(x + size, wide), min(y + size, high)
+
+    def middle(values, edge):
+        return round((max(min(values) - padding, 0) + min(max(values) + 1 + padding, edge)) / 2)
+
+    found = set()
+    for x1, y1, x2, y2 in {box(middle([x for x, _ in p], wide), middle([y for _, y in p], high)) for p in pieces}:
+        score = sum(heat[x, y] for x in range(x1, x2) for y in range(y1, y2)) / ((x2 - x1) * (y2 - y1))
+        found.add((-round(score, 9), y1, x1, x2, y2))
+    if len(pieces) < most:
+        for x, y in sorted(over, key=lambda p: (-heat[p], p[1], p[0]))[: 4 * most - len(pieces)]:
+            x1, y1, x2, y2 = box(x, y)
+            found.add((-round(heat[x, y], 9), y1, x1, x2, y2))
+    kept = []
+    for s, y1, x1, x2, y2 in sorted(found):
+        shared = [max(0, min(x2, b[2]) - max(x1, b[0])) * max(0, min(y2, b[3]) - max(y1, b[1])) for b in kept]
+        sizes = [(b[2] - b[0]) * (b[3] - b[1]) + (x2 - x1) * (y2 - y1) - i for b, i in zip(kept, shared, strict=True)]
+        if len(kept) < most and all(i / n <= overlap for i, n in zip(shared, sizes, strict=True)):
+            kept.append((x1, y1, x2, y2, -s))
+    return sorted(kept)
+
+
+def test_refined_regions_meet_a_loop(spark):
+    r = random.Random(17)
+    grids = {i: {(x, y): round(r.random() ** (1 + i % 3 * 4), 2) for x in range(14) for y in range(11)} for i in range(8)}
+    values = spark.createDataFrame([(i, x, y, v) for i, g in grids.items() for (x, y), v in g.items()], f"{CELLS}, value double").repartition(3)
+    got = {}
+    for q in rasters.refine_regions(values, 14, 11, 0.5, size=3, most=4).collect():
+        got.setdefault(q["image_id"], []).append((q["x1"], q["y1"], q["x2"], q["y2"], q["score"]))
+    for i, g in grids.items():
+        want = regions_by_loop(g, 14, 11, 0.5, 3, 4)
+        own = sorted(got.get(i, []))
+        assert [b[:4] for b in own] == [b[:4] for b in want], i
+        assert [b[4] for b in own] == pytest.approx([b[4] for b in want], abs=2e-9)
