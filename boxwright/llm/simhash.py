@@ -46,26 +46,38 @@ ROWS, LINKS = 1 << 16, 1 << 20
 BOUNDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
-def fingerprint(text: bytes) -> int:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all shingles of so many words, repeats included; fewer words are one shingle, none give none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], ">u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], ">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes) -> int:
+    return majority(shingle_hashes(text))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tag (the text's hash), fp (as a signed 64-bit integer)."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), _tag(text_col).alias("tag"), utf8(text_col).alias("text"))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), tag_of(text_col).alias("tag"), utf8(text_col).alias("text"))
     return map_batches(rows, lambda ids, tags, texts: {"doc_id": ids, "tag": tags, "fp": [signed(fingerprint(t)) for t in texts]}, "doc_id long, tag long, fp long")
 
 
@@ -183,7 +195,7 @@ def linked(fps: DataFrame) -> DataFrame:
     return tiles.select(tile.alias("tile"), "fp", flags.alias("flags")).repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links, "u long, v long")
 
 
-def _roots(fps: DataFrame) -> DataFrame:
+def roots_of(fps: DataFrame) -> DataFrame:
     """fp, root, least (smallest doc_id with that fingerprint) of every distinct fingerprint."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(linked(nodes))
@@ -193,7 +205,7 @@ def _roots(fps: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id."""
     fps = stored(fingerprints(documents, id_col, text_col), "fingerprints").select("doc_id", "fp")
-    known = _roots(fps)
+    known = roots_of(fps)
     ids = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = stored(known.join(ids, "root").select("fp", "component_id"), "named")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -203,16 +215,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, but of each component only one: that with the smallest id (null first), then text hash."""
     fps = stored(fingerprints(documents, id_col, text_col), "fingerprints")
-    known = _roots(fps.select("doc_id", "fp")).select("fp", "root")
-    first = fps.join(known, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    known = roots_of(fps.select("doc_id", "fp")).select("fp", "root")
+    return first_of_each(documents, fps.join(known, "fp"), id_col, text_col)
+
+
+def first_of_each(documents: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the documents of each root (of doc_id, tag, root) the first."""
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
     kept_id, kept_tag, tag = (fresh(documents, name) for name in ("_kept_id", "_kept_tag", "_tag"))
     kept = stored(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.tag").alias(kept_tag)), "kept")
-    tagged = documents.withColumn(tag, _tag(text_col))
+    tagged = documents.withColumn(tag, tag_of(text_col))
     joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(tag) == F.col(kept_tag)), "left_semi")
     return joined.dropDuplicates([id_col, tag]).drop(tag)
 
 
-def _tag(text_col: str) -> F.Column:
+def tag_of(text_col: str) -> F.Column:
     return F.xxhash64(utf8(text_col))
 
 
