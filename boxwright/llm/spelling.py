@@ -9,8 +9,9 @@ four of the next shorter one; about three quarters of its letters are fixed by a
 Candidates are verified by their edit distance, and pairs found under several keys are one.
 
 Counting, the join and the roots are DataFrame operations. Words are counted in the task before they are shuffled, and a
-key's rows are words, not occurrences: a word that makes a third of a corpus is one row. Roots are found by pointer
-doubling, each round a table in the shared folder; a form has at least twice the word's count, so there are no cycles.
+key's rows are words, not occurrences: a word that makes a third of a corpus is one row. Tables of words are joined by
+sorting both: stored they are a few bytes a word, so below Spark's threshold millions of words would still be broadcast,
+and the driver would hold them many times as large. Roots are found by pointer doubling, each round a table in the shared folder; a form has at least twice the word's count, so there are no cycles.
 
 Null texts have no words, and a null id is an empty string in the hash. Repeated rows count as often as they occur. Very
 long texts are read whole. An empty table gives no rows. Other columns are ignored.
@@ -61,7 +62,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     asked = F.concat(_keys("word", size), _keys("word", size - 1))
     probe = vocabulary.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(asked).alias("probe"))
     longer = F.length("b") - F.length("a")
-    met = index.join(probe, (F.col("key") == F.col("probe")) & ((longer == 1) | ((longer == 0) & (F.col("a") < F.col("b")))))
+    met = index.join(probe.hint("merge"), (F.col("key") == F.col("probe")) & ((longer == 1) | ((longer == 0) & (F.col("a") < F.col("b")))))
     return met.where(F.levenshtein("a", "b", 1) == 1).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
 
@@ -70,7 +71,7 @@ def forms(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
     pairs = near_pairs(vocabulary)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).union(pairs.select("b", "a", "a_n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    joined = vocabulary.join(best, "word", "left")
+    joined = vocabulary.join(best.hint("merge"), "word", "left")
     common = -F.col("best.minus") >= F.col("n") * ratio
     return joined.select("word", "n", F.when(common, F.col("best.near")).alias("form"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(common, -F.col("best.minus")).alias("form_n"))
 
@@ -80,7 +81,7 @@ def roots(found: DataFrame) -> DataFrame:
     now = stored(found.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("at"), F.col("root").alias("ahead"))
-        done = stored(now.join(ahead, F.col("root") == F.col("at"), "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
+        done = stored(now.join(ahead.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
         discard(now)
         now, any_moved = done.select("word", "root"), done.where("moved").limit(1).count()
         now._stored_at = done._stored_at
@@ -93,7 +94,7 @@ def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = stored(words(docs, id_col, text_col, shortest, least), "vocabulary")
     found = stored(forms(vocabulary, ratio), "forms")
     discard(vocabulary)
-    return found.join(roots(found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots(found).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
