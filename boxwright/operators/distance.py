@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwright.operators import blocks
+
 #: Lines of an image that are taken together, cells that a task lays out at a time.
 LINES, LAID_OUT = 64, 1 << 21
 #: Beyond every coordinate.
@@ -116,6 +118,56 @@ def nearest(own: DataFrame, other: DataFrame) -> DataFrame:
     return found.select("image_id", F.inline(F.arrays_zip("own", "squares"))).select("image_id", "own.x", "own.y", F.col("squares").cast("long").alias("square"))
 
 
+def _squares(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """image and squared distance to the nearest cell of the other mask (infinite if it has none) of the cells of own[image, y, x]."""
+    n, high, wide = own.shape
+    g = _upright(other)
+    if wide <= 32:
+        across = (np.arange(wide)[:, None] - np.arange(wide)[None, :]) ** 2
+        d = np.full(own.shape, np.inf)
+        for x in range(wide):
+            d = np.minimum(d, g[:, :, x : x + 1] + across[x])
+    else:
+        d = envelope(g.reshape(n * high, wide)).reshape(own.shape)
+    image, y, x = np.nonzero(own)
+    return image, d[image, y, x]
+
+
+def _upright(other: np.ndarray) -> np.ndarray:
+    """Squared distance of each place to the nearest cell of its column."""
+    y = np.arange(other.shape[1])[None, :, None]
+    above = np.maximum.accumulate(np.where(other, y, -FAR), axis=1)
+    below = np.flip(np.minimum.accumulate(np.flip(np.where(other, y, FAR), 1), axis=1), 1)
+    away = np.minimum(y - above, below - y)
+    return np.where(away < FAR // 2, away.astype(float) ** 2, np.inf)
+
+
+def squares_between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """image and squared distance to the other mask of the cells of either grid[image, y, x]."""
+    return tuple(np.concatenate(v) for v in zip(_squares(a, b), _squares(b, a), strict=True))
+
+
+def _beyond(width: int, height: int):
+    return (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= width) | (F.col("y") >= height)
+
+
+def depth_totals(cells: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, deepest, total: the largest depth() and the sum, of the masks that are not the whole image."""
+    tiles, larger = blocks.split(cells, odd=_beyond(width, height))
+
+    def totals(grid, x, y):
+        mask = grid[:, 0]
+        d = np.where(mask, blocks.depths(mask, x, y, width, height, FAR), 0)
+        rows = np.flatnonzero(d.max(axis=(1, 2)) < FAR)
+        return {"row": rows, "deepest": d[rows].max(axis=(1, 2)), "total": d[rows].sum(axis=(1, 2))}
+
+    found = blocks.on_grids(tiles, 1, totals, "deepest bigint, total bigint")
+    if larger is None:
+        return found
+    rest = depth(larger[0], width, height).where("depth is not null")
+    return found.unionByName(rest.groupBy("image_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("total")))
+
+
 def depth(cells: DataFrame, width: int, height: int) -> DataFrame:
     """cells with depth: steps along rows and columns to the nearest cell of the image that is not in the mask (null in a mask that is the whole image).
 
@@ -157,6 +209,24 @@ def ridges(cells: DataFrame, width: int, height: int) -> DataFrame:
     return both.where(F.greatest("_v", "_h") <= F.col("depth")).select("image_id", "x", "y")
 
 
+def ridge_overlap(predicted: DataFrame, truth: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, p, t, both: the ridges()' cells of two masks and those in common, of images in either."""
+    tiles, larger = blocks.split(predicted, truth, odd=_beyond(width, height))
+
+    def counted(grid, x, y):
+        p, t = (blocks.highest(grid[:, k], blocks.depths(grid[:, k], x, y, width, height, FAR)) for k in (0, 1))
+        return {"p": p.sum(axis=(1, 2)), "t": t.sum(axis=(1, 2)), "both": (p & t).sum(axis=(1, 2))}
+
+    found = blocks.on_grids(tiles, 2, counted, "p bigint, t bigint, both bigint")
+    return found if larger is None else found.unionByName(in_common(*(ridges(m, width, height) for m in larger)))
+
+
+def in_common(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """image_id, p, t, both: the cells of two masks and those in common, of images in either."""
+    marked = predicted.select("image_id", "x", "y").distinct().withColumn("p", F.lit(1)).join(truth.select("image_id", "x", "y").distinct().withColumn("t", F.lit(1)).hint("merge"), ["image_id", "x", "y"], "full")
+    return marked.groupBy("image_id").agg(F.count("p").alias("p"), F.count("t").alias("t"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("both"))
+
+
 def summed(values: DataFrame, value: str = "value") -> DataFrame:
     """image_id, x, y, total: the sum over all cells up to (x, y) of a whole grid, by running sums along rows, then columns."""
     along = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
