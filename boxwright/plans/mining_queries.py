@@ -275,7 +275,7 @@ def dup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxwright.operators.pairs import overlapping_pairs
 
     p = overlapping_pairs(detections(spark, sf_dir), [])
-    cosine = F.expr("((a_det_id * b_det_id) % 200 - 100) / 1e2")
+    cosine = F.expr("((a_det_id % 200) * (b_det_id % 200) % 200 - 100) / 1e2")  # of the remainders: the product of large ids is no long
     return p.select("a_det_id", "b_det_id", F.round(M.dup_score(B.iou(B.box("a_"), B.box("b_")), B.containment(B.box("a_"), B.box("b_")), cosine), 6).alias("score"))
 
 
