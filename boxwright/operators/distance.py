@@ -246,3 +246,59 @@ def box_sums(values: DataFrame, boxes: DataFrame, names: list[str], value: str =
     met = corners.join(summed(values, value), ["image_id", "x", "y"], "left")
     total = F.sum(F.col("sign") * F.coalesce("total", F.lit(0)))
     return met.groupBy("image_id", *names).agg(F.when((F.first(x2) > F.first(x1)) & (F.first(y2) > F.first(y1)), total).otherwise(F.lit(0)).alias("total"))
+
+
+def _best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles' boxes (det_id, score, x1, y1, x2, y2) to det_id, total, n: the best scores of their cells, and how many these are."""
+    for batch in batches:
+        boxes = batch.column(0)
+        for at in _chunks(np.array([len(b) for b in boxes], np.int64) * 64):
+            some = boxes.slice(at[0], len(at))
+            flat, tile = some.flatten(), np.repeat(np.arange(len(at)), np.diff(some.offsets.to_numpy()))
+            score, x1, y1, x2, y2 = (flat.field(c).to_numpy() for c in ("score", "x1", "y1", "x2", "y2"))
+            low_x, low_y, wide, high = (np.zeros(len(at), np.int64) for _ in range(4))
+            low_x += blocks.TILE
+            low_y += blocks.TILE
+            for least, c in ((low_x, x1), (low_y, y1)):
+                np.minimum.at(least, tile, c)
+            for most, c in ((wide, x2 - low_x[tile]), (high, y2 - low_y[tile])):
+                np.maximum.at(most, tile, c)
+            base = np.cumsum(wide * high) - wide * high
+            best, w = np.full(int((wide * high).sum()), -np.inf), x2 - x1
+            n = w * (y2 - y1)
+            total = np.zeros(len(n))
+
+            def places(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                of = np.repeat(own, n[own])
+                k = np.arange(len(of)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                t = tile[of]
+                return of, base[t] + (y1[of] - low_y[t] + k // w[of]) * wide[t] + x1[of] - low_x[t] + k % w[of]
+
+            pieces = _chunks(n)
+            for own in pieces:
+                of, place = places(own)
+                np.maximum.at(best, place, score[of])
+            for own in pieces:
+                of, place = places(own)
+                total += np.bincount(of, best[place], len(n))
+            yield pa.RecordBatch.from_arrays([flat.field("det_id"), pa.array(total), pa.array(n)], names=["det_id", "total", "n"])
+
+
+def _chunks(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places in turn, so many together that their sizes come to about LAID_OUT."""
+    part = (np.cumsum(sizes) - sizes) // LAID_OUT
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1) if len(sizes) else []
+
+
+def best_means(boxes: DataFrame, tile: int = blocks.TILE) -> DataFrame:
+    """det_id, mean: the mean, over each box's cells, of the best score that covers a cell. boxes: image_id, det_id, score, x1, y1, x2, y2 in whole cells.
+
+    Boxes are cut along tiles of their image; a tile's are together, and the map of the best scores is never written out.
+    """
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor((F.col(hi) - 1) / tile)))
+    cut = boxes.where("image_id is not null and x2 > x1 and y2 > y1").withColumn("tx", span("x1", "x2")).withColumn("ty", span("y1", "y2"))
+    local = lambda c, t: F.least(F.greatest(F.col(c) - F.col(t) * tile, F.lit(0)), F.lit(tile)).cast("long").alias(c)
+    box = F.struct("det_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), local("x1", "tx"), local("y1", "ty"), local("x2", "tx"), local("y2", "ty"))
+    tiles = cut.groupBy("image_id", "tx", "ty").agg(F.collect_list(box).alias("boxes")).select("boxes")
+    sums = tiles.mapInArrow(_best_sums, f"det_id {boxes.schema['det_id'].dataType.simpleString()}, total double, n bigint")
+    return sums.groupBy("det_id").agg((F.sum("total") / F.sum("n")).alias("mean"))

@@ -21,3 +21,18 @@ def test_dup_score_of_large_ids(spark, shifted):
     rows = lambda d: sorted((r["a_det_id"] % 10**9, r["b_det_id"] % 10**9, r["score"]) for r in queries()["o7_dup_score"](spark, d).collect())
     want = rows(TABLES)
     assert want and rows(shifted) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_box_means_join_no_cells(spark):
+    """The map of scores is neither joined nor sorted."""
+    _, plan = _plan(queries()["x3_box_means"](spark, TABLES))
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_background_candidates_are_made_after_the_join(spark):
+    _, plan = _plan(queries()["m4_background_boxes"](spark, TABLES))
+    assert plan.index("Generate") < plan.index("Join")  # the plan is written from its end
