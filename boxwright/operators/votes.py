@@ -40,7 +40,10 @@ def majority(rows: DataFrame, votes: Column, strong: float = 0.7) -> DataFrame:
 
 def unique_winner(rows: DataFrame, votes: Column, least: int = 2) -> DataFrame:
     """The rows with winner: the label with most votes, at least so many; null on a tie."""
-    r = rows.withColumn("_ranked", counted(votes, 0.0))
-    one, two = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
-    alone = (-one["neg"] >= least) & F.coalesce(two["neg"] > one["neg"], F.lit(True))
-    return r.withColumn("winner", F.when(alone, one["label"])).drop("_ranked")
+
+    def first(ranked: Column) -> Column:
+        one, two = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        return F.when((-one["neg"] >= least) & F.coalesce(two["neg"] > one["neg"], F.lit(True)), one["label"])
+
+    # within a lambda the votes are counted once, however often the ranks are looked at and wherever Spark moves the winner
+    return rows.withColumn("winner", F.get(F.transform(F.array(counted(votes, 0.0)), first), F.lit(0)))
