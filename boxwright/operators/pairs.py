@@ -26,7 +26,7 @@ def overlapping_pairs(detections: DataFrame, columns: list[str]) -> DataFrame:
     return side("a").join(side("b"), "image_id").where((F.col("a_det_id") < F.col("b_det_id")) & meeting("a_", "b_"))
 
 
-def overlapping_pairs_grid(detections: DataFrame, columns: list[str], cell: float = 64.0, key: str = "image_id", inclusive: bool = False) -> DataFrame:
+def overlapping_pairs_grid(detections: DataFrame, columns: list[str], cell: float = 128.0, key: str = "image_id", inclusive: bool = False) -> DataFrame:
     """The same pairs for images with very many boxes: an equi-join on (image, cell), each pair kept in the cell of its intersection's first corner. inclusive: boxes that share an edge meet too."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     celled = detections.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
@@ -126,22 +126,53 @@ def best_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy(F.col("a_det_id").alias("pred_id")).agg(best.alias("m")).select("pred_id", F.col("m.iou").alias("best_iou"), F.when(F.col("m.iou") > 0, F.col("m.b_det_id")).alias("truth_id"))
 
 
+def _ranks(tile: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The place of each coordinate among the distinct ones of its tile."""
+    order = np.lexsort((c, tile))
+    t, v = tile[order], c[order]
+    new = np.r_[True, t[1:] != t[:-1]]
+    steps = np.cumsum(new | np.r_[True, v[1:] != v[:-1]])
+    out = np.empty(len(c), np.int64)
+    out[order] = steps - np.maximum.accumulate(np.where(new, steps, 0))
+    return out
+
+
+#: Places between edges that a task lays out at a time.
+LAID_OUT = 1 << 21
+
+
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """image_id, corners (kind, x, y, n) of a tile to image_id, size, hit: the area of truth, and of truth that predictions cover."""
+    """image_id, corners (kind, x, y, n) of a tile to image_id, size, hit: the area of truth, and of truth that predictions cover. Tiles of about as many edges are laid out together."""
     for batch in batches:
-        sizes, hits = [], []
-        for corners in batch.column(1):
-            v = corners.values
-            kind, x, y, n = (v.field(c).to_numpy() for c in ("kind", "x", "y", "n"))
-            xs, at_x = np.unique(x, return_inverse=True)
-            ys, at_y = np.unique(y, return_inverse=True)
-            over = np.zeros((2, len(ys), len(xs)), np.int64)
-            np.add.at(over, (kind, at_y, at_x), n)
-            truth, predicted = over.cumsum(axis=1).cumsum(axis=2)[:, :-1, :-1] > 0  # how many boxes lie over each cell between edges
-            area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
-            sizes.append(int((area * truth).sum()))
-            hits.append(int((area * (truth & predicted)).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64())], names=["image_id", "size", "hit"])
+        if not batch.num_rows:
+            continue
+        lists = batch.column(1)
+        tile = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        kind, x, y, n = (lists.flatten().field(c).to_numpy() for c in ("kind", "x", "y", "n"))
+        at_x, at_y = _ranks(tile, x), _ranks(tile, y)
+        wide, high = np.zeros((2, len(lists)), np.int64)
+        np.maximum.at(wide, tile, at_x + 1)
+        np.maximum.at(high, tile, at_y + 1)
+        starts, counts = np.cumsum(np.bincount(tile, minlength=len(lists))) - np.bincount(tile, minlength=len(lists)), np.bincount(tile, minlength=len(lists))
+        sizes, hits = np.zeros((2, len(lists)), np.int64)
+        order, at = np.argsort(np.maximum(wide, high), kind="stable"), 0
+        while at < len(order):
+            end, most = at + 1, max(wide[order[at]], high[order[at]])
+            while end < len(order) and max(most, wide[order[end]], high[order[end]]) ** 2 * (end + 1 - at) * 2 <= LAID_OUT:
+                most, end = max(most, wide[order[end]], high[order[end]]), end + 1
+            some = order[at:end]
+            mine = np.repeat(starts[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(counts[some].sum())
+            row = np.repeat(np.arange(len(some)), counts[some])
+            over = np.zeros((len(some), 2, high[some].max(), wide[some].max()), np.int64)
+            np.add.at(over, (row, kind[mine], at_y[mine], at_x[mine]), n[mine])
+            xs, ys = np.zeros((len(some), over.shape[3])), np.zeros((len(some), over.shape[2]))
+            xs[row, at_x[mine]], ys[row, at_y[mine]] = x[mine], y[mine]
+            over = over.cumsum(axis=2).cumsum(axis=3)[:, :, :-1, :-1] > 0  # how many boxes lie over each place between edges; none beyond the last edge
+            area = np.diff(ys)[:, :, None] * np.diff(xs)[:, None, :]
+            sizes[some] = (area * over[:, 0]).sum(axis=(1, 2))
+            hits[some] = (area * (over[:, 0] & over[:, 1])).sum(axis=(1, 2))
+            at = end
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(hits)], names=["image_id", "size", "hit"])
 
 
 def coverage(truth: DataFrame, predictions: DataFrame, tile: int = 512) -> DataFrame:
