@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.boxes import clip01
 from boxwright.functions.labels import DAMAGE, REJECT
+from boxwright.functions.stored import stored
 from boxwright.functions.vectors import unit
 from boxwright.operators.products import block_product, parts
 
@@ -183,6 +184,8 @@ def outputs(decided: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]
 
 #: Bytes of the rules, and of the labels, that a task holds at a time.
 RULE_BYTES, LABEL_BYTES = 8 << 20, 8 << 20
+#: Parts that the rows of a text are dealt into where texts are too many to be sent to all.
+DEALT = 32
 
 
 def _first_rules(labels: pa.Table, rules: pa.Table) -> pa.Table:
@@ -234,9 +237,13 @@ def first_matching_rule(predictions: DataFrame, rules: DataFrame, least: float,
     r = rules.select(F.lower("query").alias("query"), F.col("label").alias("to")).where("query is not null")
     size = lambda df, c: df.agg(F.sum(F.length(c) + 32)).first()[0]
     met = block_product(texts, r, parts(size(texts, "low"), LABEL_BYTES), parts(size(r, "query"), RULE_BYTES), _first_rules, "low string, query string, to string")
-    one = met.groupBy("low").agg(F.min(F.struct("query", "to")).alias("rule"))
+    one = stored(met.groupBy("low").agg(F.min(F.struct("query", "to")).alias("rule")), "rules")
     hit = F.when(F.col("rule").isNotNull(), F.struct("place", "rule.query", "rule.to"))
-    j = p.join(one, "low", "left").select("result_id", hit.alias("hit"), F.when(F.col("place") == 1, F.col("confidence")).alias("confidence"))
+    few = (size(one, "low") or 0) <= LABEL_BYTES
+    # a text may be that of a third of the rows: they stay where they are, or are dealt by their ids too
+    salt = F.pmod(F.xxhash64("result_id"), F.lit(DEALT)).cast("int")
+    told = p.join(F.broadcast(one), "low", "left") if few else p.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).hint("merge"), ["low", "_salt"], "left")
+    j = told.select("result_id", hit.alias("hit"), F.when(F.col("place") == 1, F.col("confidence")).alias("confidence"))
     g = j.groupBy("result_id").agg(F.min("hit").alias("hit"), F.max("confidence").alias("confidence"))
     other = F.lit("reject" if strict else "keep")
     decision = F.when(F.col("confidence") < least, other).when(F.col("hit").isNull(), other).when(F.col("hit.to").isNull(), "reject").otherwise("accept")
