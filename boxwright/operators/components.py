@@ -6,10 +6,15 @@ round's edges are a table in the shared folder, so a lost executor costs one rou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.stored import discard, stored
+from boxwright.operators.blocks import least_roots
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -48,3 +53,34 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == found:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = found
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """keys, u, v in order of the keys to keys, node, root (within the batch) and open: whether the group may go on in another batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, u, v = batch.columns
+        codes = [k.dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+        no = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+        ids, number = np.unique(np.concatenate([u.to_numpy(), v.to_numpy()]), return_inverse=True)
+        nodes, at = np.unique(np.concatenate([no, no]) * len(ids) + number, return_inverse=True)
+        root = least_roots(len(nodes), at[: len(no)], at[len(no) :])
+        own = nodes // len(ids)
+        row = pa.array(np.r_[0, np.flatnonzero(np.diff(no)) + 1][own])
+        columns = [*(k.take(row) for k in keys), pa.array(ids[nodes % len(ids)]), pa.array(ids[nodes[root] % len(ids)]), pa.array((own == 0) | (own == no[-1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keys)], "node", "root", "open"])
+
+
+def components_within(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root: components() of edges (keys, whole numbers u, v) that link nodes of one group.
+
+    Edges lie in order of their group, so most groups are whole within a batch of rows and are done there. Of the few that a
+    batch may cut, however large, it leaves each node's link to its root, for the rounds of components().
+    """
+    rows = edges.where("u is not null and v is not null and u <> v").select(*keys, F.col("u").cast("long"), F.col("v").cast("long"))
+    schema = ", ".join([*(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys), "node bigint, root bigint, open boolean"])
+    linked = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked, schema), "linked")
+    end = lambda c: F.struct(*keys, F.col(c).alias("node"))
+    rest = components(linked.where("open").select(end("node").alias("u"), end("root").alias("v")))
+    return linked.where("not open").select(*keys, "node", "root").unionByName(rest.select(*[f"node.{k}" for k in keys], "node.node", F.col("root.node").alias("root")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import boxes as B
 
-from .components import components
+from .components import components_within
 from .pairs import meeting, overlapping_pairs_grid
 
 _FIELDS = ["det_id", "label", "score", "x1", "y1", "x2", "y2"]
@@ -141,10 +141,9 @@ def merge_touching(detections: DataFrame, most: float = 0.45) -> DataFrame:
     pad = lambda lo, hi: F.greatest(F.lit(8.0), (F.col(hi) - F.col(lo)) * 0.15)
     group = F.struct("image_id", "label")
     grown = detections.select(group.alias("group"), "det_id", *[(F.col(lo) - pad(lo, hi)).alias(lo) for lo, hi in (("x1", "x2"), ("y1", "y2"))], *[(F.col(hi) + pad(lo, hi)).alias(hi) for lo, hi in (("x1", "x2"), ("y1", "y2"))])
-    touching = overlapping_pairs_grid(grown, [], key="group", inclusive=True)
-    node = lambda p: F.struct("group.image_id", "group.label", F.col(f"{p}_det_id").alias("det_id"))
-    roots = components(touching.select(node("a").alias("u"), node("b").alias("v"))).select("node.*", F.col("root.det_id").alias("root"))
-    rows = detections.join(roots, ["image_id", "label", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
+    touching = overlapping_pairs_grid(grown, [], cell=512.0, key="group", inclusive=True)
+    roots = components_within(touching.select("group.image_id", "group.label", F.col("a_det_id").alias("u"), F.col("b_det_id").alias("v")), ["image_id", "label"]).withColumnRenamed("node", "det_id")
+    rows = detections.join(roots.hint("merge"), ["image_id", "label", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
     w = Window.partitionBy("image_id", "label", "root")
     spans = ((F.max("x2").over(w) - F.min("x1").over(w)) > most * F.col("width")) | ((F.max("y2").over(w) - F.min("y1").over(w)) > most * F.col("height"))
     keyed = rows.withColumn("part", F.when(spans, F.col("det_id")).otherwise(F.col("root")))
