@@ -252,7 +252,7 @@ def _best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles' boxes (det_id, score, x1, y1, x2, y2) to det_id, total, n: the best scores of their cells, and how many these are."""
     for batch in batches:
         boxes = batch.column(0)
-        for at in _chunks(np.array([len(b) for b in boxes], np.int64) * 64):
+        for at in chunks(np.array([len(b) for b in boxes], np.int64) * 64):
             some = boxes.slice(at[0], len(at))
             flat, tile = some.flatten(), np.repeat(np.arange(len(at)), np.diff(some.offsets.to_numpy()))
             score, x1, y1, x2, y2 = (flat.field(c).to_numpy() for c in ("score", "x1", "y1", "x2", "y2"))
@@ -274,7 +274,7 @@ def _best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t = tile[of]
                 return of, base[t] + (y1[of] - low_y[t] + k // w[of]) * wide[t] + x1[of] - low_x[t] + k % w[of]
 
-            pieces = _chunks(n)
+            pieces = chunks(n)
             for own in pieces:
                 of, place = places(own)
                 np.maximum.at(best, place, score[of])
@@ -284,7 +284,7 @@ def _best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat.field("det_id"), pa.array(total), pa.array(n)], names=["det_id", "total", "n"])
 
 
-def _chunks(sizes: np.ndarray) -> list[np.ndarray]:
+def chunks(sizes: np.ndarray) -> list[np.ndarray]:
     """Places in turn, so many together that their sizes come to about LAID_OUT."""
     part = (np.cumsum(sizes) - sizes) // LAID_OUT
     return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1) if len(sizes) else []

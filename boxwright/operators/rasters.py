@@ -5,14 +5,17 @@ A cell is named once in a mask; null cells and images take no part in any join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.functions import boxes as B
 from boxwright.operators import blocks
 from boxwright.operators.components import components
-from boxwright.operators.distance import box_sums, nearest, squares_between
+from boxwright.operators.distance import box_sums, chunks, nearest, squares_between
 from boxwright.operators.suppress import greedy
 
 
@@ -110,6 +113,103 @@ def refine_regions(values: DataFrame, width: int, height: int, threshold: float,
     return greedy(keyed, lambda k, b: B.iou(B.of(k), B.of(b)) > overlap, ["image_id"], max_kept=most).select("image_id", *B.Box._fields, "score")
 
 
+def _hot(v: np.ndarray, threshold: float, low: float = 0.20, high: float = 0.90) -> np.ndarray:
+    """heat() of an array."""
+    uncertain = np.clip(1 - np.abs(v - threshold) / 0.5, 0, 1)
+    return np.where((v >= low) & (v <= high), np.clip(0.6 * uncertain + 0.4 * v, 0, 1), 0.0)
+
+
+def _first_apart(image: np.ndarray, box: np.ndarray, score: np.ndarray, most: int, overlap: float) -> np.ndarray:
+    """Places of the boxes that greedy() keeps: of each image the best, then the best that overlaps it little, so many times."""
+    order = np.lexsort((box[:, 0], box[:, 1], -score, image))
+    kept = []
+    for _ in range(most):
+        if not len(order):
+            break
+        own = image[order]
+        begins = np.r_[True, own[1:] != own[:-1]]
+        first = order[begins]
+        kept.append(first)
+        a, b = box[first[np.cumsum(begins) - 1]], box[order]
+        shared = np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None).prod(axis=1)
+        union = (a[:, 2:] - a[:, :2]).prod(axis=1) + (b[:, 2:] - b[:, :2]).prod(axis=1) - shared
+        order = order[~begins & (np.where(union > 0, shared / np.maximum(union, 1), 0.0) <= overlap)]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _regions(grid: np.ndarray, threshold: float, size: int, most: int, padding: int, least: float, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """image, box (x1, y1, x2, y2) and score of the regions of score maps grid[image, y, x]."""
+    n, height, width = grid.shape
+    hot = _hot(grid, threshold)
+    over = hot >= least
+    of, x1, y1, x2, y2, _ = blocks.piece_boxes(over, None)
+
+    def fixed(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+        left, top = np.clip(cx - size // 2, 0, max(0, width - size)), np.clip(cy - size // 2, 0, max(0, height - size))
+        return np.stack([left, top, np.minimum(left + size, width), np.minimum(top + size, height)], axis=1)
+
+    middle = lambda lo, hi, edge: np.rint((np.maximum(lo - padding, 0) + np.minimum(hi + padding, edge)) / 2).astype(np.int64)
+    own = fixed(middle(x1, x2, width), middle(y1, y2, height))
+    sums = np.pad(hot.cumsum(axis=2).cumsum(axis=1), ((0, 0), (1, 0), (1, 0)))
+    total = sums[of, own[:, 3], own[:, 2]] - sums[of, own[:, 3], own[:, 0]] - sums[of, own[:, 1], own[:, 2]] + sums[of, own[:, 1], own[:, 0]]
+    mean = total / (own[:, 2:] - own[:, :2]).prod(axis=1)
+    found = np.bincount(of, minlength=n)
+    image, y, x = np.nonzero(over & ((found > 0) & (found < most))[:, None, None])
+    heat = hot[image, y, x]
+    order = np.lexsort((x, y, -heat, image))
+    image, y, x, heat = (c[order] for c in (image, y, x, heat))
+    place = np.arange(len(image)) - np.searchsorted(image, image) + 1
+    few = place + found[image] <= 4 * most
+    image, box = np.r_[of, image[few]], np.concatenate([own, fixed(x[few], y[few])])
+    score = np.round(np.r_[mean, heat[few]], 9)
+    kept = _first_apart(image, box, score, most, overlap)
+    return image[kept], box[kept], score[kept]
+
+
+def refine_box_regions(boxes: DataFrame, width: int, height: int, threshold: float, size: int, most: int, padding: int = 1, least: float = 0.15, overlap: float = 0.3) -> DataFrame:
+    """refine_regions() of the map of the best scores that cover each cell (0 where none does). boxes: image_id, score, x1, y1, x2, y2 in whole cells.
+
+    A map that fits a tile is made where its image's boxes are (equal boxes are one, with their best score), so no cell is
+    shuffled; larger maps take the way over cells.
+    """
+    side = lambda c, edge: F.greatest(F.lit(0), F.least(F.col(c), F.lit(edge))).cast("int").alias(c)
+    value = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    own = boxes.where("image_id is not null").select("image_id", value, side("x1", width), side("y1", height), side("x2", width), side("y2", height)).where("x2 > x1 and y2 > y1")
+    if max(width, height) > blocks.TILE:
+        span = lambda lo, hi: F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long") - 1))
+        best = own.withColumn("x", span("x1", "x2")).withColumn("y", span("y1", "y2")).groupBy("image_id", "x", "y").agg(F.max("score").alias("value"))
+        line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        whole = own.select("image_id").distinct().withColumn("x", line(width)).withColumn("y", line(height))
+        values = whole.join(best, ["image_id", "x", "y"], "left").na.fill(0.0, ["value"])
+        return refine_regions(values, width, height, threshold, size, most, padding, least, overlap)
+    names = ["x1", "y1", "x2", "y2"]
+    one = own.groupBy("image_id", *names).agg(F.max("score").alias("score"))
+    lists = one.groupBy("image_id").agg(F.collect_list(F.struct("score", *names)).alias("boxes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, blocks.LAID_OUT // (width * height))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                flat, of = some.column(1).flatten(), np.repeat(np.arange(some.num_rows), np.diff(some.column(1).offsets.to_numpy()))
+                score, x1, y1, x2, y2 = (flat.field(c).to_numpy() for c in ("score", *names))
+                grid = np.zeros(some.num_rows * height * width)
+                wide = x2 - x1
+                n = (wide * (y2 - y1)).astype(np.int64)
+                for own in chunks(n):
+                    row = np.repeat(own, n[own])
+                    k = np.arange(len(row)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                    np.maximum.at(grid, (of[row] * height + y1[row] + k // wide[row]) * width + x1[row] + k % wide[row], score[row])
+                grid = grid.reshape(-1, height, width)
+                image, box, found = _regions(grid, threshold, size, most, padding, least, overlap)
+                columns = [pa.array(box[:, k].astype(float)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(image)), *columns, pa.array(found)], names=["image_id", *names, "score"])
+
+    image = boxes.schema["image_id"].dataType.simpleString()
+    return lists.mapInArrow(run, f"image_id {image}, x1 double, y1 double, x2 double, y2 double, score double")
+
+
+
 def boundary(cells: DataFrame) -> DataFrame:
     """Cells with a side neighbour that is not in the mask."""
     sides = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("d")

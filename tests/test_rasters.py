@@ -193,3 +193,28 @@ def test_refined_regions_meet_a_loop(spark):
         own = sorted(got.get(i, []))
         assert [b[:4] for b in own] == [b[:4] for b in want], i
         assert [b[4] for b in own] == pytest.approx([b[4] for b in want], abs=2e-9)
+
+
+@pytest.mark.parametrize(("wide", "high"), [(14, 11), (300, 3)])
+def test_regions_of_boxes_meet_a_loop_without_rows_of_cells(spark, wide, high):
+    """The map is made where an image's boxes are: no table of cells is shuffled, unless a map is larger than a tile."""
+    r = random.Random(18)
+    boxes = []
+    for i in range(6):
+        for _ in range(12 * (wide // 14)):
+            x, y = r.randrange(-2, wide), r.randrange(-1, high)
+            boxes.append((i, r.choice([None, r.randint(1, 99) / 100]), x, y, x + r.randint(1, 5), y + r.randint(1, 3)))
+    df = spark.createDataFrame(boxes + boxes[:9] + [(None, 0.5, 1, 1, 3, 3)], "image_id long, score double, x1 long, y1 long, x2 long, y2 long").repartition(3)
+    found = rasters.refine_box_regions(df, wide, high, 0.5, size=3, most=4)
+    got = {}
+    for q in found.collect():
+        got.setdefault(q["image_id"], []).append((q["x1"], q["y1"], q["x2"], q["y2"], q["score"]))
+    assert set(got) <= set(range(6))
+    for i in range(6):
+        own = [b[1:] for b in boxes if b[0] == i]
+        grid = {(x, y): max([s or 0 for s, x1, y1, x2, y2 in own if x1 <= x < x2 and y1 <= y < y2], default=0) for x in range(wide) for y in range(high)}
+        want = regions_by_loop(grid, wide, high, 0.5, 3, 4)
+        assert [b[:4] for b in sorted(got.get(i, []))] == [b[:4] for b in want], i
+        assert [b[4] for b in sorted(got.get(i, []))] == pytest.approx([b[4] for b in want], abs=2e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Window" in plan) == (wide > 256)
