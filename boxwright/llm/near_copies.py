@@ -3,13 +3,12 @@
 Texts are linked as op4 links them (simhash.py), and also if the Jaccard similarity of their sets of SHINGLE-word shingles
 is SIMILAR or more: at that similarity two fingerprints of 64 bits differ in about ten bits, too many for op4's keys, so
 candidates come from MinHash bands. Two texts meet in a band if ROWS minima of theirs are equal: at a similarity of 0.8 in
-at least one of BANDS with a probability of 0.998. A bucket's texts fall into PARTNERS parts by a hash, and each is
-compared with the first of every part: a bucket of two is compared whole, and candidates grow with the rows and not with
-their square. Texts that are in one component already are not compared, and for a pair of components TRIES candidates at
-most are, those with the closest five-word fingerprints. A candidate whose sizes differ too much, or whose five-word
-fingerprints differ in over MOST_BITS bits, goes (a pair of similarity 0.8 does once in thousands); of the others the
-whole sets are compared. So every link is exact, and what can be lost is a pair that meets in no bucket, or in large ones
-only among others, or that TRIES closer pairs without a link stand before (README: the measured recall).
+at least one of BANDS with a probability of 0.998. Likely pairs come first: a bucket's texts fall into PARTNERS parts by a
+hash, each is compared with the first of every part, and of a pair of components the TRIES candidates with the closest
+five-word fingerprints (MOST_BITS apart at most) are compared. That joins most of what belongs together, with candidates that
+grow with the rows. Then come the rest: every pair that meets in a bucket, is in two components still and was not compared,
+unless its sizes differ too much for the similarity. Large buckets are dealt into chunks, each pair of chunks a tile. The
+whole sets are compared, so every link is exact, and what can be lost is a pair that meets in no bucket.
 
 A text without a word has no shingle and is linked by its fingerprint alone; one of fewer than SHINGLE words is one
 shingle. Null texts are empty. Repeated texts are one. Null and repeated ids are told apart by the text. An empty table
@@ -37,6 +36,8 @@ BANDS, ROWS = 16, 5
 MOST_BITS = 20
 #: Texts of a bucket that each of its texts is compared with, and pairs of texts that are compared for a pair of components: those with the closest fingerprints.
 PARTNERS, TRIES = 8, 64
+#: Texts of a bucket that a tile of the rest takes on each side.
+CHUNK = 512
 #: Shingles whose minima are taken at a time, and pairs whose sets are compared at a time.
 AT_ONCE, PAIRS = 4096, 256
 
@@ -93,6 +94,22 @@ def candidates(texts: DataFrame) -> DataFrame:
     return tried.select(F.col("a.tag").alias("u"), F.col("b.tag").alias("v"), F.col("a.root").alias("root_u"), F.col("b.root").alias("root_v"))
 
 
+def rest(texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """u, v, root_u, root_v of all pairs of distinct texts (tag, root, size, keys) that meet in a bucket, are of two roots, may be similar by their sizes and are not among those tried (u, v)."""
+    rows = texts.select("tag", "root", "size", F.explode("keys").alias("key"))
+    open_ = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("a < b").select("key", "chunks")
+    met = stored(rows.join(stored(open_, "open"), "key"), "met").withColumn("chunk", F.pmod(F.xxhash64("tag"), F.col("chunks")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = ["key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")]
+    side = lambda p: dealt.select(*tile, *[F.col(c).alias(f"{p}_{c}") for c in ("tag", "root", "size", "chunk")])
+    across = (F.col("low") == F.col("high")) | (F.col("a_chunk") != F.col("b_chunk"))
+    apart = (F.col("a_tag") < F.col("b_tag")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_size", "b_size") >= SIMILAR * F.greatest("a_size", "b_size"))
+    pairs = side("a").join(side("b").hint("merge"), ["key", "low", "high"]).where(across & apart)
+    ends = pairs.select(F.col("a_tag").alias("u"), F.col("b_tag").alias("v"), F.col("a_root").alias("root_u"), F.col("b_root").alias("root_v")).distinct()
+    known = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return ends.join(known.hint("merge"), ["u", "v"], "left_anti")
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """root_u, root_v of the pairs whose sets are similar."""
     for batch in sliced(batches, PAIRS):
@@ -122,9 +139,21 @@ def rooted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = sketched.groupBy("tag").agg(*(F.first(c).alias(c) for c in ("fp", "size", "coarse", "keys")))
     texts = stored(one.join(known, "fp").select("tag", "root", "size", "coarse", "keys"), "texts")
     pairs = stored(candidates(texts), "pairs")
-    joined = components(similar_links(documents, pairs, text_col)).select(F.col("node").alias("root"), F.col("root").alias("further"))
-    roots = stored(known.join(joined, "root", "left").select("fp", F.coalesce("further", "root").alias("root")), "roots")
-    return sketched.select("doc_id", "tag", "fp").join(roots, "fp").select("doc_id", "tag", "root")
+    likely = _joined(known, similar_links(documents, pairs, text_col))
+    moved = texts.join(likely, "root").select("tag", F.col("further").alias("root"), "size", "keys")
+    others = stored(rest(stored(moved, "texts"), pairs), "pairs")
+    roots = likely
+    if not others.isEmpty():
+        last = _joined(likely.select(F.col("further").alias("root")), similar_links(documents, others, text_col))
+        roots = stored(likely.select("root", F.col("further").alias("between")).join(last.select(F.col("root").alias("between"), "further"), "between").select("root", "further"), "roots")
+    named = known.join(roots, "root").select("fp", F.col("further").alias("root"))
+    return sketched.select("doc_id", "tag", "fp").join(named, "fp").select("doc_id", "tag", "root")
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """root, further: the roots that are known, and the root of what links join."""
+    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return stored(known.select("root").distinct().join(found, "root", "left").select("root", F.coalesce("further", "root").alias("further")), "roots")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

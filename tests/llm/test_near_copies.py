@@ -107,3 +107,19 @@ def test_a_large_group_is_compared_a_few_times_a_row(spark):
     print(f"{found} of {len(linked)} connected pairs, {len(set(got.values()))} components of {len(set(roots))}")
     assert found >= 0.95 * len(linked)
     assert all(roots[i] == roots[j] for i in range(len(rows)) for j in range(i) if got[i] == got[j])
+
+
+def test_what_the_likely_pairs_leave_is_compared_too(spark, monkeypatch):
+    """One partner and one try: every pair that meets in a bucket is still compared, in tiles of a few texts."""
+    for name, value in (("PARTNERS", 1), ("TRIES", 1), ("CHUNK", 16)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(f"x{i}" if rng.random() < 0.018 else w for w in base), "en") for i in range(150)]
+    roots = brute_roots(rows)[0]
+    got = {r["doc_id"]: r["root"] for r in near_copies.rooted(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    keys = [set(near_copies.band_keys(near_copies.shingle_set(t.encode()))) for _, t, _ in rows]
+    sets = [five_words(t) for _, t, _ in rows]
+    met = [(i, j) for i in range(len(rows)) for j in range(i) if keys[i] & keys[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(met) > 50 and all(got[i] == got[j] for i, j in met)
+    assert all(roots[i] == roots[j] for i in range(len(rows)) for j in range(i) if got[i] == got[j])
