@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,28 +27,26 @@ def transitions(events: DataFrame) -> DataFrame:
     """job, event_id, ts, event, from_status, to_status, legal of every event: one that its job's status does not allow changes nothing.
 
     events: job, event_id (a key of the job), ts, event. In order of (ts, event_id) the first queued event opens a job; the first
-    start after it runs it, unless it was cancelled; the first end after that (or the first cancellation) closes it. These
-    four are minima, so a job of any number of events is never gathered. Other events (drained) change no status and are
-    legal at any time; those with a null job, id, time or name are left out, repeated ones are one.
+    start after it runs it, unless it was cancelled; the first end after that (or the first cancellation) closes it. Whether
+    these came before is told by running values over the job's events: one shuffle by job and two sorts that may spill, no
+    table of jobs and no joins. Other events (drained) change no status and are legal at any time; those with a null job, id,
+    time or name are left out, repeated ones are one (the first by time).
     """
-    e = events.select("job", "event_id", "ts", "event").where("job is not null and event_id is not null and ts is not null and event is not null").dropDuplicates(["job", "event_id"]).withColumn("k", _key())
-    first = lambda test: F.min(F.when(test, F.col("k")))
-    opened = e.groupBy("job").agg(first(F.col("event") == "queued").alias("q"))
-    e = e.join(opened, "job")
-    after = e.where("k > q").groupBy("job").agg(first(F.col("event") == "started").alias("s"), first(F.col("event") == "cancelled").alias("c"))
-    after = after.select("job", F.when(F.col("c").isNull() | (F.col("s") < F.col("c")), F.col("s")).alias("s"), "c")
-    e = e.join(after, "job", "left")
-    ended = e.where(F.col("event").isin("done", "failed") & (F.col("k") > F.col("s"))).groupBy("job").agg(F.min("k").alias("d"))
-    e = e.join(ended, "job", "left").withColumn("end", F.least("c", "d"))
-    # the status that the end leads to, told to all of the job's events
-    closing = e.where("k = end").select("job", F.col("event").alias("closed"))
-    e = e.join(closing, "job", "left")
-    k, yes = F.col("k"), lambda test: F.coalesce(test, F.lit(False))
-    before = F.when(yes(k > F.col("end")), F.col("closed")).when(yes(k > F.col("s")), "running").when(yes(k > F.col("q")), "queued")
-    moves = yes(k == F.col("q")) | yes((k == F.col("s")) & (F.col("end").isNull() | (k < F.col("end")))) | yes(k == F.col("end"))
-    target = F.coalesce(*[F.when(F.col("event") == name, status) for name, status in TARGET.items()])
-    named = F.col("event").isin(*TARGET)
-    return e.select("job", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event", before.alias("from_status"), F.when(moves, target).otherwise(before).alias("to_status"), (moves | ~named).alias("legal"))
+    e = events.select("job", "event_id", "ts", "event").where("job is not null and event_id is not null and ts is not null and event is not null").repartition("job")
+    e = e.withColumn("_n", F.row_number().over(Window.partitionBy("job", "event_id").orderBy("ts", "event"))).where("_n = 1").drop("_n")
+    before = Window.partitionBy("job").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    came = lambda test: F.coalesce(F.max(test).over(before), F.lit(False))
+    event, opened, running = F.col("event"), F.col("_opened"), F.col("_running")
+    e = e.withColumn("_opened", came(event == "queued"))
+    e = e.withColumn("_running", came(opened & (event == "started")))
+    ends = (running & event.isin("done", "failed")) | (opened & (event == "cancelled"))
+    e = e.withColumn("_closed", F.first(F.when(ends, event), ignorenulls=True).over(before))
+    closed = F.col("_closed")
+    status = F.coalesce(closed, F.when(running, "running").when(opened, "queued"))
+    moves = ((event == "queued") & ~opened) | (closed.isNull() & (((event == "started") & opened & ~running) | ends))
+    target = F.coalesce(*[F.when(event == name, after) for name, after in TARGET.items()])
+    named = event.isin(*TARGET)
+    return e.select("job", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event", status.alias("from_status"), F.when(moves, target).otherwise(status).alias("to_status"), (moves | ~named).alias("legal"))
 
 
 def statuses(moved: DataFrame) -> DataFrame:
