@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def _keys(keys: list[str]) -> Column:
@@ -127,7 +128,8 @@ class RunStore:
         for name, df in tables.items():
             place = f"{self.path}/data/{name}-{number}-{made}"
             df.withColumn("_run", F.concat(F.lit("run-"), F.col(key).cast("string"))).write.partitionBy("_run").parquet(place)
-            own = [r["_run"] for r in spark.read.parquet(place).select("_run").distinct().collect()] if not df.isEmpty() else []  # a row for each run
+            written = spark.read.schema(StructType([*df.schema.fields, StructField("_run", StringType())])).parquet(place)  # a table without rows has no files
+            own = [r["_run"] for r in written.select("_run").distinct().collect()]  # a row for each run
             placed[name] = dict.fromkeys(own, place)
         gone = {f"run-{r}" for r in runs or []} | {r for own in placed.values() for r in own}
         new = {name: {r: p for r, p in now.get(name, {}).items() if r not in gone} | placed.get(name, {}) for name in now.keys() | placed.keys()}

@@ -24,3 +24,12 @@ def test_transitions_join_no_table_of_jobs(spark):
     assert "Join" not in plan_of(moved)
     got = sorted((r["job"], r["event_id"], r["from_status"], r["to_status"], r["legal"]) for r in moved.collect())
     assert got == [(1, 1, None, "queued", True), (1, 2, "queued", "running", True), (1, 5, "running", "done", True), (1, 6, "done", "done", False), (2, 1, None, None, False), (2, 2, None, "queued", True), (2, 3, "queued", "cancelled", True), (2, 4, "cancelled", "cancelled", False), (2, 5, "cancelled", "cancelled", True)]
+
+
+def test_a_session_is_made_of_its_stored_decisions(spark):
+    """Of edits with one place one counts, with its own label and note."""
+    edits = spark.createDataFrame([(1, "7", "manual_reject", "", "mold", "a"), (2, "8", "manual_accept", "Crack", "spall", None), (2, "8", "manual_accept", "Crack", "spall", None), (3, "9", "other", "x", "mold", "b")], "place long, result_id string, action string, new_label string, previous_label string, note string")
+    sessions, decisions = review_session(edits, "s", "r", "me", "t")
+    assert "Join" not in plan_of(sessions) and "Exchange hash" not in plan_of(decisions)
+    assert sorted((d["place"], d["target_id"], d["previous_label"], d["new_label"], d["note"]) for d in decisions.collect()) == [(1, "7", "mold", "reject", "a"), (2, "8", "spall", "crack", "")]
+    assert sessions.count() == 1
