@@ -150,8 +150,28 @@ def merge_touching(detections: DataFrame, most: float = 0.45) -> DataFrame:
     return keyed.groupBy("image_id", "label", "part").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("score").alias("score"), F.count("*").alias("members"))
 
 
-def nested_drops(edges: DataFrame) -> DataFrame:
-    """det_id of the boxes that nested pairs drop, each pair by itself. edges: parent_id, child_id, containment, parent_q, child_q, long_crack, same_group."""
-    close = F.abs(F.col("parent_q") - F.col("child_q")) < 0.05
-    loser = F.when(F.col("long_crack"), F.col("child_id")).when(close, F.col("parent_id")).when(F.col("parent_q") < F.col("child_q"), F.col("parent_id")).otherwise(F.col("child_id"))
-    return edges.where((F.col("containment") >= 0.9) & F.col("same_group")).select(loser.alias("det_id")).distinct()
+def _nested(detections: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """The boxes (a_), the others of their image (b_), and whether a nested pair of one label drops the first: long cracks keep the parent, else scores that are close keep the child, else the better stays."""
+    columns = ["image_id", "det_id", "label", "score", "x1", "y1", "x2", "y2"]
+    own, other = (detections.select(*[F.col(c).alias(f"{p}{c}") for c in columns]) for p in ("a_", "b_"))
+    a, b = B.box("a_"), B.box("b_")
+    parent = (B.area(a) > B.area(b)) | ((B.area(a) == B.area(b)) & (F.col("a_det_id") < F.col("b_det_id")))
+    of_parent, of_child = (lambda x, y: F.when(parent, x).otherwise(y)), (lambda x, y: F.when(parent, y).otherwise(x))
+    long_crack = (F.col("a_label") == "crack") & of_parent(B.elongation(a) >= 3, B.elongation(b) >= 3)
+    parent_q, child_q = of_parent(F.col("a_score"), F.col("b_score")), of_child(F.col("a_score"), F.col("b_score"))
+    drops = F.when(long_crack, ~parent).when(F.abs(parent_q - child_q) < 0.05, parent).when(parent_q < child_q, parent).otherwise(~parent)
+    inside = B.intersection(a, b) / F.greatest(F.least(B.area(a), B.area(b)), F.lit(1e-6)) >= 0.9
+    met = (F.col("a_image_id") == F.col("b_image_id")) & (F.col("a_det_id") != F.col("b_det_id")) & (F.col("a_label") == F.col("b_label")) & meeting("a_", "b_")
+    return own, other, met & inside & drops
+
+
+def nested_drops(detections: DataFrame) -> DataFrame:
+    """det_id of the boxes that nested pairs drop, each pair by itself: boxes meet in their image and are not joined again by their ids."""
+    own, other, dropped = _nested(detections)
+    return own.join(other, dropped, "left_semi").select(F.col("a_det_id").alias("det_id"))
+
+
+def nested_kept(detections: DataFrame) -> DataFrame:
+    """det_id of the boxes that nested_drops() leaves."""
+    own, other, dropped = _nested(detections)
+    return own.join(other, dropped, "left_anti").select(F.col("a_det_id").alias("det_id"))

@@ -264,13 +264,7 @@ def quantised_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT CASE WHEN long_crack THEN child_id WHEN abs(parent_q - child_q) < 0.05 THEN parent_id WHEN parent_q < child_q THEN parent_id ELSE child_id END AS det_id FROM x""",
 )
 def nested_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested_drops(detections(spark, sf_dir))
-
-
-def _nested_drops(d: DataFrame) -> DataFrame:
-    side = lambda p: d.select(F.col("det_id").alias(f"{p}_id"), F.col("score").alias(f"{p}_q"), ((F.col("label") == "crack") & (B.elongation(B.box()) >= 3)).alias(f"{p}_long"))
-    e = pairs.box_graph(d).join(side("parent"), "parent_id").join(side("child"), "child_id").withColumns({"long_crack": F.col("parent_long"), "same_group": F.col("label_agreement")})
-    return suppress.nested_drops(e)
+    return suppress.nested_drops(detections(spark, sf_dir))
 
 
 @query(
@@ -280,8 +274,7 @@ SELECT det_id FROM det WHERE det_id NOT IN (SELECT CASE WHEN long_crack THEN chi
 )
 def nested_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the nested pairs leave."""
-    d = detections(spark, sf_dir)
-    return d.select("det_id").join(_nested_drops(d), "det_id", "left_anti")
+    return suppress.nested_kept(detections(spark, sf_dir))
 
 
 @query("n13_global_cap", f"{DET} SELECT det_id FROM det QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) <= 2")

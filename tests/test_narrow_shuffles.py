@@ -33,3 +33,27 @@ def test_a_session_is_made_of_its_stored_decisions(spark):
     assert "Join" not in plan_of(sessions) and "Exchange hash" not in plan_of(decisions)
     assert sorted((d["place"], d["target_id"], d["previous_label"], d["new_label"], d["note"]) for d in decisions.collect()) == [(1, "7", "mold", "reject", "a"), (2, "8", "spall", "crack", "")]
     assert sessions.count() == 1
+
+
+def test_nested_boxes_meet_in_their_image_alone(spark):
+    r = random.Random(3)
+    boxes = []
+    for k in range(150):
+        x, y = r.randrange(40), r.randrange(40)
+        boxes.append((k % 4, k, r.choice(["crack", "mold"]), r.randint(1, 99) / 100, float(x), float(y), float(x + r.randint(5, 60)), float(y + r.randint(5, 40))))
+    df = spark.createDataFrame(boxes, "image_id long, det_id long, label string, score double, x1 double, y1 double, x2 double, y2 double")
+    area = lambda b: (b[6] - b[4]) * (b[7] - b[5])
+    gone = set()
+    for a in boxes:
+        for b in boxes:
+            if a[1] < b[1] and a[0] == b[0] and a[2] == b[2]:
+                shared = max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5]))
+                p, c = (a, b) if area(a) >= area(b) else (b, a)
+                if shared / max(area(c), 1e-6) >= 0.9:
+                    sides = p[6] - p[4], p[7] - p[5]
+                    long = p[2] == "crack" and max(sides) / min(sides) >= 3
+                    gone.add((c if long else p if abs(p[3] - c[3]) < 0.05 or p[3] < c[3] else c)[1])
+    kept = suppress.nested_kept(df)
+    assert len(gone) > 5 and {q["det_id"] for q in suppress.nested_drops(df).collect()} == gone
+    assert sorted(q["det_id"] for q in kept.collect()) == sorted({b[1] for b in boxes} - gone)
+    assert plan_of(suppress.nested_kept(df)).count("Join") == 1
