@@ -35,7 +35,7 @@ def _coco(spark: SparkSession, sf_dir: str) -> DataFrame:
     orphan = spark.createDataFrame([(-5, -7, 1, [0.0, 0.0, 1.0, 1.0], 1.0)], "id long, image_id long, category_id int, bbox array<double>, area double")
     c = spark.createDataFrame([(k + 1, n) for k, n in enumerate(LABELS)], "id int, name string")
     path = scratch(spark, "coco")
-    formats.coco_documents(i, a.unionByName(orphan), c).write.text(path)
+    formats.coco_documents(i, a.unionByName(orphan), c).write.option("compression", "gzip").text(path)
     return formats.documents(spark, path)
 
 

@@ -11,11 +11,16 @@ fields. A very long document is read whole by one task.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COCO = "struct<images: array<struct<id: bigint, file_name: string, width: int, height: int, split: string>>, annotations: array<struct<id: bigint, image_id: bigint, category_id: int, bbox: array<double>, area: double, iscrowd: int>>, categories: array<struct<id: int, name: string>>>"
+FOUND = ["doc", "category_id", "image_id", "file_name", "width", "height", "annotation_id", "x1", "y1", "x2", "y2", "category"]
 RESULTS = "array<struct<image_id: bigint, category_id: int, bbox: array<double>, score: double>>"
 
 
@@ -29,16 +34,35 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc, images, notes, names) to their annotations, each with its image and its category's name."""
+    for batch in batches:
+        tables = []
+        for lists in batch.columns[1:]:
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            flat = lists.flatten()
+            tables.append(pa.Table.from_arrays([pa.array(row), *flat.flatten()], names=["row", *(f.name for f in flat.type)]))
+        images, notes, names = tables
+        found = notes.join(images, ["row", "image_id"], join_type="inner", use_threads=False).join(names, ["row", "category_id"], join_type="left outer", use_threads=False)
+        found = found.append_column("doc", pa.chunked_array([batch.column(0)]).take(found["row"]))
+        yield from found.select(FOUND).combine_chunks().to_batches()
+
+
 def coco_annotations(docs: DataFrame) -> DataFrame:
-    """doc, image_id, file_name, width, height, annotation_id, category_id, category, x1..y2: annotations of images that are there (orphans go)."""
+    """doc, image_id, file_name, width, height, annotation_id, category_id, category, x1..y2: annotations of images that are there (orphans go).
+
+    A document's annotations, images and categories are joined where it is read, so none is shuffled.
+    """
     parsed = docs.select("doc", F.from_json("text", COCO).alias("c"))
-    images = parsed.select("doc", F.inline("c.images"))
-    notes = parsed.select("doc", F.inline("c.annotations"))
-    names = parsed.select("doc", F.inline("c.categories")).select("doc", F.col("id").alias("category_id"), F.col("name").alias("category"))
-    images = images.select("doc", F.col("id").alias("image_id"), "file_name", "width", "height")
-    box = [F.col("bbox")[0].alias("x1"), F.col("bbox")[1].alias("y1"), (F.col("bbox")[0] + F.col("bbox")[2]).alias("x2"), (F.col("bbox")[1] + F.col("bbox")[3]).alias("y2")]
-    notes = notes.select("doc", "image_id", F.col("id").alias("annotation_id"), "category_id", *box)
-    return images.join(notes, ["doc", "image_id"]).join(names, ["doc", "category_id"], "left")
+    image = lambda i: F.struct(i["id"].alias("image_id"), i["file_name"].alias("file_name"), i["width"].alias("width"), i["height"].alias("height"))
+    name = lambda n: F.struct(n["id"].alias("category_id"), n["name"].alias("category"))
+
+    def note(a: Column) -> Column:
+        at = lambda k: F.get(a["bbox"], F.lit(k))
+        return F.struct(a["id"].alias("annotation_id"), a["image_id"].alias("image_id"), a["category_id"].alias("category_id"), at(0).alias("x1"), at(1).alias("y1"), (at(0) + at(2)).alias("x2"), (at(1) + at(3)).alias("y2"))
+
+    lists = parsed.select("doc", F.transform("c.images", image).alias("images"), F.transform("c.annotations", note).alias("notes"), F.transform("c.categories", name).alias("names"))
+    return lists.mapInArrow(_met, "doc string, category_id int, image_id bigint, file_name string, width int, height int, annotation_id bigint, x1 double, y1 double, x2 double, y2 double, category string")
 
 
 def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, per_document: int = 4096) -> DataFrame:

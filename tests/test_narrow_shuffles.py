@@ -57,3 +57,13 @@ def test_nested_boxes_meet_in_their_image_alone(spark):
     assert len(gone) > 5 and {q["det_id"] for q in suppress.nested_drops(df).collect()} == gone
     assert sorted(q["det_id"] for q in kept.collect()) == sorted({b[1] for b in boxes} - gone)
     assert plan_of(suppress.nested_kept(df)).count("Join") == 1
+
+
+def test_annotations_meet_their_images_where_a_document_is_read(spark):
+    one = '{"images": [{"id": 1, "file_name": "a", "width": 9}, {"id": 2, "file_name": "b"}, {"id": 1, "file_name": "c"}], "annotations": [{"id": 5, "image_id": 1, "category_id": 3, "bbox": [1, 2, 3, 4]}, {"id": 6, "image_id": 2, "category_id": null, "bbox": [0, 0, 1]}, {"id": 7, "image_id": 4}, {"id": 8, "image_id": null}], "categories": [{"id": 3, "name": "mold"}]}'
+    two = '{"images": [{"id": 1, "file_name": "z"}], "annotations": [{"id": 9007199254740993, "image_id": 1, "category_id": 3, "bbox": [0, 0, 1, 1]}]}'
+    docs = spark.createDataFrame([("p", one), ("q", two), ("r", None), ("s", "no document"), ("t", "{}")], "doc string, text string").coalesce(1)
+    found = formats.coco_annotations(docs)
+    assert "Exchange" not in plan_of(found)
+    got = sorted((r["doc"], r["annotation_id"], r["file_name"], r["category"], r["x2"], r["y2"]) for r in found.collect())
+    assert got == [("p", 5, "a", "mold", 4.0, 6.0), ("p", 5, "c", "mold", 4.0, 6.0), ("p", 6, "b", None, 1.0, None), ("q", 9007199254740993, "z", None, 1.0, 1.0)]
