@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxwright.functions.stored import stored
 from boxwright.operators import diverse, probes
 from boxwright.operators import mining as M
 from boxwright.operators.numbering import numbered_within
@@ -31,18 +32,22 @@ def prototype_candidates(rows: DataFrame, embedded: DataFrame, per_image: int =
     rows: result_id, label, rel_path, cluster_id, similarity, reliability, decision_type, reasons. embedded: result_id. Domains
     are a label's clusters that occur, by size.
     """
-    base = rows.where(F.col("label").isin("crack", "mold", "spall")).join(embedded, "result_id", "left_semi")
+    reasons = F.coalesce("reasons", F.lit(""))
+    doubtful = F.col("decision_type").isin("suspect", "reject", "relabel_candidate") | (F.col("reliability") < 0.5) | reasons.contains("conflict") | reasons.contains("low_margin")
+    narrow = rows.where(F.col("label").isin("crack", "mold", "spall")).select("result_id", "label", "cluster_id", "rel_path", "similarity", F.coalesce(doubtful, F.lit(False)).alias("doubtful"))
+    # an image's rows are brought together once for both places
+    base = narrow.join(embedded, "result_id", "left_semi").repartition("rel_path")
     best = Window.partitionBy("label", "cluster_id", "rel_path").orderBy(F.desc("similarity"), "result_id")
-    damage = base.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_image)
+    first = Window.partitionBy("rel_path", "doubtful").orderBy("result_id")
+    placed = base.withColumn("own", F.row_number().over(best) <= per_image).withColumn("reject", F.col("doubtful") & (F.row_number().over(first) <= per_image))
+    kept = stored(placed.where("own or reject").select("result_id", "label", "cluster_id", "similarity", "own", "reject", F.when(F.col("reject"), F.col("rel_path")).alias("rel_path")), "candidates")
+    damage = kept.where("own")
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
     domains = damage.select("label", "cluster_id").distinct().join(sizes, "cluster_id")
     place = Window.partitionBy("label").orderBy(F.desc("cluster_size"), "cluster_id")
-    domains = domains.withColumn("domain_index", F.row_number().over(place) - 1)  # a row for each cluster
+    domains = stored(domains.withColumn("domain_index", F.row_number().over(place) - 1), "domains")  # a row for each cluster; stored, its size tells Spark how to join it
     own = damage.join(domains, ["label", "cluster_id"]).select("result_id", "label", "cluster_id", "domain_index", "cluster_size", "similarity")
-    reasons = F.coalesce("reasons", F.lit(""))
-    doubtful = F.col("decision_type").isin("suspect", "reject", "relabel_candidate") | (F.col("reliability") < 0.5) | reasons.contains("conflict") | reasons.contains("low_margin")
-    first = F.row_number().over(Window.partitionBy("rel_path").orderBy("result_id"))
-    reject = base.where(doubtful).withColumn("n", first).where(F.col("n") <= per_image).orderBy("rel_path", "result_id").limit(reject_limit)
+    reject = kept.where("reject").orderBy("rel_path", "result_id").limit(reject_limit)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("cluster_id", "string"), ("domain_index", "int"))]
     return own.unionByName(reject.select("result_id", F.lit("reject").alias("label"), *none, F.lit(0).cast("long").alias("cluster_size"), F.lit(None).cast("double").alias("similarity")))
 
@@ -58,7 +63,7 @@ q AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY
 @query("j5_prototype_candidates", f"{_CANDIDATES} SELECT d.result_id, d.label, d.cluster_id, x.domain_index, x.cluster_size, d.similarity FROM d JOIN x USING (label, cluster_id) UNION ALL SELECT * FROM (SELECT result_id, 'reject', NULL, NULL, 0, NULL FROM q ORDER BY rel_path, result_id LIMIT 300)")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine in ten results have a vector; the reject limit is the review page's."""
-    m = members(spark, sf_dir)
+    m = stored(members(spark, sf_dir), "members")
     return prototype_candidates(m, m.where("result_id % 9 <> 0").select("result_id"), reject_limit=300)
 
 

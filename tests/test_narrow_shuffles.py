@@ -67,3 +67,11 @@ def test_annotations_meet_their_images_where_a_document_is_read(spark):
     assert "Exchange" not in plan_of(found)
     got = sorted((r["doc"], r["annotation_id"], r["file_name"], r["category"], r["x2"], r["y2"]) for r in found.collect())
     assert got == [("p", 5, "a", "mold", 4.0, 6.0), ("p", 5, "c", "mold", 4.0, 6.0), ("p", 6, "b", None, 1.0, None), ("q", 9007199254740993, "z", None, 1.0, 1.0)]
+
+
+def test_candidates_are_stored_once_and_meet_a_small_table(spark):
+    rows = spark.createDataFrame([(k, "mold", f"p{k % 3}", f"c{k % 2}", k / 100, 0.9, "reject" if k % 4 == 0 else "auto_accept", None) for k in range(40)], "result_id long, label string, rel_path string, cluster_id string, similarity double, reliability double, decision_type string, reasons string")
+    found = prototype_candidates(rows, rows.where("result_id <> 39").select("result_id"), reject_limit=4)
+    assert plan_of(found).count("Join") == 1
+    got = sorted((r["label"], r["result_id"], r["domain_index"]) for r in found.collect())
+    assert got == sorted([("mold", k, k % 2) for k in (27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38)] + [("reject", k, None) for k in (0, 12, 4, 16)])
