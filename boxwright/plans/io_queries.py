@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxwright.functions.stored import application_dir, stored
@@ -301,11 +301,12 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k9_coco_annotations", f"{BOTH}, a AS (SELECT row_number() OVER (ORDER BY image_id, det_id) AS id, dense_rank() OVER (ORDER BY image_id) AS image, CASE label WHEN 'crack' THEN 1 WHEN 'mold' THEN 2 ELSE 3 END AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM det) SELECT id, image, category_id, x, y, w, h, w * h AS area FROM a")
 def coco_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential ids: annotations are numbered in order of (image, id), whatever ids look like; images by those that begin one."""
-    d = detections(spark, sf_dir)
-    first = d.groupBy("image_id").agg(F.min("det_id").alias("_first"))
-    marked = d.join(first, "image_id").withColumn("_begins", (F.col("det_id") == F.col("_first")).cast("long"))
-    j = running_sums(marked, [F.col("image_id"), F.col("det_id")], {"id": F.lit(1).cast("long"), "image": F.col("_begins")})
+    """Sequential ids: annotations are numbered in order of (image, id), whatever ids look like. Images are numbered, with the annotations before them; an annotation's place is within its image."""
+    d = detections(spark, sf_dir).select("image_id", "det_id", "label", "x1", "y1", "x2", "y2")
+    n = d.where("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n"))
+    i = running_sums(n, [F.col("image_id")], {"upto": F.col("n"), "image": F.lit(1).cast("long")}).select("image_id", "image", (F.col("upto") - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("det_id"))
+    j = d.withColumn("place", place).join(i.hint("merge"), "image_id").withColumn("id", F.col("before") + F.col("place"))
     return j.select("id", "image", (_index() + 1).alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"), F.expr("(x2 - x1) * (y2 - y1)").alias("area"))
 
 

@@ -75,3 +75,11 @@ def test_candidates_are_stored_once_and_meet_a_small_table(spark):
     assert plan_of(found).count("Join") == 1
     got = sorted((r["label"], r["result_id"], r["domain_index"]) for r in found.collect())
     assert got == sorted([("mold", k, k % 2) for k in (27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38)] + [("reject", k, None) for k in (0, 12, 4, 16)])
+
+
+def test_annotations_are_numbered_by_their_images(spark, monkeypatch):
+    """Images, not whole annotations, are dealt into ranges."""
+    dealt = []
+    monkeypatch.setattr(io_queries, "running_sums", lambda df, *a: dealt.append(df.columns) or running_sums(df, *a))
+    ids = [r["id"] for r in io_queries.coco_export(spark, "/root/testdata/sf0.001").collect()]
+    assert dealt == [["image_id", "n"]] and sorted(ids) == list(range(1, len(ids) + 1))
