@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import discard, fresh, map_batches, sliced, stored, table, utf8
+from .util import discard, fresh, give_back, map_batches, sliced, stored, table, utf8
 
 LENGTH = 200
 #: Length of the K-grams that anchors are chosen from.
 K = 32
-#: Contexts of a group that one task takes; contexts that it takes at a time.
-GROUP, BATCH = 256, 32768
+#: Contexts of a group that one task takes; contexts that it takes at a time, and those whose bytes it gathers at a time.
+GROUP, BATCH, AT_ONCE = 256, 16384, 1024
 #: Windows of a piece of a large group's context.
 PIECE = 16
 
@@ -123,10 +123,12 @@ class InductionQueue:
         joined = np.frombuffer(b"".join(contexts), np.uint8)
         starts = np.r_[0, np.cumsum(sizes)[:-1]] + dmax
         #: Bytes from the anchor on, and before it (column d: d + 1 places before).
-        place = np.arange(length)
-        tail = np.where(place < right[:, None], joined[np.minimum(starts[:, None] + place, len(joined) - 1)], 0).astype(np.uint8)
-        back = np.arange(1, int(dmax.max(initial=0)) + 1)
-        self.before = np.where(back <= dmax[:, None], joined[np.maximum(starts[:, None] - back, 0)], 0).astype(np.uint8)
+        place, back = np.arange(length), np.arange(1, int(dmax.max(initial=0)) + 1)
+        tail, self.before = np.zeros((n, len(place)), np.uint8), np.zeros((n, len(back)), np.uint8)
+        for i in range(0, n, AT_ONCE):  # places take eight times the bytes
+            at, own, far = starts[i : i + AT_ONCE, None], right[i : i + AT_ONCE, None], dmax[i : i + AT_ONCE, None]
+            tail[i : i + AT_ONCE] = np.where(place < own, joined[np.minimum(at + place, len(joined) - 1)], 0)
+            self.before[i : i + AT_ONCE] = np.where(back <= far, joined[np.maximum(at - back, 0)], 0)
         order = np.lexsort((right, np.ascontiguousarray(tail).view(f"S{length}").ravel(), group))
         same = np.ones(n, np.int64) * -1
         if n > 1:
@@ -218,6 +220,8 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 held = held[cut:]
     if held:
         yield solved(held)
+    held.clear()
+    give_back()
 
 
 _PIECES = _CONTEXTS + ", p0 long, p1 long"

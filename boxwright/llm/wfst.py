@@ -13,7 +13,8 @@ compile_model() reads a model file and compiles N o P o M:
 
 Inputs are cut where no piece can lead across, and many cuts are composed at once: arcs are arrays (place, length, piece),
 found by moving all places through the trie together; the tropical shortest path is relaxed in order of place, for all
-cuts of a batch at each step. A worker remembers the ids of cuts that it has met (REMEMBER, twice).
+cuts of a batch at each step. A task remembers the ids of cuts that it has met (REMEMBER, twice) and forgets them at its
+end: its worker goes on to other stages.
 
 Decoding joins the pieces, reads fallback bytes as UTF-8 and takes the first space off.
 
@@ -35,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import map_batches, sliced, table, utf8
+from .util import give_back, map_batches, sliced, table, utf8
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Cuts whose ids a worker remembers (twice), and characters that are composed at a time (or one longer cut).
+#: Cuts whose ids a task remembers (twice), and characters that are composed at a time (or one longer cut).
 REMEMBER, AT_ONCE = 120_000, 1 << 16
 #: Texts that are encoded at a time.
 AT_A_TIME = 256
-#: Pairs of pieces whose weight a worker remembers.
+#: Pairs of pieces whose weight a task remembers.
 REMEMBER_PAIRS = 500_000
 #: What an unknown character weighs more than the least likely piece.
 UNKNOWN_PENALTY = 10.0
@@ -235,12 +236,15 @@ class MergeWeights:
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, USER)}
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.n = len(pieces)
-        self.known = Table(np.zeros(0, np.int64), np.zeros(0, np.int32))  # pairs of pieces: 1 if finite, else 0
+        self.forget()
         self.alone = np.full(self.n, -1, np.int8)  # whether merges make a piece of its own text; -1: not asked yet
         self.left: dict[int, list[tuple[str, float]]] = {}
         self.right: dict[int, list[tuple[str, float]]] = {}
         self.ordered = True  # no merge is made possible by a worse one
 
+    def forget(self) -> None:
+        self.known = Table(np.zeros(0, np.int64), np.zeros(0, np.int32))  # pairs of pieces: 1 if finite, else 0
+
     def merged(self, text: str) -> list[tuple[str, list[tuple[str, float]], list[tuple[str, float]]]]:
         """What merges make of a text, best score first, the left one of equals: parts with their left and right spines."""
         none = -float("inf")
@@ -315,8 +319,14 @@ class Transducer:
         # texts are cut before spaces if no piece, and no run of unknown characters, goes across
         self.spaces_split = not inner.any() and (bool(self.trie.byte) or any(p == SPACE for p, _, t in pieces if t in (NORMAL, USER)))
         self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in pieces]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was remembered of texts; what is compiled stays."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        if self.merges:
+            self.merges.forget()
 
     def _bpe_paths(self, place: np.ndarray, length: np.ndarray, piece: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and piece of the arcs on the finite path of each cut (first, last: its bounds). A state is an arc just taken."""
@@ -508,6 +518,8 @@ def encode_documents(documents: DataFrame, model: str, id_col: str = "doc_id", t
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+        machine.forget()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
