@@ -7,7 +7,10 @@ at least one of BANDS with a probability of 0.998. Likely pairs come first: a bu
 hash, each is compared with the first of every part, and of a pair of components the TRIES candidates with the closest
 five-word fingerprints (MOST_BITS apart at most) are compared. That joins most of what belongs together, with candidates that
 grow with the rows. Then come the rest: every pair that meets in a bucket, is in two components still and was not compared,
-unless its sizes differ too much for the similarity. Large buckets are dealt into chunks, each pair of chunks a tile. The
+unless its sizes or bitmaps differ too much for the similarity. A bitmap holds, for each of its places, whether an odd number
+of the set's hashes fall there, so two sets differ in at least as many shingles as their bitmaps in bits: what that leaves
+out is not similar, and few pairs that are left are not either. Large buckets are dealt into chunks, each pair of chunks a
+tile, where every bitmap meets every other: of a bucket that is open still, these are all pairs of two components. The
 whole sets are compared, so every link is exact, and what can be lost is a pair that meets in no bucket.
 
 A text without a word has no shingle and is linked by its fingerprint alone; one of fewer than SHINGLE words is one
@@ -38,6 +41,8 @@ MOST_BITS = 20
 PARTNERS, TRIES = 8, 64
 #: Texts of a bucket that a tile of the rest takes on each side.
 CHUNK = 512
+#: Bits of a bitmap: the power of two from BITS times the shingles on, within these bounds. Words of two sides' bitmaps that are compared at a time.
+BITS, LEAST_BITS, MOST_BITMAP, WORDS = 4, 512, 1 << 15, 1 << 20
 #: Shingles whose minima are taken at a time, and pairs whose sets are compared at a time.
 AT_ONCE, PAIRS = 4096, 256
 
@@ -61,12 +66,19 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each place (a hash's low bits) whether an odd number of the hashes fall there."""
+    n = min(MOST_BITMAP, max(LEAST_BITS, 1 << (BITS * len(shingles) - 1).bit_length())) if len(shingles) else LEAST_BITS
+    odd = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def sketches(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag (the text's hash), fp (op4's fingerprint), size (of the shingle set), coarse (fingerprint of five-word shingles), keys (of the bands)."""
+    """doc_id, tag (the text's hash), fp (op4's fingerprint), size (of the shingle set), coarse (fingerprint of five-word shingles), keys (of the bands), bits (the set's bitmap)."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), tag_of(text_col).alias("tag"), utf8(text_col).alias("text"))
 
     def sketched(ids: list, tags: list, texts: list) -> dict[str, list]:
-        fps, sizes, coarse, keys = [], [], [], []
+        fps, sizes, coarse, keys, bits = [], [], [], [], []
         for text in texts:
             hashes = shingle_hashes(text, SHINGLE)
             shingles = np.unique(hashes.astype(np.uint64))
@@ -74,9 +86,10 @@ def sketches(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sizes.append(len(shingles))
             coarse.append(signed(majority(hashes)))
             keys.append(band_keys(shingles))
-        return {"doc_id": ids, "tag": tags, "fp": fps, "size": sizes, "coarse": coarse, "keys": keys}
+            bits.append(bitmap(shingles))
+        return {"doc_id": ids, "tag": tags, "fp": fps, "size": sizes, "coarse": coarse, "keys": keys, "bits": bits}
 
-    return map_batches(rows, sketched, "doc_id long, tag long, fp long, size int, coarse long, keys array<bigint>")
+    return map_batches(rows, sketched, "doc_id long, tag long, fp long, size int, coarse long, keys array<bigint>, bits binary")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -94,18 +107,68 @@ def candidates(texts: DataFrame) -> DataFrame:
     return tried.select(F.col("a.tag").alias("u"), F.col("b.tag").alias("v"), F.col("a.root").alias("root_u"), F.col("b.root").alias("root_v"))
 
 
+def near_pairs(size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of two groups whose sizes and bitmaps don't rule out the similarity; where the rows have sides, those across."""
+    length = np.array([len(b) for b in bits])
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(length).tolist():  # similar sets have bitmaps of one length, or the larger's is twice as long
+        own, twice = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
+        at = np.r_[own, twice]
+        words = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)
+        longer = np.frombuffer(b"".join(bits[i] for i in twice), np.uint64).reshape(len(twice), 2, words.shape[1])
+        words = np.concatenate([words, longer[:, 0] ^ longer[:, 1]])
+        step = max(1, WORDS // (len(at) * words.shape[1]))
+        for k in range(0, len(own), step):
+            a = own[k : k + step]
+            total, low = size[a][:, None] + size[at], np.minimum(size[a][:, None], size[at])
+            good = (np.arange(k, k + len(a))[:, None] < np.arange(len(at))) & (group[a][:, None] != group[at]) & (low >= SIMILAR * (total - low))
+            if side is not None:
+                good &= side[a][:, None] != side[at]
+            i, j = np.nonzero(good)
+            for m in range(0, len(i), max(1, WORDS // words.shape[1])):
+                x, y = i[m : m + max(1, WORDS // words.shape[1])], j[m : m + max(1, WORDS // words.shape[1])]
+                differ = np.bitwise_count(words[k + x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                met = differ * (1 + SIMILAR) <= total[x, y] * (1 - SIMILAR) + 1e-6
+                u.append(a[x[met]])
+                v.append(at[y[met]])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v, root_u, root_v of the rows (key, low, high, side, tag, root, size, bits), in order of their tiles (key, low, high)."""
+    names = ["key", "low", "high", "side", "tag", "root", "size"]
+
+    def pairs(held: list[pa.RecordBatch], across: bool) -> pa.RecordBatch:
+        side, tag, root, size = (np.concatenate([b.column(n).to_numpy() for b in held]) for n in names[3:])
+        i, j = near_pairs(size, [x for b in held for x in b.column("bits").to_pylist()], root, side if across else None)
+        i, j = np.where(tag[i] < tag[j], i, j), np.where(tag[i] < tag[j], j, i)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (tag[i], tag[j], root[i], root[j])], names=["u", "v", "root_u", "root_v"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in sliced(batches):
+        columns = [batch.column(n).to_numpy() for n in names[:3]]
+        cuts = np.r_[0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)), batch.num_rows].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            tile = tuple(int(c[a]) for c in columns)
+            if held and tile != last:
+                yield pairs(held, last[1] < last[2])
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tile
+    if held:
+        yield pairs(held, last[1] < last[2])
+
+
 def rest(texts: DataFrame, tried: DataFrame) -> DataFrame:
-    """u, v, root_u, root_v of all pairs of distinct texts (tag, root, size, keys) that meet in a bucket, are of two roots, may be similar by their sizes and are not among those tried (u, v)."""
+    """u, v, root_u, root_v of all pairs of distinct texts (tag, root, size, keys, bits) that meet in a bucket, are of two roots, may be similar by their sizes and bitmaps and are not among those tried (u, v)."""
     rows = texts.select("tag", "root", "size", F.explode("keys").alias("key"))
     open_ = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("a < b").select("key", "chunks")
-    met = stored(rows.join(stored(open_, "open"), "key"), "met").withColumn("chunk", F.pmod(F.xxhash64("tag"), F.col("chunks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tile = ["key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")]
-    side = lambda p: dealt.select(*tile, *[F.col(c).alias(f"{p}_{c}") for c in ("tag", "root", "size", "chunk")])
-    across = (F.col("low") == F.col("high")) | (F.col("a_chunk") != F.col("b_chunk"))
-    apart = (F.col("a_tag") < F.col("b_tag")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_size", "b_size") >= SIMILAR * F.greatest("a_size", "b_size"))
-    pairs = side("a").join(side("b").hint("merge"), ["key", "low", "high"]).where(across & apart)
-    ends = pairs.select(F.col("a_tag").alias("u"), F.col("b_tag").alias("v"), F.col("a_root").alias("root_u"), F.col("b_root").alias("root_v")).distinct()
+    met = stored(rows.join(stored(open_, "open"), "key").join(texts.select("tag", "bits").hint("merge"), "tag"), "met")
+    dealt = met.withColumn("chunk", F.pmod(F.xxhash64("tag"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = [F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).cast("int").alias("side")]
+    tiles = dealt.select("key", *tile, "tag", "root", "size", "bits").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    ends = tiles.mapInArrow(_tile_pairs, "u long, v long, root_u long, root_v long").distinct()
     known = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return ends.join(known.hint("merge"), ["u", "v"], "left_anti")
 
@@ -136,11 +199,11 @@ def rooted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, tag, root: the component of each document."""
     sketched = stored(sketches(documents, id_col, text_col), "sketches")
     known = roots_of(sketched.select("doc_id", "fp")).select("fp", "root")
-    one = sketched.groupBy("tag").agg(*(F.first(c).alias(c) for c in ("fp", "size", "coarse", "keys")))
-    texts = stored(one.join(known, "fp").select("tag", "root", "size", "coarse", "keys"), "texts")
+    one = sketched.groupBy("tag").agg(*(F.first(c).alias(c) for c in ("fp", "size", "coarse", "keys", "bits")))
+    texts = stored(one.join(known, "fp").select("tag", "root", "size", "coarse", "keys", "bits"), "texts")
     pairs = stored(candidates(texts), "pairs")
     likely = _joined(known, similar_links(documents, pairs, text_col))
-    moved = texts.join(likely, "root").select("tag", F.col("further").alias("root"), "size", "keys")
+    moved = texts.join(likely, "root").select("tag", F.col("further").alias("root"), "size", "keys", "bits")
     others = stored(rest(stored(moved, "texts"), pairs), "pairs")
     roots = likely
     if not others.isEmpty():

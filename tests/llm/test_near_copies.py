@@ -123,3 +123,39 @@ def test_what_the_likely_pairs_leave_is_compared_too(spark, monkeypatch):
     met = [(i, j) for i in range(len(rows)) for j in range(i) if keys[i] & keys[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     assert len(met) > 50 and all(got[i] == got[j] for i, j in met)
     assert all(roots[i] == roots[j] for i in range(len(rows)) for j in range(i) if got[i] == got[j])
+
+
+def test_bitmaps_leave_out_no_similar_pair():
+    """Sets of 1 to 3000 shingles, also where one bitmap is twice as long as the other, and of the longest bitmaps."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 5, 9, 60, 120, 128, 129, 140, 250, 256, 270, 500, 3000, 12_000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for change in (0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2):
+            k = int(change * n)
+            sets += [np.unique(np.r_[base[k:], rng.integers(0, 1 << 63, k // 2, np.uint64)]), np.unique(np.r_[base, rng.integers(0, 1 << 63, 2 * k, np.uint64)])]
+    size, bits = np.array([len(s) for s in sets]), [near_copies.bitmap(s) for s in sets]
+    i, j = near_copies.near_pairs(size, bits, np.arange(len(sets)))
+    got = {(min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) for both in [len(np.intersect1d(sets[a], sets[b]))] if 5 * both >= 4 * (size[a] + size[b] - both)}
+    assert similar <= got and len(got) == len(i) and len({len(b) for b in bits}) > 5 and len(got) < 1.6 * len(similar)
+    side = np.arange(len(sets)) % 2
+    i, j = near_copies.near_pairs(size, bits, np.arange(len(sets)), side)
+    assert {(min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in got if side[a] != side[b]}
+
+
+def test_the_rest_of_a_large_group_is_no_square(spark, monkeypatch):
+    """Texts that meet in the buckets without being similar: nearly all of their pairs are left out before their sets are compared, in one tile and in many."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(f"x{i}_{k}" if rng.random() < 0.04 else w for k, w in enumerate(base)), "en") for i in range(200)]
+    texts = near_copies.sketches(spark.createDataFrame(rows, DOCUMENTS), "doc_id", "text").selectExpr("tag", "doc_id as root", "size", "keys", "bits").cache()
+    keys = [set(near_copies.band_keys(near_copies.shingle_set(t.encode()))) for _, t, _ in rows]
+    sets = [five_words(t) for _, t, _ in rows]
+    met = [(i, j) for i in range(len(rows)) for j in range(i) if keys[i] & keys[j]]
+    similar = {(j, i) for i, j in met if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    for chunk in (512, 16):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        got = [(min(r["root_u"], r["root_v"]), max(r["root_u"], r["root_v"])) for r in near_copies.rest(texts, spark.createDataFrame([], "u long, v long")).collect()]
+        print(f"{len(met)} pairs meet, {len(similar)} are similar, {len(got)} are left")
+        assert len(met) > 3000 and similar <= set(got) and len(got) == len(set(got)) and len(got) < 0.05 * len(met)
