@@ -7,10 +7,10 @@
    two power iterations. A part keeps as many directions as every one of its passages needs for LEAST_KEPT of its length,
    so a verbatim copy keeps its cosine however many passages there are.
    (The columns are the part's words, so other words of the corpus never pass for one of them.)
-3. Each document is cut into windows, every STEP words, as long as the passages they are compared with. A window's latent
-   vector is the sum of its words' projected weights; its cosine with a passage is the inner product with the
-   passage's latent direction over the window's TF-IDF length. Windows with too little weight on the benchmark's words cannot reach the least cosine (by
-   Cauchy-Schwarz) and are not projected.
+3. Each document is cut into windows, every STEP words, as long as the passages they are compared with. A window's cosine
+   with a passage is its inner product with the passage's latent direction over the window's TF-IDF length; the inner
+   product is the sum of what its words add, which is kept for each word and the passages where it is not zero. Passages to
+   which the whole document adds too little cannot reach the least cosine and are left out.
 4. Candidates with a cosine of LEAST_COSINE or more are checked: the longest common subsequence of the passage and the
    window (STEP words wider on both sides) must hold LEAST_SHARE of the passage's words; below SURE of them the window
    is a paraphrase and must also hold LEAST_ANSWER of the passage's answer words, the fifth of its words that are rarest
@@ -45,6 +45,10 @@ LEAST_KEPT = 0.9
 STEP = 8
 LEAST_COSINE, LEAST_SHARE, SURE, LEAST_ANSWER = 0.35, 0.6, 0.75, 0.3
 MIN_WORDS = 5
+#: Share of a passage's largest weight under which a word's weight is rounding.
+NOISE = 1e-6
+#: Sums of a document's blocks and some passages (PART at least) that are held at a time.
+SUMS = 1 << 20
 #: Words of the passages of a pass, about (or one longer item).
 PASS_WORDS = 200_000
 
@@ -141,19 +145,15 @@ def size_of(words: int) -> int:
     return -(-(words + STEP) // STEP) * STEP
 
 
-class Part:
-    """Some passages (first, first + 1, ...) in a latent space of their own. hashes: of each passage's words."""
-
-    def __init__(self, first: int, hashes: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
-        self.vocabulary = vocabulary
-        own_idf = idf[buckets(vocabulary)]
-        rows = [(x[:, None] * basis[own]).sum(axis=0) for own, x, _ in (_row(_places(vocabulary, h)[0], own_idf) for h in hashes)]
-        vectors = np.array(rows, np.float32)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-        # what a word adds to a window's inner product with each passage's latent direction; the last row is of other words
-        self.weights = np.vstack([(own_idf[:, None] * basis).astype(np.float32) @ vectors.T, np.zeros((1, len(vectors)), np.float32)])
-        size = np.array([size_of(len(h)) for h in hashes])  # in ascending order
-        self.first, self.by_size = first, {s: (int(np.searchsorted(size, s)), int(np.searchsorted(size, s, side="right"))) for s in np.unique(size).tolist()}
+def word_weights(hashes: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (word, passage) and weights: what a word adds to a window's inner product with the latent direction of a part's passage, without rounding's NOISE. hashes: of each passage's words."""
+    own_idf = idf[buckets(vocabulary)]
+    rows = [(x[:, None] * basis[own]).sum(axis=0) for own, x, _ in (_row(_places(vocabulary, h)[0], own_idf) for h in hashes)]
+    vectors = np.array(rows, np.float32)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+    weights = (own_idf[:, None] * basis).astype(np.float32) @ vectors.T
+    word, passage = np.nonzero(np.abs(weights) > NOISE * np.abs(weights).max(axis=0, initial=0))
+    return word, passage, weights[word, passage].astype(np.float64)
 
 
 class Passages:
@@ -165,7 +165,19 @@ class Passages:
         self.words = [h.tolist() for _, h in items]
         self.size = [size_of(len(h)) for _, h in items]
         self.by_size = {s: np.flatnonzero(np.array(self.size) == s) for s in sorted(set(self.size))}
-        self.parts = [Part(k * PART, [h for _, h in items[k * PART : (k + 1) * PART]], vocabulary, idf, basis) for k, (vocabulary, basis) in enumerate(spaces)]
+        #: Blocks of the windows of each size, in ascending order, and the place there of each passage's.
+        self.steps = np.array(sorted(set(self.size)), np.int64) // STEP
+        self.row = np.searchsorted(list(self.by_size), self.size)
+        self.vocabulary = np.unique(np.concatenate([v for v, _ in spaces])) if spaces else np.zeros(0, np.uint64)
+        found = []
+        for k, (vocabulary, basis) in enumerate(spaces):
+            word, passage, weight = word_weights([h for _, h in items[k * PART : (k + 1) * PART]], vocabulary, idf, basis)
+            found.append((np.searchsorted(self.vocabulary, vocabulary)[word], k * PART + passage, weight))
+        word, self.passage, self.weight = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(word, kind="stable")
+        self.passage, self.weight = self.passage[order], self.weight[order]
+        #: Of each word, where its passages and weights begin; then the end.
+        self.begin = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
         self.sets = [frozenset(h) for h in self.words]
         self.repeats = [len(h) - len(s) for h, s in zip(self.words, self.sets, strict=True)]
         rare = lambda h: [w for _, w in sorted((-idf[w & (DIMENSIONS - 1)], w) for w in set(h))][: max(1, len(set(h)) // 5)]
@@ -186,36 +198,47 @@ class Passages:
             np.cumsum(np.add.reduceat(v, starts), out=out[1:])
             return out
 
-        total = up(square)
-        norms = {size: total[step:] - total[:-step] for size in self.by_size for step in [min(size // STEP, blocks)]}
+        place, known = _places(self.vocabulary, words)
+        total, inside = up(square), up(square * known)
+        # a row for each first block, a column for each size: the windows' ends, and their least inner products; infinite where nothing can reach it
+        end = np.arange(blocks)[:, None] + np.minimum(self.steps, blocks)
+        whole, end = end <= blocks, np.minimum(end, blocks)
+        norm, held = total[end] - total[:-1, None], inside[end] - inside[:-1, None]
+        seen = whole & (norm > 0) & (held > 0)
+        if not seen.any():
+            return []
+        least = np.where(seen, LEAST_COSINE * np.sqrt(np.maximum(norm, 0)), np.inf)
+        # a row for each passage that a word of the document adds to: block of the word, passage, weight
+        at, place = np.flatnonzero(known) // STEP, place[known]
+        first, count = self.begin[place], self.begin[place + 1] - self.begin[place]
+        entry = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        passage, weight = self.passage[entry], self.weight[entry]
+        # a window's inner product is at most the sum of all positive weights of the document (and a little, for rounding)
+        most = np.bincount(passage, np.maximum(weight, 0), len(self.ids)) * (1 + 1e-9)
+        near = np.flatnonzero(most >= least.min(axis=0)[self.row])
+        column = np.full(len(self.ids), -1)
+        column[near] = np.arange(len(near))
+        column = column[passage]
+        inner = np.flatnonzero(column >= 0)
+        block, column, weight = np.repeat(at, count)[inner] + 1, column[inner], weight[inner]
         out = []
-        for part in self.parts:
-            place, known = _places(part.vocabulary, words)
-            inside = up(square * known)
-            spans = {}
-            for size in part.by_size:
-                step, norm = min(size // STEP, blocks), norms[size]
-                held = inside[step:] - inside[:-step]
-                seen = (held >= LEAST_COSINE**2 * norm) & (norm > 0) & (held > 0)
-                if seen.any():
-                    spans[size] = step, np.where(seen, LEAST_COSINE * np.sqrt(norm), np.inf).astype(np.float32)
-            if not spans:
-                continue
-            sums = np.zeros((blocks + 1, part.weights.shape[1]), np.float32)
-            rows = np.full(blocks * STEP, len(part.weights) - 1)  # the last row is zero
-            rows[:n][known] = place[known]
-            rows = rows.reshape(blocks, STEP)
-            for k in range(STEP):
-                sums[1:] += part.weights[rows[:, k]]
-            sums = np.cumsum(sums, axis=0, out=sums)
-            for size, (step, least) in spans.items():
-                a, b = part.by_size[size]
-                product = sums[step:, a:b] - sums[:-step, a:b]
-                hit = np.flatnonzero(product >= least[:, None])
-                if len(hit):
-                    first, passage = np.divmod(hit, b - a)
-                    cosine = product.ravel()[hit] / (least[first] / np.float32(LEAST_COSINE))
-                    out += zip((part.first + a + passage).tolist(), (first * STEP).tolist(), cosine.tolist(), strict=True)
+        width = max(PART, SUMS // (blocks + 1))
+        for low in range(0, len(near), width):
+            own = near[low : low + width]
+            if len(own) < len(near):
+                inner = (column >= low) & (column < low + len(own))
+                cell, value = block[inner] * len(own) + column[inner] - low, weight[inner]
+            else:
+                cell, value = block * len(own) + column, weight
+            sums = np.bincount(cell, value, (blocks + 1) * len(own)).reshape(blocks + 1, len(own))
+            np.cumsum(sums, axis=0, out=sums)
+            rows = self.row[own]
+            product, lowest = sums[end[:, rows], np.arange(len(own))] - sums[:-1], least[:, rows]
+            hit = np.flatnonzero(product >= lowest)
+            if len(hit):
+                window, of = np.divmod(hit, len(own))
+                cosine = product.ravel()[hit] / (lowest.ravel()[hit] / LEAST_COSINE)
+                out += zip(own[of].tolist(), (window * STEP).tolist(), cosine.tolist(), strict=True)
         return out
 
     def check(self, passage: int, window: list[int], held: set[int]) -> tuple[float, float] | None:
