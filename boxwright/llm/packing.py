@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,7 +129,8 @@ class Encoder:
     The pre-tokenizer never joins what stands before a space between two non-white characters with what follows, so a
     text may be cut there; the pieces' ids are remembered. Pieces of letters, each with at most one mark after it, over
     lines of one break each, are pre-tokens known beforehand, and the model takes them directly; other pieces, and
-    texts with other white space at a cut, go through the library's whole chain.
+    texts with other white space at a cut, go through the library's whole chain. A batch's distinct pieces are found, and
+    their ids put together, as arrays.
     """
 
     def __init__(self, path: str):
@@ -178,25 +180,40 @@ class Encoder:
                 ids.append(self.marks[mark])
         return b"".join(ids)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known, piece = self.known, self._piece
-        split = [t.split(" ") for t in texts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        begin, pieces = split.offsets.to_numpy(), split.values
         # the first piece has no space before it
-        cut = [len(p) > 1 and p[0] != "" and not p[0][-1].isspace() for p in split]
-        new = set().union(*(p[1:] for p, c in zip(split, cut, strict=True) if c)).difference(known)
-        older = self.older
-        for p in new:
-            known[p] = older[p] if p in older else piece(p)
-        out = []
-        for text, pieces, c in zip(texts, split, cut, strict=True):
-            if c:
-                try:
-                    out.append(self.whole(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:])))
-                    continue
-                except TypeError:  # a piece that is not known beforehand (None)
-                    pass
-            out.append(self.whole(text))
+        first = pieces.take(pa.array(begin[:-1])).to_pylist()
+        cut = np.array([n > 1 and p != "" and not p[-1].isspace() for n, p in zip(np.diff(begin).tolist(), first, strict=True)], bool)
+        after = np.repeat(cut, np.diff(begin))
+        after[begin[:-1][cut]] = False
+        found = pieces.filter(pa.array(after)).dictionary_encode()
+        ids = self._known(found.dictionary.to_pylist())
+        count = np.array([-1 if x is None else len(x) // 4 for x in ids], np.int64)
+        place = np.cumsum(np.maximum(count, 0)) - count  # of each distinct piece's ids
+        table = np.frombuffer(b"".join(x for x in ids if x), "<u4")
+        code = found.indices.to_numpy()
+        own, ends = count[code], np.cumsum(np.where(cut, np.diff(begin) - 1, 0))
+        unknown, many = np.r_[0, np.cumsum(own < 0)], np.maximum(own, 0)
+        upto = np.r_[0, np.cumsum(many)]
+        packed = memoryview(table[np.arange(upto[-1]) + np.repeat(place[code] - upto[:-1], many)].tobytes())
+        starts = np.r_[0, ends[:-1]]
+        known = cut & (unknown[starts] == unknown[ends])  # else a piece is not known beforehand
+        spans = zip(known.tolist(), first, (4 * upto[starts]).tolist(), (4 * upto[ends]).tolist(), strict=True)
+        return [self.whole(p) + packed[a:b] if k else self.whole(texts[i].as_py()) for i, (k, p, a, b) in enumerate(spans)]
+
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each piece; None if it is not known beforehand."""
+        known, older, piece = self.known, self.older, self._piece
+        for p in pieces:
+            if p not in known:
+                known[p] = older[p] if p in older else piece(p)
+        out = list(map(known.__getitem__, pieces))
         if len(known) > REMEMBER:  # what is in use comes back from the older half
             self.known, self.older = {}, known
         return out
@@ -232,8 +249,7 @@ def write_shards(documents: DataFrame, id_col: str, text_col: str, tokenizer: st
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["part", "shard", "n_ids", "content"])
 
         for batch in sliced(batches):
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for i, packed in zip(ids, encoder.encode_all(texts), strict=True):
+            for i, packed in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 docs.append(i)
                 parts.append(packed + end)
                 held += len(parts[-1]) // 4
