@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from boxwright.operators.components import components
 
 from .simhash import fingerprint, first_of_each, majority, roots_of, shingle_hashes, signed, tag_of
-from .util import map_batches, sliced, stored, utf8
+from .util import give_back, map_batches, sliced, stored, utf8
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -42,7 +42,7 @@ PARTNERS, TRIES = 8, 64
 #: Texts of a bucket that a tile of the rest takes on each side.
 CHUNK = 512
 #: Bits of a bitmap: the power of two from BITS times the shingles on, within these bounds. Words of two sides' bitmaps that are compared at a time.
-BITS, LEAST_BITS, MOST_BITMAP, WORDS = 4, 512, 1 << 15, 1 << 20
+BITS, LEAST_BITS, MOST_BITMAP, WORDS = 4, 512, 1 << 15, 1 << 16
 #: Shingles whose minima are taken at a time, and pairs whose sets are compared at a time.
 AT_ONCE, PAIRS = 4096, 256
 
@@ -158,6 +158,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = tile
     if held:
         yield pairs(held, last[1] < last[2])
+    give_back()
 
 
 def rest(texts: DataFrame, tried: DataFrame) -> DataFrame:
