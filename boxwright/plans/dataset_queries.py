@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxwright.functions import boxes as B
 from boxwright.functions.stored import stored
 from boxwright.operators import mining as M
+from boxwright.operators.backgrounds import free_boxes
 from boxwright.operators.numbering import numbered
 from boxwright.plans.core import query
 from boxwright.plans.decision_queries import _SIG, signals
 from boxwright.plans.io_queries import scratch
 from boxwright.sources import sinks
-from boxwright.sources.views import SQL_DETECTIONS, SQL_IMAGES, detections, images, read
+from boxwright.sources.views import HEIGHT, SQL_DETECTIONS, SQL_IMAGES, WIDTH, detections, images, read
 
 DET = f"WITH {SQL_DETECTIONS}"
 BOTH = f"{DET}, {SQL_IMAGES}"
@@ -311,14 +311,4 @@ f AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.image_id =
 SELECT image_id, w, h, x, y FROM f QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5(image_id || '-' || k), k) = 1""")
 def background_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box of a typical size that overlaps no detection by over 2 % of itself: candidates on a grid, the first in the order of a hash."""
-    boxes = detections(spark, sf_dir).groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
-    # an image's candidates are made where its boxes are, so none is shuffled
-    known = images(spark, sf_dir).select("image_id").join(boxes.hint("merge"), "image_id", "left")
-    sizes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in ((64, 64), (48, 32))])
-    grid = known.select("image_id", "boxes", F.explode(sizes).alias("s")).select("image_id", "boxes", "s.w", "s.h", F.explode(F.sequence(F.lit(0), F.lit(276), F.lit(24))).alias("x"))
-    c = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(228), F.lit(24)))).where("x + w <= 340 and y + h <= 260").withColumn("k", F.col("x") * 1000 + F.col("y") + F.col("w"))
-    own = B.Box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))
-    free = ~F.exists("boxes", lambda b: B.intersection(own, B.of(b)) > 0.02 * F.col("w") * F.col("h"))
-    good = c.where(F.coalesce(free, F.lit(True)))
-    order = F.min(F.struct(F.md5(F.concat_ws("-", "image_id", "k").cast("binary")).alias("o"), "k", "w", "h", "x", "y"))
-    return good.groupBy("image_id").agg(order.alias("b")).select("image_id", "b.w", "b.h", "b.x", "b.y")
+    return free_boxes(images(spark, sf_dir), detections(spark, sf_dir), [(64, 64), (48, 32)], range(0, 277, 24), range(0, 229, 24), WIDTH, HEIGHT, 0.02, lambda w, h, x, y: x * 1000 + y + w)
